@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rippletrace.llm.common import materialise
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -66,8 +68,9 @@ def path_templates(
     the branch after merging.
     """
     seg = F.split(F.col("shape"), "/")
-    rows = shapes.withColumn("prefix", F.lit("")).withColumn("seg", seg)
-    for d in range(2, depth + 2):
+    rows = materialise(shapes.withColumn("prefix", F.lit("")).withColumn("seg", seg), "url-shapes")
+    deepest = rows.agg(F.max(F.size("seg"))).first()[0] or 0
+    for d in range(2, min(depth + 1, deepest) + 1):
         # Element 1 is what precedes the first slash, always empty.
         here = F.when(F.size("seg") >= d, F.get("seg", F.lit(d - 1)))
         rows = rows.withColumn("next", here)
@@ -81,7 +84,8 @@ def path_templates(
         )
         rows = rows.join(rare, ["host", "prefix", "next"], "left")
         step = F.when(F.col("next").isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), F.when(F.col("rare"), F.lit("*")).otherwise(F.col("next"))))
-        rows = rows.select("host", "shape", "n", "labelled", "bad", "seg", F.concat("prefix", step).alias("prefix"))
+        # Each level reads the rows several times, so its result is written.
+        rows = materialise(rows.select("host", "shape", "n", "labelled", "bad", "seg", F.concat("prefix", step).alias("prefix")), f"url-level{d}")
     tail = F.when(F.size("seg") > depth + 1, F.lit("/**")).otherwise(F.lit(""))
     rows = rows.select("host", "shape", "labelled", "bad", F.concat("prefix", tail).alias("template"))
 
@@ -92,7 +96,7 @@ def path_templates(
     rate = (F.col("pool_b") + 1) / (F.col("pool_l") + 2)
     gap = F.abs(F.col("bad") / F.col("labelled") - F.col("pool_b") / F.col("pool_l"))
     alike = (F.col("labelled") > 0) & (gap <= similar_z * F.sqrt(rate * (1 - rate) / F.greatest("labelled", F.lit(1))))
-    leaves = leaves.withColumn("branch", F.when(alike, F.concat("parent", F.lit("/~"))).otherwise(F.col("template")))
+    leaves = materialise(leaves.withColumn("branch", F.when(alike, F.concat("parent", F.lit("/~"))).otherwise(F.col("template"))), "url-leaves")
     merged = leaves.groupBy("host", "branch").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     of = leaves.select("host", "template", "branch").join(merged, ["host", "branch"])
     return rows.select("host", "shape", "template").join(of, ["host", "template"]).select("host", "shape", "template", "labelled", "bad")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rippletrace.llm import bpe, mixing, secrets, url_filter
+from rippletrace.llm import bpe, mixing, secrets, simhash, url_filter
 from rippletrace.llm.common import table
 
 #: The rules of the URL query.
@@ -46,11 +46,17 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_mixing": op3_mixing,
     "op5_url_filter": op5_url_filter,
     "op6_bpe": op6_bpe,
+    "op7_simhash": op7_simhash,
 }
 
 ORACLES: dict[str, str] = {}

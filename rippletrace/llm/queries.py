@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rippletrace.llm import bpe, mixing, secrets, simhash, url_filter
-from rippletrace.llm.common import table
+from rippletrace.llm import bpe, language, mixing, secrets, simhash, toxicity, url_filter
+from rippletrace.llm.common import fold, table
 
 #: The rules of the URL query.
 URL_RULES = [
@@ -38,6 +38,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return toxicity.score_toxicity(docs, model, into="score").select(
+        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -51,12 +59,21 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = language.fit_languages(docs)
+    found = language.predict_languages(docs.drop("lang"), model)
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_mixing": op3_mixing,
+    "op4_toxicity": op4_toxicity,
     "op5_url_filter": op5_url_filter,
     "op6_bpe": op6_bpe,
     "op7_simhash": op7_simhash,
+    "op8_language": op8_language,
 }
 
 ORACLES: dict[str, str] = {}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rippletrace.llm import bpe, language, mixing, secrets, simhash, toxicity, url_filter
+from rippletrace.llm import bpe, html, language, mixing, secrets, simhash, toxicity, url_filter
 from rippletrace.llm.common import fold, table
 
 #: The rules of the URL query.
@@ -21,6 +21,11 @@ URL_RULES = [
 ]
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html.extract_main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text")
     span = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
@@ -67,6 +72,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html": op1_html,
     "op2_secrets": op2_secrets,
     "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,

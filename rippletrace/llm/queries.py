@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rippletrace.llm import bpe, html, language, mixing, secrets, simhash, toxicity, url_filter
+from rippletrace.llm import ann, bpe, html, language, mixing, secrets, simhash, toxicity, url_filter
 from rippletrace.llm.common import fold, table
 
 #: The rules of the URL query.
@@ -71,6 +71,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search_neighbours(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_secrets": op2_secrets,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": op6_bpe,
     "op7_simhash": op7_simhash,
     "op8_language": op8_language,
+    "op9_ann": op9_ann,
 }
 
 ORACLES: dict[str, str] = {}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rippletrace.llm import ann, bpe, html, language, mixing, secrets, simhash, toxicity, url_filter
+from rippletrace.llm import ann, bpe, hnsw, html, language, mixing, secrets, simhash, toxicity, url_filter
 from rippletrace.llm.common import fold, table
 
 #: The rules of the URL query.
@@ -75,6 +75,10 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search_neighbours(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
 
+def op10_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicate_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_secrets": op2_secrets,
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": op7_simhash,
     "op8_language": op8_language,
     "op9_ann": op9_ann,
+    "op10_hnsw": op10_hnsw,
 }
 
 ORACLES: dict[str, str] = {}

@@ -49,7 +49,7 @@ def diff_lines(diffs: DataFrame) -> DataFrame:
     )
     return lines.withColumns(
         {
-            "file_idx": F.sum(named("+++ ").isNotNull().cast("int")).over(carried) - 1,
+            "file_idx": (F.sum(named("+++ ").isNotNull().cast("int")).over(carried) - 1).cast("int"),
             "source_name": F.last(named("--- "), ignorenulls=True).over(carried),
             "target_name": F.last(named("+++ "), ignorenulls=True).over(carried),
         }

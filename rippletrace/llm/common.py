@@ -2,43 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rippletrace.sources.tables import save_step as materialise
+from rippletrace.sources.tables import shared_dir
 
-#: Stand-ins for the shared folder, by application.
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the one in ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a temporary folder of this machine stands in for it.
-    """
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        app = spark.sparkContext.applicationId
-        found = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="rippletrace-")
-        _own[app] = found
-    return found
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs the tasks of the current step
-    and not the steps before it. Tables lie under a folder named after the
-    application, which can be removed when the application has ended.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["fold", "materialise", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

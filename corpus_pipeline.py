@@ -33,7 +33,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = simhash.near_duplicates(docs)
     kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
     kept = materialise(kept, "pipeline-kept")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    # A hash join over shuffled keys, whatever the size: texts needn't be sorted.
+    out = docs.join(kept.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
     if kept.where(F.col("_rows") > 1).limit(1).count():
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.where(F.col("doc_id").isNull()))
@@ -53,7 +54,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     each = rows.groupBy("doc_id", "source", "size").agg(F.round(F.avg("copies")).cast("int").alias("_times"))
     sized = docs.withColumn("_size", mixing.word_count("text")).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("e.doc_id")) & F.col("d.source").eqNullSafe(F.col("e.source")) & (F.col("_size") == F.col("e.size"))
-    taken = sized.join(each.alias("e"), same).where(F.col("_times") > 0)
+    taken = sized.join(each.where(F.col("_times") > 0).alias("e").hint("shuffle_hash"), same)
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"d.{c}") for c in docs.columns])
 
 

@@ -158,7 +158,7 @@ def line_runs(spark, sf_dir):
 # Sources
 
 
-@query("source_lines", "SELECT file_path, COUNT(*) AS n_lines, SUM(length(t)) AS n_chars FROM (SELECT file_path, unnest(string_split(regexp_replace(content, '\\n$', ''), chr(10))) AS t FROM source_files) GROUP BY 1")
+@query("source_lines", "SELECT file_path, COUNT(*) AS n_lines, CAST(SUM(length(t)) AS BIGINT) AS n_chars FROM (SELECT file_path, unnest(string_split(regexp_replace(content, '\\n$', ''), chr(10))) AS t FROM source_files) GROUP BY 1")
 def source_lines(spark, sf_dir):
     lines = T.source_lines(derive(spark, sf_dir, "source_files")[0])
     return lines.groupBy("file_path").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("text")).alias("n_chars"))

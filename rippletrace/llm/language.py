@@ -116,7 +116,8 @@ def fit_languages(
         rows = rows.where(fold("k", folds) != held_out)
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("lang", "of")
     picked = F.pmod(F.xxhash64("k", F.lit("sample")), F.lit(1 << 30)) < F.lit(float(per_language << 30)) / F.col("n")
-    sample = rows.join(sizes, F.col("lang") == F.col("of")).where(picked).select("lang", text)
+    # One row per language, of which the driver gets whole vectors further down.
+    sample = rows.join(F.broadcast(sizes), F.col("lang") == F.col("of")).where(picked).select("lang", text)
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rippletrace.llm import ann, bpe, hnsw, html, language, mixing, secrets, simhash, toxicity, url_filter
+from rippletrace.llm import ann, bpe, hnsw, html, language, mixing, oracles, secrets, simhash, toxicity, url_filter
 from rippletrace.llm.common import fold, table
 
 #: The rules of the URL query.
@@ -92,4 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_hnsw": op10_hnsw,
 }
 
-ORACLES: dict[str, str] = {}
+#: Learned models, fingerprints, token merges, parsed keys and random mixes have no SQL; tests hold them against plain versions.
+ORACLES: dict[str, str] = {
+    "op5_url_filter": oracles.url_filter_sql(URL_RULES),
+    "op10_hnsw": oracles.vector_links_sql(),
+}

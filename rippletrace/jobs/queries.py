@@ -448,7 +448,22 @@ def call_stacks(spark, sf_dir):
     return _stacks(spark, sf_dir).select("endpoint", "node", F.size("stack").alias("depth"))
 
 
-@query("call_stack_for_file")
+@_closure(
+    "call_stack_for_file",
+    """, deep AS (SELECT reg_order AS endpoint, node, 0 AS depth FROM endpoints UNION SELECT d.endpoint, c.callee, depth + 1 FROM deep d JOIN call_edges c ON c.caller = d.node WHERE depth < 12),
+    at_depth AS (SELECT endpoint, node, MIN(depth) AS depth FROM deep GROUP BY 1, 2),
+    via AS (
+        SELECT a.endpoint, a.node, c.caller, ROW_NUMBER() OVER (PARTITION BY a.endpoint, a.node ORDER BY c.ord, c.caller) AS k
+        FROM at_depth a JOIN call_edges c ON c.callee = a.node JOIN at_depth b ON b.endpoint = a.endpoint AND b.node = c.caller AND b.depth = a.depth - 1
+    ),
+    walk AS (
+        SELECT endpoint, node, CAST([] AS BIGINT[]) AS stack FROM at_depth WHERE depth = 0
+        UNION ALL
+        SELECT v.endpoint, v.node, list_append(w.stack, v.caller) FROM walk w JOIN via v ON v.endpoint = w.endpoint AND v.caller = w.node WHERE v.k = 1
+    ),
+    ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY endpoint, file_path ORDER BY len(stack), node) AS k FROM walk JOIN symbols USING (node))
+    SELECT endpoint, file_path, array_to_string(stack, '>') AS stack FROM ranked WHERE k = 1""",
+)
 def call_stack_for_file(spark, sf_dir):
     """The shortest stack with which each endpoint reaches each file."""
     rows = _stacks(spark, sf_dir).join(derive(spark, sf_dir, "symbols")[0], "node")

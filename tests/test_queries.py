@@ -1,6 +1,7 @@
 """Every query with an oracle gives the oracle's rows; the others give rows."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -18,8 +19,10 @@ def duck(sf_dir):
 
 
 def plain(frame):
+    """Rows as sorted texts; what is missing may be None, NaN or the NA of nullable columns."""
     rows = frame[sorted(frame.columns)].astype(object).to_numpy().tolist()
-    return sorted(tuple("-" if v is None or v != v else str(int(v)) if isinstance(v, float) and v == int(v) else str(v) for v in r) for r in rows)
+    missing = lambda v: v is None or v is pd.NA or v != v
+    return sorted(tuple("-" if missing(v) else str(int(v)) if isinstance(v, float) and v == int(v) else str(v) for v in r) for r in rows)
 
 
 @pytest.mark.parametrize("name", sorted(jobs.QUERIES))

@@ -13,16 +13,18 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from rippletrace.llm.common import add_columns
+
 #: Fixed value: how byte-level BPE cuts a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -209,14 +211,16 @@ def _coder(spec: str) -> SpeculativeBpe:
     return _made[key]
 
 
-def encode_texts(docs: DataFrame, vocabulary: str, text: str = "text", into: str = "token_ids", decoded: str | None = None) -> DataFrame:
+def encode_texts(
+    docs: DataFrame, vocabulary: str, text: str = "text", into: str = "token_ids", decoded: str | None = None, keep: Sequence[str] | None = None
+) -> DataFrame:
     """Add the token ids of every whole text, as binary of little-endian unsigned 32-bit integers.
 
     ``vocabulary`` is the path of a tokenizer file with a byte-level BPE model.
     The driver reads it; its content, of a fixed size, goes to the executors as
     a broadcast variable. Strings of special tokens in a text become those
     tokens. With ``decoded``, a column of that name holds the text decoded from
-    the ids.
+    the ids. With ``keep``, only those columns of the input are returned.
 
     A null or empty text has no ids and decodes to the empty text. Other columns
     pass unchanged, whatever they hold; columns named as a new one are replaced.
@@ -225,29 +229,25 @@ def encode_texts(docs: DataFrame, vocabulary: str, text: str = "text", into: str
     """
     with open(vocabulary, encoding="utf-8") as file:
         spec = docs.sparkSession.sparkContext.broadcast(file.read())
-    new = [into] + ([decoded] if decoded else [])
-    keep = [c for c in docs.columns if c not in new]
-    fields = [docs.schema[c] for c in keep] + [T.StructField(into, T.BinaryType(), False)]
+    new = [(into, T.BinaryType(), pa.binary())]
     if decoded:
-        fields.append(T.StructField(decoded, T.StringType(), False))
+        new.append((decoded, T.StringType(), pa.string()))
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         coder = _coder(spec.value)
-        for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                part = pdf.iloc[at : at + 500]
-                ids = coder.encode_batch([t if isinstance(t, str) else None for t in part[text]])
-                part = part[keep].assign(**{into: ids})
-                if decoded:
-                    part[decoded] = [coder.decode(i) for i in ids]
-                yield part
 
-    return docs.mapInPandas(work, T.StructType(fields))
+        def make(texts: list) -> list[list]:
+            ids = coder.encode_batch(texts)
+            return [ids, [coder.decode(i) for i in ids]] if decoded else [ids]
+
+        return make
+
+    return add_columns(docs, text, start, new, keep)
 
 
 def encode_digests(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: ``key``, n_tokens, and the sha256 of the ids and of the text decoded from them."""
-    coded = encode_texts(docs.select(key, text), vocabulary, text, "token_ids", "decoded_text")
+    coded = encode_texts(docs.select(key, text), vocabulary, text, "token_ids", "decoded_text", keep=[key])
     return coded.select(
         key,
         (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),

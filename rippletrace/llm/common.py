@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rippletrace.sources.tables import save_step as materialise
 from rippletrace.sources.tables import shared_dir
 
-__all__ = ["fold", "materialise", "shared_dir", "table"]
+__all__ = ["add_columns", "fold", "materialise", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -20,3 +24,35 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def fold(key_column: str, modulus: int):
     """crc32 of a key's decimal text, modulo ``modulus``; null keys count as the empty text."""
     return F.crc32(F.coalesce(F.col(key_column).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def add_columns(
+    docs: DataFrame,
+    of: str,
+    start: Callable[[], Callable[[list], Sequence[list]]],
+    new: Sequence[tuple[str, T.DataType, pa.DataType]],
+    keep: Sequence[str] | None = None,
+    rows: int = 500,
+) -> DataFrame:
+    """``docs`` with columns ``new`` (name, type, Arrow type) computed from the column ``of``.
+
+    ``start`` is called once a task and returns the function that gets the values
+    of up to ``rows`` rows and gives a list for each new column. Columns named
+    as a new one are replaced. The others, or those in ``keep``, pass as Arrow
+    arrays: pandas would turn long integers next to a null into floating point.
+    """
+    names = [n for n, _, _ in new]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(n, t) for n, t, _ in new])
+    types = [t for _, _, t in new]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = start()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                made = make(part.column(of).to_pylist())
+                arrays = [part.column(c) for c in kept] + [pa.array(v, t) for v, t in zip(made, types)]
+                yield pa.RecordBatch.from_arrays(arrays, [*kept, *names])
+
+    return docs.mapInArrow(work, schema)

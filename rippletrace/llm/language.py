@@ -8,15 +8,17 @@ further away than nearly all texts it was made from.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rippletrace.llm.common import fold, materialise
+from rippletrace.llm.common import add_columns, fold, materialise
 
 DIMS = 8192
 GRAMS = (1, 2, 3)
@@ -150,23 +152,20 @@ def fit_languages(
     return Centroids(idf, [r["lang"] for r in made], vectors, np.array([r["least"] for r in made]))
 
 
-def predict_languages(docs: DataFrame, model: Centroids, text: str = "text") -> DataFrame:
+def predict_languages(docs: DataFrame, model: Centroids, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
     """Add lang_pred, score (the cosine, 0 to 1) and rejected to every row, from its whole text.
 
     A null text, or one without a letter, is ``und`` with score 0 and rejected.
     A rejected text keeps the language that it is nearest to in lang_pred. Equal
     cosines go to the language first in order. New columns replace columns of
     their names; other columns pass unchanged. Repeated rows are judged alike;
-    an empty table gives an empty table. One pass, no shuffle.
+    an empty table gives an empty table. One pass, no shuffle. With ``keep``,
+    only those columns of the input are returned.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["lang_pred string, score double, rejected boolean"])
+    new = [("lang_pred", T.StringType(), pa.string()), ("score", T.DoubleType(), pa.float64()), ("rejected", T.BooleanType(), pa.bool_())]
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [shared.value.predict(t) for t in pdf[text]]
-            out = pdf[keep]
-            yield out.assign(lang_pred=[x[0] for x in found], score=[x[1] for x in found], rejected=[x[2] for x in found])
+    def start():
+        return lambda texts: list(zip(*map(shared.value.predict, texts)))
 
-    return docs.mapInPandas(work, schema)
+    return add_columns(docs, text, start, new, keep)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,18 +93,17 @@ def pivot(p: np.ndarray, size: np.ndarray, draws: np.random.Generator) -> np.nda
 def _level(rows: DataFrame, columns: list[str], seed: int, last: bool) -> DataFrame:
     """Round each group (source, bucket) of ``rows``; the last level also rounds what is left."""
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "tie", "key"], kind="stable", ignore_index=True)
-        ties = pdf["tie"].to_numpy()
-        draws = np.random.Generator(np.random.Philox(key=[seed, int(ties[0]) & 0x7FFFFFFFFFFFFFFF]))
-        p = pivot(pdf["p"].to_numpy(), pdf["size"].to_numpy(), draws)
+    def work(rows: pa.Table) -> pa.Table:
+        # Arrow, as pandas would turn long keys next to a null into floating point.
+        rows = rows.sort_by([(c, "ascending") for c in ("size", "tie", "key")])
+        draws = np.random.Generator(np.random.Philox(key=[seed, rows["tie"][0].as_py() & 0x7FFFFFFFFFFFFFFF]))
+        p = pivot(rows["p"].to_numpy(), rows["size"].to_numpy(), draws)
         if last:
             left = (p > 0) & (p < 1)
             p[left] = (draws.random(int(left.sum())) < p[left]).astype("float64")
-        pdf["p"] = p
-        return pdf
+        return rows.set_column(rows.column_names.index("p"), "p", pa.array(p))
 
-    return rows.groupBy("source", "bucket").applyInPandas(work, rows.select(*columns).schema)
+    return rows.groupBy("source", "bucket").applyInArrow(work, rows.select(*columns).schema)
 
 
 def mix_sources(

@@ -22,12 +22,12 @@ URL_RULES = [
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = html.extract_main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    pages = html.extract_main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"), keep=["page_id", "url"])
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan_secrets(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text")
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents", "doc_id", "text"), keep=["doc_id"])
     span = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     base = F.filter("secret_spans", lambda x: x["kind"].isin(*secrets.BASE_KINDS))
     count = lambda kind: F.size(F.filter("secret_spans", lambda x: x["kind"] == kind)).cast("long")
@@ -46,7 +46,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
-    return toxicity.score_toxicity(docs, model, into="score").select(
+    return toxicity.score_toxicity(docs, model, into="score", keep=["doc_id"]).select(
         "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
     )
 
@@ -67,7 +67,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = language.fit_languages(docs)
-    found = language.predict_languages(docs.drop("lang"), model)
+    found = language.predict_languages(docs.drop("lang"), model, keep=["doc_id"])
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 

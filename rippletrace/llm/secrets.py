@@ -13,12 +13,14 @@ import base64
 import binascii
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from rippletrace.llm.common import add_columns
+
 #: The plain patterns, in the order in which kinds are listed.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -158,16 +160,9 @@ def find_spans(text: str | None) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-SPANS = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("start", T.IntegerType(), False),
-            T.StructField("end", T.IntegerType(), False),
-            T.StructField("kind", T.StringType(), False),
-        ]
-    ),
-    False,
-)
+SPAN_FIELDS = [("start", T.IntegerType(), pa.int32()), ("end", T.IntegerType(), pa.int32()), ("kind", T.StringType(), pa.string())]
+SPANS = T.ArrayType(T.StructType([T.StructField(n, t) for n, t, _ in SPAN_FIELDS]))
+ARROW_SPANS = pa.list_(pa.struct([(n, t) for n, _, t in SPAN_FIELDS]))
 
 
 def _free(name: str, taken: list[str]) -> str:
@@ -176,14 +171,17 @@ def _free(name: str, taken: list[str]) -> str:
     return name
 
 
-def scan_secrets(docs: DataFrame, text: str = "text", into: str = "secret_spans", redact: str | None = None) -> DataFrame:
+def scan_secrets(
+    docs: DataFrame, text: str = "text", into: str = "secret_spans", redact: str | None = None, keep: Sequence[str] | None = None
+) -> DataFrame:
     """Add the secret spans of every row's whole text.
 
     Input: any table with a string column ``text``. Output: all its columns and
     ``into``, an array of (start, end, kind) in code points, end exclusive. If
     the table has a column named ``into``, the new one gets underscores at its
     end. With ``redact``, that string also replaces each span in the text,
-    overlapping spans being merged first.
+    overlapping spans being merged first. With ``keep``, only those columns of
+    the input are returned.
 
     Null and empty texts have no spans and stay as they are. Repeated rows are
     scanned each for itself; an empty table gives an empty table; other columns
@@ -191,17 +189,22 @@ def scan_secrets(docs: DataFrame, text: str = "text", into: str = "secret_spans"
     one Arrow batch of rows.
     """
     column = _free(into, docs.columns)
-    schema = T.StructType([*docs.schema.fields, T.StructField(column, SPANS, False)])
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            spans = [find_spans(t) for t in pdf[text]]
+    new = [(column, SPANS, ARROW_SPANS)]
+    if redact is not None:
+        new.append((text, docs.schema[text].dataType, pa.string()))
+
+    def start():
+        def make(texts: list) -> list[list]:
+            spans = [find_spans(t) for t in texts]
+            out = [[[{"start": a, "end": b, "kind": k} for a, b, k in s] for s in spans]]
             if redact is not None:
-                pdf[text] = [redacted(t, s, redact) if s else t for t, s in zip(pdf[text], spans)]
-            pdf[column] = [[{"start": a, "end": b, "kind": k} for a, b, k in s] for s in spans]
-            yield pdf
+                out.append([redacted(t, s, redact) if s else t for t, s in zip(texts, spans)])
+            return out
+
+        return make
 
-    return docs.mapInPandas(work, schema)
+    kept = list(docs.columns if keep is None else keep)
+    return add_columns(docs, text, start, new, kept).select(*kept, column)
 
 
 def redacted(text: str, spans: list[tuple[int, int, str]], mask: str) -> str:

@@ -16,15 +16,14 @@ can meet, so this is exact and linear.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rippletrace.llm.common import materialise
+from rippletrace.llm.common import add_columns, materialise
 from rippletrace.llm.components import connected_components
 
 PAIRS = list(itertools.combinations(range(4), 2))
@@ -51,12 +50,11 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
     """(``key``, fp) for each row; fp holds the fingerprint's bits as a signed long."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fp = np.array([fingerprint(t, words, seed) for t in pdf[text]], "uint64").view("int64")
-            yield pd.DataFrame({key: pdf[key], "fp": fp})
+    def start():
+        return lambda texts: [np.array([fingerprint(t, words, seed) for t in texts], "uint64").view("int64")]
 
-    return docs.select(F.col(key).cast("long").alias(key), text).mapInPandas(work, f"{key} long, fp long")
+    keyed = docs.select(F.col(key).cast("long").alias(key), text)
+    return add_columns(keyed, text, start, [("fp", T.LongType(), pa.int64())], [key])
 
 
 def _pair(fp: Column, i: int) -> Column:

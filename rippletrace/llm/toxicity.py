@@ -11,15 +11,17 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rippletrace.llm.common import fold, materialise
+from rippletrace.llm.common import add_columns, fold, materialise
 
 BUCKETS = 1 << 22
 PREFIXES = (4, 5)
@@ -152,26 +154,28 @@ def fit_toxicity(
     return train(terms, [np.asarray(x, "int64") for x in data["at"]], data["y"].to_numpy("float64"))
 
 
-def score_toxicity(docs: DataFrame, model: FactorizationMachine, text: str = "text", into: str = "toxicity") -> DataFrame:
+def score_toxicity(
+    docs: DataFrame, model: FactorizationMachine, text: str = "text", into: str = "toxicity", keep: Sequence[str] | None = None
+) -> DataFrame:
     """Add the score (0 to 1) of every whole text as column ``into``.
 
     A null or empty text has no terms and gets the score of the bias alone. The
     new column replaces one of that name; other columns pass unchanged, whatever
     they hold. Repeated rows score alike; an empty table gives an empty table.
     The model, of fixed size, is a broadcast variable; a task holds one batch
-    and a bounded table of words.
+    and a bounded table of words. With ``keep``, only those columns of the input
+    are returned.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c != into]
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"`{into}` double"])
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         model = shared.value
         place = {int(t): i for i, t in enumerate(model.terms)}
         known: dict[str, list[int]] = {}
-        for pdf in batches:
+
+        def make(texts: list) -> list[list]:
             rows = []
-            for t in pdf[text]:
+            for t in texts:
                 found: set[int] = set()
                 for w in set(_WORD.findall(t.lower())) if t else ():
                     at = known.get(w)
@@ -182,6 +186,8 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine, text: str = "te
                 rows.append(sorted(found))
                 if len(known) > 500_000:
                     known.clear()
-            yield pdf[keep].assign(**{into: model.scores(rows)})
+            return [model.scores(rows).tolist()]
+
+        return make
 
-    return docs.mapInPandas(work, schema)
+    return add_columns(docs, text, start, [(into, T.DoubleType(), pa.float64())], keep)

@@ -3,12 +3,16 @@
 Vectors are normalised, so that the largest cosine is the largest inner product.
 Coarse centroids cut the space into cells. A vector is kept in its cell as codes
 of its residual, one per sub-space. A query scans the cells nearest to it with
-tables of its inner products with all code words, and the best of each block
-are ranked again by the cosine of the original vectors in double precision.
+tables of its inner products with all code words. With the length of what the
+codes leave out these bound the true inner products: every row that may be among
+the best is ranked again by the cosine of the original vectors in double
+precision, so that nothing in the scanned cells is lost. Equal vectors are
+indexed once, with the smallest of their keys.
 
 How many cells a query scans is settled by an audit: for a few queries the true
 neighbours are found by brute force, and so many cells are scanned that the
-wanted share of these lies in them.
+wanted share of these lies in them. As cells are searched exactly, this is the
+recall of the whole search.
 """
 
 from __future__ import annotations
@@ -71,6 +75,11 @@ class IvfPq:
             out[:, j] = ((w**2).sum(axis=1) - 2 * (r[:, j] @ w.T)).argmin(axis=1)
         return out
 
+    def missed(self, x: np.ndarray, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The length of what is left of each row after its centroid and code words."""
+        r = (x - self.coarse[cell]).reshape(len(x), self.parts, -1)
+        return np.sqrt(sum(((r[:, j] - w[codes[:, j]]) ** 2).sum(axis=1, dtype="float64") for j, w in enumerate(self.words)))
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """For each query and part, the inner products with all code words."""
         return np.einsum("qjd,jwd->qjw", q.reshape(len(q), self.parts, -1), self.words)
@@ -136,6 +145,53 @@ def audit_probes(vectors: DataFrame, queries: DataFrame, model: IvfPq, k: int, g
     return int(np.quantile(places, goal)) + 1 if places else 1
 
 
+def smallest_keys(rows: DataFrame, most: int) -> DataFrame:
+    """(id, v): each different vector with the ``most`` smallest of its ids.
+
+    More are never asked for: ids of one vector have equal cosines, and the
+    smaller ones come first. The rows of a common vector are cut before they
+    are shuffled for it.
+    """
+    rank = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    return rows.select("id", "v").distinct().withColumn("rank", rank).where(F.col("rank") <= most).select("id", "v")
+
+
+def best_of_block(q: np.ndarray, q_id: int, near: np.ndarray, missed: np.ndarray, x: np.ndarray, norm: np.ndarray, ids: np.ndarray, owner: np.ndarray, k: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and cosines of the ``k`` nearest of a block to one query, exactly.
+
+    ``near`` are inner products by codes, off by ``missed`` at most. Row
+    owner[i] of ``x`` has the key ids[i]; rows of ``x`` are in the order of
+    ``owner``. The ``depth`` best by codes set the bar, and all rows that may
+    reach it are ranked.
+    """
+    length = np.linalg.norm(q)
+
+    def ranked(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cos = np.full(len(x), -9.0)
+        cos[rows] = np.einsum("nd,d->n", x[rows], q) / (length * norm[rows])
+        score = cos[owner]
+        score[ids == q_id] = -9
+        at = np.flatnonzero(score > -2)
+        if len(at) > 4 * k:  # those that tie with the last of the best stay; a key may be there several times
+            best = np.sort(score[at])[-4 * k]
+            if len(np.unique(ids[at[score[at] >= best]])) >= k:
+                at = at[score[at] >= best]
+        at = at[np.lexsort((ids[at], -score[at]))]
+        _, first = np.unique(ids[at], return_index=True)
+        at = at[np.sort(first)[:k]]
+        return ids[at], score[at]
+
+    if len(x) <= depth:
+        return ranked(np.arange(len(x)))
+    rows = np.argpartition(-near, depth - 1)[:depth]
+    who, score = ranked(rows)
+    if len(who) < k:
+        return ranked(np.arange(len(x)))
+    may = near + missed >= score[-1]
+    may[rows] = False
+    return ranked(np.concatenate([rows, np.flatnonzero(may)])) if may.any() else (who, score)
+
+
 def search_neighbours(
     vectors: DataFrame,
     queries: Column,
@@ -150,7 +206,8 @@ def search_neighbours(
 
     Output: query_id, rank (from 1), ``key`` and score, the cosine in double
     precision of the original vectors; nearest first, ties to the smaller key.
-    A query with fewer candidates than ``k`` gets fewer rows.
+    Only where the table has fewer candidates than ``k`` a query gets fewer rows:
+    one whose cells hold too few scans further ones.
 
     Vectors that are null, empty, zero or hold null or non-finite numbers, rows
     without a key and vectors of another length than most take no part. Rows
@@ -158,21 +215,22 @@ def search_neighbours(
     one candidate, with the largest cosine of these, and one query, with the
     first of their vectors in order. No usable query gives an empty result.
 
-    The index is fitted on a bounded sample and holds every row, in blocks of
-    about ``BLOCK_ROWS`` of one cell however large the cell is. Blocks of a cell
-    meet blocks of the queries that scan it; each pair yields ``k`` rows a query
-    out of the ``depth`` best by codes.
+    The index is fitted on a bounded sample and holds every different vector, in
+    blocks of about ``BLOCK_ROWS`` of one cell however large the cell is. Blocks
+    of a cell meet blocks of the queries that scan it; each pair yields the ``k``
+    best rows a query. The ``depth`` best by codes are ranked first, then
+    whatever may be better than the last of these.
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), queries.alias("asks")).where(usable("v") & F.col("id").isNotNull())
     d = commonest_length(rows, "v")
     rows = rows.where(F.size("v") == d)
     asked = rows.where("asks").groupBy("id").agg(F.min("v").alias("v"))
-    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("asks"), 1)).alias("q")).first()
+    counts = {"q": rows.where("asks").count()}
     result = f"query_id long, rank int, `{key}` long, score double"
     if not counts["q"]:
         return vectors.sparkSession.createDataFrame([], result)
-    rows = rows.drop("asks")
-    model = fit_index(rows, counts["n"], d, sample_rows)
+    rows = materialise(smallest_keys(rows, k + 1), "ann-keys")
+    model = fit_index(rows, rows.count(), d, sample_rows)
     probes = audit_probes(rows, asked, model, k, goal)
     shared = vectors.sparkSession.sparkContext.broadcast(model)
 
@@ -183,23 +241,35 @@ def search_neighbours(
                 x, u = unit_rows(pdf["v"])
                 cell = model.cells(u)
                 codes = model.encode(u, cell)
-                yield pd.DataFrame({"id": pdf["id"], "cell": cell.astype("int32"), "codes": [c.tobytes() for c in codes], "x": [v.tobytes() for v in x]})
+                missed = model.missed(u, cell, codes)
+                yield pd.DataFrame({"id": pdf["id"], "cell": cell.astype("int32"), "codes": [c.tobytes() for c in codes], "missed": missed, "x": [v.tobytes() for v in x]})
 
-    coded = materialise(rows.mapInPandas(code, "id long, cell int, codes binary, x binary"), "ann-coded")
+    coded = materialise(rows.mapInPandas(code, "id long, cell int, codes binary, missed double, x binary"), "ann-coded")
     sizes = coded.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))  # a row per cell
-    salted = coded.join(sizes, "cell").withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK_ROWS)))
+    salted = coded.join(sizes, "cell").withColumn("salt", F.pmod(F.xxhash64("x"), F.ceil(F.col("n") / BLOCK_ROWS)))
+    # How many keys each cell adds for certain: a key on several vectors counts in one cell.
+    homes = np.zeros(len(model.coarse), "int64")
+    for r in coded.groupBy("id").agg(F.min("cell").alias("cell")).groupBy("cell").count().collect():
+        homes[r["cell"]] = r["count"]
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "x"])
-        return pd.DataFrame({"cell": pdf["cell"].iloc[:1], "ids": [pdf["id"].to_numpy("int64").tobytes()], "codes": [b"".join(pdf["codes"])], "x": [b"".join(pdf["x"])]})
+        pdf = pdf.sort_values(["x", "id"])
+        first = ~pdf["x"].duplicated().to_numpy()
+        one = pdf[first]
+        out = {"ids": pdf["id"].to_numpy("int64"), "owner": first.cumsum() - 1, "missed": one["missed"].to_numpy("float64")}
+        return pd.DataFrame({"cell": pdf["cell"].iloc[:1], **{n: [v.tobytes()] for n, v in out.items()}, "codes": [b"".join(one["codes"])], "x": [b"".join(one["x"])]})
 
-    index = salted.select("id", "cell", "codes", "x", "salt").groupBy("cell", "salt").applyInPandas(pack, "cell int, ids binary, codes binary, x binary")
+    packed = "cell int, ids binary, owner binary, missed binary, codes binary, x binary"
+    index = salted.select("id", "cell", "codes", "missed", "x", "salt").groupBy("cell", "salt").applyInPandas(pack, packed)
 
     def pack_queries(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         x, u = unit_rows(pdf["v"])
-        near = shared.value.by_nearness(u)[:, :probes]
-        out = [(int(c), pdf["id"].to_numpy("int64")[m].tobytes(), x[m].tobytes()) for c in np.unique(near) for m in [(near == c).any(axis=1)]]
+        near = shared.value.by_nearness(u)
+        before = np.cumsum(homes[near], axis=1) - homes[near]
+        # As many cells as audited, and on until they hold k keys besides the query's.
+        scans = (np.arange(near.shape[1]) < probes) | (before <= k)
+        out = [(int(c), pdf["id"].to_numpy("int64")[m].tobytes(), x[m].tobytes()) for c in np.unique(near[scans]) for m in [((near == c) & scans).any(axis=1)]]
         return pd.DataFrame(out, columns=["cell", "q_ids", "q_x"])
 
     block = F.pmod(F.xxhash64("id"), F.lit(-(-counts["q"] // QUERY_BLOCK)))
@@ -208,24 +278,19 @@ def search_neighbours(
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for pdf in batches:
-            for ids, codes, x, q_ids, q_x, cell in zip(pdf["ids"], pdf["codes"], pdf["x"], pdf["q_ids"], pdf["q_x"], pdf["cell"]):
-                ids, q_ids = np.frombuffer(ids, "int64"), np.frombuffer(q_ids, "int64")
-                codes = np.frombuffer(codes, "uint8").reshape(len(ids), -1)
-                x, q = np.frombuffer(x, "float64").reshape(len(ids), d), np.frombuffer(q_x, "float64").reshape(len(q_ids), d)
-                qn = np.linalg.norm(q, axis=1, keepdims=True)
-                u = (q / qn).astype("float32")
+            for ids, owner, missed, codes, x, q_ids, q_x, cell in zip(*(pdf[c] for c in ("ids", "owner", "missed", "codes", "x", "q_ids", "q_x", "cell"))):
+                ids, owner, q_ids, missed = np.frombuffer(ids, "int64"), np.frombuffer(owner, "int64"), np.frombuffer(q_ids, "int64"), np.frombuffer(missed, "float64")
+                codes = np.frombuffer(codes, "uint8").reshape(len(missed), -1)
+                x, q = np.frombuffer(x, "float64").reshape(len(missed), d), np.frombuffer(q_x, "float64").reshape(len(q_ids), d)
+                norm = np.linalg.norm(x, axis=1)
+                u = (q / np.linalg.norm(q, axis=1, keepdims=True)).astype("float32")
                 tables = model.tables(u)
-                near = np.repeat((u @ model.coarse[cell])[:, None], len(ids), axis=1)
+                near = np.repeat((u @ model.coarse[cell])[:, None], len(x), axis=1)
                 for j in range(model.parts):
                     near += tables[:, j][:, codes[:, j]]
-                near[q_ids[:, None] == ids[None]] = -np.inf
-                top = np.argpartition(-near, depth - 1, axis=1)[:, :depth] if len(ids) > depth else np.broadcast_to(np.arange(len(ids)), near.shape)
-                cos = np.einsum("qd,qnd->qn", q, x[top]) / (qn * np.linalg.norm(x, axis=1)[top])
-                cos[q_ids[:, None] == ids[top]] = -9
-                best = np.lexsort((ids[top], -cos), axis=1)[:, :k] if cos.shape[1] else np.zeros((len(q), 0), int)
-                score, who = np.take_along_axis(cos, best, 1), np.take_along_axis(ids[top], best, 1)
-                keep = score > -2
-                yield pd.DataFrame({"query_id": np.repeat(q_ids, best.shape[1])[keep.ravel()], "found": who[keep], "score": score[keep]})
+                off = missed * (1 + 1e-5) + 1e-6 * (d + 1)  # what single precision may add
+                best = [best_of_block(q[i], q_ids[i], near[i], off, x, norm, ids, owner, k, depth) for i in range(len(q))]
+                yield pd.DataFrame({"query_id": np.repeat(q_ids, [len(w) for w, _ in best]), "found": np.concatenate([w for w, _ in best]), "score": np.concatenate([c for _, c in best])})
 
     met = index.join(asks, "cell")
     met = met.mapInPandas(scan, "query_id long, found long, score double").groupBy("query_id", "found").agg(F.max("score").alias("score"))

@@ -219,6 +219,42 @@ def test_neighbours_edge_rows(spark):
     assert ann.search_neighbours(rows.limit(0), F.lit(True)).count() == 0
 
 
+def nearest_by_brute_force(ids, x, i, k=5):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = {}
+    for n, c in zip(ids, np.round(u @ u[i], 12)):
+        if n != ids[i]:
+            cos[n] = max(cos.get(n, -9), c)
+    return sorted(cos, key=lambda n: (-cos[n], n))[:k]
+
+
+def test_neighbours_among_copies(spark):
+    draws = np.random.default_rng(5)
+    one, other = draws.normal(size=(2, 8))
+    x = np.concatenate([np.repeat(one[None], 1500, 0), other + draws.normal(size=(1500, 8)) * 1e-4, draws.normal(size=(1000, 8))])
+    ids = draws.permutation(len(x)).tolist()
+    asked = {ids[i]: i for i in [*range(0, 1500, 300), *range(1500, 3000, 100)]}
+    rows = spark.createDataFrame([(n, v.tolist(), n in asked) for n, v in zip(ids, x)], "vec_id long, embedding array<double>, asks boolean")
+    found = defaultdict(list)
+    for r in ann.search_neighbours(rows, F.col("asks")).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append(r["vec_id"])
+    copies = [n for n, i in asked.items() if i < 1500]
+    assert all(found[n] == nearest_by_brute_force(ids, x, asked[n]) for n in copies)
+    assert np.mean([len(set(found[n]) & set(nearest_by_brute_force(ids, x, i))) / 5 for n, i in asked.items()]) >= 0.95
+
+
+def test_neighbours_of_a_lonely_query(spark):
+    draws = np.random.default_rng(6)
+    x = np.concatenate([draws.normal(size=(400, 4)) * 0.05 + [1, 0, 0, 0], [[-1, 0.1, 0, 0], [-1, 0.1, 0.01, 0], [0, 0, -1, 0.2]]])
+    ids = list(range(len(x)))
+    rows = spark.createDataFrame([(n, v.tolist(), n >= 398) for n, v in zip(ids, x)], "vec_id long, embedding array<double>, asks boolean")
+    found = defaultdict(list)
+    for r in ann.search_neighbours(rows, F.col("asks"), goal=0.0).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append(r["vec_id"])
+    assert {n: len(found[n]) for n in range(398, 403)} == dict.fromkeys(range(398, 403), 5)
+    assert found[400][0] == 401 and found[401][0] == 400
+
+
 def plain_links(ids, labels, x, least):
     same = np.array(labels)[:, None] == np.array(labels)[None]
     near = (x @ x.T >= least) & same

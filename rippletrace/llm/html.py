@@ -183,18 +183,35 @@ def path_scores(blocks: list[Block], spread: float = 1.0) -> dict[tuple[str, ...
         s[1] += len(_PUNCTUATION.findall(b.text)) if b.linked < len(b.text) / 2 else 0
         s[2] += 1
     paths = list(sums)
-    if len(paths) > 400:  # a page of many different paths is smoothed within its own path only
-        return {p: (s[0] / s[2]) * (1 + s[1] / s[2]) for p, s in sums.items()}
-    ratio = np.array([[s[0] / s[2], 1 + s[1] / s[2]] for s in sums.values()])
-    steps = np.zeros((len(paths), len(paths)))
-    for i, p in enumerate(paths):
-        for j, q in enumerate(paths[:i]):
-            same = 0
-            while same < min(len(p), len(q)) and p[same] == q[same]:
-                same += 1
-            steps[i, j] = steps[j, i] = len(p) + len(q) - 2 * same
-    kernel = np.exp(-((steps / spread) ** 2) / 2)
-    smooth = kernel @ ratio / kernel.sum(axis=1, keepdims=True)
+    ratio = np.array([[s[0] / s[2], 1 + s[1] / s[2], 1.0] for s in sums.values()])
+    # A tree of the paths' prefixes. ``below`` sums the paths under a node by
+    # their steps from it, ``near`` all paths. Beyond ``reach`` steps a weight is
+    # less than 1e-31 of a path's own.
+    nodes: dict[tuple[int, str], int] = {}
+    parent, depth, ends = [-1], [0], []
+    for path in paths:
+        at = 0
+        for label in path:
+            child = nodes.setdefault((at, label), len(parent))
+            if child == len(parent):
+                parent.append(at)
+                depth.append(depth[at] + 1)
+            at = child
+        ends.append(at)
+    reach = int(np.ceil(12 * spread)) + 1
+    below = np.zeros((len(parent), reach, 3))
+    below[ends, 0] = ratio
+    above, order = np.array(parent), np.argsort(depth, kind="stable")
+    levels = np.split(order, np.cumsum(np.bincount(depth))[:-1])
+    for level in reversed(levels[1:]):
+        np.add.at(below[:, 1:], above[level], below[level, :-1])
+    near = below.copy()
+    for level in levels[1:]:
+        near[level, 1:] += near[above[level], :-1]
+        near[level, 2:] -= below[level, :-2]
+    kernel = np.exp(-((np.arange(reach) / spread) ** 2) / 2)
+    summed = np.einsum("t,ptc->pc", kernel, near[ends])
+    smooth = summed[:, :2] / summed[:, 2:]
     return dict(zip(paths, smooth.prod(axis=1).tolist()))
 
 

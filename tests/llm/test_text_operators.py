@@ -57,6 +57,35 @@ def test_main_text_equals_the_article(spark, sf_dir):
         assert rows[page_id]["n_chars"] == len(rows[page_id]["text"])
 
 
+def plain_scores(blocks):
+    """Path by path."""
+    sums = {}
+    for b in blocks:
+        s = sums.setdefault(html._path(b.owner), [0, 0, 0])
+        s[0], s[1], s[2] = s[0] + len(b.text), s[1] + len(re.findall("[,.;:!?]", b.text)), s[2] + 1
+    out = {}
+    for p in sums:
+        weight, total = 0.0, np.zeros(2)
+        for q, (n, marks, nodes) in sums.items():
+            same = next((i for i, (a, b) in enumerate(zip(p, q)) if a != b), min(len(p), len(q)))
+            w = np.exp(-((len(p) + len(q) - 2 * same) ** 2) / 2)
+            weight, total = weight + w, total + w * np.array([n / nodes, 1 + marks / nodes])
+        out[p] = float((total / weight).prod())
+    return out
+
+
+@pytest.mark.parametrize("n", [5, 450])
+def test_paths_are_smoothed_at_every_size(n):
+    draws = random.Random(n)
+    words = lambda: "Some words, said. " * draws.randrange(1, 9)
+    page = "".join(f"<div class=c{i}>{words()}<p class=p{i % 7}>{words()}</p><section><p>{words()}</p></section></div>" for i in range(n))
+    blocks = html.blocks_of(f"<body><div>{page}</div></body>")
+    expected = plain_scores(blocks)
+    found = html.path_scores(blocks)
+    assert len(expected) == 3 * n and found.keys() == expected.keys()
+    assert all(found[p] == pytest.approx(expected[p], rel=1e-9) for p in expected)
+
+
 def test_main_text_keeps_other_columns(spark):
     rows = spark.createDataFrame([(1, "<p>x y</p>", "old"), (1, "<p>x y</p>", "old"), (None, None, None)], "page_id long, html string, text string")
     found = html.extract_main_text(rows).collect()

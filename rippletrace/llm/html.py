@@ -4,8 +4,9 @@ Every text node hangs on a path of tags from the root. For each path the length
 of text and the punctuation of its nodes are summed, relative to the number of
 nodes; both ratios are smoothed over paths that are near in the tree, multiplied
 and held against a threshold. The nodes of paths above it are the seeds of the
-content, and the smallest element that holds nearly all of their text is the
-article; elements that serve another purpose are left out of it.
+content, and the smallest element that holds all of them is the article, with
+headings that stand before it in the same parent and what is between; elements
+that serve another purpose are left out of it.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ RAW = frozenset("script style textarea title noscript template iframe xmp noembe
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Not part of an article, wherever they stand.
 AWAY = frozenset("nav footer aside form button select option dialog menu svg canvas object audio video map head fieldset".split()) | RAW
 ENDS_P = frozenset(
@@ -215,7 +217,7 @@ def path_scores(blocks: list[Block], spread: float = 1.0) -> dict[tuple[str, ...
     return dict(zip(paths, smooth.prod(axis=1).tolist()))
 
 
-def main_text(source: str | None, threshold: float = 0.3, cover: float = 0.9) -> str:
+def main_text(source: str | None, threshold: float = 0.3) -> str:
     """The article of a page: its blocks joined by newlines; empty if there is none."""
     blocks = blocks_of(source) if source else []
     if not blocks:
@@ -225,16 +227,15 @@ def main_text(source: str | None, threshold: float = 0.3, cover: float = 0.9) ->
     said = any(b.owner.article for b in blocks)
     at_least = threshold * max(scores[_path(b.owner)] for b in blocks if b.owner.article or not said)
     seeds = [b for b in blocks if scores[_path(b.owner)] >= at_least and (b.owner.article or not said)]
-    mass = {id(b): len(b.text) - b.linked for b in seeds}
-    total, held, element = sum(mass.values()), {}, {}
-    for b in seeds:
-        e = b.owner
-        while e is not None:
-            held[id(e)] = held.get(id(e), 0) + mass[id(b)]
-            element[id(e)] = e
-            e = e.parent
-    inside = max((e for k, e in element.items() if held[k] >= cover * total), key=lambda e: e.depth)
-    if inside.tag in INLINE | {"p", "h1", "h2", "h3", "h4", "h5", "h6"} and inside.parent is not None:
+    inside = seeds[0].owner
+    for b in seeds[1:]:
+        other = b.owner
+        while other is not inside:
+            if other.depth >= inside.depth:
+                other = other.parent
+            else:
+                inside = inside.parent
+    if inside.tag in INLINE | {"p"} | HEADINGS and inside.parent is not None:
         inside = inside.parent
     while inside.article and inside.parent is not None and inside.parent.article and inside.parent.tag != "main":
         inside = inside.parent
@@ -245,7 +246,15 @@ def main_text(source: str | None, threshold: float = 0.3, cover: float = 0.9) ->
         return e is not None
 
     # In a marked article all that is left is content; elsewhere a block of links isn't.
-    return "\n".join(b.text for b in blocks if within(b.owner) and (inside.article or b in seeds or b.linked < len(b.text) / 2))
+    chosen, kept = {id(b) for b in seeds}, [within(b.owner) for b in blocks]
+    prose = [inside.article or id(b) in chosen or b.linked < len(b.text) / 2 for b in blocks]
+    if not inside.article and inside.tag != "body":
+        # A title above the element, and what stands between the two.
+        first = kept.index(True)
+        titles = [i for i, b in enumerate(blocks[:first]) if b.owner.tag in HEADINGS and b.owner.parent is inside.parent]
+        for i in range(titles[0], first) if titles else ():
+            kept[i] = True
+    return "\n".join(b.text for b, k, p in zip(blocks, kept, prose) if k and p)
 
 
 def extract_main_text(pages: DataFrame, source: str = "html", into: str = "text", keep: Sequence[str] | None = None) -> DataFrame:

@@ -57,6 +57,26 @@ def test_main_text_equals_the_article(spark, sf_dir):
         assert rows[page_id]["n_chars"] == len(rows[page_id]["text"])
 
 
+BODY = "".join(f"<p>{'A sentence of the body, with commas, and more. ' * 12}{i}</p>" for i in range(8))
+LEAD = "This lead says, at some length, what follows; it is prose, too. " * 6
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class=c><h1>Title</h1><p>{LEAD}</p><div class=body>{BODY}</div></div>",
+        f"<div class=c><h1>Title</h1><p>Short lead.</p><div class=body>{BODY}</div></div>",
+        f"<div class=c><div><h2>One</h2><p>{LEAD}</p></div><div><h2>Two</h2>{BODY}{BODY}</div><div><h2>Three</h2><p>{LEAD}</p></div></div>",
+        f"<div class=c><p>{LEAD}</p><blockquote>{BODY}{BODY}</blockquote><p>{LEAD}</p></div>",
+    ],
+)
+def test_main_text_beside_a_dominant_element(page):
+    import html as std
+
+    expected = [" ".join(std.unescape(x).split()) for x in re.split("<[^>]*>", page)]
+    assert html.main_text(f"<body><div class=nav><a href=/>Home</a></div>{page}<footer>Imprint, and so on.</footer></body>") == "\n".join(x for x in expected if x)
+
+
 def plain_scores(blocks):
     """Path by path."""
     sums = {}

@@ -10,7 +10,8 @@ Only what parses is added; the spans of the plain patterns always stay.
 from __future__ import annotations
 
 import base64
-import binascii
+import bisect
+import itertools
 import json
 import re
 from collections.abc import Sequence
@@ -39,8 +40,12 @@ _HEX = re.compile(r"[0-9a-f]{%d,}" % LEAST["hex"])
 _HINTS = ("passw", "secret", "token", "api")
 
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{16,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]{16,})(?![A-Za-z0-9_-])")
-# Base64 may be wrapped into lines; the lines of a run have to be long.
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/=])(?:[A-Za-z0-9+/]{40,}\r?\n)*[A-Za-z0-9+/]{40,}(?:\r?\n[A-Za-z0-9+/]{4,})?={0,2}")
+# Base64 may be wrapped into lines, also by an escaped line break as in JSON
+# strings; the lines of a run have to be long, but for the last. The letter of an
+# escape before a run isn't part of it.
+_WRAP = r"(?:(?:\r?\n|(?:\\+r)?\\+n)[ \t]*)"
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?:(?<=\\)[nrt])?((?:[A-Za-z0-9+/]{40,}%s)*[A-Za-z0-9+/]{40,}(?:%s[A-Za-z0-9+/]+)?)={0,2}" % (_WRAP, _WRAP))
+_LINE = re.compile(r"((?:\\+r)?\\+n|\s)+|[A-Za-z0-9+/]+")
 _HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 
 
@@ -84,25 +89,29 @@ def is_der_key(data: bytes) -> bool:
     return bool(inner and inner[0] == 0x06 and children[1][0] in (0x03, 0x04))
 
 
-def is_openssh_key(data: bytes) -> bool:
-    """The container of private SSH keys: its magic, then four length-prefixed fields."""
+def _openssh_end(data: bytes) -> int | None:
+    """Where the container of private SSH keys ends: its magic, then four length-prefixed fields."""
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
-        return False
+        return None
     at = len(magic)
     for i in range(5):
         if at + 4 > len(data):
-            return False
+            return None
         n = int.from_bytes(data[at : at + 4], "big")
         at += 4
         if i == 3:  # the number of keys
             if n < 1:
-                return False
+                return None
             continue
         if at + n > len(data):
-            return False
+            return None
         at += n
-    return True
+    return at
+
+
+def is_openssh_key(data: bytes) -> bool:
+    return _openssh_end(data) is not None
 
 
 def is_signed_token(header: str, payload: str) -> bool:
@@ -119,6 +128,44 @@ def _confirmed(data: bytes) -> str | None:
     return "der" if is_der_key(data) else "openssh" if is_openssh_key(data) else None
 
 
+def _wrapped_keys(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
+    """Spans of the keys in a run of base64 lines without padding, from a line's start to a line's end.
+
+    The outer length says how many letters a key has, so that it ends with the
+    line in which these are reached, whatever the next line holds.
+    """
+    found, lines = [], [m.span() for m in _LINE.finditer(text, start, end) if m[1] is None]
+    letters = "".join(text[a:b] for a, b in lines)
+    ends = list(itertools.accumulate(b - a for a, b in lines))
+    i = 0
+    while i < len(lines):
+        at = ends[i] - (lines[i][1] - lines[i][0])
+        i += 1
+        if letters[at] == "M":
+            top = _der(base64.b64decode(letters[at : at + 8]), 0, 1 << 40) if at + 8 <= len(letters) else None
+            size = top[2] if top and top[0] == 0x30 else None
+        elif letters.startswith("b3BlbnNzaC1rZXktdjEA", at):
+            whole = letters[at : len(letters) - (len(letters) - at) % 4]
+            rest = letters[at + len(whole) :]
+            size = _openssh_end(base64.b64decode(whole) + (base64.b64decode(rest + "=" * (4 - len(rest))) if len(rest) > 1 else b""))
+        else:
+            continue
+        if size is None or -(-size * 4 // 3) > len(letters) - at:
+            continue
+        last = bisect.bisect_left(ends, at - (-size * 4 // 3))
+        raw = letters[at : ends[last]]
+        if len(raw) % 4 == 1:
+            continue
+        kind = _confirmed(base64.b64decode(raw + "=" * (-len(raw) % 4)))
+        if kind:
+            stop = lines[last][1]
+            while stop < len(text) and text[stop] == "=" and stop < lines[last][1] + 2:
+                stop += 1
+            found.append((lines[i - 1][0], stop, kind))
+            i = last + 1
+    return found
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans of the plain patterns, as (start, end, kind)."""
     found = []
@@ -138,13 +185,7 @@ def structural_spans(text: str) -> list[tuple[int, int, str]]:
         if is_signed_token(m[1], m[2]):
             found.append((m.start(), m.end(), "jwt"))
     for m in _BASE64.finditer(text):
-        raw = re.sub(r"\s", "", m[0]).rstrip("=")
-        try:
-            kind = _confirmed(base64.b64decode(raw + "=" * (-len(raw) % 4)))
-        except (binascii.Error, ValueError):
-            continue
-        if kind:
-            found.append((m.start(), m.end(), kind))
+        found += _wrapped_keys(text, *m.span(1))
     for m in _HEX_ANY.finditer(text):
         kind = _confirmed(bytes.fromhex(m[0]))
         if kind:

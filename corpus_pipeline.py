@@ -48,13 +48,11 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it, which may be never."""
-    rows = mixing.mix_sources(docs)
-    # Rows that share a key, a source and a size are as good as each other, and
-    # each gets the mean of their copies. Commonly there is one.
-    each = rows.groupBy("doc_id", "source", "size").agg(F.round(F.avg("copies")).cast("int").alias("_times"))
-    sized = docs.withColumn("_size", mixing.word_count("text")).alias("d")
-    same = F.col("d.doc_id").eqNullSafe(F.col("e.doc_id")) & F.col("d.source").eqNullSafe(F.col("e.source")) & (F.col("_size") == F.col("e.size"))
-    taken = sized.join(each.where(F.col("_times") > 0).alias("e").hint("shuffle_hash"), same)
+    # Rows may share all that they hold; a number written with them tells them apart.
+    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-numbered")
+    times = mixing.mix_sources(numbered, row="_row").select("_row", F.col("copies").cast("int").alias("_times"))
+    # A hash join over shuffled keys, whatever the size: texts needn't be sorted.
+    taken = numbered.alias("d").join(times.where(F.col("_times") > 0).hint("shuffle_hash"), "_row")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"d.{c}") for c in docs.columns])
 
 

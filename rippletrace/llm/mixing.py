@@ -90,12 +90,24 @@ def pivot(p: np.ndarray, size: np.ndarray, draws: np.random.Generator) -> np.nda
     return p
 
 
+def _numbered(sizes: DataFrame, run: int = 4096) -> DataFrame:
+    """``sizes`` with a number ``row`` that tells equal rows apart, in whatever order.
+
+    They are counted and written out again, in runs that are spread over tasks.
+    """
+    runs = sizes.groupBy("key", "source", "size").agg(F.count(F.lit(1)).alias("n"))
+    # Runs of a common key leave its task before they become rows.
+    runs = runs.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {run}")))).repartition("key", "source", "size", "run")
+    upto = F.least(F.col("n"), (F.col("run") + 1) * run) - 1
+    return runs.select("key", "source", "size", F.explode(F.sequence(F.col("run") * run, upto)).alias("row"))
+
+
 def _level(rows: DataFrame, columns: list[str], seed: int, last: bool) -> DataFrame:
     """Round each group (source, bucket) of ``rows``; the last level also rounds what is left."""
 
     def work(rows: pa.Table) -> pa.Table:
         # Arrow, as pandas would turn long keys next to a null into floating point.
-        rows = rows.sort_by([(c, "ascending") for c in ("size", "tie", "key")])
+        rows = rows.sort_by([(c, "ascending") for c in ("size", "tie", "key", "row")])
         draws = np.random.Generator(np.random.Philox(key=[seed, rows["tie"][0].as_py() & 0x7FFFFFFFFFFFFFFF]))
         p = pivot(rows["p"].to_numpy(), rows["size"].to_numpy(), draws)
         if last:
@@ -117,12 +129,14 @@ def mix_sources(
     text: str = "text",
     leaf_rows: int = LEAF_ROWS,
     fan_in: int = FAN_IN,
+    row: str | None = None,
 ) -> DataFrame:
     """Copies of each document such that sources reach their target words.
 
     Output: one row per input row with ``key``, source, size (words),
     source_size, target (words, of its source), copies (whole) and taken =
-    copies * size. Copies never exceed the whole number at or above ``most``.
+    copies * size. With ``row``, a column of numbers that are different for all
+    rows, that one too. Copies never exceed the whole number at or above ``most``.
 
     Nulls: a null text has size 0; a null source is a source of its own, last;
     a null key is allowed. Rows of size 0 get the whole part of their expected
@@ -131,26 +145,29 @@ def mix_sources(
     the input aren't read. The result depends on the rows and ``seed`` only,
     not on how they are partitioned.
 
-    Text is read once; what is shuffled is (key, source, size). Groups hold
-    about ``leaf_rows`` rows whatever the size of a source, and each level of
+    Text is read once; what is shuffled is (key, source, size, row). Without
+    ``row``, equal rows are counted and numbered, so that rows which share a key
+    are dealt to many groups as others are. Groups hold about ``leaf_rows`` rows whatever the size of a source, and each level of
     the tree has ``fan_in`` times fewer rows than the one below.
     """
-    base = docs.select(F.col(key).cast("long").alias("key"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"))
+    extra = [] if row is None else [F.col(row).cast("long").alias("row")]
+    base = docs.select(F.col(key).cast("long").alias("key"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"), *extra)
     sizes = materialise(base, "mix-sizes")
     targets = materialise(source_targets(sizes, weights, share, most), "mix-targets")
     depth_rows = targets.agg(F.max("rows")).first()[0] or 0
     # Null-safe, and one row per source; Spark weighs its size before broadcasting it.
     t = targets.withColumnRenamed("source", "of")
+    each = sizes if row is not None else _numbered(sizes)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = (
-        sizes.join(t, sizes["source"].eqNullSafe(t["of"]))
+        each.join(t, each["source"].eqNullSafe(t["of"]))
         .drop("of")
         .withColumn("whole", F.floor(rate))
         .withColumn("p", F.when(F.col("size") > 0, rate - F.floor(rate)).otherwise(F.lit(0.0)))
-        .withColumn("tie", F.xxhash64(F.col("key"), F.lit(seed)))
+        .withColumn("tie", F.xxhash64("key", "size", "row", F.lit(seed)))
         .withColumn("leaves", F.ceil(F.col("rows") / leaf_rows))
         .withColumn("bucket", F.pmod(F.shiftright("tie", 16), F.col("leaves")))
-        .select("key", "source", "size", "source_size", "target", "whole", "p", "tie", "bucket")
+        .select("key", "source", "size", "source_size", "target", "whole", "p", "tie", "bucket", "row")
     )
     columns = rows.columns
     leaves = -(-depth_rows // leaf_rows)
@@ -170,5 +187,6 @@ def mix_sources(
         out = out.unionByName(more)
     copies = (F.col("whole") + F.round("p")).cast("long")
     return out.select(
+        *([] if row is None else [F.col("row").alias(row)]),
         F.col("key").alias(key), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )

@@ -89,6 +89,35 @@ def test_mix_of_odd_rows(spark):
     assert mixing.mix_sources(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_rows_with_one_key_are_rounded_one_by_one(spark, monkeypatch, key):
+    docs = spark.range(3000).select(F.lit(key).cast("long").alias("doc_id"), (F.col("id") % 3 > 0).cast("string").alias("source"), F.lit("a b c").alias("text"))
+    groups = []
+    level = mixing._level
+
+    def seen(rows, *more):
+        groups.append(rows.groupBy("source", "bucket").count().agg(F.max("count")).first()[0])
+        return level(rows, *more)
+
+    monkeypatch.setattr(mixing, "_level", seen)
+    rows = mixing.mix_sources(docs, leaf_rows=50, fan_in=4).collect()
+    assert len(rows) == 3000 and max(groups) <= 150
+    for source in ("true", "false"):
+        ours = [r for r in rows if r["source"] == source]
+        assert abs(sum(r["taken"] for r in ours) - ours[0]["target"]) <= 3
+
+
+@pytest.mark.parametrize("key", [None, 7])
+def test_mix_stage_keeps_targets_of_rows_with_one_key(spark, sf_dir, key):
+    import corpus_pipeline as pipeline
+
+    docs = spark.range(900).select(F.lit(key).cast("long").alias("doc_id"), F.concat(F.lit("a b "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(5).cast("long").alias("n_chars"))
+    docs = docs.unionByName(docs.withColumn("source", F.lit("t"))).unionByName(docs.withColumn("source", F.lit("u")))
+    got = {r["source"]: r["count"] for r in pipeline.mix(spark, docs, sf_dir).groupBy("source").count().collect()}
+    targets = plain_targets(dict.fromkeys("stu", 2700), (5, 2, 1), 1.5, 2)
+    assert all(abs(got.get(s, 0) * 3 - targets[s]) <= 3 for s in targets), (got, targets)
+
+
 # URLs
 
 

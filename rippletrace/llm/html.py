@@ -2,11 +2,14 @@
 
 Every text node hangs on a path of tags from the root. For each path the length
 of text and the punctuation of its nodes are summed, relative to the number of
-nodes; both ratios are smoothed over paths that are near in the tree, multiplied
-and held against a threshold. The nodes of paths above it are the seeds of the
-content, and the smallest element that holds all of them is the article, with
-headings that stand before it in the same parent and what is between; elements
-that serve another purpose are left out of it.
+nodes; both ratios are smoothed over paths that are near in the tree, fused with
+what tags and classes say about the path, and held against a threshold. The
+nodes of paths above it are the seeds of the content. The article is the
+smallest element that holds all of them; other paths in it are kept or dropped
+by a second, weaker threshold on their own ratio.
+
+All steps are linear in the page: elements and paths are numbers, and no step
+walks up the tree again for each node.
 """
 
 from __future__ import annotations
@@ -14,7 +17,6 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Sequence
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -50,24 +52,42 @@ _ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style|itempro
 _PUNCTUATION = re.compile(r"[,.;:!?…、。，！？¿¡]")
 
 
-@dataclass
-class Element:
-    tag: str
-    parent: Element | None
-    away: bool
-    article: bool
-    label: str
-    depth: int
+class Block:
+    """Text without a block boundary inside, the number of its element and of its path."""
+
+    __slots__ = ("owner", "path", "parts", "linked", "text")
 
+    def __init__(self, owner: int, path: int) -> None:
+        self.owner, self.path, self.parts, self.linked, self.text = owner, path, [], 0, ""
 
-@dataclass
-class Block:
-    """Text without a block boundary inside, and the element that it stands in."""
 
-    owner: Element
-    parts: list[str] = field(default_factory=list)
-    linked: int = 0
-    text: str = ""
+class Page:
+    """The elements of a page, its tag paths and its blocks of text.
+
+    Elements and paths are numbered, parents before children; 0 is the root.
+    An element's label is its tag with its classes, and a path is known by its
+    parent, its label and what it is marked as.
+    """
+
+    def __init__(self) -> None:
+        self.parent, self.path, self.tag = [-1], [0], ["#"]  # of elements
+        self.above, self.depth, self.away, self.article = [-1], [0], [False], [False]  # of paths
+        self.blocks: list[Block] = []
+        self._known: dict[tuple, int] = {}
+
+    def add(self, parent: int, tag: str, label: str, away: bool, article: bool) -> int:
+        above = self.path[parent]
+        away, article = away or self.away[above], article or self.article[above]
+        path = self._known.setdefault((above, label, away, article), len(self.above))
+        if path == len(self.above):
+            self.above.append(above)
+            self.depth.append(self.depth[above] + 1)
+            self.away.append(away)
+            self.article.append(article)
+        self.parent.append(parent)
+        self.path.append(path)
+        self.tag.append(tag)
+        return len(self.parent) - 1
 
 
 def _attributes(raw: str) -> tuple[bool, bool, str]:
@@ -87,31 +107,55 @@ def _attributes(raw: str) -> tuple[bool, bool, str]:
     return away, article and not away, label
 
 
-def blocks_of(source: str) -> list[Block]:
-    """Blocks of a page in order, without those that stand in elements of another purpose.
+class _Open:
+    """The elements that are open, and where in the stack those of each tag are."""
+
+    def __init__(self) -> None:
+        self.stack, self.at, self.scopes = [0], {}, [0]
+
+    def push(self, element: int, tag: str) -> None:
+        self.at.setdefault(tag, []).append(len(self.stack))
+        if tag in SCOPE:
+            self.scopes.append(len(self.stack))
+        self.stack.append(element)
+
+    def last(self, *tags: str) -> int:
+        """Where the innermost element of ``tags`` is; 0 if none is open."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def close(self, position: int, page: Page) -> None:
+        """End the element there and all inside it."""
+        while len(self.stack) > max(position, 1):
+            tag = page.tag[self.stack.pop()]
+            self.at[tag].pop()
+            if tag in SCOPE:
+                self.scopes.pop()
+
+
+def parse(source: str) -> Page:
+    """A page's elements, paths and blocks in order.
 
     Unclosed and misnested elements are taken as browsers do in the common
     cases: a block ends an open paragraph, an item its predecessor, and an end
     tag what is open inside its element. Inline elements are no part of paths.
     """
-    root = Element("#", None, False, False, "", 0)
-    here, blocks, current, links, at, n = root, [], None, 0, 0, len(source)
+    page, open_, current, links, at, n = Page(), _Open(), None, 0, 0, len(source)
 
     def add(data: str) -> None:
         nonlocal current
-        if here.away or not data:
+        if not data:
             return
         if current is None:
             if data.isspace():
                 return
-            current = Block(here)
-            blocks.append(current)
+            current = Block(open_.stack[-1], page.path[open_.stack[-1]])
+            page.blocks.append(current)
         text = html.unescape(data)
         current.parts.append(text)
         if links:
             current.linked += len(text)
 
-    for m in iter(lambda: _MARK.search(source, at), None):
+    while m := _MARK.search(source, at):
         add(source[at : m.start()])
         at = m.end()
         name = m[2] or m[5]
@@ -126,85 +170,63 @@ def blocks_of(source: str) -> list[Block]:
             continue
         current = None
         if ending:
-            found = here
-            while found is not None and found.tag != tag:
-                found = found.parent
-            if found is not None and found.parent is not None:
-                here = found.parent
+            if open_.at.get(tag):
+                open_.close(open_.at[tag][-1], page)
             continue
         attributes = (m[3] if m[2] else m[6]) or ""
-        if tag in ENDS_P and here.tag == "p":
-            here = here.parent
+        if tag in ENDS_P and page.tag[open_.stack[-1]] == "p":
+            open_.close(len(open_.stack) - 1, page)
         if tag in ENDS_OWN:
-            found = here
-            while found.tag not in ENDS_OWN[tag] and found.tag not in SCOPE and found.parent is not None:
-                found = found.parent
-            if found.tag in ENDS_OWN[tag]:
-                here = found.parent
-                if tag == "tr" and here.tag == "tr":
-                    here = here.parent
-        if tag == "body" and here.tag == "head":
-            here = here.parent
+            own = open_.last(*ENDS_OWN[tag])
+            if own and own >= open_.scopes[-1]:
+                open_.close(own, page)
+                if tag == "tr" and page.tag[open_.stack[-1]] == "tr":
+                    open_.close(len(open_.stack) - 1, page)
+        if tag == "body" and page.tag[open_.stack[-1]] == "head":
+            open_.close(len(open_.stack) - 1, page)
         if tag in VOID:
             continue
-        away, article, label = _attributes(attributes) if attributes else (False, False, "")
-        in_article = here.article
-        # A page's header isn't the article's; an article's own header holds its title.
-        other = tag in AWAY or away or (tag == "header" and not in_article)
-        if tag in ("html", "body"):
-            other = False
-        here = Element(tag, here, here.away or other, in_article or article or tag in ("article", "main"), tag + label, here.depth + 1)
+        here = open_.stack[-1]
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
             at = end.start() if end else n
+            continue
+        away, article, label = _attributes(attributes) if attributes else (False, False, "")
+        # A page's header isn't the article's; an article's own header holds its title.
+        away |= tag in AWAY or (tag == "header" and not page.article[page.path[here]])
+        open_.push(page.add(here, tag, tag + label, away and tag not in ("html", "body"), article or tag in ("article", "main")), tag)
     add(source[at:])
-    for b in blocks:
+    for b in page.blocks:
         b.text = " ".join("".join(b.parts).split())
-    return [b for b in blocks if b.text]
+    page.blocks = [b for b in page.blocks if b.text]
+    return page
 
 
-def _path(e: Element | None) -> tuple[str, ...]:
-    out = []
-    while e is not None and e.parent is not None:
-        out.append(e.label)
-        e = e.parent
-    return tuple(reversed(out))
-
-
-def path_scores(blocks: list[Block], spread: float = 1.0) -> dict[tuple[str, ...], float]:
-    """The fused ratio of each tag path.
+def path_scores(page: Page, spread: float = 1.0) -> dict[int, float]:
+    """The fused ratio of each tag path that has text.
 
     Per path: characters outside links per node, and punctuation per node. Each
     is smoothed over paths with weights that fall with the number of steps
-    between two paths in the tree, and the two are multiplied.
+    between two paths in the tree. A path's own ratios and the smoothed ones are
+    multiplied, the geometric mean of the two products is the score, and that
+    is 0 where tags or classes say that the path serves another purpose.
     """
-    sums: dict[tuple[str, ...], list[float]] = {}
-    for b in blocks:
-        s = sums.setdefault(_path(b.owner), [0.0, 0.0, 0.0])
+    sums: dict[int, list[float]] = {}
+    for b in page.blocks:
+        s = sums.setdefault(b.path, [0.0, 0.0, 0.0])
         s[0] += max(len(b.text) - b.linked, 0)
         s[1] += len(_PUNCTUATION.findall(b.text)) if b.linked < len(b.text) / 2 else 0
         s[2] += 1
-    paths = list(sums)
-    ratio = np.array([[s[0] / s[2], 1 + s[1] / s[2], 1.0] for s in sums.values()])
-    # A tree of the paths' prefixes. ``below`` sums the paths under a node by
-    # their steps from it, ``near`` all paths. Beyond ``reach`` steps a weight is
-    # less than 1e-31 of a path's own.
-    nodes: dict[tuple[int, str], int] = {}
-    parent, depth, ends = [-1], [0], []
-    for path in paths:
-        at = 0
-        for label in path:
-            child = nodes.setdefault((at, label), len(parent))
-            if child == len(parent):
-                parent.append(at)
-                depth.append(depth[at] + 1)
-            at = child
-        ends.append(at)
-    reach = int(np.ceil(12 * spread)) + 1
-    below = np.zeros((len(parent), reach, 3))
+    ends = np.fromiter(sums, "int64", len(sums))
+    # Two nodes without text are added to each path: a path of a single node tells little.
+    ratio = np.array([[s[0] / (s[2] + 2), 1 + s[1] / (s[2] + 2), 1.0] for s in sums.values()])
+    # ``below`` sums the paths under a node by their steps from it, ``near`` all
+    # paths. Beyond ``reach`` steps a weight is less than 1e-13 of a path's own.
+    above, depth = np.array(page.above), np.array(page.depth)
+    reach = int(np.ceil(8 * spread)) + 1
+    below = np.zeros((len(above), reach, 3))
     below[ends, 0] = ratio
-    above, order = np.array(parent), np.argsort(depth, kind="stable")
-    levels = np.split(order, np.cumsum(np.bincount(depth))[:-1])
+    levels = np.split(np.argsort(depth, kind="stable"), np.cumsum(np.bincount(depth))[:-1])
     for level in reversed(levels[1:]):
         np.add.at(below[:, 1:], above[level], below[level, :-1])
     near = below.copy()
@@ -214,47 +236,54 @@ def path_scores(blocks: list[Block], spread: float = 1.0) -> dict[tuple[str, ...
     kernel = np.exp(-((np.arange(reach) / spread) ** 2) / 2)
     summed = np.einsum("t,ptc->pc", kernel, near[ends])
     smooth = summed[:, :2] / summed[:, 2:]
-    return dict(zip(paths, smooth.prod(axis=1).tolist()))
+    fused = np.sqrt(smooth.prod(axis=1) * ratio.prod(axis=1))
+    return {p: 0.0 if page.away[p] else s for p, s in zip(sums, fused.tolist())}
+
+
+def prose_paths(page: Page, least: float = 0.5) -> set[int]:
+    """Paths with the share ``least`` of their characters outside links; any path in a marked article, as links are part of it."""
+    sums: dict[int, list[int]] = {}
+    for b in page.blocks:
+        s = sums.setdefault(b.path, [0, 0])
+        s[0] += max(len(b.text) - b.linked, 0)
+        s[1] += len(b.text)
+    return {p for p, (free, all_) in sums.items() if not page.away[p] and (page.article[p] or free > least * all_)}
 
 
 def main_text(source: str | None, threshold: float = 0.3) -> str:
     """The article of a page: its blocks joined by newlines; empty if there is none."""
-    blocks = blocks_of(source) if source else []
-    if not blocks:
+    page = parse(source) if source else None
+    if not page or not page.blocks:
+        return ""
+    scores = path_scores(page)
+    best = max(scores.values())
+    if best <= 0:
         return ""
-    scores = path_scores(blocks)
-    # An element said to be the article counts for more than one that isn't.
-    said = any(b.owner.article for b in blocks)
-    at_least = threshold * max(scores[_path(b.owner)] for b in blocks if b.owner.article or not said)
-    seeds = [b for b in blocks if scores[_path(b.owner)] >= at_least and (b.owner.article or not said)]
-    inside = seeds[0].owner
-    for b in seeds[1:]:
-        other = b.owner
-        while other is not inside:
-            if other.depth >= inside.depth:
-                other = other.parent
-            else:
-                inside = inside.parent
-    if inside.tag in INLINE | {"p"} | HEADINGS and inside.parent is not None:
-        inside = inside.parent
-    while inside.article and inside.parent is not None and inside.parent.article and inside.parent.tag != "main":
-        inside = inside.parent
-
-    def within(e: Element | None) -> bool:
-        while e is not None and e is not inside:
-            e = e.parent
-        return e is not None
-
-    # In a marked article all that is left is content; elsewhere a block of links isn't.
-    chosen, kept = {id(b) for b in seeds}, [within(b.owner) for b in blocks]
-    prose = [inside.article or id(b) in chosen or b.linked < len(b.text) / 2 for b in blocks]
-    if not inside.article and inside.tag != "body":
+    seed = {p for p, s in scores.items() if s >= threshold * best}
+    # The deepest element that holds all seeds: children have larger numbers.
+    held = [0] * len(page.parent)
+    for b in page.blocks:
+        held[b.owner] += b.path in seed
+    total = sum(held)
+    for e in range(len(held) - 1, 0, -1):
+        held[page.parent[e]] += held[e]
+    inside = max(e for e, n in enumerate(held) if n == total)
+    if page.tag[inside] == "p" or page.tag[inside] in HEADINGS:
+        inside = page.parent[inside]
+    while page.article[page.path[inside]] and page.article[page.path[page.parent[inside]]] and page.tag[page.parent[inside]] != "main":
+        inside = page.parent[inside]
+    within = [False] * len(page.parent)
+    for e in range(inside, len(within)):
+        within[e] = e == inside or within[page.parent[e]]
+    content = seed | prose_paths(page)
+    kept = [within[b.owner] and b.path in content for b in page.blocks]
+    if page.tag[inside] not in ("#", "html", "body") and not page.article[page.path[inside]]:
         # A title above the element, and what stands between the two.
         first = kept.index(True)
-        titles = [i for i, b in enumerate(blocks[:first]) if b.owner.tag in HEADINGS and b.owner.parent is inside.parent]
+        titles = [i for i, b in enumerate(page.blocks[:first]) if page.tag[b.owner] in HEADINGS and page.parent[b.owner] == page.parent[inside]]
         for i in range(titles[0], first) if titles else ():
-            kept[i] = True
-    return "\n".join(b.text for b, k, p in zip(blocks, kept, prose) if k and p)
+            kept[i] = page.blocks[i].path in content
+    return "\n".join(b.text for b, k in zip(page.blocks, kept) if k)
 
 
 def extract_main_text(pages: DataFrame, source: str = "html", into: str = "text", keep: Sequence[str] | None = None) -> DataFrame:

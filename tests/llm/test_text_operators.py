@@ -5,6 +5,7 @@ import hashlib
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -77,20 +78,30 @@ def test_main_text_beside_a_dominant_element(page):
     assert html.main_text(f"<body><div class=nav><a href=/>Home</a></div>{page}<footer>Imprint, and so on.</footer></body>") == "\n".join(x for x in expected if x)
 
 
-def plain_scores(blocks):
-    """Path by path."""
+def steps_of(page, path):
+    out = []
+    while path:
+        out.append(path)
+        path = page.above[path]
+    return out[::-1]
+
+
+def plain_scores(page):
+    """Path by path, each compared with each."""
     sums = {}
-    for b in blocks:
-        s = sums.setdefault(html._path(b.owner), [0, 0, 0])
+    for b in page.blocks:
+        s = sums.setdefault(b.path, [0, 0, 0])
         s[0], s[1], s[2] = s[0] + len(b.text), s[1] + len(re.findall("[,.;:!?]", b.text)), s[2] + 1
+    own = {p: np.array([n / (nodes + 2), 1 + marks / (nodes + 2)]) for p, (n, marks, nodes) in sums.items()}
     out = {}
     for p in sums:
-        weight, total = 0.0, np.zeros(2)
-        for q, (n, marks, nodes) in sums.items():
-            same = next((i for i, (a, b) in enumerate(zip(p, q)) if a != b), min(len(p), len(q)))
-            w = np.exp(-((len(p) + len(q) - 2 * same) ** 2) / 2)
-            weight, total = weight + w, total + w * np.array([n / nodes, 1 + marks / nodes])
-        out[p] = float((total / weight).prod())
+        a, weight, total = steps_of(page, p), 0.0, np.zeros(2)
+        for q in sums:
+            b = steps_of(page, q)
+            same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            w = np.exp(-((len(a) + len(b) - 2 * same) ** 2) / 2)
+            weight, total = weight + w, total + w * own[q]
+        out[p] = float(np.sqrt((total / weight).prod() * own[p].prod()))
     return out
 
 
@@ -98,14 +109,49 @@ def plain_scores(blocks):
 def test_paths_are_smoothed_at_every_size(n):
     draws = random.Random(n)
     words = lambda: "Some words, said. " * draws.randrange(1, 9)
-    page = "".join(f"<div class=c{i}>{words()}<p class=p{i % 7}>{words()}</p><section><p>{words()}</p></section></div>" for i in range(n))
-    blocks = html.blocks_of(f"<body><div>{page}</div></body>")
-    expected = plain_scores(blocks)
-    found = html.path_scores(blocks)
+    made = "".join(f"<div class=c{i}>{words()}<p class=p{i % 7}>{words()}</p><section><p>{words()}</p></section></div>" for i in range(n))
+    page = html.parse(f"<body><div>{made}</div></body>")
+    expected, found = plain_scores(page), html.path_scores(page)
     assert len(expected) == 3 * n and found.keys() == expected.keys()
     assert all(found[p] == pytest.approx(expected[p], rel=1e-9) for p in expected)
 
 
+def unmarked(source):
+    """The page without any class, id or role and with a plain element for the article."""
+    return re.sub("(</?)article>", r"\1div>", re.sub(' (class|id|role)="[^"]*"', "", source))
+
+
+def test_path_ratios_decide_on_unmarked_pages(spark, sf_dir, monkeypatch):
+    """With other scores other texts come out, on pages with and without marks; with the right ones nearly all are right without marks."""
+    sources = [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect()]
+    marked = [html.main_text(s) for s in sources]
+    plain = [html.main_text(unmarked(s)) for s in sources]
+    assert sum(a == b for a, b in zip(marked, plain)) >= 0.9 * len(sources)
+    draws = random.Random(1)
+    for change in (lambda: 1.0, draws.random):
+        monkeypatch.setattr(html, "path_scores", lambda page: {b.path: change() for b in page.blocks})
+        assert sum(a != html.main_text(s) for a, s in zip(marked, sources)) > 0.9 * len(sources)
+        assert sum(a != html.main_text(unmarked(s)) for a, s in zip(plain, sources)) > 0.9 * len(sources)
+        monkeypatch.undo()
+
+
+@pytest.mark.parametrize(
+    ("source", "last"),
+    [
+        ("<div>some text here, ok." * 100_000, "some text here, ok."),
+        ("<body>" + "".join(f"<div class=c{i}>some text, {i}.</div>" for i in range(100_000)), "some text, 99999."),
+        ("<div>x, y." * 50_000 + "</foo>" * 50_000 + "<li>x, y." * 50_000, "x, y."),
+        ("<table>" + "<tr><td>cell, text." * 100_000, "cell, text."),
+        ("<p>" + "words, and more of them. " * 200_000, "them."),
+    ],
+)
+def test_large_pages_take_linear_time(source, last):
+    began = time.time()
+    text = html.main_text(source)
+    assert text.endswith(last) and len(text) > 0.3 * len(re.sub("<[^>]*>", "", source).strip())
+    assert time.time() - began < 30
+
+
 def test_main_text_keeps_other_columns(spark):
     rows = spark.createDataFrame([(1, "<p>x y</p>", "old"), (1, "<p>x y</p>", "old"), (None, None, None)], "page_id long, html string, text string")
     found = html.extract_main_text(rows).collect()

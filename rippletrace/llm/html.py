@@ -250,8 +250,12 @@ def prose_paths(page: Page, least: float = 0.5) -> set[int]:
     return {p for p, (free, all_) in sums.items() if not page.away[p] and (page.article[p] or free > least * all_)}
 
 
-def main_text(source: str | None, threshold: float = 0.3) -> str:
-    """The article of a page: its blocks joined by newlines; empty if there is none."""
+def main_text(source: str | None, threshold: float = 0.3, beside: float = 0.1) -> str:
+    """The article of a page: its blocks joined by newlines; empty if there is none.
+
+    Paragraphs next to the element of the seeds, whose paths reach the share
+    ``beside`` of the best score, belong to the article too, as a lead does.
+    """
     page = parse(source) if source else None
     if not page or not page.blocks:
         return ""
@@ -272,6 +276,9 @@ def main_text(source: str | None, threshold: float = 0.3) -> str:
         inside = page.parent[inside]
     while page.article[page.path[inside]] and page.article[page.path[page.parent[inside]]] and page.tag[page.parent[inside]] != "main":
         inside = page.parent[inside]
+    leads = {page.parent[b.owner] for b in page.blocks if page.tag[b.owner] == "p" and scores[b.path] >= beside * best}
+    while inside and page.parent[inside] in leads:
+        inside = page.parent[inside]
     within = [False] * len(page.parent)
     for e in range(inside, len(within)):
         within[e] = e == inside or within[page.parent[e]]

@@ -21,7 +21,7 @@ def _fitting_rule(rules: Sequence[tuple[str, str]], what: int) -> str:
 
 def url_filter_sql(
     rules: Sequence[tuple[str, str]],
-    depth: int = 6,
+    depth: int = 16,
     max_children: int = 16,
     least_share: float = 0.05,
     similar_z: float = 1.0,
@@ -29,22 +29,47 @@ def url_filter_sql(
     prior: float = 0.2,
     strength: float = 4.0,
 ) -> str:
-    """page_id, host, path, rule and verdict of ``pages``; one group of CTEs per level of the tree."""
-    levels = ""
-    for d in range(1, depth + 1):
-        levels += f"""
-at{d} AS (SELECT *, CASE WHEN len(seg) > {d} THEN seg[{d + 1}] END AS nxt FROM level{d - 1}),
-children{d} AS (SELECT host, prefix, nxt, SUM(n) AS n_child FROM at{d} WHERE nxt IS NOT NULL GROUP BY ALL),
-nodes{d} AS (SELECT host, prefix, COUNT(*) AS children, SUM(n_child) AS n_node FROM children{d} GROUP BY ALL),
-rare{d} AS (
-  SELECT host, prefix, nxt FROM children{d} JOIN nodes{d} USING (host, prefix)
-  WHERE children > {max_children} AND n_child < CAST({least_share} AS DOUBLE) * n_node
+    """page_id, host, path, rule and verdict of ``pages``.
+
+    Templates are made level by level from the root (t0, t1, ...), each URL
+    shape knowing its template at every level; purities (p0, p1, ...) follow.
+    """
+    real = lambda x: f"CAST({x!r} AS DOUBLE)"
+    trees, purities = "", ""
+    for d in range(1, depth + 2):
+        # How often each next segment occurs below a template, and whether it is named or a wildcard there.
+        trees += f"""
+s{d} AS MATERIALIZED (
+  SELECT host, of, seg, 
+    COUNT(*) OVER (PARTITION BY host, of) > {max_children} AND n < {real(least_share)} * SUM(n) OVER (PARTITION BY host, of) AS is_rare
+  FROM (SELECT host, t[{d}] AS of, segs[{d}] AS seg, SUM(n) AS n FROM t{d - 1} WHERE len(segs) >= {d} GROUP BY ALL)
+),
+t{d} AS MATERIALIZED (
+  SELECT x.host, x.shape, x.n, x.labelled, x.bad, x.segs,
+    CASE WHEN len(x.segs) >= {d} THEN list_append(x.t, x.t[{d}] || '/' || CASE WHEN s.is_rare THEN '*' ELSE s.seg END) ELSE x.t END AS t
+  FROM t{d - 1} x LEFT JOIN s{d} s ON x.host = s.host AND len(x.segs) >= {d} AND x.t[{d}] = s.of AND x.segs[{d}] = s.seg
+),"""
+        purities += f"""
+n{d} AS MATERIALIZED (
+  SELECT host, t[{d}] AS above, t[{d + 1}] AS template, SUM(labelled) AS l, SUM(bad) AS b
+  FROM t{depth + 1} WHERE len(t) > {d} GROUP BY ALL
 ),
-level{d} AS (
-  SELECT a.host, a.shape, a.n, a.labelled, a.bad, a.seg,
-    a.prefix || CASE WHEN a.nxt IS NULL THEN '' WHEN r.nxt IS NOT NULL THEN '/*' ELSE '/' || a.nxt END AS prefix
-  FROM at{d} a LEFT JOIN rare{d} r ON a.host = r.host AND a.prefix = r.prefix AND a.nxt = r.nxt
+o{d} AS (
+  SELECT *, LAG(l) OVER w AS l0, LAG(b) OVER w AS b0 FROM n{d} WHERE l > 0
+  WINDOW w AS (PARTITION BY host, above ORDER BY b / l, template)
+),
+c{d} AS (
+  SELECT *, CASE WHEN b / l = b0 / l0
+      OR abs(b / l - b0 / l0) < {real(similar_z)} * sqrt(((b + b0) / (l + l0)) * (1 - (b + b0) / (l + l0)) * (1.0::DOUBLE / l + 1.0::DOUBLE / l0)) THEN 0 ELSE 1 END AS cut
+  FROM o{d}
+),
+g{d} AS (SELECT host, above, template, l, b, SUM(cut) OVER (PARTITION BY host, above ORDER BY b / l, template) AS branch FROM c{d}),
+m{d} AS (SELECT host, above, template, SUM(l) OVER (PARTITION BY host, above, branch) AS l, SUM(b) OVER (PARTITION BY host, above, branch) AS b FROM g{d}),
+p{d} AS MATERIALIZED (
+  SELECT n.host, n.template, (coalesce(m.b, 0) + {real(strength)} * p.purity) / (coalesce(m.l, 0) + {real(strength)}) AS purity
+  FROM n{d} n JOIN p{d - 1} p ON n.host = p.host AND n.above = p.template LEFT JOIN m{d} m ON n.host = m.host AND n.template = m.template
 ),"""
+    every = " UNION ALL ".join(f"SELECT * FROM p{d}" for d in range(depth + 2))
     return f"""
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -55,38 +80,28 @@ parts AS (
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
   FROM cut
 ),
-judged AS (
+judged AS MATERIALIZED (
   SELECT *,
     {_fitting_rule(rules, 1)} AS rule,
     {_fitting_rule(rules, 0)} AS by_rule,
     regexp_replace(regexp_replace(path, '[0-9a-fA-F]*[0-9][0-9a-fA-F]{{7,}}|[0-9a-fA-F]{{7,}}[0-9][0-9a-fA-F]*', '#', 'g'), '[0-9]+', '#', 'g') AS shape
   FROM parts
 ),
-level0 AS (
-  SELECT host, shape, COUNT(*) AS n, COUNT(by_rule) AS labelled, COUNT(*) FILTER (by_rule = 'block') AS bad,
-    string_split(shape, '/') AS seg, '' AS prefix
+shapes AS (
+  SELECT host, shape, CAST(COUNT(*) AS DOUBLE) AS n, CAST(COUNT(by_rule) AS DOUBLE) AS labelled,
+    CAST(COUNT(*) FILTER (by_rule = 'block') AS DOUBLE) AS bad, string_split(shape, '/')[2:] AS segs
   FROM judged GROUP BY host, shape
-),{levels}
-templates AS (
-  SELECT host, shape, labelled, bad, prefix || CASE WHEN len(seg) > {depth + 1} THEN '/**' ELSE '' END AS template FROM level{depth}
-),
-leaves AS (
-  SELECT host, template, regexp_replace(template, '/[^/]*$', '') AS parent, SUM(labelled) AS labelled, SUM(bad) AS bad
-  FROM templates GROUP BY host, template
-),
-pools AS (SELECT host, parent, SUM(labelled) AS pool_l, SUM(bad) AS pool_b FROM leaves GROUP BY host, parent),
-rated AS (SELECT *, (pool_b + 1) / (pool_l + 2) AS rate FROM leaves JOIN pools USING (host, parent)),
-branches AS (
-  SELECT host, template, labelled, bad,
-    CASE WHEN labelled > 0 AND abs(bad / labelled - pool_b / pool_l) <= CAST({similar_z} AS DOUBLE) * sqrt(rate * (1 - rate) / greatest(labelled, 1))
-      THEN parent || '/~' ELSE template END AS branch
-  FROM rated
 ),
-merged AS (SELECT host, branch, SUM(labelled) AS labelled, SUM(bad) AS bad FROM branches GROUP BY host, branch),
+t0 AS MATERIALIZED (
+  SELECT host, shape, n, labelled, bad, CASE WHEN len(segs) > {depth} THEN list_append(segs[1:{depth}], '**') ELSE segs END AS segs, [''] AS t FROM shapes
+),{trees}
+p0 AS MATERIALIZED (
+  SELECT host, '' AS template, (SUM(bad) + {real(strength)} * {real(prior)}) / (SUM(labelled) + {real(strength)}) AS purity FROM t0 GROUP BY host
+),{purities}
+purity AS ({every}),
 verdicts AS (
-  SELECT t.host, t.shape,
-    CASE WHEN (m.bad + CAST({strength * prior!r} AS DOUBLE)) / (m.labelled + CAST({strength} AS DOUBLE)) >= CAST({reject_at} AS DOUBLE) THEN 'block' ELSE 'allow' END AS by_tree
-  FROM templates t JOIN branches b USING (host, template) JOIN merged m ON b.host = m.host AND b.branch = m.branch
+  SELECT t.host, t.shape, CASE WHEN purity >= {real(reject_at)} THEN 'block' ELSE 'allow' END AS by_tree
+  FROM t{depth + 1} t JOIN purity p ON t.host = p.host AND t.t[-1] = p.template
 )
 SELECT page_id, host, path, rule, coalesce(by_rule, by_tree) AS verdict FROM judged LEFT JOIN verdicts USING (host, shape)
 """

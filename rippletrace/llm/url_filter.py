@@ -1,5 +1,8 @@
 """URL filter by rules and by a tree of path templates per host.
 
+Variable segments become wildcards from the root down; siblings whose labels are
+alike are merged at every level; and what is left is rejected by its purity.
+
 Everything here is DataFrame expressions; no Python runs on the executors.
 """
 
@@ -7,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rippletrace.llm.common import materialise
@@ -51,55 +54,71 @@ def _shape(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, "[0-9a-fA-F]*[0-9][0-9a-fA-F]{7,}|[0-9a-fA-F]{7,}[0-9][0-9a-fA-F]*", "#"), "[0-9]+", "#")
 
 
-def path_templates(
-    shapes: DataFrame, depth: int = 6, max_children: int = 16, least_share: float = 0.05, similar_z: float = 1.0
-) -> DataFrame:
-    """A template for each (host, shape) and the labels that its branch holds.
-
-    ``shapes`` has host, shape, n, labelled and bad, one row per (host, shape).
-    From the root down, a node with more than ``max_children`` different next
-    segments turns those into ``*`` that hold less than ``least_share`` of its
-    URLs. Segments beyond ``depth`` form one ``**``. Then siblings are merged:
-    a template joins the pool below its parent if its share of bad labels is
-    within ``similar_z`` standard errors of the share among all siblings. The
-    comparison is with the pool and so is linear in the siblings.
-
-    Returns host, shape, template, labelled and bad, the last two being those of
-    the branch after merging.
+def path_templates(shapes: DataFrame, depth: int = 16, max_children: int = 16, least_share: float = 0.05) -> DataFrame:
+    """The path of templates from the host to each (host, shape), as an array ``nodes``.
+
+    ``shapes`` has host, shape, n, labelled and bad, one row per (host, shape);
+    all come back. nodes[0] is the empty template of the host, nodes[d] the
+    first d segments. From the root down, a node with more than
+    ``max_children`` different next segments turns those into ``*`` that hold
+    less than ``least_share`` of its URLs, so that no node has more than
+    max(max_children, 1 / least_share) + 1 children. What follows the segment
+    number ``depth`` is one variable tail, ``**``.
     """
-    seg = F.split(F.col("shape"), "/")
-    rows = materialise(shapes.withColumn("prefix", F.lit("")).withColumn("seg", seg), "url-shapes")
+    segments = F.slice(F.split(F.col("shape"), "/"), 2, 1 << 30)  # what precedes the first slash is always empty
+    tail = F.when(F.size(segments) > depth, F.concat(F.slice(segments, 1, depth), F.array(F.lit("**")))).otherwise(segments)
+    rows = materialise(shapes.withColumns({"seg": tail, "nodes": F.array(F.lit(""))}), "url-shapes")
     deepest = rows.agg(F.max(F.size("seg"))).first()[0] or 0
-    for d in range(2, min(depth + 1, deepest) + 1):
-        # Element 1 is what precedes the first slash, always empty.
-        here = F.when(F.size("seg") >= d, F.get("seg", F.lit(d - 1)))
-        rows = rows.withColumn("next", here)
-        children = rows.where(F.col("next").isNotNull()).groupBy("host", "prefix", "next").agg(F.sum("n").alias("n_child"))
+    for d in range(deepest):
+        here = rows.withColumns({"prefix": F.element_at("nodes", -1), "next": F.get("seg", F.lit(d))})
+        children = here.where(F.col("next").isNotNull()).groupBy("host", "prefix", "next").agg(F.sum("n").alias("n_child"))
         nodes = children.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("children"), F.sum("n_child").alias("n_node"))
         wide = nodes.where(F.col("children") > max_children)
-        rare = (
-            children.join(wide, ["host", "prefix"])
-            .where(F.col("n_child") < least_share * F.col("n_node"))
-            .select("host", "prefix", "next", F.lit(True).alias("rare"))
-        )
-        rows = rows.join(rare, ["host", "prefix", "next"], "left")
-        step = F.when(F.col("next").isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), F.when(F.col("rare"), F.lit("*")).otherwise(F.col("next"))))
+        rare = children.join(wide, ["host", "prefix"]).where(F.col("n_child") < least_share * F.col("n_node"))
+        rare = rare.select("host", "prefix", "next", F.lit("*").alias("star"))
+        step = F.concat("prefix", F.lit("/"), F.coalesce("star", "next"))
+        grown = F.when(F.col("next").isNull(), F.col("nodes")).otherwise(F.concat("nodes", F.array(step)))
         # Each level reads the rows several times, so its result is written.
-        rows = materialise(rows.select("host", "shape", "n", "labelled", "bad", "seg", F.concat("prefix", step).alias("prefix")), f"url-level{d}")
-    tail = F.when(F.size("seg") > depth + 1, F.lit("/**")).otherwise(F.lit(""))
-    rows = rows.select("host", "shape", "labelled", "bad", F.concat("prefix", tail).alias("template"))
-
-    leaves = rows.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    leaves = leaves.withColumn("parent", F.regexp_replace("template", "/[^/]*$", ""))
-    pools = leaves.groupBy("host", "parent").agg(F.sum("labelled").alias("pool_l"), F.sum("bad").alias("pool_b"))
-    leaves = leaves.join(pools, ["host", "parent"])
-    rate = (F.col("pool_b") + 1) / (F.col("pool_l") + 2)
-    gap = F.abs(F.col("bad") / F.col("labelled") - F.col("pool_b") / F.col("pool_l"))
-    alike = (F.col("labelled") > 0) & (gap <= similar_z * F.sqrt(rate * (1 - rate) / F.greatest("labelled", F.lit(1))))
-    leaves = materialise(leaves.withColumn("branch", F.when(alike, F.concat("parent", F.lit("/~"))).otherwise(F.col("template"))), "url-leaves")
-    merged = leaves.groupBy("host", "branch").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    of = leaves.select("host", "template", "branch").join(merged, ["host", "branch"])
-    return rows.select("host", "shape", "template").join(of, ["host", "template"]).select("host", "shape", "template", "labelled", "bad")
+        rows = materialise(here.join(rare, ["host", "prefix", "next"], "left").select(*shapes.columns, "seg", grown.alias("nodes")), "url-level")
+    return rows.drop("seg")
+
+
+def template_purity(rows: DataFrame, similar_z: float = 1.0, prior: float = 0.2, strength: float = 4.0) -> DataFrame:
+    """(host, template, purity): the smoothed share of bad labels of each node of the trees.
+
+    ``rows`` are those of ``path_templates``. At each level siblings are sorted
+    by their share of bad labels; neighbours are merged if a two-sample test
+    tells their shares apart by less than ``similar_z`` standard errors. A
+    merged branch has the purity (bad + strength * parent) / (labelled +
+    strength), where parent is that of the branch above, and ``prior`` above a
+    host. A branch without any label so inherits its parent's.
+    """
+    at = F.posexplode("nodes").alias("level", "template")
+    nodes = rows.select("host", "labelled", "bad", "nodes", at).groupBy("host", "level", "template")
+    above = F.when(F.col("level") > 0, F.get("nodes", F.col("level") - 1))
+    nodes = materialise(nodes.agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.min(above).alias("parent")), "url-nodes")
+    deepest = nodes.agg(F.max("level")).first()[0] or 0
+    smooth = (F.col("bad") + strength * F.col("of_parent")) / (F.col("labelled") + strength)
+    level = nodes.where("level = 0").withColumn("of_parent", F.lit(float(prior))).select("host", "template", smooth.alias("purity"))
+    done = level = materialise(level, "url-purity")
+    for d in range(1, deepest + 1):
+        share = F.try_divide("bad", "labelled")  # null for branches without a label, which are never merged
+        siblings = Window.partitionBy("host", "parent", F.col("labelled") > 0).orderBy(share, "template")
+        before = {c: F.lag(c).over(siblings) for c in ("bad", "labelled")}
+        pooled = F.try_divide(F.col("bad") + before["bad"], F.col("labelled") + before["labelled"])
+        gap = F.abs(share - F.try_divide(before["bad"], before["labelled"]))
+        error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), "labelled") + F.try_divide(F.lit(1.0), before["labelled"])))
+        apart = F.coalesce((gap >= similar_z * error) & (gap > 0), F.lit(True)).cast("int")
+        here = nodes.where(F.col("level") == d).withColumn("apart", apart)
+        here = here.withColumn("branch", F.sum("apart").over(siblings))
+        branches = here.groupBy("host", "parent", F.col("labelled") > 0, "branch").agg(
+            F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.collect_list("template").alias("templates")
+        )
+        known = level.select("host", F.col("template").alias("parent"), F.col("purity").alias("of_parent"))
+        level = branches.join(known, ["host", "parent"]).select("host", F.explode("templates").alias("template"), smooth.alias("purity"))
+        level = materialise(level, "url-purity")
+        done = done.unionByName(level)
+    return done
 
 
 def judge_urls(
@@ -110,45 +129,42 @@ def judge_urls(
     reject_at: float = 0.8,
     prior: float = 0.2,
     strength: float = 4.0,
+    similar_z: float = 1.0,
     **tree: float,
 ) -> DataFrame:
     """Add host, path, rule and verdict ("allow" or "block") to every row.
 
     The longest fitting rule decides. Other URLs are judged by the path template
-    of their host: it is rejected if the smoothed share of bad labels in its
-    branch, (bad + strength * prior) / (labelled + strength), is ``reject_at``
-    or more. Labels are the column ``labels`` (1 bad, 0 good, null unknown), or
-    else the verdicts that the rules give to the URLs they cover, so that a
-    branch mostly blocked by rules takes its remaining URLs with it.
+    of their host: it is rejected if its purity, the smoothed share of bad
+    labels in its merged branch (``template_purity``), is ``reject_at`` or more.
+    Labels are the column ``labels`` (1 bad, 0 good, null unknown), or else the
+    verdicts that the rules give to the URLs they cover, so that a branch or
+    host mostly blocked by rules takes its remaining URLs with it.
 
     A null URL or one without ``://`` has an empty host and path and is judged
-    like any other URL of that host. Repeated rows are judged alike and all
-    kept; an empty table gives an empty table. Columns of ``pages`` that are
-    named as new ones (host, path, rule, verdict) are replaced. Only counts per
-    (host, shape of path) are shuffled, and the final join is on those.
+    like any other URL of that host; URLs of any length are read whole. Repeated
+    rows are judged alike and all kept; an empty table gives an empty table.
+    Columns of ``pages`` that are named as new ones (host, path, rule, verdict)
+    are replaced; any other name is allowed. Only counts per (host, shape of
+    path) are shuffled to learn. Verdicts of shapes that hold a thousandth of
+    all rows or more, of which there are at most a thousand, are broadcast; rows
+    of the others, which no hot key is among, are joined by a shuffle.
     """
-    work = pages.withColumns({"_host": host_of(F.col(url)), "_path": path_of(F.col(url))})
-    work = work.withColumn("_rule", fitting_rule(F.col("_host"), F.col("_path"), rules)).withColumn("_shape", _shape(F.col("_path")))
-    known = F.col(labels).cast("int") if labels else F.when(F.col("_rule").isNotNull(), (F.col("_rule.verdict") == "block").cast("int"))
-    shapes = (
-        work.withColumn("_bad", known)
-        .groupBy(F.col("_host").alias("host"), F.col("_shape").alias("shape"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count("_bad").alias("labelled"),
-            F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad"),
-        )
-    )
-    purity = (F.col("bad") + strength * prior) / (F.col("labelled") + strength)
-    judged = path_templates(shapes, **tree).select(
-        F.col("host").alias("_h"), F.col("shape").alias("_s"), F.when(purity >= reject_at, F.lit("block")).otherwise(F.lit("allow")).alias("_by_tree")
-    )
-    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    out = work.join(judged, (F.col("_host") == F.col("_h")) & (F.col("_shape") == F.col("_s")), "left")
+    row = F.struct(*[F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")])
+    work = pages.select(row.alias("row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), *([F.col(labels).alias("label")] if labels else []))
+    work = work.withColumns({"fit": fitting_rule(F.col("host"), F.col("path"), rules), "shape": _shape(F.col("path"))})
+    known = F.col("label").cast("int") if labels else F.when(F.col("fit").isNotNull(), (F.col("fit.verdict") == "block").cast("int"))
+    counts = [F.count(F.lit(1)).alias("n"), F.count("known").alias("labelled"), F.coalesce(F.sum("known"), F.lit(0)).alias("bad")]
+    rows = path_templates(work.withColumn("known", known).groupBy("host", "shape").agg(*counts), **tree)
+    purity = template_purity(rows, similar_z, prior, strength)
+    judged = rows.select("host", "shape", "n", F.element_at("nodes", -1).alias("template")).join(purity, ["host", "template"])
+    verdict = F.when(F.col("purity") >= reject_at, F.lit("block")).otherwise(F.lit("allow"))
+    judged = materialise(judged.select(F.col("host").alias("of_host"), F.col("shape").alias("of_shape"), "n", verdict.alias("by_tree")), "url-verdicts")
+    hot = (judged.agg(F.sum("n")).first()[0] or 0) / 1000
+    same = (F.col("host") == F.col("of_host")) & (F.col("shape") == F.col("of_shape"))
+    common = F.broadcast(judged.where(F.col("n") >= hot))
+    out = work.join(common, same).unionByName(work.join(common, same, "left_anti").join(judged.where(F.col("n") < hot), same))
     return out.select(
-        *keep,
-        F.col("_host").alias("host"),
-        F.col("_path").alias("path"),
-        F.col("_rule.rule").alias("rule"),
-        F.coalesce("_rule.verdict", "_by_tree").alias("verdict"),
-    )
+        *[F.col(f"row.`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")],
+        "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", "by_tree").alias("verdict"),
+    )

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from rippletrace.llm import hnsw, oracles, queries, url_filter
 
@@ -41,6 +42,35 @@ def test_url_templates_equal_sql(spark, tmp_path):
         assert any("'allow'" in r and "None" in r for r in expected) and any("'block'" in r for r in expected)
 
 
+def test_url_tree_blocks_on_purity(spark, sf_dir):
+    """In the query, URLs that no rule covers are blocked where their host or branch is, and only there."""
+    rows = queries.QUERIES["op5_url_filter"](spark, "/root/testdata/sf0.01" if sf_dir.endswith("sf0.001") else sf_dir).collect()
+    ruled = [r for r in rows if r["rule"]]
+    blocked = {r["host"] for r in ruled if r["verdict"] == "block"}
+    by_tree = [r for r in rows if not r["rule"] and r["verdict"] == "block"]
+    assert all(r["host"] in blocked for r in by_tree)
+    # The same tree rejects at any purity that it has.
+    pages = spark.createDataFrame([(i, f"http://a.com/{s}/{i}") for i, s in enumerate(["en"] * 30 + ["fr"] * 10)], "page_id long, url string")
+    found = {(r["path"].split("/")[1], r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, queries.URL_RULES).collect()}
+    assert found == {("en", "com/en/", "block"), ("fr", None, "block")}
+
+
+def test_url_branches_merge_where_labels_are_alike(spark):
+    """Half a branch is bad: two alike siblings share their labels, a third keeps its own, one without labels has its parent's."""
+    label = lambda s, i: {"a": i % 10 < 9, "b": i % 10 < 9, "c": False, "d": None}[s]
+    n = {"a": 200, "b": 10, "c": 200, "d": 5}
+    rows = [(s, f"http://h.org/x/{s}/{i}", None if label(s, i) is None else int(label(s, i))) for s in n for i in range(n[s])]
+    pages = spark.createDataFrame(rows, "_h string, url string, bad int").withColumns({"_host": F.lit("mine"), "shape": F.lit(1), "n": F.lit(2), "row": F.lit(3)})
+    out = url_filter.judge_urls(pages, [], labels="bad")
+    assert {"_h", "_host", "shape", "n", "row", "host", "verdict"} <= set(out.columns)
+    found = {(r["_h"], r["verdict"], r["_host"], r["row"]) for r in out.collect()}
+    # b alone would have (9 + 4 * 0.47) / 14 = 0.78; with a it has 0.89.
+    assert found == {("a", "block", "mine", 3), ("b", "block", "mine", 3), ("c", "allow", "mine", 3), ("d", "allow", "mine", 3)}
+    assert url_filter.judge_urls(pages.limit(0), [], labels="bad").count() == 0
+    deep = spark.createDataFrame([(1, "http://h.org/" + "a/" * 5000), (2, None)], "page_id long, url string")
+    assert [r["verdict"] for r in url_filter.judge_urls(deep, []).orderBy("page_id").collect()] == ["allow", "allow"]
+
+
 def test_vector_links_equal_sql(spark, tmp_path):
     nan, inf = float("nan"), float("inf")
     rows = [(i, i % 2, [1.0, i / 100, 0.0]) for i in range(60)] + [(100 + i, 1, [0.0, 1.0, i / 50]) for i in range(20)]

@@ -2,7 +2,7 @@
 
 Patterns propose spans. Candidates that look like base64 or hexadecimal data
 are then decoded and parsed: DER key encodings must have nested lengths that
-fit, private keys in the wire format of SSH must hold whole length-prefixed
+fit down to the leaves and the shape of a private key, private keys in the wire format of SSH must hold whole length-prefixed
 fields, and signed tokens must have a JSON header that names an algorithm.
 Only what parses is added; the spans of the plain patterns always stay.
 """
@@ -64,29 +64,59 @@ def _der(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, at, at + n) if at + n <= end else None
 
 
+#: The object identifiers under which keys are encrypted with a password.
+PASSWORD_BASED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+
+
+def der_tree(data: bytes, at: int, end: int, most: int = 100_000) -> list[tuple] | None:
+    """The DER values that fill data[at:end], as (tag, start, end, children).
+
+    Constructed values are followed to their leaves, and each must be filled by
+    its children; object identifiers and integers must have a body. None if a
+    length doesn't fit anywhere, or beyond ``most`` values.
+    """
+    top: list[tuple] = []
+    todo, seen = [(at, end, top)], 0
+    while todo:
+        at, end, into = todo.pop()
+        while at < end:
+            value = _der(data, at, end)
+            seen += 1
+            if not value or seen > most:
+                return None
+            tag, start, at = value
+            if tag == 0x02 and start == at or tag == 0x06 and (start == at or data[at - 1] & 0x80):
+                return None
+            children: list[tuple] = []
+            into.append((tag, start, at, children))
+            if tag & 0x20:
+                todo.append((start, at, children))
+    return top
+
+
 def is_der_key(data: bytes) -> bool:
-    """A SEQUENCE that fills ``data`` and whose children fill it in turn.
+    """A private key: a SEQUENCE that fills ``data``, whole down to its leaves, of one of four shapes.
 
-    As key encodings do, it starts with a small INTEGER (the version) or with a
-    SEQUENCE holding an OBJECT IDENTIFIER, and it has two children or more.
+    These are a version and integers (RSA, DSA), a version and an OCTET STRING
+    (elliptic curves), a version, an algorithm and an OCTET STRING that holds a
+    key's encoding (any algorithm), and an OCTET STRING encrypted with a
+    password. Public keys and certificates have other shapes.
     """
     top = _der(data, 0, len(data))
     if not top or top[0] != 0x30 or len(data) - top[2] > 2 or top[2] - top[1] < 24:
         return False
-    at, children = top[1], []
-    while at < top[2]:
-        child = _der(data, at, top[2])
-        if not child:
-            return False
-        children.append(child)
-        at = child[2]
-    if len(children) < 2:
+    children = der_tree(data, top[1], top[2])
+    if not children or len(children) < 2:
         return False
-    tag, start, end = children[0]
+    (tag, start, end, inner), tags = children[0], [c[0] for c in children]
+    algorithm = lambda c: c[0] == 0x30 and c[3] and c[3][0][0] == 0x06
     if tag == 0x02:
-        return end - start == 1 and data[start] <= 3 and children[1][0] in (0x02, 0x04, 0x30)
-    inner = _der(data, start, end) if tag == 0x30 else None
-    return bool(inner and inner[0] == 0x06 and children[1][0] in (0x03, 0x04))
+        if end - start != 1 or data[start] > 3:
+            return False
+        if tags[1] == 0x30:
+            return algorithm(children[1]) and len(tags) > 2 and tags[2] == 0x04 and bool(der_tree(data, *children[2][1:3]))
+        return tags[1] == 0x04 or tags[1:4] == [0x02] * 3 and set(tags[4:]) <= {0x02, 0x30}
+    return bool(algorithm(children[0]) and tags[1:] == [0x04] and data[inner[0][1] : inner[0][2]].startswith(PASSWORD_BASED))
 
 
 def _openssh_end(data: bytes) -> int | None:

@@ -38,12 +38,6 @@ def usable(vector: str | Column) -> Column:
     return F.coalesce(v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def commonest_length(vectors: DataFrame, vector: str) -> int:
-    """The length that most vectors have, the smaller of equals; 0 if there are none."""
-    row = vectors.groupBy(F.size(vector).alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return row["d"] if row else 0
-
-
 def kmeans(x: np.ndarray, k: int, rounds: int, draws: np.random.Generator) -> np.ndarray:
     """Plain k-means; empty clusters get a random row."""
     c = x[draws.choice(len(x), min(k, len(x)), replace=False)].copy()
@@ -209,30 +203,39 @@ def search_neighbours(
     Only where the table has fewer candidates than ``k`` a query gets fewer rows:
     one whose cells hold too few scans further ones.
 
-    Vectors that are null, empty, zero or hold null or non-finite numbers, rows
-    without a key and vectors of another length than most take no part. Rows
-    with the key of the query aren't its candidates. A key on several rows is
-    one candidate, with the largest cosine of these, and one query, with the
-    first of their vectors in order. No usable query gives an empty result.
+    Vectors that are null, empty, zero or hold null or non-finite numbers and
+    rows without a key take no part. Vectors of different lengths have no
+    cosine: each length has an index of its own, and those without a query none.
+    Rows with the key of the query aren't its candidates. A key on several rows
+    is one candidate, with the largest cosine of these, and one query, with the
+    first of its vectors in order (the shortest first). No usable query gives an
+    empty result; other columns aren't read.
 
     The index is fitted on a bounded sample and holds every different vector, in
     blocks of about ``BLOCK_ROWS`` of one cell however large the cell is. Blocks
-    of a cell meet blocks of the queries that scan it; each pair yields the ``k``
-    best rows a query. The ``depth`` best by codes are ranked first, then
-    whatever may be better than the last of these.
+    of the queries that scan a cell are sent to each of its blocks, so that a
+    large cell is spread over tasks; each pair yields the ``k`` best rows a
+    query. The ``depth`` best by codes are ranked first, then whatever may be
+    better than the last of these.
     """
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), queries.alias("asks")).where(usable("v") & F.col("id").isNotNull())
-    d = commonest_length(rows, "v")
-    rows = rows.where(F.size("v") == d)
-    asked = rows.where("asks").groupBy("id").agg(F.min("v").alias("v"))
-    counts = {"q": rows.where("asks").count()}
-    result = f"query_id long, rank int, `{key}` long, score double"
-    if not counts["q"]:
-        return vectors.sparkSession.createDataFrame([], result)
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
+    rows = rows.where(usable("v") & F.col("id").isNotNull())
+    asked = rows.where("asks").groupBy("id").agg(F.min(F.struct(F.size("v").alias("d"), "v")).alias("q")).select("id", "q.d", "q.v")
+    out = vectors.sparkSession.createDataFrame([], f"query_id long, rank int, `{key}` long, score double")
+    # A row for each length that a query has, of which tables have one as a rule.
+    for n, of in enumerate(asked.groupBy("d").agg(F.count(F.lit(1)).alias("n")).orderBy("d").collect()):
+        found = _search(rows.where(F.size("v") == of["d"]), asked.where(F.col("d") == of["d"]).drop("d"), of["n"], of["d"], k, depth, goal, sample_rows)
+        found = found.select("query_id", "rank", F.col("found").alias(key), "score")
+        out = out.unionByName(found) if n else found
+    return out
+
+
+def _search(rows: DataFrame, asked: DataFrame, n_asked: int, d: int, k: int, depth: int, goal: float, sample_rows: int) -> DataFrame:
+    """(query_id, rank, found, score) of ``n_asked`` queries among rows (id, v) of length ``d``."""
     rows = materialise(smallest_keys(rows, k + 1), "ann-keys")
     model = fit_index(rows, rows.count(), d, sample_rows)
     probes = audit_probes(rows, asked, model, k, goal)
-    shared = vectors.sparkSession.sparkContext.broadcast(model)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
@@ -247,6 +250,9 @@ def search_neighbours(
     coded = materialise(rows.mapInPandas(code, "id long, cell int, codes binary, missed double, x binary"), "ann-coded")
     sizes = coded.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))  # a row per cell
     salted = coded.join(sizes, "cell").withColumn("salt", F.pmod(F.xxhash64("x"), F.ceil(F.col("n") / BLOCK_ROWS)))
+    blocks = np.zeros(len(model.coarse), "int32")
+    for r in sizes.collect():  # a row per cell
+        blocks[r["cell"]] = -(-r["n"] // BLOCK_ROWS)
     # How many keys each cell adds for certain: a key on several vectors counts in one cell.
     homes = np.zeros(len(model.coarse), "int64")
     for r in coded.groupBy("id").agg(F.min("cell").alias("cell")).groupBy("cell").count().collect():
@@ -257,9 +263,9 @@ def search_neighbours(
         first = ~pdf["x"].duplicated().to_numpy()
         one = pdf[first]
         out = {"ids": pdf["id"].to_numpy("int64"), "owner": first.cumsum() - 1, "missed": one["missed"].to_numpy("float64")}
-        return pd.DataFrame({"cell": pdf["cell"].iloc[:1], **{n: [v.tobytes()] for n, v in out.items()}, "codes": [b"".join(one["codes"])], "x": [b"".join(one["x"])]})
+        return pd.DataFrame({"cell": pdf["cell"].iloc[:1], "salt": pdf["salt"].iloc[:1], **{n: [v.tobytes()] for n, v in out.items()}, "codes": [b"".join(one["codes"])], "x": [b"".join(one["x"])]})
 
-    packed = "cell int, ids binary, owner binary, missed binary, codes binary, x binary"
+    packed = "cell int, salt long, ids binary, owner binary, missed binary, codes binary, x binary"
     index = salted.select("id", "cell", "codes", "missed", "x", "salt").groupBy("cell", "salt").applyInPandas(pack, packed)
 
     def pack_queries(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -269,11 +275,12 @@ def search_neighbours(
         before = np.cumsum(homes[near], axis=1) - homes[near]
         # As many cells as audited, and on until they hold k keys besides the query's.
         scans = (np.arange(near.shape[1]) < probes) | (before <= k)
-        out = [(int(c), pdf["id"].to_numpy("int64")[m].tobytes(), x[m].tobytes()) for c in np.unique(near[scans]) for m in [((near == c) & scans).any(axis=1)]]
-        return pd.DataFrame(out, columns=["cell", "q_ids", "q_x"])
+        out = [(int(c), blocks[c], pdf["id"].to_numpy("int64")[m].tobytes(), x[m].tobytes()) for c in np.unique(near[scans]) for m in [((near == c) & scans).any(axis=1)]]
+        return pd.DataFrame(out, columns=["cell", "blocks", "q_ids", "q_x"])
 
-    block = F.pmod(F.xxhash64("id"), F.lit(-(-counts["q"] // QUERY_BLOCK)))
-    asks = asked.withColumn("block", block).groupBy("block").applyInPandas(pack_queries, "cell int, q_ids binary, q_x binary")
+    block = F.pmod(F.xxhash64("id"), F.lit(-(-n_asked // QUERY_BLOCK)))
+    asks = asked.withColumn("block", block).groupBy("block").applyInPandas(pack_queries, "cell int, blocks int, q_ids binary, q_x binary")
+    asks = asks.where("blocks > 0").select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("salt"), "q_ids", "q_x")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
@@ -292,7 +299,7 @@ def search_neighbours(
                 best = [best_of_block(q[i], q_ids[i], near[i], off, x, norm, ids, owner, k, depth) for i in range(len(q))]
                 yield pd.DataFrame({"query_id": np.repeat(q_ids, [len(w) for w, _ in best]), "found": np.concatenate([w for w, _ in best]), "score": np.concatenate([c for _, c in best])})
 
-    met = index.join(asks, "cell")
+    met = index.join(asks, ["cell", "salt"])
     met = met.mapInPandas(scan, "query_id long, found long, score double").groupBy("query_id", "found").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "found"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("found").alias(key), "score")
+    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "found", "score")

@@ -11,13 +11,14 @@ counted, and joined into components.
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rippletrace.llm.ann import commonest_length, usable
+from rippletrace.llm.ann import usable
 from rippletrace.llm.common import materialise
 from rippletrace.llm.components import connected_components
 
@@ -258,62 +259,72 @@ def near_duplicate_vectors(
     component_id is the smallest key reachable, its own included. kept is
     key = component_id.
 
-    A row with a null label or key, or with a vector that is null, empty, zero,
-    of another length than most or holds null or non-finite numbers, links with
-    nothing and is kept. Equal vectors of a label link with each other and are
+    A row with a null label or key, or with a vector that is null, empty, zero or
+    holds null or non-finite numbers, links with nothing and is kept. Vectors of
+    different lengths have no cosine and don't link. Equal vectors of a label link with each other and are
     searched once; a row that is repeated as a whole counts once and gets equal
     results. Rows of one key with different vectors are one node of the
     components. An empty table gives an empty table.
 
-    Shards hold about ``shard_rows`` different vectors, whatever the size of a
-    label. A task works on a pair of shards and returns counts and one edge per
-    vector, never pairs.
+    Shards hold about ``shard_rows`` different vectors of one label and length,
+    whatever the size of a label. Of two shards one stays where it is with its
+    graph and the other sends it its vectors; which is which alternates, so that
+    each shard is asked by about half of the others. A pair of shards yields
+    counts and one edge per vector, never pairs.
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).alias("v"))
     fit = rows.where(usable("v") & F.col("label").isNotNull() & F.col("id").isNotNull())
-    d = commonest_length(fit, "v")
-    fit = materialise(fit.where(F.size("v") == d).distinct().withColumn("hash", F.xxhash64("v")), "hnsw-rows")
-    same = fit.groupBy("label", "v", "hash").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    fit = materialise(fit.distinct().withColumns({"hash": F.xxhash64("v"), "d": F.size("v")}), "hnsw-rows")
+    same = fit.groupBy("label", "d", "v", "hash").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
     same = materialise(same, "hnsw-vectors")
-    sizes = same.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards")).withColumnRenamed("label", "of")
-    dealt = same.join(sizes, F.col("label") == F.col("of")).withColumn("shard", F.pmod("hash", F.col("shards")).cast("int"))
+    sizes = same.groupBy(F.col("label").alias("of"), F.col("d").alias("of_d")).agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"))
+    dealt = same.join(sizes, (F.col("label") == F.col("of")) & (F.col("d") == F.col("of_d"))).withColumn("shard", F.pmod("hash", F.col("shards")).cast("int"))
+    # Vectors are sent as they are stored; half the bytes of double precision as a rule.
+    stored = "float32" if vectors.schema[vector].dataType.elementType.simpleString() == "float" else "float64"
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["first", "hash"])
         x = np.array([np.asarray(v, "float64") for v in pdf["v"]])
         graph = SmallWorld(x / np.linalg.norm(x, axis=1, keepdims=True))
         beam = audited_beam(graph, least - 1e-6, ef, goal, audits)
-        out = pdf[["label", "shard", "shards"]].head(1).assign(x=[x.tobytes()], graph=[graph.to_bytes()], beam=beam)
+        out = pdf[["label", "d", "shard", "shards"]].head(1).assign(x=[x.astype(stored).tobytes()], graph=[graph.to_bytes()], beam=beam)
         return out.assign(**{k: [pdf[k].to_numpy("int64").tobytes()] for k in ("first", "hash", "copies")})
 
     kind = vectors.schema[label].dataType.simpleString()
-    form = f"label {kind}, shard int, shards int, x binary, graph binary, beam int, first binary, hash binary, copies binary"
-    built = dealt.select("label", "shard", "shards", "first", "hash", "copies", "v").groupBy("label", "shard").applyInPandas(build, form)
+    form = f"label {kind}, d int, shard int, shards int, x binary, graph binary, beam int, first binary, hash binary, copies binary"
+    built = dealt.select("label", "d", "shard", "shards", "first", "hash", "copies", "v").groupBy("label", "d", "shard").applyInPandas(build, form)
     graphs = materialise(built, "hnsw-graphs")
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Links between two shards, or within one, from their rows of ``graphs``."""
-        sides = [_Side(r, d) for r in pdf.sort_values("shard").itertuples()]
-        found = _links_within(sides[0], least) if len(sides) == 1 else _links_between(*sides, least)
-        found["label"] = pdf["label"].iloc[0]
-        return found[["label", "node", "hash", "links", "root"]]
-
-    # Each shard goes to the tasks of all pairs that it is part of.
-    other = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
-    pairs = graphs.withColumn("other", other).withColumns({"a": F.least("shard", "other"), "b": F.greatest("shard", "other")})
-    hits = pairs.groupBy("label", "a", "b").applyInPandas(search, f"label {kind}, node long, hash long, links long, root long")
+    found = f"label {kind}, d int, node long, hash long, links long, root long"
+
+    def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                yield _links_within(_Side(r.x, r.first, r.hash, r.copies, r.d, stored), r.graph, r.beam, least).assign(label=r.label, d=r.d)
+
+    def between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                asked, asking = _Side(r.x, r.first, r.hash, r.copies, r.d, stored), _Side(r.q_x, r.q_first, r.q_hash, r.q_copies, r.d, stored)
+                yield _links_between(asked, asking, r.graph, r.beam, least).assign(label=r.label, d=r.d)
+
+    # The shards that each one asks: smaller numbers of the same parity, larger ones of the other.
+    other = F.filter(F.sequence(F.lit(0), F.col("shards") - 1), lambda o: F.when((F.col("shard") + o) % 2 == 0, o < F.col("shard")).otherwise(o > F.col("shard")))
+    sent = [F.col(c).alias(f"q_{c}") for c in ("x", "first", "hash", "copies")]
+    asks = graphs.select(F.col("label").alias("q_label"), F.col("d").alias("q_d"), F.explode(other).alias("asked"), *sent)
+    to = (F.col("label") == F.col("q_label")) & (F.col("d") == F.col("q_d")) & (F.col("shard") == F.col("asked"))
+    hits = graphs.mapInPandas(within, found).unionByName(graphs.where("shards > 1").join(asks, to).drop("q_label", "q_d", "asked").mapInPandas(between, found))
     hits = materialise(hits, "hnsw-hits")
 
-    links = hits.groupBy("label", F.col("node").alias("first"), "hash").agg(F.sum("links").alias("links"))
-    of = fit.join(same, ["label", "v", "hash"]).select("id", "label", "hash", "first", "copies")
+    links = hits.groupBy("label", "d", F.col("node").alias("first"), "hash").agg(F.sum("links").alias("links"))
+    of = fit.join(same, ["label", "d", "v", "hash"]).select("id", "label", "d", "hash", "first", "copies")
     of = materialise(of, "hnsw-members")
-    counted = of.join(links, ["label", "first", "hash"], "left")
-    counted = counted.select("id", "label", "hash", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    counted = of.join(links, ["label", "d", "first", "hash"], "left")
+    counted = counted.select("id", "label", "d", "hash", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     edges = hits.select(F.col("node").alias("a"), F.col("root").alias("b")).union(of.select(F.col("id").alias("a"), F.col("first").alias("b")))
     reached = connected_components(edges).select(F.col("node").alias("id"), "component")
 
-    out = rows.select("id", "label", F.when(usable("v") & (F.size("v") == d), F.xxhash64("v")).alias("hash"))
-    out = out.join(counted, ["id", "label", "hash"], "left").join(reached, "id", "left")
+    out = rows.select("id", "label", F.size("v").alias("d"), F.when(usable("v"), F.xxhash64("v")).alias("hash"))
+    out = out.join(counted, ["id", "label", "d", "hash"], "left").join(reached, "id", "left")
     component = F.coalesce("component", "id")
     return out.select(
         F.col("id").alias(key),
@@ -324,23 +335,22 @@ def near_duplicate_vectors(
 
 
 class _Side:
-    """A shard, unpacked from its row."""
+    """A shard's vectors and keys, unpacked."""
 
-    def __init__(self, row, d: int) -> None:
-        self.first, self.hash, self.copies = (np.frombuffer(z, "int64") for z in (row.first, row.hash, row.copies))
-        self.x = np.frombuffer(row.x, "float64").reshape(-1, d)
+    def __init__(self, x: bytes, first: bytes, hash: bytes, copies: bytes, d: int, stored: str) -> None:
+        self.first, self.hash, self.copies = (np.frombuffer(z, "int64") for z in (first, hash, copies))
+        self.x = np.frombuffer(x, stored).reshape(-1, d).astype("float64")
         self.norm = np.linalg.norm(self.x, axis=1)
         self.unit = self.x / self.norm[:, None]
-        self.beam, self.graph = row.beam, row.graph
 
     def report(self, links: np.ndarray, root: np.ndarray) -> pd.DataFrame:
         hit = links > 0
         return pd.DataFrame({"node": self.first[hit], "hash": self.hash[hit], "links": links[hit], "root": root[hit]})
 
 
-def _verified(asking: _Side, asked: _Side, graph: SmallWorld, at: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+def _verified(asking: _Side, asked: _Side, graph: SmallWorld, beam: int, at: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (row of ``asking`` from ``at`` on, row of ``asked``) whose cosine in double precision suffices."""
-    q, c = graph.within(asking.unit[at : at + 512], least - 1e-6, asked.beam)
+    q, c = graph.within(asking.unit[at : at + 512], least - 1e-6, beam)
     q = q + at
     good = np.zeros(len(q), bool)
     for i in range(0, len(q), 1 << 16):
@@ -349,12 +359,12 @@ def _verified(asking: _Side, asked: _Side, graph: SmallWorld, at: int, least: fl
     return q[good], c[good]
 
 
-def _links_within(s: _Side, least: float) -> pd.DataFrame:
+def _links_within(s: _Side, graph: bytes, beam: int, least: float) -> pd.DataFrame:
     """Links inside a shard. A pair may be found from one side only and counts for both: a bit for each pair."""
-    n, graph = len(s.first), SmallWorld.from_bytes(s.graph, s.unit)
+    n, world = len(s.first), SmallWorld.from_bytes(graph, s.unit)
     linked = np.zeros((n, n), bool)
     for at in range(0, n, 512):
-        q, c = _verified(s, s, graph, at, least)
+        q, c = _verified(s, s, world, beam, at, least)
         linked[q, c] = linked[c, q] = True
     np.fill_diagonal(linked, False)
     links, root = np.zeros(n, "int64"), np.arange(n)
@@ -365,12 +375,26 @@ def _links_within(s: _Side, least: float) -> pd.DataFrame:
     return s.report(links, s.first[root])
 
 
-def _links_between(a: _Side, b: _Side, least: float) -> pd.DataFrame:
+def audited_between(world: SmallWorld, asking: _Side, asked: _Side, least: float, beam: int, goal: float = 0.999, audits: int = 64) -> int:
+    """The beam with which ``audits`` rows of ``asking`` find the share ``goal`` of their links to ``asked``.
+
+    The rows are foreign to the graph, and so may be harder to find from than
+    those by which its own beam was audited.
+    """
+    rows = np.unique(np.linspace(0, len(asking.unit) - 1, min(audits, len(asking.unit))).astype(int))
+    true = int((asking.unit[rows] @ asked.unit.T >= least).sum())
+    while beam < len(asked.unit) and len(world.within(asking.unit[rows], least - 1e-6, beam)[0]) < goal * true:
+        beam *= 2
+    return min(beam, len(asked.unit))
+
+
+def _links_between(a: _Side, b: _Side, graph: bytes, beam: int, least: float) -> pd.DataFrame:
     """Links from the rows of ``b`` to those of ``a``, found in the graph of ``a``."""
-    n, m, graph = len(a.first), len(b.first), SmallWorld.from_bytes(a.graph, a.unit)
+    n, m, world = len(a.first), len(b.first), SmallWorld.from_bytes(graph, a.unit)
+    beam = audited_between(world, b, a, least, beam)
     links_a, links_b, root = np.zeros(n, "int64"), np.zeros(m, "int64"), np.arange(n + m)
     for at in range(0, m, 512):
-        q, c = _verified(b, a, graph, at, least)
+        q, c = _verified(b, a, world, beam, at, least)
         np.add.at(links_a, c, b.copies[q])
         np.add.at(links_b, q, a.copies[c])
         root = _roots(n + m, np.concatenate([np.arange(n + m), c]), np.concatenate([root, q + n]))

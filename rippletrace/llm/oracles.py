@@ -121,12 +121,11 @@ WITH RECURSIVE vectors AS (
   FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL
 ),
 fit AS (
-  SELECT DISTINCT vec_id, label, v, sqrt(list_dot_product(v, v)) AS norm FROM vectors
-  WHERE len(v) = (SELECT len(v) AS d FROM vectors WHERE v IS NOT NULL GROUP BY d ORDER BY COUNT(*) DESC, d LIMIT 1)
+  SELECT DISTINCT vec_id, label, v, sqrt(list_dot_product(v, v)) AS norm FROM vectors WHERE v IS NOT NULL
 ),
 links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM fit a JOIN fit b ON a.label = b.label AND a.vec_id <> b.vec_id
-  WHERE len(a.v) = len(b.v) AND list_dot_product(a.v, b.v) / (a.norm * b.norm) >= CAST({least} AS DOUBLE)
+  WHERE CASE WHEN len(a.v) = len(b.v) THEN list_dot_product(a.v, b.v) / (a.norm * b.norm) >= CAST({least} AS DOUBLE) ELSE FALSE END
 ),
 reach AS (
   SELECT vec_id AS a, vec_id AS b FROM embeddings WHERE vec_id IS NOT NULL

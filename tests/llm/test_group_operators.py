@@ -260,14 +260,14 @@ def nearest_by_brute_force(ids, x, i, k=5):
 def test_neighbours_among_copies(spark):
     draws = np.random.default_rng(5)
     one, other = draws.normal(size=(2, 8))
-    x = np.concatenate([np.repeat(one[None], 1500, 0), other + draws.normal(size=(1500, 8)) * 1e-4, draws.normal(size=(1000, 8))])
+    x = np.concatenate([np.repeat(one[None], 3000, 0), other + draws.normal(size=(1500, 8)) * 1e-4, draws.normal(size=(1000, 8))])
     ids = draws.permutation(len(x)).tolist()
-    asked = {ids[i]: i for i in [*range(0, 1500, 300), *range(1500, 3000, 100)]}
+    asked = {ids[i]: i for i in [*range(0, 3000, 600), *range(3000, 4500, 100)]}
     rows = spark.createDataFrame([(n, v.tolist(), n in asked) for n, v in zip(ids, x)], "vec_id long, embedding array<double>, asks boolean")
     found = defaultdict(list)
     for r in ann.search_neighbours(rows, F.col("asks")).orderBy("query_id", "rank").collect():
         found[r["query_id"]].append(r["vec_id"])
-    copies = [n for n, i in asked.items() if i < 1500]
+    copies = [n for n, i in asked.items() if i < 3000]
     assert all(found[n] == nearest_by_brute_force(ids, x, asked[n]) for n in copies)
     assert np.mean([len(set(found[n]) & set(nearest_by_brute_force(ids, x, i))) / 5 for n, i in asked.items()]) >= 0.95
 
@@ -284,6 +284,18 @@ def test_neighbours_of_a_lonely_query(spark):
     assert found[400][0] == 401 and found[401][0] == 400
 
 
+LENGTHS = [(1, [1.0, 0.0]), (2, [1.0, 0.5]), (3, [0.0, 1.0]), (10, [1.0, 2.0, 3.0]), (11, [1.0, 2.0, 3.0]), (12, [1.0])]
+
+
+def test_vectors_of_every_length(spark):
+    """Vectors meet those of their own length only, and none is left out for its length."""
+    rows = spark.createDataFrame([(i, v, 1) for i, v in LENGTHS], "vec_id long, embedding array<float>, label int")
+    found = [(r["query_id"], r["vec_id"]) for r in ann.search_neighbours(rows, F.lit(True)).orderBy("query_id", "rank").collect()]
+    assert found == [(1, 2), (1, 3), (2, 1), (2, 3), (3, 2), (3, 1), (10, 11), (11, 10)]
+    linked = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in hnsw.near_duplicate_vectors(rows).collect()}
+    assert linked == {1: (0, 1), 2: (0, 2), 3: (0, 3), 10: (1, 10), 11: (1, 10), 12: (0, 12)}
+
+
 def plain_links(ids, labels, x, least):
     same = np.array(labels)[:, None] == np.array(labels)[None]
     near = (x @ x.T >= least) & same

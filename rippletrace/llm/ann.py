@@ -248,8 +248,9 @@ def _search(rows: DataFrame, asked: DataFrame, n_asked: int, d: int, k: int, dep
                 yield pd.DataFrame({"id": pdf["id"], "cell": cell.astype("int32"), "codes": [c.tobytes() for c in codes], "missed": missed, "x": [v.tobytes() for v in x]})
 
     coded = materialise(rows.mapInPandas(code, "id long, cell int, codes binary, missed double, x binary"), "ann-coded")
-    sizes = coded.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))  # a row per cell
-    salted = coded.join(sizes, "cell").withColumn("salt", F.pmod(F.xxhash64("x"), F.ceil(F.col("n") / BLOCK_ROWS)))
+    sizes = coded.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    # A row per cell, of which there are 4,096 at most. A shuffle by cell would deal whole cells to tasks.
+    salted = coded.join(F.broadcast(sizes), "cell").withColumn("salt", F.pmod(F.xxhash64("x"), F.ceil(F.col("n") / BLOCK_ROWS)))
     blocks = np.zeros(len(model.coarse), "int32")
     for r in sizes.collect():  # a row per cell
         blocks[r["cell"]] = -(-r["n"] // BLOCK_ROWS)

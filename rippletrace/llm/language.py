@@ -103,23 +103,27 @@ def fit_languages(
     reject_share: float = 0.001,
     folds: int = 4,
     held_out: int | None = 2,
+    max_languages: int = 1000,
 ) -> Centroids:
-    """Fit centroids on about ``per_language`` rows of each language, picked by a hash of the key.
-
-    That is the bound of the sample. Rows with crc32(key) mod ``folds`` =
-    ``held_out`` and rows without a language are never looked at. Each language
-    is clustered in a task of its own, and the driver gets ``clusters`` vectors
-    for each. A text's centroid rejects what is less similar to it than all but
+    """Fit centroids on about ``per_language`` rows of each language, picked by a hash of key and text.
+
+    That is the bound of the sample, with ``max_languages``: of more languages
+    those with the most rows are learned. Rows that are equal in key and text
+    count as one, so that null or repeated keys cannot enlarge it. Rows with
+    crc32(key) mod ``folds`` = ``held_out`` and rows without a language are
+    never looked at. Each language is clustered in a task of its own, and the
+    driver gets ``clusters`` vectors for each. A text's centroid rejects what is less similar to it than all but
     ``reject_share`` of its own rows. Without such rows nothing is learned and
     every text is ``und``.
     """
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(lang).cast("string").alias("lang"), text).where(F.col("lang").isNotNull())
     if held_out is not None:
         rows = rows.where(fold("k", folds) != held_out)
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("lang", "of")
-    picked = F.pmod(F.xxhash64("k", F.lit("sample")), F.lit(1 << 30)) < F.lit(float(per_language << 30)) / F.col("n")
-    # One row per language, of which the driver gets whole vectors further down.
-    sample = rows.join(F.broadcast(sizes), F.col("lang") == F.col("of")).where(picked).select("lang", text)
+    sizes = rows.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "of").limit(max_languages)
+    rows = rows.withColumn("h", F.xxhash64(text))
+    picked = F.pmod(F.xxhash64("k", "h", F.lit("sample")), F.lit(1 << 30)) < F.lit(float(per_language << 30)) / F.col("n")
+    # One row per language, max_languages at most.
+    sample = rows.join(F.broadcast(sizes), F.col("lang") == F.col("of")).where(picked).dropDuplicates(["lang", "k", "h"]).select("lang", text)
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

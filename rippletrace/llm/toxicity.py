@@ -1,10 +1,13 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
-Terms are a text's words and their first four and five letters, hashed. A
-distributed count per term picks those that tell the labels apart most; over
-these the machine learns a weight for each term and a short vector for each,
-whose inner products are the weights of pairs. An insult next to the mention of
-a group can so weigh more than both do alone.
+Terms are a text's words and their first four and five letters, hashed into a
+fixed number of buckets. The machine learns a weight for each bucket and a short
+vector for each, whose inner products are the weights of pairs. An insult next
+to the mention of a group can so weigh more than both do alone.
+
+No term is left out. What keeps the many rare ones from being learned by heart
+is the size of their input: it grows with how well a term tells the labels apart
+by itself, or, as a term may matter in pairs only, with how often it occurs.
 """
 
 from __future__ import annotations
@@ -23,73 +26,136 @@ from pyspark.sql import types as T
 
 from rippletrace.llm.common import add_columns, fold, materialise
 
-BUCKETS = 1 << 22
+BUCKETS = 1 << 18
 PREFIXES = (4, 5)
 _WORD = re.compile(r"\w+")
 
 
 def term_ids(word: str) -> list[int]:
-    """Hashed ids of a lower-case word and of its prefixes, in separate name spaces."""
+    """Buckets of a lower-case word and of its prefixes, in separate name spaces."""
     terms = [f"w {word}", *(f"{n} {word[:n]}" for n in PREFIXES if len(word) >= n)]
     return [zlib.crc32(t.encode("utf-8", "surrogatepass")) % BUCKETS for t in terms]
 
 
+class TermTable:
+    """The buckets of words seen before, for many texts at once; it is emptied beyond ``most`` words."""
+
+    def __init__(self, most: int = 300_000) -> None:
+        self.most, self.place, self.buckets = most, {}, np.zeros((1024, 1 + len(PREFIXES)), "int32")
+
+    def _add(self, word: str) -> int:
+        at = self.place[word] = len(self.place)
+        if at == len(self.buckets):
+            self.buckets = np.concatenate([self.buckets, np.zeros_like(self.buckets)])
+        ids = term_ids(word)
+        self.buckets[at] = ids + ids[:1] * (1 + len(PREFIXES) - len(ids))
+        return at
+
+    def rows(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted different pairs (text, bucket), as two arrays."""
+        words, n, place = [], np.zeros(len(texts), "int64"), self.place
+        for i, t in enumerate(texts):
+            found = set(_WORD.findall(t.lower())) if t else ()
+            n[i] = len(found)
+            for w in found:
+                at = place.get(w)
+                words.append(self._add(w) if at is None else at)
+        of = np.repeat(np.arange(len(texts)), n * self.buckets.shape[1])
+        pairs = np.unique(of * BUCKETS + self.buckets[np.array(words, "int64")].ravel())
+        if len(place) > self.most:
+            place.clear()
+        return pairs // BUCKETS, (pairs % BUCKETS).astype("int32")
+
+
 @dataclass
 class FactorizationMachine:
-    """Terms are positions in ``terms``, the sorted ids; inputs are their presence."""
+    """``theta`` has a row for each bucket: its weight, then its vector, both times the size of the bucket's input."""
 
-    terms: np.ndarray
     bias: float
-    weight: np.ndarray
-    factor: np.ndarray
-
-    def scores(self, rows: list[list[int]]) -> np.ndarray:
-        """Probability of label 1 for rows of term positions, each without repeats."""
-        n = np.fromiter(map(len, rows), "int64", len(rows))
-        z = np.full(len(rows), self.bias)
-        full = np.flatnonzero(n)
-        if len(full):
-            flat = np.fromiter((i for r in rows for i in r), "int64", int(n.sum()))
-            at = np.concatenate([[0], np.cumsum(n[full])[:-1]])
-            v = self.factor[flat]
-            pairs = (np.add.reduceat(v, at, axis=0) ** 2 - np.add.reduceat(v**2, at, axis=0)).sum(axis=1) / 2
-            z[full] += np.add.reduceat(self.weight[flat], at) + pairs
+    theta: np.ndarray
+
+    def scores(self, n: int, row: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """Probability of label 1 for ``n`` rows, given the sorted pairs (row, bucket) of what they hold."""
+        z = np.full(n, self.bias)
+        if len(row):
+            full, at = np.unique(row, return_index=True)
+            v = self.theta[bucket].astype("float64")
+            s, squares = np.add.reduceat(v, at, axis=0), np.add.reduceat(v[:, 1:] ** 2, at, axis=0)
+            z[full] += s[:, 0] + (s[:, 1:] ** 2 - squares).sum(axis=1) / 2
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def input_sizes(rows: list[np.ndarray], labels: np.ndarray, chi_half: float = 50.0, common: float = 500.0, most_common: float = 0.15) -> np.ndarray:
+    """The size of each bucket's input, 0 to 1.
+
+    It is (chi / (chi + ``chi_half``)) ** 1.5, chi being the chi square of the
+    table bucket x label, and at least ``most_common`` for what is in
+    ``common`` rows or more, in proportion for what is rarer.
+    """
+    n, bad = len(rows), float(labels.sum())
+    count = lambda part: np.bincount(np.concatenate([np.zeros(0, "int32"), *part]), minlength=BUCKETS).astype("float64")
+    seen, a = count(rows), count([r for r, y in zip(rows, labels) if y])
+    chi = n * (a * (n - bad) - (seen - a) * bad) ** 2 / (seen * (n - seen) * bad * (n - bad) + 1.0)
+    return np.maximum((chi / (chi + chi_half)) ** 1.5, most_common * np.minimum(1.0, seen / common))
+
+
+class Batch:
+    """Rows of a training step: entry i says that row ``row``[i] (sorted) holds the input used[inv[i]] with ``size``[i]."""
+
+    def __init__(self, rows: list[np.ndarray], labels: np.ndarray, sizes: np.ndarray) -> None:
+        flat, n = np.concatenate(rows), [len(r) for r in rows]
+        self.used, inv = np.unique(flat, return_inverse=True)
+        self.inv, self.size, self.labels = inv.astype("int32"), sizes[flat].astype("float32"), labels
+        self.row, self.at = np.repeat(np.arange(len(rows), dtype="int32"), n), np.concatenate([[0], np.cumsum(n)[:-1]])
+        self.order = np.argsort(inv, kind="stable").astype("int32")
+        self.starts = np.searchsorted(inv[self.order], np.arange(len(self.used)))
+
+    def logits(self, theta: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each row its logit and the sums of its inputs' vectors; each entry's vector. ``theta`` is that of ``used``."""
+        x = theta[self.inv] * self.size[:, None]
+        s = np.add.reduceat(x, self.at, axis=0)
+        pairs = (s[:, 1:] ** 2 - np.add.reduceat(x[:, 1:] ** 2, self.at, axis=0)).sum(axis=1) / 2
+        return bias + s[:, 0] + pairs, s, x
+
+    def gradient(self, theta: np.ndarray, bias: float, decay: float) -> tuple[np.ndarray, float]:
+        """Of the mean log loss plus ``decay`` / 2 times the squares of ``theta``, for theta and bias."""
+        z, s, x = self.logits(theta, bias)
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - self.labels) / len(self.labels)
+        each = s[self.row] - x
+        each[:, 0] = 1
+        each *= (g[self.row] * self.size)[:, None]
+        return np.add.reduceat(each[self.order], self.starts, axis=0) + decay * theta, float(g.sum())
+
+
 def train(
-    terms: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, rank: int = 6, epochs: int = 30, batch: int = 512, rate: float = 0.03, decay: float = 2e-4, seed: int = 5
+    rows: list[np.ndarray], labels: np.ndarray, rank: int = 6, visits: int = 60_000, batch: int = 256, rate: float = 0.3, decay: float = 1e-4, seed: int = 5
 ) -> FactorizationMachine:
-    """Fit by Adam on the log loss; ``rows`` hold positions in ``terms``."""
-    draws, m = np.random.default_rng(seed), len(terms)
-    share = min(max(float(labels.mean()), 1e-3), 1 - 1e-3) if len(labels) else 0.5
-    # One array: weights, then factors, then the bias in a row of its own.
-    theta = np.zeros((m + 1, 1 + rank))
-    theta[:m, 1:] = draws.normal(0, 0.05, (m, rank))
-    theta[m, 0] = np.log(share / (1 - share))
-    first, second, step = np.zeros_like(theta), np.zeros_like(theta), 0
-    for _ in range(epochs if len(rows) and m else 0):
-        order = draws.permutation(len(rows))
-        for at in range(0, len(order), batch):
-            part = order[at : at + batch]
-            x = np.zeros((len(part), m))
-            for i, r in enumerate(part):
-                x[i, rows[r]] = 1
-            w, v = theta[:m, 0], theta[:m, 1:]
-            s = x @ v
-            z = theta[m, 0] + x @ w + (s**2 - x @ v**2).sum(axis=1) / 2
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[part]) / len(part)
-            grad = np.zeros_like(theta)
-            gx = g @ x
-            grad[:m, 0] = gx
-            grad[:m, 1:] = x.T @ (g[:, None] * s) - gx[:, None] * v
-            grad[m, 0] = g.sum()
-            grad[:m] += decay * theta[:m]
-            step += 1
-            first = 0.9 * first + 0.1 * grad
-            second = 0.999 * second + 0.001 * grad**2
-            theta -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return FactorizationMachine(terms, float(theta[m, 0]), theta[:m, 0].copy(), theta[:m, 1:].copy())
+    """Fit by Adagrad on the log loss; ``rows`` hold buckets, each once.
+
+    There are 20 epochs, fewer for more than ``visits`` / 20 rows, but 6 at least.
+    """
+    draws, n = np.random.default_rng(seed), len(rows)
+    share = min(max(float(labels.mean()), 1e-3), 1 - 1e-3) if n else 0.5
+    bias, theta = float(np.log(share / (1 - share))), np.zeros((BUCKETS, 1 + rank))
+    if not 0 < labels.sum() < n:
+        return FactorizationMachine(bias, theta.astype("float32"))
+    sizes = input_sizes(rows, labels)
+    theta[:, 1:] = draws.normal(0, 0.05, (BUCKETS, rank))
+    squares, bias_squares = np.full(theta.shape, 1e-8), 1e-8
+    order, parts = draws.permutation(n), []
+    for i in range(0, n, batch):
+        part = [j for j in order[i : i + batch] if len(rows[j])]
+        if part:
+            parts.append(Batch([rows[j] for j in part], labels[part], sizes))
+    for _ in range(int(np.clip(visits // n, 6, 20))):
+        for i in draws.permutation(len(parts)):
+            used = parts[i].used
+            g, g_bias = parts[i].gradient(theta[used], bias, decay)
+            squares[used] += g**2
+            theta[used] -= rate * g / np.sqrt(squares[used])
+            bias_squares += g_bias**2
+            bias -= rate * g_bias / np.sqrt(bias_squares)
+    return FactorizationMachine(bias, (theta * sizes[:, None]).astype("float32"))
 
 
 def fit_toxicity(
@@ -99,8 +165,7 @@ def fit_toxicity(
     text: str = "text",
     label: str = "toxic",
     max_rows: int = 20_000,
-    max_terms: int = 1_000,
-    least_chi: float = 20.0,
+    max_entries: int = 20_000_000,
     folds: int = 3,
     held_out: int | None = 1,
 ) -> FactorizationMachine:
@@ -108,15 +173,14 @@ def fit_toxicity(
 
     Rows with crc32(key) mod ``folds`` = ``held_out`` are never looked at. At
     most ``max_rows`` labelled rows are used, those with the smallest hash of
-    their key; that is the bound of the sample. Their texts are read whole.
-    Counts per term are made by Spark; the driver gets ``max_terms`` terms and
-    the sample's rows reduced to these. A term whose chi square is below
-    ``least_chi`` isn't learned: of the hundreds of thousands of terms that a
-    sample has, a few reach that by chance.
+    their key, and of these as many as hold ``max_entries`` different terms of a
+    text together: that is the bound of the sample, and of what the driver gets.
+    Their texts are read whole, and no term is left out.
 
     Null labels and keys are ignored. If a key has several labels the largest
-    counts; if it has several documents each is a row. Without labels, or with
-    labels of one kind, scores are that kind's share for every text.
+    counts; if it has several documents each different text is a row, and equal
+    rows count as often as they are there. Without labels, or with labels of one
+    kind, scores are that kind's share for every text.
     """
     known = labels.select(F.col(key).cast("long").alias("k"), F.col(label).cast("int").alias("y")).dropna()
     if held_out is not None:
@@ -127,31 +191,20 @@ def fit_toxicity(
     chosen = docs.select(F.col(key).cast("long").alias("k"), text).join(sample, "k")
 
     def terms_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = TermTable()
         for pdf in batches:
-            found = [sorted({i for w in set(_WORD.findall(t.lower() if t else "")) for i in term_ids(w)}) for t in pdf[text]]
-            yield pd.DataFrame({"y": pdf["y"], "terms": found})
-
-    rows = materialise(chosen.select("y", text).mapInPandas(terms_of, "y int, terms array<int>"), "toxicity-terms")
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("bad")).first()
-    n, bad = total["n"], total["bad"]
-    seen = rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("bad"))
-    # Chi square of the table term x label.
-    a, r = F.col("bad"), F.col("n")
-    chi = F.lit(float(n)) * (a * (n - bad) - (r - a) * bad) ** 2 / (r * (n - r) * float(bad) * float(n - bad) + 1.0)
-    best = seen.withColumn("chi", chi).where(F.col("chi") >= least_chi).orderBy(F.desc("chi"), "term").limit(max_terms)
-    terms = np.array(sorted(x["term"] for x in best.collect()), "int64") if 0 < bad < n else np.zeros(0, "int64")
-    if not len(terms):
-        share = (bad + 0.5) / (n + 1) if n else 0.0
-        return FactorizationMachine(terms, float(np.log(max(share, 1e-9) / (1 - share))), np.zeros(0), np.zeros((0, 1)))
-
-    def positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"y": pdf["y"], "at": [np.flatnonzero(np.isin(terms, t, assume_unique=True)).astype("int32") for t in pdf["terms"]]})
+            row, bucket = table.rows(pdf[text].tolist())
+            terms = np.split(bucket, np.searchsorted(row, np.arange(1, len(pdf))))
+            yield pd.DataFrame({"k": pdf["k"], "y": pdf["y"], "n": [len(t) for t in terms], "terms": [t.tobytes() for t in terms]})
 
-    data = rows.mapInPandas(positions, "y int, at array<int>").toPandas()
-    data["order"] = [zlib.crc32(np.asarray(x, "int32").tobytes()) for x in data["at"]]
-    data = data.sort_values(["order", "y"], kind="stable", ignore_index=True)
-    return train(terms, [np.asarray(x, "int64") for x in data["at"]], data["y"].to_numpy("float64"))
+    rows = chosen.select("k", "y", text).mapInPandas(terms_of, "k long, y int, n long, terms binary")
+    rows = materialise(rows.withColumns({"h": F.xxhash64("k"), "tie": F.xxhash64("terms")}), "toxicity-terms")
+    # Keys may repeat in the documents, so that rows are bounded once more.
+    order = ["h", "k", "tie", "y"]
+    sizes = rows.select(*order, "n").orderBy(*order).limit(max_rows).toPandas()
+    taken = int((sizes["n"].cumsum() <= max_entries).sum())
+    data = rows.orderBy(*order).limit(taken).select("y", "terms").toPandas() if taken else pd.DataFrame({"y": [], "terms": []})
+    return train([np.frombuffer(t, "int32") for t in data["terms"]], data["y"].to_numpy("float64"))
 
 
 def score_toxicity(
@@ -161,33 +214,15 @@ def score_toxicity(
 
     A null or empty text has no terms and gets the score of the bias alone. The
     new column replaces one of that name; other columns pass unchanged, whatever
-    they hold. Repeated rows score alike; an empty table gives an empty table.
-    The model, of fixed size, is a broadcast variable; a task holds one batch
-    and a bounded table of words. With ``keep``, only those columns of the input
-    are returned.
+    they hold. Repeated rows and texts with the same terms score alike; an empty
+    table gives an empty table. The model, of fixed size, is a broadcast
+    variable; a task holds one batch and a bounded table of words. With
+    ``keep``, only those columns of the input are returned.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():
-        model = shared.value
-        place = {int(t): i for i, t in enumerate(model.terms)}
-        known: dict[str, list[int]] = {}
-
-        def make(texts: list) -> list[list]:
-            rows = []
-            for t in texts:
-                found: set[int] = set()
-                for w in set(_WORD.findall(t.lower())) if t else ():
-                    at = known.get(w)
-                    if at is None:
-                        at = known[w] = [place[i] for i in term_ids(w) if i in place]
-                    if at:
-                        found.update(at)
-                rows.append(sorted(found))
-                if len(known) > 500_000:
-                    known.clear()
-            return [model.scores(rows).tolist()]
-
-        return make
+        model, table = shared.value, TermTable()
+        return lambda texts: [model.scores(len(texts), *table.rows(texts)).tolist()]
 
     return add_columns(docs, text, start, [(into, T.DoubleType(), pa.float64())], keep)

@@ -347,12 +347,71 @@ def _labelled(spark, n=400):
     return docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
 
 
-def test_machine_learns_a_pair(spark):
-    docs, labels = _labelled(spark)
-    model = toxicity.fit_toxicity(docs, labels, least_chi=5.0)
+def held_out_accuracy(spark, docs, labels):
+    model = toxicity.fit_toxicity(docs, labels)
     scored = toxicity.score_toxicity(docs, model).join(labels, "doc_id").toPandas()
     held = scored[[zlib.crc32(str(i).encode()) % 3 == 1 for i in scored["doc_id"]]]
-    assert ((held["toxicity"] >= 0.5) == (held["toxic"] == 1)).mean() > 0.98
+    return ((held["toxicity"] >= 0.5) == (held["toxic"] == 1)).mean()
+
+
+def test_machine_learns_a_pair(spark):
+    assert held_out_accuracy(spark, *_labelled(spark)) > 0.98
+
+
+def test_machine_learns_what_only_a_pair_tells(spark):
+    """Label 1 for both words or neither: each word by itself says nothing."""
+    draws, rows = random.Random(3), []
+    for i in range(1500):
+        a, b = draws.random() < 0.5, draws.random() < 0.5
+        words = ["alpha"] * a + ["beta"] * b + [f"word{draws.randrange(300)}" for _ in range(20)]
+        rows.append((i, " ".join(words), int(a == b)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert held_out_accuracy(spark, df.drop("toxic"), df.drop("text")) > 0.98
+
+
+def plain_logit(machine, text):
+    """The sum over terms and over all pairs of terms."""
+    terms = sorted({i for w in re.findall(r"\w+", (text or "").lower()) for i in toxicity.term_ids(w)})
+    z = machine.bias + sum(float(machine.theta[i, 0]) for i in terms)
+    return z + sum(float(machine.theta[a, 1:].astype("float64") @ machine.theta[b, 1:]) for n, a in enumerate(terms) for b in terms[n + 1 :])
+
+
+def test_scores_are_sums_over_pairs():
+    draws = np.random.default_rng(1)
+    machine = toxicity.FactorizationMachine(-0.3, draws.normal(0, 0.2, (toxicity.BUCKETS, 5)).astype("float32"))
+    texts = ["", None, "Same same, words words; same", "a bc défghi ??", "x" * 9, "tie tie", "tie"] + [" ".join(f"w{i}" for i in draws.integers(0, 50, 30)) for _ in range(20)]
+    table = toxicity.TermTable(most=20)
+    for part in (texts, texts[::-1]):
+        found = machine.scores(len(part), *table.rows(part))
+        assert found == pytest.approx([1 / (1 + np.exp(-plain_logit(machine, t))) for t in part], abs=1e-6)
+
+
+def test_gradient_equals_differences():
+    draws = np.random.default_rng(2)
+    rows = [np.sort(draws.choice(12, n, replace=False)).astype("int32") for n in (1, 3, 12, 5)]
+    part = toxicity.Batch(rows, np.array([1.0, 0, 1, 0]), draws.random(12))
+    theta, bias, decay, step = draws.normal(0, 0.5, (len(part.used), 4)), 0.2, 0.01, 1e-6
+
+    def loss(t, b):
+        z = part.logits(t, b)[0]
+        return float(np.mean(np.log1p(np.exp(z)) - part.labels * z) + decay / 2 * (t**2).sum())
+
+    found, found_bias = part.gradient(theta, bias, decay)
+    assert found_bias == pytest.approx((loss(theta, bias + step) - loss(theta, bias - step)) / (2 * step), abs=1e-5)
+    for at in np.ndindex(theta.shape):
+        d = np.zeros_like(theta)
+        d[at] = step
+        assert found[at] == pytest.approx((loss(theta + d, bias) - loss(theta - d, bias)) / (2 * step), abs=1e-5)
+
+
+def test_sample_of_labels_is_bounded(spark):
+    docs, labels = _labelled(spark, 60)
+    twice = docs.union(docs.withColumn("text", F.repeat("text", 3000)))  # long texts and repeated keys
+    whole = toxicity.fit_toxicity(twice, labels, held_out=None)
+    few = toxicity.fit_toxicity(twice, labels, held_out=None, max_rows=10, max_entries=50)
+    again = toxicity.fit_toxicity(twice.repartition(7), labels.repartition(3), held_out=None)
+    assert np.array_equal(whole.theta, again.theta) and not np.array_equal(whole.theta, few.theta)
+    assert np.isfinite(few.theta).all()
 
 
 def test_toxicity_edge_rows(spark):
@@ -368,13 +427,26 @@ def test_toxicity_edge_rows(spark):
 def test_held_out_labels_are_not_used(spark):
     docs, labels = _labelled(spark, 200)
     lied = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
-    a, b = (toxicity.fit_toxicity(docs, x, least_chi=5.0) for x in (labels, lied))
-    assert np.array_equal(a.terms, b.terms) and np.allclose(a.weight, b.weight)
+    a, b = (toxicity.fit_toxicity(docs, x) for x in (labels, lied))
+    assert a.bias == b.bias and np.array_equal(a.theta, b.theta) and a.theta.any()
 
 
 # Language
 
 
+def test_language_sample_is_bounded(spark):
+    """Rows that share a null key aren't picked all or none, and equal rows count once."""
+    words = {"aa": "abcde", "bb": "vwxyz"}
+    draws = random.Random(1)
+    rows = [(None, " ".join("".join(draws.choices(words[n], k=4)) for _ in range(9)), n) for n in words for _ in range(600)]
+    rows += [(7, "abc abc", "aa")] * 500 + [(8, "lonely", "cc"), (9, "nothing", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit_languages(docs, per_language=100, max_languages=2)
+    assert sorted(set(model.langs)) == ["aa", "bb"]
+    assert [model.predict(t)[0] for t in ("abba cadab", "xyz vwx", None, "12 !?", "")] == ["aa", "bb", "und", "und", "und"]
+    assert model.predict("abba cadab") == model.predict("abba cadab")
+
+
 def test_language_accuracy(spark, sf_dir):
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     held = [r for r in queries.QUERIES["op8_language"](spark, sf_dir).collect() if r["held_out"]]

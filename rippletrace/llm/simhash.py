@@ -1,21 +1,27 @@
 """Near duplicates by SimHash, linked through an inverted index of byte positions.
 
 Two 64-bit fingerprints that differ in two bits or fewer share at least six of
-their eight bytes, position by position. The index therefore posts a fingerprint
-under combinations of positional bytes: with the bytes taken as four pairs, two
-of the pairs are always shared in full. Candidates from a posting have their
-shared positional bytes counted, those with six or more are verified.
-
-A posting with many fingerprints, as a large group of near copies makes, isn't
-paired off. There each fingerprint is posted again under the values that its
-other four bytes have with at most one bit flipped. Two fingerprints meet under
-such a value if and only if they differ in two bits or fewer, and at most 33
-can meet, so this is exact and linear.
+their eight bytes, position by position. The index posts a fingerprint under
+combinations of positional bytes, and is refined from coarse to fine:
+
+1. Of the bytes taken as four pairs, two pairs are always shared in full. A
+   fingerprint that is alone under all six combinations has no partner.
+2. What is left of each posting is posted again with two of its other bytes, so
+   that all of its entries share six bytes.
+3. Each of these is split by further positions: one more byte, or, for pairs
+   that differ by a bit in both of the other bytes, the half of each of the two
+   that is equal. Such a posting holds at most 256 fingerprints, whatever the
+   number of documents.
+
+The postings in which a pair meets tell which bytes it shares. Their tally must
+reach the six that are guaranteed; then the pair is verified.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,10 +32,6 @@ from pyspark.sql import types as T
 from rippletrace.llm.common import add_columns, materialise
 from rippletrace.llm.components import connected_components
 
-PAIRS = list(itertools.combinations(range(4), 2))
-LARGE_POSTING = 64
-
-
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     """SimHash of a text's word shingles, as an unsigned 64-bit number; 0 without words."""
     found = text.encode().lower().split() if text else []  # bytes: only A-Z and ASCII white space count
@@ -57,65 +59,63 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     return add_columns(keyed, text, start, [("fp", T.LongType(), pa.int64())], [key])
 
 
-def _pair(fp: Column, i: int) -> Column:
-    """Bytes 2 i and 2 i + 1 of a fingerprint."""
-    return F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF))
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _posted(fps: DataFrame, open_: Sequence[tuple[int, ...]]) -> DataFrame:
+    """A posting (at, shared) of each fingerprint for each combination ``at`` of open positions; the others are shared."""
+    masks = [sum(0xFF << 8 * p for p in o) for o in open_]
+    posts = [F.struct(F.array(*map(F.lit, o)).alias("at"), F.col("fp").bitwiseAND(F.lit(_signed(~m & (1 << 64) - 1))).alias("shared")) for o, m in zip(open_, masks)]
+    return fps.select("fp", F.inline(F.array(*posts)))
 
 
-def _shared_bytes(x: Column) -> Column:
-    """How many of the eight bytes of an exclusive or are zero."""
-    out = F.lit(0)
-    for i in range(8):
-        out = out + F.when(F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(0xFF)) == 0, 1).otherwise(0)
-    return out
+def _not_alone(postings: DataFrame, *keys: str) -> DataFrame:
+    """The entries of postings that hold several fingerprints."""
+    several = postings.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
+    return postings.join(several.hint("shuffle_hash"), list(keys))
+
+
+def _split(fp: Column, i: Column, j: Column) -> Column:
+    """Postings (positions, mask, key) under six shared bytes: by byte i or byte j as well, or by a half of each of the two.
+
+    ``positions`` has a bit for each byte that is shared in full, ``mask`` the
+    bits that are left open, and ``key`` all other bits.
+    """
+    take = lambda values, at: F.get(F.array(*[F.lit(_signed(v)) for v in values]), at)
+    byte = lambda at, width, up: take([width << 8 * p + up for p in range(8)], at)
+    lost = lambda at: take([1 << p for p in range(8)], at)
+    rows = [(F.lit(255) - lost(at), byte(at, 0xFF, 0)) for at in (i, j)]
+    rows += [(F.lit(255) - lost(i) - lost(j), byte(i, 0xF, x).bitwiseOR(byte(j, 0xF, y))) for x in (0, 4) for y in (0, 4)]
+    return F.array(*[F.struct(p.cast("long").alias("positions"), m.alias("mask"), fp.bitwiseAND(F.bitwise_not(m)).alias("key")) for p, m in rows])
 
 
-def fingerprint_links(distinct: DataFrame, bits: int = 2, large: int = LARGE_POSTING) -> DataFrame:
-    """Edges (a, b) that join all of ``distinct`` (fp) within ``bits`` bits, 0 to 2.
+def tallied_pairs(distinct: DataFrame) -> DataFrame:
+    """(a, b, shared): pairs of fingerprints that meet in a posting, and a bit for each position that they share there.
 
-    In postings of up to ``large`` fingerprints these are all such pairs; in
-    larger ones they are enough of them to connect what is within that distance.
+    All pairs of ``distinct`` (fp) within two bits are among them, each once.
     """
+    two_of_four = [tuple(p for q in two for p in (2 * q, 2 * q + 1)) for two in itertools.combinations(range(4), 2)]
+    coarse = materialise(_not_alone(_posted(distinct, two_of_four), "at", "shared").select("fp").distinct(), "simhash-coarse")
+    six = materialise(_not_alone(_posted(coarse, list(itertools.combinations(range(8), 2))), "at", "shared"), "simhash-six")
+    # A posting with seven shared bytes comes from each of the two bytes beside its own.
+    fine = six.select("fp", F.inline(_split(F.col("fp"), F.get("at", F.lit(0)), F.get("at", F.lit(1))))).distinct()
+    fine = materialise(_not_alone(fine, "mask", "key"), "simhash-fine")
+    other = fine.select("mask", "key", F.col("fp").alias("b"))
+    met = fine.withColumnRenamed("fp", "a").join(other, ["mask", "key"]).where(F.col("a") < F.col("b"))
+    return met.groupBy("a", "b").agg(F.bit_or("positions").alias("shared"))
+
+
+def fingerprint_links(distinct: DataFrame, bits: int = 2) -> DataFrame:
+    """All pairs (a, b), a < b, of ``distinct`` (fp) within ``bits`` bits, 0 to 2."""
     if bits not in (0, 1, 2):
         raise ValueError("bits must be 0, 1 or 2")
-    fp = F.col("fp")
-    posts = [
-        F.struct(
-            F.lit(n).alias("combo"),
-            F.shiftleft(_pair(fp, i), 16).bitwiseOR(_pair(fp, j)).alias("shared"),
-            F.shiftleft(_pair(fp, k), 16).bitwiseOR(_pair(fp, m)).alias("other"),
-        )
-        for n, (i, j) in enumerate(PAIRS)
-        for k, m in [sorted({0, 1, 2, 3} - {i, j})]
-    ]
-    index = materialise(distinct.select("fp", F.inline(F.array(*posts))), "simhash-index")
-    length = index.groupBy("combo", "shared").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    index = materialise(index.join(length, ["combo", "shared"]), "simhash-postings")
-    small, big = index.where(F.col("n") <= large), index.where(F.col("n") > large)
-
-    left = small.select("combo", "shared", F.col("fp").alias("a"))
-    right = small.select(F.col("combo").alias("c"), F.col("shared").alias("s"), F.col("fp").alias("b"))
-    differ = F.col("a").bitwiseXOR(F.col("b"))
-    near = (_shared_bytes(differ) >= 8 - bits) & (F.bit_count(differ) <= bits)
-    links = left.join(right, (F.col("combo") == F.col("c")) & (F.col("shared") == F.col("s")) & (F.col("a") < F.col("b")) & near).select("a", "b")
-
-    if bits == 2:
-        flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)])
-        variants = F.transform(flips, lambda x: F.col("other").bitwiseXOR(x))
-        met = big.select("combo", "shared", "fp", F.explode(variants).alias("variant"))
-        met = met.groupBy("combo", "shared", "variant").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-        more = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where(F.col("a") < F.col("b"))
-    else:
-        # With one bit, one fingerprint is the other's variant.
-        flips = F.array(*[F.lit(1 << i).cast("long") for i in range(32)] if bits else [F.lit(None).cast("long")])
-        variants = F.transform(flips, lambda x: F.col("other").bitwiseXOR(x))
-        met = big.select("combo", "shared", F.col("fp").alias("a"), F.explode(variants).alias("other"))
-        more = met.join(big.withColumnRenamed("fp", "b"), ["combo", "shared", "other"]).where(F.col("a") < F.col("b")).select("a", "b")
-    return links.unionByName(more)
+    enough = F.bit_count("shared") >= 8 - bits
+    return tallied_pairs(distinct).where(enough).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits).select("a", "b")
 
 
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, seed: int = 42, bits: int = 2, large: int = LARGE_POSTING
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, seed: int = 42, bits: int = 2
 ) -> DataFrame:
     """(``key``, fp, component_id) for each row: the smallest key reachable by links.
 
@@ -128,7 +128,7 @@ def near_duplicates(
     """
     prints = materialise(fingerprints(docs, key, text, words, seed), "simhash-prints")
     distinct = materialise(prints.groupBy("fp").agg(F.min(key).alias("first")), "simhash-distinct")
-    labels = connected_components(fingerprint_links(distinct.select("fp"), bits, large))
+    labels = connected_components(fingerprint_links(distinct.select("fp"), bits))
     of = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     of = materialise(of, "simhash-components")
     ids = of.groupBy("component").agg(F.min("first").alias("component_id"))

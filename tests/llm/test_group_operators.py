@@ -178,9 +178,8 @@ def test_simhash_of_documents(spark, sf_dir):
         assert rows[i]["fingerprint"] == f"{prints[i]:016x}" and rows[i]["component_id"] == expected[i]
 
 
-@pytest.mark.parametrize("large", [0, 4, 1000])
-@pytest.mark.parametrize("bits", [1, 2])
-def test_links_of_fingerprints(spark, bits, large):
+@pytest.mark.parametrize("bits", [0, 1, 2])
+def test_links_of_fingerprints(spark, bits):
     draws = random.Random(bits)
     prints = set()
     for _ in range(12):
@@ -191,10 +190,28 @@ def test_links_of_fingerprints(spark, bits, large):
                 x ^= 1 << draws.randrange(64)
     prints = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
     near = [(a, b) for i, a in enumerate(prints) for b in prints[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= bits]
-    links = simhash.fingerprint_links(spark.createDataFrame([(p,) for p in prints], "fp long"), bits, large)
-    found = [tuple(r) for r in links.collect()]
-    assert {(min(e), max(e)) for e in found} <= set(near)
-    assert roots(prints, found) == roots(prints, near)
+    found = [tuple(r) for r in simhash.fingerprint_links(spark.createDataFrame([(p,) for p in prints], "fp long"), bits).collect()]
+    assert len(found) == len(set(found)) and set(found) == set(near)
+
+
+def test_postings_of_a_dense_group_are_split(spark):
+    """Thousands of fingerprints share six bytes; none of the postings that are paired off holds more than 256 of them."""
+    x = np.array([0x0123456789ABCDEF ^ (a << 16) ^ (b << 56) for a in range(256) for b in range(16)], "uint64")
+    bits = np.array([bin(v).count("1") for v in range(256)])
+    apart = np.zeros((len(x), len(x)), "int64")
+    for shift in (16, 56):
+        byte = ((x >> np.uint64(shift)) & np.uint64(255)).astype("int64")
+        apart += bits[byte[:, None] ^ byte[None]]
+    prints = spark.createDataFrame([(int(v),) for v in x.astype("int64")], "fp long")
+    pairs = simhash.tallied_pairs(prints).cache()
+    assert pairs.where("bit_count(shared) < 6").count() == 0 and pairs.count() < len(x) * (128 + 256)
+    assert simhash.fingerprint_links(prints).count() == (np.triu(apart <= 2, 1)).sum()
+
+
+def test_simhash_of_a_very_long_text():
+    draws = random.Random(4)
+    text = " ".join(draws.choice(["Words", "and", "more", "of", "THEM"]) for _ in range(100_000))
+    assert simhash.fingerprint(text) == plain_fingerprint(text)
 
 
 def test_simhash_edge_rows(spark):

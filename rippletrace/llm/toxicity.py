@@ -164,8 +164,8 @@ def fit_toxicity(
     key: str = "doc_id",
     text: str = "text",
     label: str = "toxic",
-    max_rows: int = 20_000,
-    max_entries: int = 20_000_000,
+    max_rows: int = 12_000,
+    max_entries: int = 6_000_000,
     folds: int = 3,
     held_out: int | None = 1,
 ) -> FactorizationMachine:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from rippletrace.sources.tables import save_step as materialise
 from rippletrace.sources.tables import shared_dir
 
-__all__ = ["add_columns", "fold", "materialise", "shared_dir", "table"]
+__all__ = ["add_columns", "fold", "free_name", "materialise", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -21,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def free_name(name: str, taken: Sequence[str]) -> str:
+    """``name``, with as many underscores at its end as it takes to differ from all of ``taken`` in any case of letters."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def fold(key_column: str, modulus: int):
     """crc32 of a key's decimal text, modulo ``modulus``; null keys count as the empty text."""
     return F.crc32(F.coalesce(F.col(key_column).cast("string"), F.lit("")).cast("binary")) % modulus

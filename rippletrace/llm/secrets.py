@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from rippletrace.llm.common import add_columns
+from rippletrace.llm.common import add_columns, free_name
 
 #: The plain patterns, in the order in which kinds are listed.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -236,12 +236,6 @@ SPANS = T.ArrayType(T.StructType([T.StructField(n, t) for n, t, _ in SPAN_FIELDS
 ARROW_SPANS = pa.list_(pa.struct([(n, t) for n, _, t in SPAN_FIELDS]))
 
 
-def _free(name: str, taken: list[str]) -> str:
-    while name in taken:
-        name += "_"
-    return name
-
-
 def scan_secrets(
     docs: DataFrame, text: str = "text", into: str = "secret_spans", redact: str | None = None, keep: Sequence[str] | None = None
 ) -> DataFrame:
@@ -259,7 +253,7 @@ def scan_secrets(
     may hold nulls and have any names. One pass without a shuffle; a task holds
     one Arrow batch of rows.
     """
-    column = _free(into, docs.columns)
+    column = free_name(into, docs.columns)
     new = [(column, SPANS, ARROW_SPANS)]
     if redact is not None:
         new.append((text, docs.schema[text].dataType, pa.string()))

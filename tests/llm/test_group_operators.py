@@ -2,14 +2,14 @@
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rippletrace.llm import ann, components, hnsw, mixing, queries, simhash, url_filter
+from rippletrace.llm import ann, components, hnsw, mixing, queries, secrets, simhash, url_filter
 
 
 def roots(nodes, edges):
@@ -160,10 +160,10 @@ def test_templates_are_rejected_by_purity(spark):
 # Near duplicates of texts
 
 
-def plain_fingerprint(text):
+def plain_fingerprint(text, n=3):
     text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
-    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    shingles = [" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] if words else []
     h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
@@ -354,21 +354,68 @@ def test_pipeline(spark, sf_dir):
     import corpus_pipeline as pipeline
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    extra = spark.createDataFrame([(None, None, None, None, None), (-5, "", None, "src0", 0)], docs.schema)
-    docs = docs.union(extra)
-    before = {r["doc_id"]: r for r in docs.collect()}
-    kept = docs
-    sizes = []
+    extra = spark.createDataFrame([(None, None, None, None, None), (-5, "", None, "src0", 0), (None, "A lonely text, whose key is missing.", "en", None, 3)], docs.schema)
+    # More columns, named as those that operators and stages use for themselves.
+    clashing = ["row", "toxicity", "secret_spans", "_spans", "copies", "fp", "component_id", "of", "times", "doc", "size"]
+    docs = docs.union(extra).withColumns({c: F.lit(i) for i, c in enumerate(clashing)})
+    texts = [r["text"] for r in docs.collect()]
+    kept, passed = docs, {}
     for name, stage in pipeline.STAGES[:-1]:
         kept = stage(spark, kept, sf_dir).cache()
         assert kept.columns == docs.columns, name
-        sizes.append(kept.count())
-        if name == "simhash_dedup":
-            prints = sorted((r["doc_id"], plain_fingerprint(r["text"])) for r in kept.collect() if r["doc_id"] is not None)
-            assert all((a ^ b).bit_count() > 2 for i, (_, a) in enumerate(prints) for _, b in prints[i + 1 :])
-    assert sizes[0] > 0.8 * len(before) and sizes[1] == sizes[2]
-    assert not [r for r in kept.collect() if r["text"] and re.search("AKIA[A-Z0-9]{14}", r["text"])]
-    texts = kept.select("text").collect()
+        passed[name] = kept.collect()
+        assert all(tuple(r[c] for c in clashing) == tuple(range(len(clashing))) for r in passed[name])
+
+    # Of each group of fingerprints within two bits the smallest doc_id is left.
+    rows = passed["toxicity"]
+    assert len(rows) > 0.8 * len(texts)
+    prints = [plain_fingerprint(r["text"], 5) for r in rows]
+    near = roots(range(len(rows)), [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if (prints[a] ^ prints[b]).bit_count() <= 2])
+    groups = defaultdict(list)
+    for i, root in near.items():
+        groups[root].append(rows[i]["doc_id"])
+    order = lambda x: (x is None, x or 0)
+    assert sorted((r["doc_id"] for r in passed["simhash_dedup"]), key=order) == sorted((min(g, key=order) for g in groups.values()), key=order)
+
+    # Every secret is masked, nothing else is changed.
+    before = Counter((r["doc_id"], r["text"] if r["text"] is None else secrets.redacted(r["text"], secrets.find_spans(r["text"]), pipeline.SECRET_MASK)) for r in passed["simhash_dedup"])
+    assert Counter((r["doc_id"], r["text"]) for r in passed["secrets"]) == before
+    assert all(r["n_chars"] == len(r["text"]) for r in passed["secrets"] if r["text"] and pipeline.SECRET_MASK in r["text"])
+
+    # Whole copies of what came in, at most twice, each source near its share.
+    mixed = Counter((r["doc_id"], r["text"]) for r in passed["mixing"])
+    assert all(n <= 2 and key in before for key, n in mixed.items())
+    words = lambda rows: Counter({s: sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in rows if r["source"] == s) for s in {r["source"] for r in rows}})
+    targets = {r["source"]: r["target"] for r in mixing.mix_sources(spark.createDataFrame(passed["secrets"], docs.schema)).select("source", "target").distinct().collect()}
+    longest = max(len((r["text"] or "").split()) for r in passed["secrets"])
+    found = words(passed["mixing"])
+    assert all(abs(found[s] - t) <= longest for s, t in targets.items())
+
     library = Tokenizer.from_file(public_tokenizers.path(pipeline.VOCABULARY))
-    expected = sorted(len(library.encode(r["text"] or "", add_special_tokens=False).ids) for r in texts)
-    assert sorted(r["n_tokens"] for r in pipeline.STAGES[-1][1](spark, kept, sf_dir).collect()) == expected
+    ids = lambda t: np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
+    last = pipeline.STAGES[-1][1](spark, kept, sf_dir).collect()
+    assert Counter((r["doc_id"], r["source"], bytes(r["token_ids"])) for r in last) == Counter((r["doc_id"], r["source"], ids(r["text"])) for r in passed["mixing"])
+
+
+def test_pipeline_on_an_empty_table(spark, sf_dir):
+    import corpus_pipeline as pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_pipeline_on_repeated_rows(spark, sf_dir):
+    """Rows that repeat, with and without a key: one of each group of copies stays, and each is mixed by itself."""
+    import corpus_pipeline as pipeline
+
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(40)]
+    rows = [(key, t, "en", "src0", len(t)) for i, t in enumerate(texts) for key in (None, None, 7, i + 100)]
+    docs = spark.createDataFrame(rows, schema)
+    kept = pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()
+    assert Counter(r["text"] for r in kept) == Counter(texts) and {r["doc_id"] for r in kept} == {7}
+    same = spark.createDataFrame([(None, texts[0], "en", s, 1) for s in ["src0"] * 300 + ["src1"] * 100], schema)
+    mixed = Counter(r["source"] for r in pipeline.mix(spark, same, sf_dir).collect())
+    # 600 of 400 documents' words; src0 weighs 5, src1 weighs 2 and stops at twice its size.
+    assert mixed == {"src0": pytest.approx(428.6, abs=1), "src1": pytest.approx(171.4, abs=1)}

@@ -29,12 +29,9 @@ def analyse(diffs: DataFrame, endpoints: DataFrame, references: DataFrame, thres
     of steps matters: first hits win, then the threshold applies. A change whose
     diff can't be parsed has no files and one error, and still a summary.
     """
-    lines = save_step(D.diff_lines(diffs), "diff-lines")
-    good = save_step(D.valid_lines(lines), "good-lines")
-    files = save_step(D.diff_files(good, compat), "files")
-    python = files.where("is_python").select(*D.KEYS, "file_idx", "path")
-    changed = D.changed_lines(good).select(*D.KEYS, "file_idx", "line_no").distinct()
-    changed = save_step(changed.join(python, [*D.KEYS, "file_idx"]), "changed")
+    parsed = save_step(D.parse_diffs(diffs), "parsed-diffs")
+    files = D.diff_files(parsed, compat)
+    changed = save_step(D.changed_in_python(parsed, compat), "changed")
     hits = I.above_threshold(I.all_hits(changed, endpoints, references), threshold)
     affected = save_step(I.with_reasons(hits, I.display_lines(changed, references), endpoints), "affected")
-    return Impact(affected, R.summary(diffs, files, affected, endpoints), files, D.diff_errors(lines))
+    return Impact(affected, R.summary(diffs, files, affected, endpoints), files, D.diff_errors(parsed))

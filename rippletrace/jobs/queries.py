@@ -25,10 +25,10 @@ _NAME = lambda p: f"string_split({p}, '/')[-1]"
 #: More tables for oracles: what the diffs hold, by how they were made.
 _MORE = f"""good AS (SELECT *, regexp_matches(name, '[^/]\\.py$') AS is_python FROM diff_plan WHERE change_id % 97 <> 0),
 changed AS (
-  SELECT repo, change_id, file_idx, name AS path, is_python, 'added' AS side, CASE WHEN change_type = 'added' THEN i ELSE start_line + i END AS line_no
+  SELECT repo, change_id, file_idx, name AS path, is_python, 'added' AS side, i AS nth, CASE WHEN change_type = 'added' THEN i ELSE start_line + i END AS line_no
   FROM (SELECT *, unnest(range(1, plus + 1)) AS i FROM good WHERE change_type <> 'deleted')
   UNION ALL
-  SELECT repo, change_id, file_idx, name, is_python, 'removed', CASE WHEN change_type = 'deleted' THEN i ELSE start_line + i END
+  SELECT repo, change_id, file_idx, name, is_python, 'removed', i, CASE WHEN change_type = 'deleted' THEN i ELSE start_line + i END
   FROM (SELECT *, unnest(range(1, CASE WHEN change_type = 'deleted' THEN minus + 2 ELSE minus + 1 END)) AS i FROM good WHERE change_type <> 'added')),
 py AS (SELECT DISTINCT repo, change_id, file_idx, path, line_no FROM changed WHERE is_python),
 paths AS (SELECT DISTINCT path FROM py),
@@ -66,21 +66,14 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.diff_lines(diff_texts(derive(spark, sf_dir, "diff_plan")[0]))
-
-
-def _good(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.valid_lines(T.save_step(_lines(spark, sf_dir), "diff-lines"))
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.parse_diffs(diff_texts(derive(spark, sf_dir, "diff_plan")[0]))
 
 
 def _changed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Distinct changed lines of Python files, with their paths; the files."""
-    lines = T.save_step(_good(spark, sf_dir), "good-lines")
-    files = D.diff_files(lines)
-    python = files.where("is_python").select(*D.KEYS, "file_idx", "path")
-    changed = D.changed_lines(lines).select(*D.KEYS, "file_idx", "line_no").distinct().join(python, [*D.KEYS, "file_idx"])
-    return T.save_step(changed, "changed"), T.save_step(files, "files")
+    parsed = T.save_step(_parsed(spark, sf_dir), "parsed-diffs")
+    return T.save_step(D.changed_in_python(parsed), "changed"), D.diff_files(parsed)
 
 
 def _endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,11 +92,18 @@ def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
 # Diffs
 
 
-@query("diff_lines", "SELECT change_id, file_idx, side, COUNT(*) AS n_lines FROM changed GROUP BY ALL")
+@query(
+    "diff_lines",
+    """SELECT change_id, file_idx, side, COUNT(*) AS n_lines, string_agg(CASE side WHEN 'added' THEN '+new ' ELSE '-old ' END || CAST(nth AS STRING), ';' ORDER BY nth) AS texts
+    FROM changed GROUP BY ALL""",
+)
 def diff_lines(spark, sf_dir):
-    lines = _good(spark, sf_dir).where("in_hunk and substring(line, 1, 1) in ('+', '-')")
-    side = F.when(F.col("line").startswith("+"), "added").otherwise("removed").alias("side")
-    return lines.groupBy("change_id", "file_idx", side).agg(F.count(F.lit(1)).alias("n_lines"))
+    diffs = diff_texts(derive(spark, sf_dir, "diff_plan")[0])
+    rows = D.changed_lines(D.parse_diffs(diffs)).join(diffs, D.KEYS)
+    text = F.get(F.split("diff_text", "\n"), F.col("n"))
+    return rows.groupBy("change_id", "file_idx", "side").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", text.alias("t")))), lambda x: x["t"]), ";").alias("texts")
+    )
 
 
 @query(
@@ -113,12 +113,12 @@ def diff_lines(spark, sf_dir):
     CAST(CASE change_type WHEN 'added' THEN 0 WHEN 'deleted' THEN minus + 1 ELSE minus END AS BIGINT) AS removed FROM good""",
 )
 def diff_files(spark, sf_dir):
-    return D.diff_files(_good(spark, sf_dir)).select("change_id", "file_idx", "path", "change_type", "source_path", "added", "removed")
+    return D.diff_files(_parsed(spark, sf_dir)).select("change_id", "file_idx", "path", "change_type", "source_path", "added", "removed")
 
 
 @query("changed_lines", "SELECT change_id, file_idx, side, CAST(line_no AS INT) AS line_no FROM changed")
 def changed_lines(spark, sf_dir):
-    return D.changed_lines(_good(spark, sf_dir)).select("change_id", "file_idx", "side", "line_no")
+    return D.changed_lines(_parsed(spark, sf_dir)).select("change_id", "file_idx", "side", "line_no")
 
 
 @query(
@@ -126,7 +126,7 @@ def changed_lines(spark, sf_dir):
     "SELECT DISTINCT change_id, file_idx, CAST(unnest(range(greatest(1, line_no - 3), line_no + 4)) AS INT) AS line_no FROM changed",
 )
 def context_lines(spark, sf_dir):
-    return D.context_lines(D.changed_lines(_good(spark, sf_dir))).select("change_id", "file_idx", "line_no")
+    return D.context_lines(D.changed_lines(_parsed(spark, sf_dir))).select("change_id", "file_idx", "line_no")
 
 
 @query(
@@ -135,24 +135,23 @@ def context_lines(spark, sf_dir):
     CASE change_type WHEN 'modified' THEN start_line + plus + 1 WHEN 'added' THEN 1 + plus ELSE 2 + minus END AS last FROM good WHERE change_type <> 'renamed'""",
 )
 def affected_ranges(spark, sf_dir):
-    lines = T.save_step(_good(spark, sf_dir), "good-lines")
-    return D.affected_ranges(D.diff_files(lines), D.diff_hunks(lines)).select("change_id", "file_idx", "first", "last")
+    return D.affected_ranges(_parsed(spark, sf_dir)).select("change_id", "file_idx", "first", "last")
 
 
 @query("python_files", "SELECT change_id, COUNT(*) AS n_files, COUNT(*) FILTER (is_python) AS n_python FROM good GROUP BY 1")
 def python_files(spark, sf_dir):
-    files = D.diff_files(_good(spark, sf_dir))
+    files = D.diff_files(_parsed(spark, sf_dir))
     return files.groupBy("change_id").agg(F.count(F.lit(1)).alias("n_files"), F.count_if("is_python").alias("n_python"))
 
 
-@query("diff_errors", "SELECT DISTINCT change_id FROM diff_plan WHERE change_id % 97 = 0")
+@query("diff_errors", "SELECT DISTINCT change_id, 'Failed to parse diff: hunk ' AS error FROM diff_plan WHERE change_id % 97 = 0")
 def diff_errors(spark, sf_dir):
-    return D.diff_errors(_lines(spark, sf_dir)).select("change_id")
+    return D.diff_errors(_parsed(spark, sf_dir)).select("change_id", F.regexp_replace("error", r"\d+$", "").alias("error"))
 
 
 @query("line_runs", "SELECT change_id, file_idx, CAST(MIN(line_no) AS INT) AS first, CAST(MAX(line_no) AS INT) AS last FROM (SELECT *, line_no - row_number() OVER (PARTITION BY change_id, file_idx ORDER BY line_no) AS g FROM (SELECT DISTINCT change_id, file_idx, line_no FROM changed)) GROUP BY change_id, file_idx, g")
 def line_runs(spark, sf_dir):
-    return D.line_runs(D.changed_lines(_good(spark, sf_dir)), ["change_id", "file_idx"]).select("change_id", "file_idx", "first", "last")
+    return D.line_runs(D.changed_lines(_parsed(spark, sf_dir)), ["change_id", "file_idx"]).select("change_id", "file_idx", "first", "last")
 
 
 # Sources
@@ -621,7 +620,7 @@ def _affected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
 )
 def report_json(spark, sf_dir):
     rows, files, hits = _affected(spark, sf_dir)
-    errors = D.diff_errors(_lines(spark, sf_dir))
+    errors = D.diff_errors(_parsed(spark, sf_dir))
     made = R.report_json(_summary(spark, sf_dir, hits, files), rows, errors)
     at = lambda p, t="bigint": F.get_json_object("report", p).cast(t)
     n = lambda p: F.size(F.from_json(F.get_json_object("report", p), "array<string>"))

@@ -1,102 +1,144 @@
 """Unified diffs as tables: lines, files, hunks, changed lines and errors.
 
-A diff is cut into lines once; files and hunks follow from windows over the
-lines of a change, keyed by (repo, change_id), which is the one shuffle.
+A diff arrives as one row and is parsed within that row, in one pass over its
+lines, so that nothing is shuffled or sorted for it. Files, hunks and lines are
+arrays of the parsed row and become rows of their own last.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from rippletrace.functions import columns as C
 
 KEYS = ["repo", "change_id"]
-HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
-
-
-def diff_lines(diffs: DataFrame) -> DataFrame:
-    """Each line of each diff, with the hunk and file that it belongs to.
-
-    ``diffs`` has repo, change_id and diff_text. A line is inside its hunk as
-    long as the lines before it have not used up both declared lengths; what
-    follows, such as the next file's header, is outside. Columns: n (from 0),
-    line, hunk (running number, 0 before the first), is_header, in_hunk,
-    source_start, source_length, target_start, target_length, used_source and
-    used_target (lines of the hunk before this one), file_idx (from 0, -1 before
-    the first), source_name, target_name.
-    """
-    text = F.coalesce("diff_text", F.lit(""))
-    lines = diffs.select(*KEYS, F.posexplode(F.split(F.regexp_replace(text, "\n$", ""), "\n")).alias("n", "line"))
-    part = lambda i: F.regexp_extract("line", HUNK, i)
-    header = F.col("line").rlike(HUNK)
-    number = lambda i, default: F.when(header, F.coalesce(F.nullif(part(i), F.lit("")), F.lit(default)).cast("int"))
-    change = Window.partitionBy(*KEYS).orderBy("n")
-    carried = change.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    names = ("source_start", "source_length", "target_start", "target_length")
-    lines = lines.withColumn("is_header", header).withColumn("hunk", F.sum(F.col("is_header").cast("int")).over(carried))
-    lines = lines.withColumns({x: F.last(number(i, "1"), ignorenulls=True).over(carried) for i, x in enumerate(names, 1)})
-    first = F.substring("line", 1, 1)
-    body = (F.col("hunk") > 0) & ~F.col("is_header")
-    source = (body & first.isin(" ", "-", "")).cast("int")
-    target = (body & first.isin(" ", "+", "")).cast("int")
-    before = Window.partitionBy(*KEYS, "hunk").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumns({"used_source": F.coalesce(F.sum(source).over(before), F.lit(0)), "used_target": F.coalesce(F.sum(target).over(before), F.lit(0))})
-    open_ = (F.col("used_source") < F.col("source_length")) | (F.col("used_target") < F.col("target_length"))
-    lines = lines.withColumn("in_hunk", body & open_)
-    named = lambda mark: F.when(
-        ~F.col("in_hunk") & ~F.col("is_header") & F.col("line").startswith(mark), F.regexp_replace(F.substring("line", 5, 1 << 30), "\t.*$", "")
-    )
-    return lines.withColumns(
-        {
-            "file_idx": (F.sum(named("+++ ").isNotNull().cast("int")).over(carried) - 1).cast("int"),
-            "source_name": F.last(named("--- "), ignorenulls=True).over(carried),
-            "target_name": F.last(named("+++ "), ignorenulls=True).over(carried),
-        }
-    )
-
+HUNK = re.compile(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
+_GIT = re.compile(r'diff --git (?:"?(a/.+?)"? "?(b/.+?)"?|"?(\S+)"? "?(\S+)"?)\Z')
+_BINARY = re.compile(r"Binary files (.+) and (.+) differ\Z")
+NOWHERE = "/dev/null"
 
-def diff_errors(lines: DataFrame) -> DataFrame:
-    """(repo, change_id, error) for changes with a hunk that isn't as long as it says, or holds a foreign line."""
-    first = F.substring("line", 1, 1)
-    inside = F.col("in_hunk")
-    hunks = (
-        lines.where(F.col("hunk") > 0)
-        .groupBy(*KEYS, "hunk")
-        .agg(
-            F.first("source_length").alias("source_length"),
-            F.first("target_length").alias("target_length"),
-            F.count_if(inside & first.isin(" ", "-", "")).alias("source"),
-            F.count_if(inside & first.isin(" ", "+", "")).alias("target"),
-            F.count_if(inside & ~first.isin(" ", "+", "-", "\\", "")).alias("foreign"),
-        )
-    )
-    bad = (F.col("source") != F.col("source_length")) | (F.col("target") != F.col("target_length")) | (F.col("foreign") > 0)
-    return hunks.where(bad).groupBy(*KEYS).agg(F.min("hunk").alias("hunk")).select(
-        *KEYS, F.concat(F.lit("Failed to parse diff: hunk "), F.col("hunk").cast("string")).alias("error")
-    )
+FILE = "struct<file_idx:int,source_name:string,target_name:string,added:bigint,removed:bigint>"
+SPAN = "struct<hunk:int,file_idx:int,source_start:int,source_length:int,target_start:int,target_length:int>"
+LINE = "struct<n:int,file_idx:int,hunk:int,side:string,line_no:int>"
+PARSED = f"error string, files array<{FILE}>, hunks array<{SPAN}>, lines array<{LINE}>"
 
 
-def valid_lines(lines: DataFrame) -> DataFrame:
-    """Lines of the changes that have no error: one bad hunk makes a diff worth no files."""
-    return lines.join(diff_errors(lines).select(*KEYS), KEYS, "left_anti")
+class _Files:
+    """The files of a diff, as their headers come.
 
+    A file is opened by git's own header or by its two names; names that follow
+    a header of git belong to the same file. Without any names, as for files
+    that were only renamed, are binary or have no content, git's header and what
+    it says below about renames, new and deleted files is all there is.
+    """
 
-def diff_files(lines: DataFrame, compat: bool = False) -> DataFrame:
+    def __init__(self) -> None:
+        self.rows: list[list] = []
+        self.source: str | None = None
+        self.bare = False  # whether the last file has had no names of its own yet
+
+    def open(self, source: str | None, target: str | None, bare: bool) -> None:
+        self.rows.append([len(self.rows), source, target, 0, 0])
+        self.bare = bare
+
+    def header(self, line: str) -> None:
+        name = line[4:].partition("\t")[0]
+        if line.startswith("--- "):
+            self.source = name
+        elif line.startswith("+++ "):
+            if self.bare:
+                self.rows[-1][1:3], self.bare = [self.source, name], False
+            else:
+                self.open(self.source, name, False)
+        elif line.startswith("diff --git ") and (m := _GIT.match(line)):
+            self.open(m[1] or m[3], m[2] or m[4], True)
+        elif self.bare and line.startswith("new file mode"):
+            self.rows[-1][1] = NOWHERE
+        elif self.bare and line.startswith("deleted file mode"):
+            self.rows[-1][2] = NOWHERE
+        elif self.bare and line.startswith("rename from "):
+            self.rows[-1][1] = "a/" + line[12:]
+        elif self.bare and line.startswith("rename to "):
+            self.rows[-1][2] = "b/" + line[10:]
+        elif not self.bare and (m := _BINARY.match(line)):
+            self.open(m[1], m[2], False)
+
+
+def parse_diff(text: str | None) -> tuple[str | None, list, list, list]:
+    """(error, files, hunks, lines) of one diff, as in ``PARSED``.
+
+    A line is inside its hunk as long as the lines before it have not used up
+    both declared lengths; what follows, such as the next file's header, is
+    outside. A hunk that isn't as long as it says or holds a foreign line makes
+    an error, and then there are no files.
+    """
+    files, hunks, lines, number = _Files(), [], [], 0
+    source = target = source_left = target_left = 0
+    bad = None
+    for n, line in enumerate((text or "").removesuffix("\n").split("\n")):
+        if line.startswith("@@") and (m := HUNK.match(line)):
+            if bad is None and (source_left or target_left):
+                bad = number
+            number += 1
+            source, source_left, target, target_left = (int(x) if x else 1 for x in m.groups())
+            hunks.append((number, len(files.rows) - 1, source, source_left, target, target_left))
+        elif source_left > 0 or target_left > 0:
+            sign = line[:1]
+            if sign == "+":
+                lines.append((n, len(files.rows) - 1, number, "added", target))
+                target, target_left = target + 1, target_left - 1
+            elif sign == "-":
+                lines.append((n, len(files.rows) - 1, number, "removed", source))
+                source, source_left = source + 1, source_left - 1
+            elif sign in (" ", ""):
+                source, source_left, target, target_left = source + 1, source_left - 1, target + 1, target_left - 1
+            elif sign != "\\" and bad is None:
+                bad = number
+        else:
+            files.header(line)
+    if bad is None and (source_left or target_left):
+        bad = number
+    if bad is not None:
+        return f"Failed to parse diff: hunk {bad}", [], [], []
+    for _, file, _, side, _ in lines:
+        if file >= 0:
+            files.rows[file][3 if side == "added" else 4] += 1
+    return None, [tuple(r) for r in files.rows], hunks, lines
+
+
+def parse_diffs(diffs: DataFrame) -> DataFrame:
+    """(repo, change_id, error, files, hunks, lines): each of ``diffs`` (repo, change_id, diff_text) parsed, in one row."""
+    schema = StructType([diffs.schema[k] for k in KEYS] + StructType.fromDDL(PARSED).fields)
+    types = to_arrow_schema(schema)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                parsed = zip(*map(parse_diff, part.column("diff_text").to_pylist()))
+                arrays = [part.column(k) for k in KEYS] + [pa.array(v, types.field(i).type) for i, v in enumerate(parsed, len(KEYS))]
+                yield pa.RecordBatch.from_arrays(arrays, schema.names)
+
+    return diffs.select(*KEYS, "diff_text").mapInArrow(work, schema)
+
+
+def diff_errors(parsed: DataFrame) -> DataFrame:
+    """(repo, change_id, error) of the changes that can't be parsed."""
+    return parsed.where(F.col("error").isNotNull()).select(*KEYS, "error")
+
+
+def diff_files(parsed: DataFrame, compat: bool = False) -> DataFrame:
     """One row per file: path, source_path (of renames), change_type, added, removed, is_python."""
-    inside, first = F.col("in_hunk"), F.substring("line", 1, 1)
-    files = (
-        lines.where(F.col("file_idx") >= 0)
-        .groupBy(*KEYS, "file_idx")
-        .agg(
-            F.min_by("source_name", "n").alias("source_name"),
-            F.min_by("target_name", "n").alias("target_name"),
-            F.count_if(inside & (first == "+")).alias("added"),
-            F.count_if(inside & (first == "-")).alias("removed"),
-        )
-    )
+    files = parsed.select(*KEYS, F.inline("files"))
     source, target = (C.strip_prefix(F.col(f"{x}_name"), f"{p}/", compat) for x, p in (("source", "a"), ("target", "b")))
-    kind = F.when(F.col("source_name") == "/dev/null", "added").when(F.col("target_name") == "/dev/null", "deleted").when(source != target, "renamed")
+    kind = F.when(F.col("source_name") == NOWHERE, "added").when(F.col("target_name") == NOWHERE, "deleted").when(source != target, "renamed")
     files = files.withColumn("change_type", kind.otherwise("modified"))
     files = files.withColumn("path", F.when(F.col("change_type") == "deleted", source).otherwise(target))
     return files.select(
@@ -111,26 +153,41 @@ def diff_files(lines: DataFrame, compat: bool = False) -> DataFrame:
     )
 
 
-def diff_hunks(lines: DataFrame) -> DataFrame:
-    """One row per hunk, with its starts and lengths."""
-    return lines.where("is_header").select(*KEYS, "file_idx", "hunk", "source_start", "source_length", "target_start", "target_length")
+def diff_hunks(parsed: DataFrame) -> DataFrame:
+    """One row per hunk: file_idx, hunk (running number), source_start, source_length, target_start, target_length."""
+    return parsed.select(*KEYS, F.inline("hunks"))
 
 
-def changed_lines(lines: DataFrame) -> DataFrame:
-    """(repo, change_id, file_idx, n, side, line_no): added lines by target numbers, removed ones by source numbers."""
-    first = F.substring("line", 1, 1)
-    rows = lines.where(F.col("in_hunk") & first.isin("+", "-"))
-    number = F.when(first == "+", F.col("target_start") + F.col("used_target")).otherwise(F.col("source_start") + F.col("used_source"))
-    return rows.select(*KEYS, "file_idx", "n", F.when(first == "+", "added").otherwise("removed").alias("side"), number.cast("int").alias("line_no"))
+def changed_lines(parsed: DataFrame) -> DataFrame:
+    """(repo, change_id, n, file_idx, hunk, side, line_no): added lines by target numbers, removed ones by source numbers.
+
+    n is the line's place in the diff, from 0.
+    """
+    return parsed.select(*KEYS, F.inline("lines"))
+
+
+def changed_in_python(parsed: DataFrame, compat: bool = False) -> DataFrame:
+    """Distinct (repo, change_id, file_idx, path, line_no) of changed lines in Python files, without a shuffle.
+
+    File and lines are matched within the row: a file's place is its number.
+    """
+    source, target = (C.strip_prefix(F.col(f"file.{x}_name"), f"{p}/", compat) for x, p in (("source", "a"), ("target", "b")))
+    path = F.when((F.col("file.source_name") != NOWHERE) & (F.col("file.target_name") == NOWHERE), source).otherwise(target)
+    pairs = F.array_distinct(F.transform("lines", lambda x: F.struct(x["file_idx"].alias("file_idx"), x["line_no"].alias("line_no"))))
+    rows = parsed.select(*KEYS, "files", F.inline(pairs)).where("file_idx >= 0").withColumn("file", F.get("files", F.col("file_idx")))
+    return rows.select(*KEYS, "file_idx", path.alias("path"), "line_no").where(C.is_python(F.col("path")))
 
 
-def affected_ranges(files: DataFrame, hunks: DataFrame) -> DataFrame:
-    """(…, first, last) per hunk: the target side, for deleted files the source side, nothing for renames.
+def affected_ranges(parsed: DataFrame) -> DataFrame:
+    """(…, file_idx, hunk, first, last) per hunk: the target side, for deleted files the source side, nothing for renames.
 
     last is start plus length, one past the last line.
     """
-    rows = hunks.join(files.select(*KEYS, "file_idx", "change_type"), [*KEYS, "file_idx"]).where(F.col("change_type") != "renamed")
-    side = lambda x: F.when(F.col("change_type") == "deleted", F.col(f"source_{x}")).otherwise(F.col(f"target_{x}"))
+    rows = parsed.select(*KEYS, "files", F.inline("hunks")).where("file_idx >= 0").withColumn("file", F.get("files", F.col("file_idx")))
+    source, target = (C.strip_prefix(F.col(f"file.{x}_name"), f"{p}/") for x, p in (("source", "a"), ("target", "b")))
+    added, deleted = F.col("file.source_name") == NOWHERE, F.col("file.target_name") == NOWHERE
+    rows = rows.where(added | deleted | (source == target))
+    side = lambda x: F.when(deleted & ~added, F.col(f"source_{x}")).otherwise(F.col(f"target_{x}"))
     return rows.select(*KEYS, "file_idx", "hunk", side("start").alias("first"), (side("start") + side("length")).alias("last"))
 
 

@@ -39,11 +39,11 @@ MODIFIED = "--- a/app/routers/users.py\n+++ b/app/routers/users.py\t2024\n@@ -9,
 
 
 def test_modified_file(spark):
-    lines = D.diff_lines(diff_of(spark, MODIFIED))
-    f = D.diff_files(lines).first()
+    parsed = D.parse_diffs(diff_of(spark, MODIFIED))
+    f = D.diff_files(parsed).first()
     assert (f["path"], f["change_type"], f["added"], f["removed"], f["is_python"], f["source_path"]) == ("app/routers/users.py", "modified", 2, 1, True, None)
-    assert sorted((r["side"], r["line_no"]) for r in D.changed_lines(lines).collect()) == [("added", 10), ("added", 11), ("removed", 10)]
-    assert [tuple(r)[-2:] for r in D.affected_ranges(D.diff_files(lines), D.diff_hunks(lines)).collect()] == [(9, 13)]
+    assert sorted((r["side"], r["line_no"]) for r in D.changed_lines(parsed).collect()) == [("added", 10), ("added", 11), ("removed", 10)]
+    assert [tuple(r)[-2:] for r in D.affected_ranges(parsed).collect()] == [(9, 13)]
 
 
 def test_kinds_of_files(spark):
@@ -52,19 +52,46 @@ def test_kinds_of_files(spark):
         "--- a/gone.sql\n+++ /dev/null\n@@ -1,2 +0,0 @@\n--- sql comment\n-x\n"
         "--- a/old.py\n+++ b/b/backend/x.py\n@@ -5 +5 @@\n-a\n+b\n\\ No newline at end of file\n"
     )
-    lines = D.diff_lines(diff_of(spark, text))
-    assert D.diff_errors(lines).count() == 0
-    found = [(r["path"], r["change_type"], r["source_path"], r["added"], r["removed"]) for r in D.diff_files(lines).orderBy("file_idx").collect()]
+    parsed = D.parse_diffs(diff_of(spark, text))
+    assert D.diff_errors(parsed).count() == 0 and "Exchange" not in parsed._jdf.queryExecution().executedPlan().toString()
+    found = [(r["path"], r["change_type"], r["source_path"], r["added"], r["removed"]) for r in D.diff_files(parsed).orderBy("file_idx").collect()]
     assert found == [("new.py", "added", None, 2, 0), ("gone.sql", "deleted", None, 0, 2), ("b/backend/x.py", "renamed", "old.py", 1, 1)]
-    compat = [r["path"] for r in D.diff_files(lines, compat=True).orderBy("file_idx").collect()]
+    compat = [r["path"] for r in D.diff_files(parsed, compat=True).orderBy("file_idx").collect()]
     assert compat == ["new.py", "gone.sql", "ackend/x.py"]
 
 
 def test_bad_and_empty_diffs(spark):
     short = "--- a/x.py\n+++ b/x.py\n@@ -1,5 +1,5 @@\n a\n-b\n+c\n--- a/y.py\n+++ b/y.py\n@@ -1,1 +1,1 @@\n-a\n+b\n"
-    lines = D.diff_lines(diff_of(spark, short, "", None, MODIFIED))
-    assert [r["change_id"] for r in D.diff_errors(lines).collect()] == ["c0"]
-    assert [r["change_id"] for r in D.diff_files(D.valid_lines(lines)).collect()] == ["c3"]
+    parsed = D.parse_diffs(diff_of(spark, short, "", None, MODIFIED))
+    assert [tuple(r)[1:] for r in D.diff_errors(parsed).collect()] == [("c0", "Failed to parse diff: hunk 1")]
+    assert [r["change_id"] for r in D.diff_files(parsed).collect()] == ["c3"]
+    assert D.diff_files(D.parse_diffs(diff_of(spark, "x").limit(0))).count() == 0
+
+
+def test_files_without_names(spark):
+    """Renames, modes, binary and empty files, with git's header alone, next to a file with names."""
+    text = (
+        "diff --git a/old.py b/new.py\nsimilarity index 100%\nrename from old.py\nrename to new.py\n"
+        "diff --git a/run.py b/run.py\nold mode 100644\nnew mode 100755\n"
+        "diff --git a/empty.py b/empty.py\nnew file mode 100644\nindex 0000000..e69de29\n"
+        "diff --git a/x.png b/x.png\nindex 1..2 100644\nBinary files a/x.png and b/x.png differ\n"
+        "diff --git a/gone.py b/gone.py\ndeleted file mode 100644\nindex e69de29..0000000\n"
+        "diff --git a/m.py b/m.py\nindex 1..2 100644\n--- a/m.py\n+++ b/m.py\n@@ -3 +3 @@\n-a\n+b\n"
+        "Binary files a/y.png and /dev/null differ\n"
+    )
+    parsed = D.parse_diffs(diff_of(spark, text))
+    found = [(r["path"], r["change_type"], r["source_path"], r["added"], r["removed"]) for r in D.diff_files(parsed).orderBy("file_idx").collect()]
+    assert found == [
+        ("new.py", "renamed", "old.py", 0, 0), ("run.py", "modified", None, 0, 0), ("empty.py", "added", None, 0, 0), ("x.png", "modified", None, 0, 0),
+        ("gone.py", "deleted", None, 0, 0), ("m.py", "modified", None, 1, 1), ("y.png", "deleted", None, 0, 0),
+    ]
+    assert [(r["file_idx"], r["path"], r["line_no"]) for r in D.changed_in_python(parsed).collect()] == [(5, "m.py", 3)]
+
+
+def test_a_huge_diff_is_parsed_in_linear_time():
+    n = 300_000
+    error, files, hunks, lines = D.parse_diff(f"--- a/x.py\n+++ b/x.py\n@@ -1,{n} +1,{n} @@\n" + "-a\n+b\n" * n)
+    assert error is None and len(lines) == 2 * n and lines[-1][4] == n and files == [(0, "a/x.py", "b/x.py", n, n)]
 
 
 def test_columns(spark):

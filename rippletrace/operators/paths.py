@@ -10,7 +10,7 @@ possible ending of a base name.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rippletrace.functions import columns as C
@@ -36,39 +36,68 @@ def match_paths(changed: DataFrame, known: DataFrame, keys: list[str]) -> DataFr
     return by_name.union(up).union(down).distinct()
 
 
+def _last_two(path: Column) -> Column:
+    return F.regexp_extract(path, "[^/]*/[^/]*$", 0)
+
+
 def match_handler_file(changed: DataFrame, registered: DataFrame, keys: list[str]) -> DataFrame:
     """(``keys``, path, file_path): for each path the one registered file that it stands for.
 
     ``registered`` has ``keys``, file_path and file_order. An equal path comes
     first; then the first file, by order, that ends with the path, or with the
     path without its leading dots and slashes, or has its base name and holds
-    it. An ending reaches past a slash only where the path has one, in which
-    case base names are equal; so candidates come from ``match_paths``.
+    it.
+
+    Files with a common base name never all meet the paths with that name. A
+    path of one or two parts is an ending of a file's last one or two parts, and
+    of the files that have it only the first counts. In longer paths the last
+    two parts are whole and equal to the file's. A path that lies inside a file's
+    path and not at its end has its base name in the file's folder.
     """
-    paths = changed.select(*keys, "path").distinct().withColumn("tail", F.ltrim("path", F.lit("./")))
-    whole = match_paths(paths, registered, keys)
-    tails = match_paths(paths.select(*keys, F.col("tail").alias("path")), registered, keys)
-    tails = paths.join(tails.withColumnRenamed("path", "tail"), [*keys, "tail"]).select(*keys, "path", "file_path")
-    found = whole.union(tails).distinct().join(registered, [*keys, "file_path"])
-    path, file = F.col("path"), F.col("file_path")
-    inside = (C.basename(path) == C.basename(file)) & file.contains(path)
-    level = F.when(path == file, 1).when(file.endswith(path) | file.endswith(F.ltrim(path, F.lit("./"))) | inside, 2)
-    best = found.withColumn("level", level).where("level is not null").groupBy(*keys, "path")
-    return best.agg(F.min_by("file_path", F.struct("level", "file_order", "file_path")).alias("file_path"))
+    path, file, order = F.col("path"), F.col("file_path"), F.struct("file_order", "file_path")
+    paths = changed.select(*keys, "path").distinct()
+    equal = paths.join(registered.select(*keys, F.col("file_path").alias("path")).distinct(), [*keys, "path"])
+    rest = paths.join(equal, [*keys, "path"], "left_anti")
+    wanted = rest.select(*keys, "path", F.explode(F.array_distinct(F.array(path, F.ltrim(path, F.lit("./"))))).alias("end"))
+    slashes = F.length(F.regexp_replace("end", "[^/]", ""))
+    known = registered.withColumn("name", C.basename(file))
+    # Paths of one part, which may be nothing but dots and slashes, and of two, whose second last part need not be whole.
+    one = known.select(*keys, "file_order", "file_path", F.explode(F.array_distinct(F.concat(_endings(F.col("name")), F.array(F.lit(""))))).alias("end"))
+    folder = F.regexp_extract(file, "([^/]*)/[^/]*$", 1)
+    endings = F.transform(F.sequence(F.lit(1), F.length(folder) + 1), lambda i: F.concat(F.substr(folder, i), F.lit("/"), "name"))
+    two = known.where(file.contains("/")).select(*keys, "file_order", "file_path", F.explode(endings).alias("end"))
+    first = one.unionByName(two).groupBy(*keys, "end").agg(F.min(order).alias("best"))
+    short = wanted.where(slashes < 2).join(first, [*keys, "end"]).select(*keys, "path", "best")
+    longer = wanted.where(slashes >= 2).withColumn("last", _last_two(F.col("end")))
+    longer = longer.join(known.withColumn("last", _last_two(file)), [*keys, "last"]).where(file.endswith(F.col("end"))).select(*keys, "path", order.alias("best"))
+    twice = known.where(F.expr("locate(name, file_path) <= length(file_path) - length(name)"))
+    inside = rest.where(path.contains("/")).withColumn("name", C.basename(path)).join(twice, [*keys, "name"]).where(file.contains(path))
+    best = short.unionByName(longer).unionByName(inside.select(*keys, "path", order.alias("best")))
+    best = best.groupBy(*keys, "path").agg(F.min("best").alias("best"))
+    return equal.select(*keys, "path", path.alias("file_path")).unionByName(best.select(*keys, "path", "best.file_path"))
 
 
 def first_reference(changed: DataFrame, referenced: DataFrame, keys: list[str]) -> DataFrame:
     """(``keys``, endpoint_id, path, file_path, ref_ord): of an endpoint's files that match a path, the first referenced.
 
-    ``referenced`` has ``keys``, endpoint_id, file_path and ref_ord. Paths are
-    matched once per distinct file, then joined with the endpoints.
+    ``referenced`` has ``keys``, endpoint_id, file_path and ref_ord. An equal
+    base name is a match whatever else the paths hold, so that only the first of
+    an endpoint's files with a base name counts; these are found before any path
+    is looked at. Endings of base names matter for paths and files without a
+    slash, and are compared once for each different name.
     """
-    files = referenced.select(*keys, "endpoint_id", "file_path", "ref_ord").distinct()
-    met = match_paths(changed, files, keys).join(files, [*keys, "file_path"])
-    best = met.groupBy(*keys, "endpoint_id", "path").agg(F.min(F.struct("ref_ord", "file_path")).alias("best"))
-    return best.select(*keys, "endpoint_id", "path", "best.file_path", "best.ref_ord")
-
-
-def ranked_first(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The first row of each key in the given order."""
-    return rows.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_at = 1").drop("_at")
+    best = F.min(F.struct("ref_ord", "file_path")).alias("best")
+    files = referenced.select(*keys, "endpoint_id", "file_path", "ref_ord")
+    first = files.withColumn("name", C.basename(F.col("file_path"))).groupBy(*keys, "endpoint_id", "name").agg(best)
+    paths = changed.select(*keys, "path").distinct().withColumn("name", C.basename(F.col("path")))
+    bare = paths.where(~F.col("path").contains("/")).select(*keys, "path", F.col("path").alias("ending"))
+    shorter = lambda name: F.explode(F.slice(_endings(name), 2, 1 << 30)).alias("ending")
+    longer = first.select(*keys, "name").distinct().select(*keys, "name", shorter(F.col("name")))
+    named = paths.select(*keys, "path", "name").unionByName(bare.join(longer, [*keys, "ending"]).select(*keys, "path", "name"))
+    met = named.join(first, [*keys, "name"]).select(*keys, "endpoint_id", "path", "best")
+    # A file without a slash that the path ends with.
+    short = files.where(~F.col("file_path").contains("/")).groupBy(*keys, "endpoint_id", "file_path").agg(best)
+    ends = paths.select(*keys, "name").distinct().select(*keys, "name", shorter(F.col("name"))).join(short.withColumnRenamed("file_path", "ending"), [*keys, "ending"])
+    met = met.unionByName(paths.join(ends, [*keys, "name"]).select(*keys, "endpoint_id", "path", "best"))
+    met = met.groupBy(*keys, "endpoint_id", "path").agg(F.min("best").alias("best"))
+    return met.select(*keys, "endpoint_id", "path", "best.file_path", "best.ref_ord")

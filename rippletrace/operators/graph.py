@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rippletrace.functions import columns as C
-from rippletrace.sources.tables import save_step
+from rippletrace.sources.tables import drop_steps, save_step
 
 #: Fixed value: lines of a module that are referenced where no function is found in it.
 MODULE_LINES = (1, 20)
@@ -79,52 +82,74 @@ def handler_roots(endpoints: DataFrame, modules: DataFrame, symbols: DataFrame)
     return out.select("endpoint_id", "reg_order", "file_path", "name", start.alias("start_line"), end.alias("end_line"), F.coalesce("found", F.lit(False)).alias("is_traced"))
 
 
-def reachability(roots: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(endpoint, node, depth): all nodes that each root reaches over ``edges`` (caller, callee), itself at depth 0.
+#: After so many rounds the tables of the rounds are written together as one.
+COMPACT_EVERY = 8
+
 
-    The frontier meets the edges, what was reached before is dropped, and the
-    rest is the next frontier. Each round writes its frontier to the shared
-    folder, so a lost executor costs one round. Cycles end because nothing is
-    reached twice.
+def _expand(start: DataFrame, step: Callable[[DataFrame, int], DataFrame], name: str) -> DataFrame:
+    """All rows (endpoint, node, …) that ``step`` makes from those of the round before, the first of each (endpoint, node).
+
+    Each round writes its frontier to the shared folder, so a lost executor
+    costs one round. Rounds end when nothing new is found, however many that
+    takes: a cycle ends because nothing is reached twice.
     """
-    edges = save_step(edges.select("caller", "callee").distinct(), "edges")
-    frontier = save_step(roots.select("endpoint", "node").distinct().withColumn("depth", F.lit(0)), "frontier")
-    reached = [frontier]
-    for depth in range(1, max_rounds + 1):
-        seen = reached[0]
-        for more in reached[1:]:
-            seen = seen.union(more)
-        step = frontier.join(edges, F.col("node") == F.col("caller")).select("endpoint", F.col("callee").alias("node")).distinct()
-        step = step.join(seen.select("endpoint", "node"), ["endpoint", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        frontier = save_step(step, "frontier")
+    frontier = save_step(start, name)
+    reached, depth = [frontier], 0
+    while True:
+        depth += 1
+        seen = reduce(DataFrame.unionByName, reached)
+        new = step(frontier, depth).join(seen.select("endpoint", "node"), ["endpoint", "node"], "left_anti")
+        frontier = save_step(new, name)
         if frontier.isEmpty():
             return seen
         reached.append(frontier)
-    raise RuntimeError(f"not finished after {max_rounds} rounds")
+        if len(reached) > COMPACT_EVERY:
+            # The frontier stays a table of its own, as the next round joins it alone.
+            older = reached[:-1]
+            reached = [save_step(reduce(DataFrame.unionByName, older), name), frontier]
+            drop_steps(*older)
+
+
+def reachability(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(endpoint, node, depth): all nodes that each root reaches over ``edges`` (caller, callee), itself at depth 0.
+
+    Endpoints with the same root share its walk: what a root reaches doesn't
+    depend on which of them asks.
+    """
+    roots = save_step(roots.select("endpoint", "node").distinct(), "roots")
+    edges = save_step(edges.select("caller", "callee").distinct(), "edges")
+    start = roots.select(F.col("node").alias("endpoint"), "node").distinct().withColumn("depth", F.lit(0))
+
+    def step(frontier: DataFrame, depth: int) -> DataFrame:
+        met = frontier.join(edges, F.col("node") == F.col("caller"))
+        return met.select("endpoint", F.col("callee").alias("node")).distinct().withColumn("depth", F.lit(depth))
+
+    return _of_endpoints(roots, _expand(start, step, "frontier"))
 
 
-def call_stacks(roots: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def call_stacks(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """(endpoint, node, stack): the shortest chain of callers from the root, the node itself left out.
 
     Of chains equally short the one through the smallest place in the caller's
-    order counts, then the smallest caller.
+    order counts, then the smallest caller. ``edges`` has caller, callee and ord.
     """
+    roots = save_step(roots.select("endpoint", "node").distinct(), "roots")
     edges = save_step(edges.select("caller", "callee", "ord"), "edges")
-    start = roots.select("endpoint", "node").distinct().withColumn("stack", F.array().cast("array<bigint>"))
-    frontier = save_step(start, "stacks")
-    reached = [frontier]
-    for _ in range(max_rounds):
-        seen = reached[0]
-        for more in reached[1:]:
-            seen = seen.union(more)
-        step = frontier.join(edges, F.col("node") == F.col("caller"))
-        step = step.select("endpoint", F.col("callee").alias("target"), F.concat("stack", F.array("node")).alias("stack"), "ord", "caller")
-        step = step.groupBy("endpoint", F.col("target").alias("node")).agg(F.min_by("stack", F.struct("ord", "caller")).alias("stack"))
-        frontier = save_step(step.join(seen.select("endpoint", "node"), ["endpoint", "node"], "left_anti"), "stacks")
-        if frontier.isEmpty():
-            return seen
-        reached.append(frontier)
-    raise RuntimeError(f"not finished after {max_rounds} rounds")
+    kind = roots.schema["node"].dataType.simpleString()
+    start = roots.select(F.col("node").alias("endpoint"), "node").distinct().withColumn("stack", F.array().cast(f"array<{kind}>"))
+
+    def step(frontier: DataFrame, depth: int) -> DataFrame:
+        met = frontier.join(edges, F.col("node") == F.col("caller"))
+        met = met.select("endpoint", F.col("callee").alias("target"), F.concat("stack", F.array("node")).alias("stack"), "ord", "caller")
+        return met.groupBy("endpoint", F.col("target").alias("node")).agg(F.min_by("stack", F.struct("ord", "caller")).alias("stack"))
+
+    return _of_endpoints(roots, _expand(start, step, "stacks"))
+
+
+def _of_endpoints(roots: DataFrame, walked: DataFrame) -> DataFrame:
+    """What was walked from each root, for each endpoint that has it."""
+    of = roots.select("endpoint", F.col("node").alias("root"))
+    return of.join(walked.withColumnRenamed("endpoint", "root"), "root").drop("root")
 
 
 def endpoint_lines(reached: DataFrame, symbols: DataFrame, calls: DataFrame) -> DataFrame:

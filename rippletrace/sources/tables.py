@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rippletrace.functions import columns as C
@@ -13,17 +17,22 @@ from rippletrace.functions import columns as C
 
 #: Stand-ins for the shared folder, by application.
 _own: dict[str, str] = {}
+#: The step tables written inside of ``step_scope``, if there is one.
+_scope: ContextVar[list[str] | None] = ContextVar("steps", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the one in ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a temporary folder of this machine stands in for it.
+    It is the one in ``spark.checkpoint.dir``. Only where that is unset and the
+    master is local, as in tests, a temporary folder of this machine stands in
+    for it; on a cluster executors couldn't read each other's files there.
     """
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         found = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="rippletrace-")
         _own[app] = found
@@ -35,12 +44,41 @@ def save_step(df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage: a lost executor costs the tasks of the current step
     and not the steps before it. Tables lie under a folder named after the
-    application, which can be removed when the application has ended.
+    application, which can be removed when the application has ended;
+    ``drop_steps`` and ``step_scope`` remove them earlier.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if (written := _scope.get()) is not None:
+        written.append(path)
+    saved = spark.read.schema(df.schema).parquet(path)
+    saved.step_path = path
+    return saved
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def drop_steps(*tables: DataFrame) -> None:
+    """Remove step tables, as ``save_step`` returned them, that nothing will read again."""
+    for t in tables:
+        _remove(t.sparkSession, t.step_path)
+
+
+@contextmanager
+def step_scope(spark: SparkSession) -> Iterator[None]:
+    """Step tables written inside are removed at the end; what is wanted of them must have been written elsewhere by then."""
+    written: list[str] = []
+    outer = _scope.set(written)
+    try:
+        yield
+    finally:
+        _scope.reset(outer)
+        for path in written:
+            _remove(spark, path)
 
 
 HANDLER = "struct<name:string,module:string,file:string,line:int,end_line:int>"
@@ -54,11 +92,19 @@ DEPENDENCIES = (
 )
 
 
+def change_of(source: Column, root: str) -> Column:
+    """The change that a file stands for: its path below ``root``; its name if it is ``root``; its whole path if ``root`` is a pattern."""
+    bare = lambda x: re.sub("^file:/+", "/", x).rstrip("/")
+    path, root = F.regexp_replace(source, "^file:/+", "/"), bare(root)
+    below = F.when(path == root, C.basename(path)).when(path.startswith(root + "/"), F.substring(path, len(root) + 2, 1 << 30))
+    return below.otherwise(path)
+
+
 def read_diffs(spark: SparkSession, path: str, repo: str = "") -> DataFrame:
     """(repo, change_id, diff_source, diff_text): one change per file under ``path``, a file, folder or pattern."""
     files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     source = F.col("_metadata.file_path")
-    return files.select(F.lit(repo).alias("repo"), C.basename(source).alias("change_id"), source.alias("diff_source"), F.col("value").alias("diff_text"))
+    return files.select(F.lit(repo).alias("repo"), change_of(source, path).alias("change_id"), source.alias("diff_source"), F.col("value").alias("diff_text"))
 
 
 def source_lines(files: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators on hand-made rows, and two properties."""
 
+import os
 import random
 
 import pytest
@@ -147,6 +148,49 @@ def test_path_rule_equals_the_plain_comparison(spark):
     assert {(r["path"], r["file_path"]) for r in P.match_paths(a, b, ["repo"]).collect()} == expected
 
 
+def test_handler_files_equal_the_plain_rule(spark):
+    draws = random.Random(2)
+    parts = ["a", "ba", "user.py", "superuser.py", ".py", "r.py", "user.pyx", "", ".", ".."]
+    name = lambda: "/".join(draws.choice(parts) for _ in range(draws.randrange(1, 6)))
+    changed, known = sorted({name() for _ in range(700)} - {""}), sorted({name() for _ in range(500)} - {""})
+    draws.shuffle(known)
+    last = lambda p: p.rsplit("/", 1)[-1]
+    expected = {}
+    for p in changed:
+        fits = [f for f in known if f.endswith(p) or f.endswith(p.lstrip("./")) or last(p) == last(f) and p in f]
+        if p in known or fits:
+            expected[p] = p if p in known else fits[0]
+    a = spark.createDataFrame([("r", p) for p in changed], "repo string, path string")
+    b = spark.createDataFrame([("r", f, i) for i, f in enumerate(known)], "repo string, file_path string, file_order int")
+    found = P.match_handler_file(a, b, ["repo"]).collect()
+    assert {r["path"]: r["file_path"] for r in found} == expected and len(found) == len(expected)
+
+
+def test_first_references_equal_the_plain_rule(spark):
+    draws = random.Random(3)
+    name = lambda: "/".join(draws.choice(["a", "b", "user.py", "superuser.py", "main.py", ".py", "r.py"]) for _ in range(draws.randrange(1, 4)))
+    changed, files = sorted({name() for _ in range(120)}), [(e, f, o) for e in ("x", "y", "z") for o, f in enumerate(sorted({name() for _ in range(60)}, key=lambda _: draws.random()))]
+    last = lambda p: p.rsplit("/", 1)[-1]
+    expected = {}
+    for e, f, o in files:
+        for p in changed:
+            if f.endswith(p) or p.endswith(f) or last(p) == last(f):
+                expected[e, p] = min(expected.get((e, p), (o, f)), (o, f))
+    a = spark.createDataFrame([("r", p) for p in changed], "repo string, path string")
+    b = spark.createDataFrame([("r", *f) for f in files], "repo string, endpoint_id string, file_path string, ref_ord int")
+    assert {(r["endpoint_id"], r["path"]): (r["ref_ord"], r["file_path"]) for r in P.first_reference(a, b, ["repo"]).collect()} == expected
+
+
+def test_common_base_names_do_not_meet(spark):
+    """10,000 paths and 10,000 files of one base name: the joins stay as large as their results."""
+    a = spark.range(10_000).select(F.lit("r").alias("repo"), F.concat(F.lit("src/p"), F.col("id").cast("string"), F.lit("/__init__.py")).alias("path"))
+    b = spark.range(10_000).select(F.lit("r").alias("repo"), F.concat(F.lit("/srv/src/p"), (2 * F.col("id")).cast("string"), F.lit("/__init__.py")).alias("file_path"), F.col("id").alias("file_order"))
+    assert P.match_handler_file(a, b, ["repo"]).count() == 5_000
+    refs = b.select("repo", F.lit("e").alias("endpoint_id"), "file_path", F.col("file_order").alias("ref_ord"))
+    found = P.first_reference(a, refs, ["repo"])
+    assert found.count() == 10_000 and found.where("ref_ord = 0").count() == 10_000
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_closure_equals_a_search(spark, seed):
     draws = random.Random(seed)
@@ -169,6 +213,29 @@ def test_closure_equals_a_search(spark, seed):
         assert chain[0] == r["endpoint"] and all(p in edges for p in zip(chain, chain[1:]))
 
 
+def test_a_deep_chain_ends(spark, monkeypatch):
+    """More rounds than any limit would allow; tables of rounds are written together."""
+    monkeypatch.setattr(G, "COMPACT_EVERY", 5)
+    n = 40
+    roots = spark.createDataFrame([("a", 0), ("b", 0), ("c", 30)], "endpoint string, node long")
+    table = spark.createDataFrame([(i, i + 1, 0) for i in range(n)] + [(n, 3, 0)], "caller long, callee long, ord int")
+    found = {(r["endpoint"], r["node"]): r["depth"] for r in G.reachability(roots, table).collect()}
+    assert {k: d for k, d in found.items() if k[0] == "a"} == {("a", i): i for i in range(n + 1)}
+    assert len(found) == 2 * (n + 1) + n - 2 and found["c", 3] == n - 30 + 1
+    assert {r["node"]: len(r["stack"]) for r in G.call_stacks(roots, table).where("endpoint = 'b'").collect()} == {i: i for i in range(n + 1)}
+
+
+def test_step_tables_are_removed(spark):
+    one = T.save_step(spark.range(3).toDF("x"), "one")
+    with T.step_scope(spark):
+        two = T.save_step(one, "two")
+        assert two.count() == 3
+    folder = lambda t: os.path.exists(t.step_path.removeprefix("file://"))
+    assert folder(one) and not folder(two)
+    T.drop_steps(one)
+    assert not folder(one)
+
+
 def test_source_index():
     rows = index_file("a.py", "@app.get('/x')\ndef f(a):\n    g(a)\n    del a[h()]\nclass K:\n    def m(self):\n        return self.n().o()\n")
     assert [(r[1], r[2], r[6]) for r in rows] == [("function", "f", None), ("route", "f", "GET /x"), ("call", "g", "f"), ("method", "K.m", None), ("call", "self.n", "K.m")]
@@ -183,6 +250,12 @@ def test_files_are_read(spark, tmp_path):
     rows = T.read_sources(spark, str(tmp_path / "app"))
     assert [(r["module"], r["line_no"], r["text"]) for r in rows.select("module", "file_path", "content").join(T.source_lines(rows), "file_path").orderBy("line_no").collect()] == [("app.x", 1, "a"), ("app.x", 2, "b")]
     assert T.read_diffs(spark, str(tmp_path / "one.diff")).first()["change_id"] == "one.diff"
+    for name in ("x", "y"):
+        (tmp_path / "in" / name).mkdir(parents=True)
+        (tmp_path / "in" / name / "a.diff").write_text(MODIFIED)
+    # Equal base names in two folders are two changes.
+    assert sorted(r["change_id"] for r in T.read_diffs(spark, f"{tmp_path}/in/").collect()) == ["x/a.diff", "y/a.diff"]
+    assert sorted(r["change_id"] for r in T.read_diffs(spark, f"{tmp_path}/in/*/a.diff").collect()) == [f"{tmp_path}/in/{n}/a.diff" for n in "xy"]
 
 
 def test_stream_of_changes(spark, endpoints, tmp_path):
@@ -191,6 +264,10 @@ def test_stream_of_changes(spark, endpoints, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "one.diff").write_text(MODIFIED)
     references = spark.createDataFrame([], "repo string, endpoint_id string, ref_ord int, file_path string, start_line int, end_line int")
+    steps = lambda: {d for d in os.listdir(folder) if d.startswith(("parsed-diffs", "changed", "affected"))} if os.path.exists(folder) else set()
+    folder = f"{T.shared_dir(spark)}/{spark.sparkContext.applicationId}".removeprefix("file://")
+    before = steps()
     done = analyse_stream(arriving_diffs(spark, str(tmp_path / "in"), "r"), endpoints, references, str(tmp_path / "out"), str(tmp_path / "cp"))
     assert done.awaitTermination(120)
     assert [r["endpoint_id"] for r in spark.read.parquet(str(tmp_path / "out" / "affected")).collect()] == ["GET /api/users"]
+    assert steps() == before

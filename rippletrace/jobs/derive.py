@@ -99,20 +99,44 @@ def derive(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
 
 
 _DOCS = "(SELECT COUNT(*) FROM documents)"
-#: SQL that makes the same tables for an oracle, as common table expressions.
-ORACLE_CTE = ", ".join(
-    [
-        f"{n} AS ({DERIVED[n].format(array='list_value', docs=_DOCS)})"
-        for n in ("source_files", "symbols", "call_edges", "endpoints")
-    ]
-    + [
-        "named_endpoints AS (SELECT *, array_to_string(list_sort(methods), ',') || ' ' || path AS endpoint_id FROM endpoints)",
-        f"reference_rows AS ({REFERENCES})",
-        """endpoint_references AS (SELECT repo, endpoint_id, file_path, start_line, end_line, sym_ord, symbol_name,
-           MIN(ref_ord0) OVER (PARTITION BY endpoint_id, file_path) AS ref_ord FROM reference_rows)""",
-        f"diff_plan AS ({DIFF_FILES.format(docs=_DOCS)})",
-    ]
-)
+#: SQL that makes the same tables for an oracle, by name and in the order in which each needs those before.
+ORACLE_TABLES = {
+    **{n: DERIVED[n].format(array="list_value", docs=_DOCS) for n in ("source_files", "symbols", "call_edges", "endpoints")},
+    "named_endpoints": "SELECT *, array_to_string(list_sort(methods), ',') || ' ' || path AS endpoint_id FROM endpoints",
+    "reference_rows": REFERENCES,
+    "endpoint_references": """SELECT repo, endpoint_id, file_path, start_line, end_line, sym_ord, symbol_name,
+       MIN(ref_ord0) OVER (PARTITION BY endpoint_id, file_path) AS ref_ord FROM reference_rows""",
+    "diff_plan": DIFF_FILES.format(docs=_DOCS),
+    # The symbols as they stand in source code, where each one has an end.
+    "code_symbols": "SELECT * REPLACE (CAST(4 + 12 * def_order + (doc_id + def_order) % 7 AS INT) AS end_line) FROM symbols",
+}
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_path, module, content): Python files with the functions of ``symbols``, the calls of ``call_edges`` and the routes of ``endpoints``.
+
+    Functions and calls stand in the lines that these tables give. What is
+    called is imported below the functions, and routes are added last.
+    """
+    symbols, edges, ends = derive(spark, sf_dir, "symbols", "call_edges", "endpoints")
+    short = F.concat(F.lit("m"), F.col("doc_id").cast("string"), F.lit("_"), "name")
+    callee = symbols.select(F.col("node").alias("callee"), short.alias("short"), F.concat(F.lit("from "), "module", F.lit(" import "), "name", F.lit(" as "), short).alias("import"))
+    call = F.struct("line", "ord", F.concat("short", F.lit("()")).alias("text"), "import")
+    calls = edges.join(callee, "callee").groupBy(F.col("caller").alias("node")).agg(F.array_sort(F.collect_list(call)).alias("calls"))
+    quoted = F.array_join(F.transform("methods", lambda m: F.concat(F.lit("'"), m, F.lit("'"))), ", ")
+    route = F.concat(F.lit("app.add_api_route('"), "path", F.lit("', "), "name", F.lit(", methods=["), quoted, F.lit("])\n"))
+    routes = ends.groupBy("node").agg(F.array_join(F.array_sort(F.collect_list(route)), "").alias("routes"))
+    rows = symbols.join(calls, "node", "left").join(routes, "node", "left")
+    length = F.lit(3).cast("int") + ((F.col("doc_id") + F.col("def_order")) % 7).cast("int")
+    none = F.array().cast("array<struct<line:int,ord:int,text:string,import:string>>")
+    here = lambda i: F.transform(F.filter(F.coalesce("calls", none), lambda c: c["line"] == F.col("start_line") + i), lambda c: c["text"])
+    body = F.transform(F.sequence(F.lit(1), length), lambda i: F.concat(F.lit("    "), F.array_join(F.concat(F.array(F.lit("pass")), here(i)), "; "), F.lit("\n")))
+    text = F.concat(F.lit("def "), "name", F.lit("(x):\n"), F.array_join(body, ""), F.repeat(F.lit("\n"), 11 - length))
+    parts = rows.select("doc_id", "file_path", "module", "def_order", text.alias("text"), F.transform(F.coalesce("calls", none), lambda c: c["import"]).alias("imports"), F.coalesce("routes", F.lit("")).alias("routes"))
+    parts = parts.groupBy("doc_id", "file_path", "module").agg(F.array_sort(F.collect_list(F.struct("def_order", "text", "imports", "routes"))).alias("p"))
+    joined = lambda c: F.array_join(F.transform("p", lambda x: x[c]), "")
+    imports = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform("p", lambda x: x["imports"])))), "\n")
+    return parts.select("file_path", "module", F.concat(joined("text"), imports, F.lit("\n"), joined("routes")).alias("content"))
 
 
 def diff_texts(plan: DataFrame) -> DataFrame:

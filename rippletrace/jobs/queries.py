@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rippletrace.functions import columns as C
-from rippletrace.jobs.derive import ORACLE_CTE, derive, diff_texts
+from rippletrace.jobs.derive import ORACLE_TABLES, code_files, derive, diff_texts
+from rippletrace.jobs.trace import trace
 from rippletrace.operators import diffs as D
 from rippletrace.operators import endpoints as E
 from rippletrace.operators import graph as G
@@ -23,44 +25,57 @@ ORACLES: dict[str, str] = {}
 
 _NAME = lambda p: f"string_split({p}, '/')[-1]"
 #: More tables for oracles: what the diffs hold, by how they were made.
-_MORE = f"""good AS (SELECT *, regexp_matches(name, '[^/]\\.py$') AS is_python FROM diff_plan WHERE change_id % 97 <> 0),
-changed AS (
+_MORE = {
+    "good": f"""SELECT *, regexp_matches(name, '[^/]\\.py$') AS is_python FROM diff_plan WHERE change_id % 97 <> 0""",
+    "changed": f"""
   SELECT repo, change_id, file_idx, name AS path, is_python, 'added' AS side, i AS nth, CASE WHEN change_type = 'added' THEN i ELSE start_line + i END AS line_no
   FROM (SELECT *, unnest(range(1, plus + 1)) AS i FROM good WHERE change_type <> 'deleted')
   UNION ALL
   SELECT repo, change_id, file_idx, name, is_python, 'removed', i, CASE WHEN change_type = 'deleted' THEN i ELSE start_line + i END
-  FROM (SELECT *, unnest(range(1, CASE WHEN change_type = 'deleted' THEN minus + 2 ELSE minus + 1 END)) AS i FROM good WHERE change_type <> 'added')),
-py AS (SELECT DISTINCT repo, change_id, file_idx, path, line_no FROM changed WHERE is_python),
-paths AS (SELECT DISTINCT path FROM py),
-registered AS (SELECT file_path, MIN(reg_order) AS file_order FROM endpoints GROUP BY 1),
-handler_match AS (SELECT path, arg_min(file_path, (level, file_order)) AS file_path FROM (
+  FROM (SELECT *, unnest(range(1, CASE WHEN change_type = 'deleted' THEN minus + 2 ELSE minus + 1 END)) AS i FROM good WHERE change_type <> 'added')""",
+    "py": f"""SELECT DISTINCT repo, change_id, file_idx, path, line_no FROM changed WHERE is_python""",
+    "paths": f"""SELECT DISTINCT path FROM py""",
+    "registered": f"""SELECT file_path, MIN(reg_order) AS file_order FROM endpoints GROUP BY 1""",
+    "handler_match": f"""SELECT path, arg_min(file_path, (level, file_order)) AS file_path FROM (
   SELECT path, file_path, file_order, CASE WHEN path = file_path THEN 1 WHEN ends_with(file_path, path) OR ends_with(file_path, ltrim(path, './'))
-    OR ({_NAME('path')} = {_NAME('file_path')} AND contains(file_path, path)) THEN 2 END AS level FROM paths, registered) WHERE level IS NOT NULL GROUP BY path),
-files AS (SELECT DISTINCT endpoint_id, file_path, ref_ord FROM endpoint_references),
-reference_match AS (SELECT endpoint_id, path, arg_min(file_path, (ref_ord, file_path)) AS file_path FROM paths, files
-  WHERE ends_with(file_path, path) OR ends_with(path, file_path) OR {_NAME('path')} = {_NAME('file_path')} GROUP BY 1, 2),
-direct AS (SELECT DISTINCT change_id, file_idx, path, endpoint_id, MIN(reg_order) OVER (PARTITION BY change_id, file_idx, path, endpoint_id) AS reg_order
+    OR ({_NAME('path')} = {_NAME('file_path')} AND contains(file_path, path)) THEN 2 END AS level FROM paths, registered) WHERE level IS NOT NULL GROUP BY path""",
+    "files": f"""SELECT DISTINCT endpoint_id, file_path, ref_ord FROM endpoint_references""",
+    "reference_match": f"""SELECT endpoint_id, path, arg_min(file_path, (ref_ord, file_path)) AS file_path FROM paths, files
+  WHERE ends_with(file_path, path) OR ends_with(path, file_path) OR {_NAME('path')} = {_NAME('file_path')} GROUP BY 1, 2""",
+    "direct": f"""SELECT DISTINCT change_id, file_idx, path, endpoint_id, MIN(reg_order) OVER (PARTITION BY change_id, file_idx, path, endpoint_id) AS reg_order
   FROM py JOIN handler_match USING (path) JOIN named_endpoints e USING (file_path)
-  WHERE line_no BETWEEN e.start_line AND COALESCE(NULLIF(e.end_line, 0), e.start_line + 50)),
-near AS (SELECT change_id, file_idx, py.path, endpoint_id, line_no, r.start_line, r.end_line FROM py JOIN reference_match m USING (path)
-  JOIN endpoint_references r USING (endpoint_id, file_path) WHERE greatest(1, line_no - 3) <= r.end_line AND line_no + 3 >= r.start_line),
-dependency AS (SELECT DISTINCT change_id, file_idx, path, endpoint_id FROM near),
-shown0 AS (SELECT *, unnest(range(greatest(1, line_no - 3, start_line), least(line_no + 3, end_line) + 1)) AS shown FROM near),
-shown AS (SELECT change_id, file_idx, path, endpoint_id,
+  WHERE line_no BETWEEN e.start_line AND COALESCE(NULLIF(e.end_line, 0), e.start_line + 50)""",
+    "near": f"""SELECT change_id, file_idx, py.path, endpoint_id, line_no, r.start_line, r.end_line FROM py JOIN reference_match m USING (path)
+  JOIN endpoint_references r USING (endpoint_id, file_path) WHERE greatest(1, line_no - 3) <= r.end_line AND line_no + 3 >= r.start_line""",
+    "dependency": f"""SELECT DISTINCT change_id, file_idx, path, endpoint_id FROM near""",
+    "shown0": f"""SELECT *, unnest(range(greatest(1, line_no - 3, start_line), least(line_no + 3, end_line) + 1)) AS shown FROM near""",
+    "shown": f"""SELECT change_id, file_idx, path, endpoint_id,
   CASE WHEN COUNT(*) FILTER (shown = line_no) > 0 THEN list_sort(list_distinct(list(shown) FILTER (shown = line_no))) ELSE list_sort(list_distinct(list(shown))) END AS lines
-  FROM shown0 GROUP BY ALL),
-first_reg AS (SELECT endpoint_id, MIN(reg_order) AS reg_order FROM named_endpoints GROUP BY 1),
-hits AS (SELECT change_id, endpoint_id, file_idx, path, confidence, reg_order FROM (
+  FROM shown0 GROUP BY ALL""",
+    "first_reg": f"""SELECT endpoint_id, MIN(reg_order) AS reg_order FROM named_endpoints GROUP BY 1""",
+    "hits": f"""SELECT change_id, endpoint_id, file_idx, path, confidence, reg_order FROM (
   SELECT *, row_number() OVER (PARTITION BY change_id, endpoint_id ORDER BY file_idx, r, reg_order) AS pos FROM (
     SELECT change_id, endpoint_id, file_idx, path, 'high' AS confidence, 0 AS r, reg_order FROM direct
-    UNION ALL SELECT change_id, endpoint_id, file_idx, path, 'medium', 1, reg_order FROM dependency JOIN first_reg USING (endpoint_id))) WHERE pos = 1)"""
+    UNION ALL SELECT change_id, endpoint_id, file_idx, path, 'medium', 1, reg_order FROM dependency JOIN first_reg USING (endpoint_id))) WHERE pos = 1""",
+}
+_TABLES = {**ORACLE_TABLES, **_MORE}
+
+
+def oracle(sql: str) -> str:
+    """``sql``, which may start with tables of its own after a comma, with those derived tables before it that it needs."""
+    needed, text = [], sql
+    for name in reversed(_TABLES):
+        if re.search(rf"\b{name}\b", text):
+            needed.append(f"{name} AS MATERIALIZED ({_TABLES[name]})")
+            text += _TABLES[name]
+    return f"WITH RECURSIVE {', '.join(reversed(needed))} {sql}" if needed else sql
 
 
 def query(name: str, sql: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = f"WITH RECURSIVE {ORACLE_CTE}, {_MORE} {sql}"
+            ORACLES[name] = oracle(sql)
         return f
 
     return add
@@ -170,13 +185,48 @@ def module_names(spark, sf_dir):
     return files.where(~C.is_hidden(inner)).select("file_path", C.module_name(inner).alias("module"))
 
 
-@query("source_index")
+@query(
+    "source_index",
+    """, calls AS (SELECT file_path, COUNT(*) AS n FROM call_edges JOIN symbols ON node = caller GROUP BY 1), uses AS (SELECT file_path, COUNT(DISTINCT (node, line)) AS n FROM call_edges JOIN symbols ON node = caller GROUP BY 1)
+    SELECT file_path, 'symbol' AS kind, COUNT(*) AS n FROM symbols GROUP BY 1 UNION ALL SELECT file_path, 'call', n FROM calls UNION ALL SELECT file_path, 'use', n FROM uses
+    UNION ALL SELECT file_path, 'route', COUNT(*) FROM endpoints GROUP BY 1""",
+)
 def source_index(spark, sf_dir):
-    """Each document's first words become a function that calls others, so that there is code to scan."""
-    files = derive(spark, sf_dir, "source_files")[0]
-    words = F.transform(F.regexp_extract_all("content", F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.concat(F.lit("    x."), F.lower(w), F.lit("()\n")))
-    code = F.concat(F.lit("@app.get('/a')\ndef first(x):\n    pass\n"), F.array_join(words, ""))
-    return S.source_index(files.select("file_path", code.alias("content")))
+    return S.scan_sources(code_files(spark, sf_dir)).groupBy("file_path", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("scan_symbols", "SELECT fullname, module, name, def_order, file_path, start_line, end_line FROM code_symbols")
+def scan_symbols(spark, sf_dir):
+    return S.symbols_of(S.scan_sources(code_files(spark, sf_dir))).drop("node")
+
+
+@query(
+    "scan_calls",
+    """SELECT a.fullname AS caller, b.fullname AS callee_fullname, CAST(ROW_NUMBER() OVER (PARTITION BY caller ORDER BY line, ord) - 1 AS INT) AS ord, line
+    FROM call_edges JOIN symbols a ON a.node = caller JOIN symbols b ON b.node = callee""",
+)
+def scan_calls(spark, sf_dir):
+    return S.call_sites_of(S.scan_sources(code_files(spark, sf_dir))).select("caller", "callee_fullname", "ord", "line")
+
+
+@query(
+    "endpoints_from_source",
+    "SELECT endpoint_id, s.name, s.module, s.file_path, s.start_line, s.end_line FROM named_endpoints JOIN code_symbols s USING (node)",
+)
+def endpoints_from_source(spark, sf_dir):
+    rows = S.routes_of(T.save_step(S.scan_sources(code_files(spark, sf_dir)), "scan"))
+    return E.api_endpoints(rows).select("endpoint_id", "name", "module", "file_path", "start_line", "end_line")
+
+
+@query(
+    "references_from_source",
+    """, reach AS (SELECT endpoint_id, node FROM named_endpoints UNION SELECT r.endpoint_id, c.callee FROM reach r JOIN call_edges c ON c.caller = r.node)
+    SELECT endpoint_id, file_path, start_line, end_line FROM reach JOIN code_symbols USING (node)
+    UNION SELECT endpoint_id, file_path, line, line FROM reach JOIN symbols USING (node) JOIN call_edges ON caller = node""",
+)
+def references_from_source(spark, sf_dir):
+    """From source code to the lines that each endpoint depends on: scan, names, edges, closure."""
+    return trace(T.save_step(code_files(spark, sf_dir), "code"), "app").references.select("endpoint_id", "file_path", "start_line", "end_line")
 
 
 # Catalogue
@@ -238,49 +288,55 @@ def registry_contains(spark, sf_dir):
     return E.registered(wanted, _endpoints(spark, sf_dir)).select("page_id", "endpoint_id", "is_registered")
 
 
-def _lookup(name: str, column: str, of: str) -> None:
-    """A look-up of every value that a tenth of the endpoints has."""
+def _lookup(name: str, column: str) -> None:
+    """A look-up of every value that there is, and of as many that aren't registered."""
 
-    @query(name, f"SELECT {of} AS value, reg_order FROM endpoints WHERE {of} IN (SELECT {of} FROM endpoints WHERE reg_order % 10 = 3)")
+    @query(name, f"SELECT {column} AS value, reg_order FROM endpoints WHERE {column} IS NOT NULL")
     def run(spark, sf_dir):
         rows = T.save_step(_endpoints(spark, sf_dir), "endpoints")
-        return E.lookup_equal(rows, rows.where("reg_order % 10 = 3"), column).select(F.col(column).alias("value"), "reg_order")
+        wanted = rows.select(F.explode(F.array(F.col(column), F.concat(F.lit("/none"), column))).alias(column))
+        return E.lookup_equal(rows, wanted, column).select(F.col(column).alias("value"), "reg_order")
 
 
-_lookup("lookup_path", "path", "path")
-_lookup("lookup_module", "module", "module")
+_lookup("lookup_path", "path")
+_lookup("lookup_module", "module")
 
 
-def _lookup_in(name: str, column: str, values: str) -> None:
-    @query(name, f"SELECT DISTINCT value, reg_order FROM (SELECT reg_order, unnest({column}) AS value FROM endpoints) WHERE value IN ({values})")
+def _lookup_in(name: str, column: str) -> None:
+    @query(name, f"SELECT DISTINCT value, reg_order FROM (SELECT reg_order, unnest({column}) AS value FROM endpoints)")
     def run(spark, sf_dir):
-        wanted = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.explode(F.array(*[F.expr(v) for v in values.split(", ")])).alias("value"))
-        return E.lookup_member(_endpoints(spark, sf_dir), wanted, column, "value").select("value", "reg_order")
+        rows = T.save_step(_endpoints(spark, sf_dir), "endpoints")
+        members = rows.select(F.explode(column).alias("value")).distinct()
+        wanted = members.unionByName(members.select(F.concat("value", F.lit("?")).alias("value")))
+        return E.lookup_member(rows, wanted, column, "value").select("value", "reg_order")
 
 
-_lookup_in("lookup_method", "methods", "'PUT', 'DELETE'")
-_lookup_in("lookup_tag", "tags", "'tag1', 'tag6', 'none'")
-_lookup_in("lookup_dependency", "dependencies", "'get_db', 'dep2'")
+_lookup_in("lookup_method", "methods")
+_lookup_in("lookup_tag", "tags")
+_lookup_in("lookup_dependency", "dependencies")
 
 
 @query(
     "lookup_line_range",
-    """SELECT event_id, reg_order FROM (SELECT event_id, d.file_path, CAST(event_id % 60 AS INT) AS first, CAST(event_id % 60 + user_id % 10 AS INT) AS last FROM events e
-    JOIN source_files d ON d.doc_id = e.event_id % (SELECT COUNT(*) FROM documents)) r JOIN endpoints e USING (file_path)
+    f""", ranges AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN d.file_path WHEN 1 THEN substring(d.file_path, 10) ELSE {_NAME('d.file_path')} END AS path,
+      CAST(event_id % 60 AS INT) AS first, CAST(event_id % 60 + user_id % 10 AS INT) AS last FROM events e JOIN source_files d ON d.doc_id = e.event_id % (SELECT COUNT(*) FROM documents)),
+    asked AS (SELECT DISTINCT path FROM ranges),
+    match AS (SELECT path, arg_min(file_path, (level, file_order)) AS file_path FROM (
+      SELECT path, file_path, file_order, CASE WHEN path = file_path THEN 1 WHEN ends_with(file_path, path) OR ({_NAME('path')} = {_NAME('file_path')} AND contains(file_path, path)) THEN 2 END AS level
+      FROM asked, registered) WHERE level IS NOT NULL GROUP BY path)
+    SELECT event_id, reg_order FROM ranges r JOIN match USING (path) JOIN endpoints e USING (file_path)
     WHERE e.start_line <= r.last AND COALESCE(NULLIF(e.end_line, 0), e.start_line) >= r.first""",
 )
 def lookup_line_range(spark, sf_dir):
     files = derive(spark, sf_dir, "source_files")[0]
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
     n = files.count()
+    path = F.when(F.col("event_id") % 3 == 0, F.col("file_path")).when(F.col("event_id") % 3 == 1, F.substring("file_path", 10, 1 << 30)).otherwise(C.basename(F.col("file_path")))
     ranges = events.withColumn("doc_id", F.col("event_id") % n).join(files, "doc_id").select(
-        F.lit("app").alias("repo"), "event_id", F.col("file_path").alias("path"), (F.col("event_id") % 60).cast("int").alias("first"),
+        F.lit("app").alias("repo"), "event_id", path.alias("path"), (F.col("event_id") % 60).cast("int").alias("first"),
         (F.col("event_id") % 60 + F.col("user_id") % 10).cast("int").alias("last"),
     )
-    # Of a full path only the equal file is looked at here, whether it is registered or not.
-    endpoints = T.save_step(_endpoints(spark, sf_dir), "endpoints")
-    known = ranges.join(endpoints.select(F.col("file_path").alias("path")).distinct(), "path", "left_semi")
-    return E.lookup_line_range(endpoints, known, ["repo"]).select("event_id", "reg_order")
+    return E.lookup_line_range(T.save_step(_endpoints(spark, sf_dir), "endpoints"), ranges, ["repo"]).select("event_id", "reg_order")
 
 
 @query("endpoint_listing", f"SELECT reg_order, '| ' || array_to_string(methods, ', ') || ' | `' || path || '` | `' || name || '` | `' || {_NAME('file_path')} || '` | ' || CAST(start_line AS STRING) || ' |' AS row FROM endpoints")
@@ -354,12 +410,12 @@ def resolve_module(spark, sf_dir):
     return G.resolve_module(names.union(names.select(F.lit("os.path.join"))), rows.select("module"))
 
 
-@query("resolve_function", "SELECT module, name, node FROM symbols WHERE def_order < 3")
+@query("resolve_function", "SELECT module, name, node FROM symbols")
 def resolve_function(spark, sf_dir):
     rows = T.save_step(derive(spark, sf_dir, "symbols")[0], "symbols")
     # A second definition of each name comes later and must lose.
     twice = rows.union(rows.withColumn("def_order", F.col("def_order") + 10).withColumn("node", -F.col("node") - 1))
-    return G.resolve_function(rows.where("def_order < 3"), twice).select("module", "name", "node")
+    return G.resolve_function(rows, twice).select("module", "name", "node")
 
 
 @query(
@@ -403,13 +459,7 @@ def _reached(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
 
 def _closure(name: str, sql: str):
     """Like ``query``, for oracles that need the closure."""
-
-    def add(f):
-        QUERIES[name] = f
-        ORACLES[name] = f"WITH RECURSIVE {ORACLE_CTE}{_REACH} {sql}"
-        return f
-
-    return add
+    return query(name, f"{_REACH} {sql}")
 
 
 @_closure("reachability", "SELECT endpoint, node FROM reach")

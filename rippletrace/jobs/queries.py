@@ -352,14 +352,26 @@ def catalog_roundtrip(spark, sf_dir):
 
 @query(
     "depcache_roundtrip",
-    """SELECT endpoint_id, file_path, CAST(COUNT(DISTINCT i) AS BIGINT) AS n_lines, CAST(SUM(DISTINCT i) AS BIGINT) AS sum_lines
-    FROM (SELECT endpoint_id, file_path, unnest(range(start_line, end_line + 1)) AS i FROM endpoint_references) GROUP BY 1, 2""",
+    """SELECT endpoint_id, file_path, CAST(COUNT(DISTINCT i) AS BIGINT) AS n_lines, CAST(SUM(DISTINCT i) AS BIGINT) AS sum_lines, endpoint_id AS made_id, n_symbols, frames
+    FROM (SELECT endpoint_id, file_path, unnest(range(start_line, end_line + 1)) AS i FROM endpoint_references)
+    JOIN (SELECT endpoint_id, COUNT(*) AS n_symbols FROM endpoint_references GROUP BY 1) USING (endpoint_id)
+    JOIN (SELECT endpoint_id, file_path, string_agg(symbol_name || ':' || CAST(start_line AS STRING), ',' ORDER BY start_line, symbol_name) AS frames FROM endpoint_references GROUP BY 1, 2) USING (endpoint_id, file_path)
+    GROUP BY ALL""",
 )
 def depcache_roundtrip(spark, sf_dir):
-    rows = _references(spark, sf_dir).withColumn("shard", F.pmod(F.hash("endpoint_id"), F.lit(64)))
-    back = T.parse_dependencies(T.dependency_json(rows, rows, "shard"), "shard")
-    files = back.select("endpoint_id", F.explode("referenced_files").alias("file_path", "lines"))
-    return files.select("endpoint_id", "file_path", F.size("lines").cast("long").alias("n_lines"), F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_lines"))
+    """A document per endpoint, written and read back."""
+    rows, ends = _references(spark, sf_dir), _endpoints(spark, sf_dir)
+    frame = F.struct("file_path", F.col("start_line").alias("line_number"), F.col("symbol_name").alias("function_name"), F.lit("x").alias("code_context"))
+    stacks = rows.groupBy("repo", "endpoint_id", "file_path").agg(F.array_sort(F.collect_list(frame)).alias("frames"))
+    ends = ends.withColumn("doc", F.col("endpoint_id"))
+    rows, stacks = rows.withColumn("doc", F.col("endpoint_id")), stacks.withColumn("doc", F.col("endpoint_id"))
+    back = T.parse_dependencies(T.dependency_json(rows, rows, "doc", endpoints=ends, stacks=stacks), "doc")
+    files = back.select("endpoint_id", "methods", "path", "referenced_symbols", "call_stacks", F.explode("referenced_files").alias("file_path", "lines"))
+    return files.select(
+        "endpoint_id", "file_path", F.size("lines").cast("long").alias("n_lines"), F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_lines"),
+        F.concat(F.array_join(F.array_sort("methods"), ","), F.lit(" "), "path").alias("made_id"), F.size("referenced_symbols").cast("long").alias("n_symbols"),
+        F.array_join(F.transform(F.col("call_stacks")[F.col("file_path")], lambda x: F.concat(x["function_name"], F.lit(":"), x["line_number"].cast("string"))), ",").alias("frames"),
+    )
 
 
 @query("incremental_endpoints", "SELECT endpoint_id, MIN(reg_order) AS reg_order FROM named_endpoints WHERE endpoint_id NOT IN (SELECT endpoint_id FROM named_endpoints WHERE reg_order % 3 = 0) GROUP BY 1")
@@ -659,38 +671,60 @@ def report_summary(spark, sf_dir):
 
 def _affected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows, files, ends = _reasons(spark, sf_dir)
-    detail = E.missing_from_cache(ends, ends.limit(0)).drop("reg_order", "node").withColumnRenamed("path", "endpoint_path")
-    return rows.drop("path").join(detail, ["repo", "endpoint_id"]), files, rows
+    detail = E.missing_from_cache(ends, ends.limit(0)).drop("reg_order", "node")
+    return rows.drop("reg_order").join(detail.withColumnRenamed("path", "endpoint_path"), ["repo", "endpoint_id"]), files, rows
+
+
+# What reports say of each affected endpoint, in order.
+_SAID = """, first_of AS (SELECT * FROM named_endpoints QUALIFY row_number() OVER (PARTITION BY endpoint_id ORDER BY reg_order) = 1),
+said AS (SELECT change_id, row_number() OVER (PARTITION BY change_id ORDER BY h.file_idx, h.confidence <> 'high', h.reg_order, endpoint_id) AS n, e.path AS endpoint_path, array_to_string(methods, ', ') AS methods,
+    e.name, e.file_path AS file, e.start_line AS line, confidence,
+    CASE confidence WHEN 'high' THEN 'Handler function directly modified in ' || h.path
+      ELSE 'Type analysis shows dependency on ' || h.path || ' (lines [' || array_to_string(lines[1:5], ', ') || ']' || CASE WHEN len(lines) > 5 THEN '...' ELSE '' END || ')' END AS reason,
+    CASE confidence WHEN 'high' THEN h.path ELSE e.module || '>' || h.path END AS chain
+    FROM hits h LEFT JOIN shown USING (change_id, file_idx, path, endpoint_id) JOIN first_of e USING (endpoint_id))"""
 
 
 @query(
     "report_json",
-    f"""SELECT change_id, total_endpoints, affected_endpoints, high_confidence, files_changed, affected_endpoints AS n_listed,
-    CASE WHEN change_id % 97 = 0 THEN 1 ELSE 0 END AS n_errors FROM ({_SUMMARY.replace(", per_hit", "WITH per_hit", 1)})""",
+    f"""{_SAID}, sums AS ({_SUMMARY.replace(", per_hit", "WITH per_hit", 1)})
+    SELECT s.*, CAST(COALESCE(n, 0) AS INT) AS n, endpoint_path, methods, name, file, line, confidence, reason, chain, 'app' AS app_path, CASE WHEN s.change_id % 97 = 0 THEN 1 ELSE 0 END AS n_errors, 0 AS n_warnings
+    FROM sums s LEFT JOIN said USING (change_id)""",
 )
 def report_json(spark, sf_dir):
+    """Each document read back: a row for each listed endpoint, one for a change without any."""
     rows, files, hits = _affected(spark, sf_dir)
-    errors = D.diff_errors(_parsed(spark, sf_dir))
-    made = R.report_json(_summary(spark, sf_dir, hits, files), rows, errors)
-    at = lambda p, t="bigint": F.get_json_object("report", p).cast(t)
-    n = lambda p: F.size(F.from_json(F.get_json_object("report", p), "array<string>"))
-    return made.select(
-        "change_id", *[at(f"$.summary.{x}").alias(x) for x in ("total_endpoints", "affected_endpoints", "high_confidence", "files_changed")],
-        n("$.affected_endpoints").cast("long").alias("n_listed"), n("$.errors").alias("n_errors"),
+    made = R.report_json(_summary(spark, sf_dir, hits, files), rows, D.diff_errors(_parsed(spark, sf_dir)), app_path="app")
+    handler = "struct<name:string,file:string,line:int>"
+    listed = f"array<struct<endpoint:struct<path:string,methods:array<string>,handler:{handler}>,confidence:string,reason:string,dependency_chain:array<string>>>"
+    counts = ("total_endpoints", "affected_endpoints", "high_confidence", "files_changed", "python_files_changed")
+    form = f"summary struct<{','.join(f'{c}:bigint' for c in counts)}>, app_path string, affected_endpoints {listed}, errors array<string>, warnings array<string>"
+    back = made.select("change_id", F.from_json("report", form).alias("r"))
+    back = back.select("change_id", "r", F.posexplode_outer("r.affected_endpoints").alias("at", "a"))
+    return back.select(
+        "change_id", *[F.col(f"r.summary.{c}").alias(c) for c in counts], F.coalesce(F.col("at") + 1, F.lit(0)).alias("n"), F.col("a.endpoint.path").alias("endpoint_path"),
+        F.array_join("a.endpoint.methods", ", ").alias("methods"), "a.endpoint.handler.*", "a.confidence", "a.reason", F.array_join("a.dependency_chain", ">").alias("chain"), "r.app_path",
+        F.size("r.errors").alias("n_errors"), F.size("r.warnings").alias("n_warnings"),
     )
 
 
 @query(
     "report_markdown",
-    f"SELECT change_id, affected_endpoints AS n_said, affected_endpoints AS n_blocks, high_confidence AS n_high FROM ({_SUMMARY.replace(', per_hit', 'WITH per_hit', 1)})",
+    f"""{_SAID}, sums AS ({_SUMMARY.replace(", per_hit", "WITH per_hit", 1)}),
+    blocks AS (SELECT change_id, n, confidence, '#### ' || methods || ' `' || endpoint_path || '`' || chr(10) || chr(10) || '- **Handler:** `' || name || '`' || chr(10) || '- **Location:** `' || file || ':' || CAST(line AS STRING) || '`'
+      || chr(10) || '- **Reason:** ' || reason || CASE WHEN contains(chain, '>') THEN chr(10) || '- **Chain:** `' || replace(chain, '>', '` → `') || '`' ELSE '' END || chr(10) AS block FROM said),
+    sections AS (SELECT change_id, confidence, '### ' || CASE confidence WHEN 'high' THEN '🔴 HIGH' ELSE '🟡 MEDIUM' END || ' Confidence (' || CAST(COUNT(*) AS STRING) || ')' || chr(10) || chr(10) || string_agg(block, chr(10) ORDER BY n) AS section
+      FROM blocks GROUP BY 1, 2),
+    bodies AS (SELECT change_id, string_agg(section, chr(10) ORDER BY confidence) AS body FROM sections GROUP BY 1)
+    SELECT change_id, '# Endpoint changes' || chr(10) || chr(10) || '## Analysis Report' || chr(10) || chr(10) || '## Summary' || chr(10) || chr(10) || '- **App Path:** `app`' || chr(10) || '- **Diff Source:** `stdin`' || chr(10)
+      || '- **Total Endpoints:** ' || CAST(total_endpoints AS STRING) || chr(10) || '- **Files Changed:** ' || CAST(files_changed AS STRING) || ' (' || CAST(python_files_changed AS STRING) || ' Python)' || chr(10)
+      || '- **Affected Endpoints:** ' || CAST(affected_endpoints AS STRING) || chr(10) || chr(10)
+      || CASE WHEN body IS NULL THEN '## ✅ No Affected Endpoints' || chr(10) || chr(10) || 'No endpoints were affected by the changes.' || chr(10) ELSE '## Affected Endpoints' || chr(10) || chr(10) || body END
+      || CASE WHEN change_id % 97 = 0 THEN chr(10) || '## ❌ Errors' || chr(10) || chr(10) || '- Failed to parse diff: hunk ' || chr(10) ELSE '' END AS report
+    FROM sums LEFT JOIN bodies USING (change_id)""",
 )
 def report_markdown(spark, sf_dir):
+    """Whole documents; only the number of the bad hunk is left out of the error."""
     rows, files, hits = _affected(spark, sf_dir)
-    made = R.report_markdown(_summary(spark, sf_dir, hits, files), R.endpoint_block(rows))
-    number = lambda pattern: F.coalesce(F.nullif(F.regexp_extract("report", pattern, 1), F.lit("")), F.lit("0")).cast("long")
-    return made.select(
-        "change_id",
-        number(r"\*\*Affected Endpoints:\*\* (\d+)").alias("n_said"),
-        (F.size(F.split("report", "\n#### ")) - 1).cast("long").alias("n_blocks"),
-        number(r"HIGH Confidence \((\d+)\)").alias("n_high"),
-    )
+    errors = D.diff_errors(_parsed(spark, sf_dir)).withColumn("error", F.regexp_replace("error", r"\d+$", ""))
+    return R.report_markdown(_summary(spark, sf_dir, hits, files), R.endpoint_block(rows), errors, app_path="app").select("change_id", "report")

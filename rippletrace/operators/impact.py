@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from rippletrace.functions import columns as C
 from rippletrace.operators.endpoints import registry_files
 from rippletrace.operators.paths import first_reference, match_handler_file, match_paths
+from rippletrace.sources.tables import FRAME
 
 CHANGE = ["repo", "change_id"]
 FILE = [*CHANGE, "file_idx"]
@@ -119,6 +120,27 @@ def frames(groups: DataFrame, symbols: DataFrame, source_lines: DataFrame) -> Da
     return out.select(*keys, F.coalesce("function_name", F.lit("module")).alias("function_name"), context.alias("code_context"))
 
 
+def with_call_stacks(affected: DataFrame, stacks: DataFrame, frames: DataFrame) -> DataFrame:
+    """Adds call_stack, an array of frames (file_path, line_number, function_name, code_context); empty for direct hits.
+
+    ``stacks`` (repo, endpoint_id, stack_ord, file_path, frames) holds for each
+    file that an endpoint reaches the frames of the calls to it; the first file
+    that matches the changed path counts. Where there is such a stack the
+    changed lines come after it: ``frames`` as ``frames`` above returns them.
+    """
+    medium = affected.where("confidence = 'medium'")
+    chosen = first_reference(medium, stacks.withColumnRenamed("stack_ord", "ref_ord"), ["repo"]).select("repo", "endpoint_id", "path", "file_path")
+    chosen = chosen.join(stacks.select("repo", "endpoint_id", "file_path", F.col("frames").alias("calls")), ["repo", "endpoint_id", "file_path"]).drop("file_path")
+    frame = F.struct(F.col("path").alias("file_path"), F.col("first").cast("int").alias("line_number"), "function_name", "code_context")
+    keys = [*FILE, "path", "endpoint_id"]
+    shown = frames.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("first", frame.alias("f")))).alias("shown"))
+    rows = medium.join(chosen, ["repo", "endpoint_id", "path"]).join(shown, keys, "left").where(F.size("calls") > 0)
+    kind = f"array<{FRAME}>"
+    lines = F.coalesce(F.transform("shown", lambda x: x["f"]).cast(kind), F.array().cast(kind))
+    rows = rows.select(*CHANGE, "endpoint_id", F.concat(F.col("calls").cast(kind), lines).alias("call_stack"))
+    return affected.join(rows, [*CHANGE, "endpoint_id"], "left").withColumn("call_stack", F.coalesce("call_stack", F.array().cast(kind)))
+
+
 def code_context(ranges: DataFrame, source_lines: DataFrame, around: int = C.WINDOW_LINES) -> DataFrame:
     """Lines (file_path, line_no, text) from ``around`` before ``first`` to ``around`` after ``last``; is_highlight inside."""
     met = ranges.join(source_lines, "file_path")

@@ -140,21 +140,55 @@ def parse_catalog(catalogs: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, "reg_order", "e.path", "e.methods", F.col("e.handler.name").alias("name"), *handler, "e.tags", "e.dependencies")
 
 
-def dependency_json(lines: DataFrame, symbols: DataFrame, *keys: str) -> DataFrame:
-    """(``keys``, cache): per key a JSON object from endpoint ids to referenced lines and symbols."""
+def dependency_json(lines: DataFrame, symbols: DataFrame, *keys: str, endpoints: DataFrame | None = None, stacks: DataFrame | None = None) -> DataFrame:
+    """(``keys``, cache): per key a JSON object from endpoint ids to what they depend on.
+
+    ``lines`` has file_path, start_line and end_line of referenced ranges,
+    ``symbols`` the reached functions with sym_ord, ``endpoints`` methods and
+    path, ``stacks`` file_path and frames; all have ``keys`` and endpoint_id.
+    Without ``endpoints`` or ``stacks`` methods and path are null and stacks
+    empty. A document holds all endpoints of its key: choose keys, such as the
+    repository and the endpoint, that keep documents small.
+    """
+    of = [*keys, "endpoint_id"]
     span = F.flatten(F.collect_list(F.sequence("start_line", "end_line")))
-    files = lines.groupBy(*keys, "endpoint_id", "file_path").agg(F.sort_array(F.array_distinct(span)).alias("lines"))
-    files = files.groupBy(*keys, "endpoint_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("file_path", "lines")))).alias("referenced_files"))
+    files = lines.groupBy(*of, "file_path").agg(F.sort_array(F.array_distinct(span)).alias("lines"))
+    files = files.groupBy(*of).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("file_path", "lines")))).alias("referenced_files"))
     named = F.struct("sym_ord", F.struct("file_path", "symbol_name", "start_line", "end_line").alias("s"))
-    refs = symbols.groupBy(*keys, "endpoint_id").agg(F.transform(F.array_sort(F.collect_list(named)), lambda x: x["s"]).alias("referenced_symbols"))
-    row = F.struct("referenced_files", F.coalesce("referenced_symbols", F.array().cast(refs.schema["referenced_symbols"].dataType)).alias("referenced_symbols"))
-    both = files.join(refs, [*keys, "endpoint_id"], "left").select(*keys, "endpoint_id", row.alias("deps"))
-    return both.groupBy(*keys).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("endpoint_id", "deps")))).alias("cache"))
+    out = files.join(symbols.groupBy(*of).agg(F.transform(F.array_sort(F.collect_list(named)), lambda x: x["s"]).alias("referenced_symbols")), of, "left")
+    if endpoints is not None:
+        out = out.join(endpoints.groupBy(*of).agg(F.min_by(F.struct("methods", F.col("path")), "reg_order").alias("e")).select(*of, "e.*"), of, "left")
+    else:
+        out = out.withColumns({"methods": F.lit(None).cast("array<string>"), "path": F.lit(None).cast("string")})
+    if stacks is not None:
+        entry = F.array_sort(F.collect_list(F.struct("file_path", F.col("frames").cast(f"array<{FRAME}>").alias("frames"))))
+        out = out.join(stacks.groupBy(*of).agg(F.map_from_entries(entry).alias("call_stacks")), of, "left")
+    else:
+        out = out.withColumn("call_stacks", F.lit(None).cast(f"map<string,array<{FRAME}>>"))
+    empty = {"referenced_symbols": F.array().cast(f"array<{SYMBOL}>"), "call_stacks": F.create_map().cast(f"map<string,array<{FRAME}>>")}
+    row = F.struct("methods", "path", "referenced_files", *[F.coalesce(F.col(n).cast(e_type), e).alias(n) for n, e, e_type in (
+        ("referenced_symbols", empty["referenced_symbols"], f"array<{SYMBOL}>"), ("call_stacks", empty["call_stacks"], f"map<string,array<{FRAME}>>"))])
+    return out.groupBy(*keys).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("endpoint_id", row.alias("deps"))))).alias("cache"))
 
 
 def parse_dependencies(caches: DataFrame, *keys: str) -> DataFrame:
-    """(``keys``, endpoint_id, referenced_files, referenced_symbols, call_stacks) of cache documents; what is missing is empty."""
+    """(``keys``, endpoint_id, methods, path, referenced_files, referenced_symbols, call_stacks) of cache documents; what is missing is empty."""
     rows = caches.select(*keys, F.explode(F.from_json("cache", DEPENDENCIES)).alias("endpoint_id", "d"))
     fields = rows.schema["d"].dataType
-    empty = {x: F.create_map() if x == "call_stacks" or x == "referenced_files" else F.array() for x in ("referenced_files", "referenced_symbols", "call_stacks")}
-    return rows.select(*keys, "endpoint_id", *[F.coalesce(F.col(f"d.{x}"), e.cast(fields[x].dataType)).alias(x) for x, e in empty.items()])
+    empty = {"methods": F.array(), "referenced_files": F.create_map(), "referenced_symbols": F.array(), "call_stacks": F.create_map()}
+    filled = {x: F.coalesce(F.col(f"d.{x}"), e.cast(fields[x].dataType)).alias(x) for x, e in empty.items()}
+    return rows.select(*keys, "endpoint_id", filled["methods"], "d.path", *[filled[x] for x in ("referenced_files", "referenced_symbols", "call_stacks")])
+
+
+def cached_references(parsed: DataFrame, repo: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """References, symbols and stacks, as ``jobs.trace`` makes them, of what ``parse_dependencies`` read back.
+
+    Files come in the order of the document, which is that of their names.
+    """
+    named = F.lit(repo).alias("repo")
+    files = parsed.select(named, "endpoint_id", F.posexplode(F.map_entries("referenced_files")).alias("ref_ord", "f"))
+    files = files.select("repo", "endpoint_id", "ref_ord", F.col("f.key").alias("file_path"), F.explode("f.value").alias("start_line"))
+    symbols = parsed.select(named, "endpoint_id", F.posexplode("referenced_symbols").alias("sym_ord", "s")).select("repo", "endpoint_id", "sym_ord", "s.*")
+    stacks = parsed.select(named, "endpoint_id", F.posexplode(F.map_entries("call_stacks")).alias("stack_ord", "f"))
+    stacks = stacks.select("repo", "endpoint_id", "stack_ord", F.col("f.key").alias("file_path"), F.col("f.value").alias("frames"))
+    return files.withColumn("end_line", F.col("start_line")), symbols, stacks

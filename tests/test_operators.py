@@ -14,7 +14,6 @@ from rippletrace.operators import graph as G
 from rippletrace.operators import impact as I
 from rippletrace.operators import paths as P
 from rippletrace.operators import report as R
-from rippletrace.operators.source_index import index_file
 from rippletrace.sources import tables as T
 
 ENDPOINT = (
@@ -236,12 +235,6 @@ def test_step_tables_are_removed(spark):
     assert not folder(one)
 
 
-def test_source_index():
-    rows = index_file("a.py", "@app.get('/x')\ndef f(a):\n    g(a)\n    del a[h()]\nclass K:\n    def m(self):\n        return self.n().o()\n")
-    assert [(r[1], r[2], r[6]) for r in rows] == [("function", "f", None), ("route", "f", "GET /x"), ("call", "g", "f"), ("method", "K.m", None), ("call", "self.n", "K.m")]
-    assert index_file("b.py", "def (")[0][1] == "error" and index_file("c.py", None) == []
-
-
 def test_files_are_read(spark, tmp_path):
     (tmp_path / "app" / ".hidden").mkdir(parents=True)
     (tmp_path / "app" / "x.py").write_text("a\nb\n")

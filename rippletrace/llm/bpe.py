@@ -55,6 +55,18 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def check_settings(spec: dict) -> None:
+    """Raise ValueError if a tokenizer file asks for what isn't done here, rather than encode differently."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    wanted = {"pre_tokenizer.type": (pre.get("type"), "ByteLevel"), "add_prefix_space": (pre.get("add_prefix_space", True), False), "use_regex": (pre.get("use_regex", True), True)}
+    wanted |= {"normalizer": (spec.get("normalizer"), None), "model.type": (model.get("type", "BPE"), "BPE"), "decoder.type": ((spec.get("decoder") or {}).get("type"), "ByteLevel")}
+    wanted |= {k: (model.get(k) or None, None) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")}
+    flags = [f for t in spec.get("added_tokens", ()) for f in ("single_word", "lstrip", "rstrip", "normalized") if t.get(f)]
+    wrong = [f"{k} = {v!r}" for k, (v, right) in wanted.items() if v != right] + sorted({f"added_tokens.{f}" for f in flags})
+    if wrong:
+        raise ValueError("not supported: " + ", ".join(wrong))
+
+
 class SpeculativeBpe:
     """Encoder and decoder for one vocabulary.
 
@@ -66,6 +78,7 @@ class SpeculativeBpe:
     def __init__(self, spec: str, most_words: int = 400_000) -> None:
         self.library = Tokenizer.from_str(spec).pre_tokenizer
         spec = json.loads(spec)
+        check_settings(spec)
         letters = _byte_letters()
         to_bytes = lambda token: bytes(letters[c] for c in token)
         self.ids = {to_bytes(t): i for t, i in spec["model"]["vocab"].items()}

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rippletrace.sources.tables import drop_steps, shared_dir
 from rippletrace.sources.tables import save_step as materialise
-from rippletrace.sources.tables import shared_dir
 
-__all__ = ["add_columns", "fold", "free_name", "materialise", "shared_dir", "table"]
+__all__ = ["add_columns", "drop_steps", "fold", "free_name", "materialise", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

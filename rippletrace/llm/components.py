@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rippletrace.llm.common import materialise
+from rippletrace.llm.common import drop_steps, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -48,9 +48,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     edges = materialise(edges.where(F.col("a") != F.col("b")).distinct(), "edges")
     before = _sum(edges)
     while before[0]:
-        edges = materialise(_star(edges, large=True), "large-star")
-        edges = materialise(_star(edges, large=False), "small-star")
-        now = _sum(edges)
+        large = materialise(_star(edges, large=True), "large-star")
+        small = materialise(_star(large, large=False), "small-star")
+        drop_steps(edges, large)
+        edges, now = small, _sum(small)
         if now == before:
             break
         before = now

@@ -2,7 +2,7 @@
 
 import base64
 import hashlib
-
+import json
 import random
 import re
 import time
@@ -305,6 +305,20 @@ def test_bpe_equals_the_library(library):
     assert coder.speculated > 0 and coder.merged > 0
 
 
+@pytest.mark.parametrize(
+    "change",
+    [
+        {"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}},
+        {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [{"id": 50256, "content": "<|endoftext|>", "single_word": False, "lstrip": True, "rstrip": False, "normalized": False, "special": True}]},
+    ],
+)
+def test_bpe_refuses_other_settings(change):
+    spec = json.loads(open(VOCABULARY, encoding="utf-8").read())
+    bpe.check_settings(spec)
+    with pytest.raises(ValueError, match="not supported"):
+        bpe.check_settings(spec | change)
+
+
 def test_bpe_tables_are_bounded():
     coder = bpe.SpeculativeBpe(open(VOCABULARY, encoding="utf-8").read(), most_words=50)
     first = coder.encode_batch([f"word{i} x{i}y" for i in range(200)])

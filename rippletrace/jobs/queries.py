@@ -65,9 +65,9 @@ def oracle(sql: str) -> str:
     """``sql``, which may start with tables of its own after a comma, with those derived tables before it that it needs."""
     needed, text = [], sql
     for name in reversed(_TABLES):
-        if re.search(rf"\b{name}\b", text):
+        if re.search(rf"(\bFROM|\bJOIN|,)\s+{name}\b", text):
             needed.append(f"{name} AS MATERIALIZED ({_TABLES[name]})")
-            text += _TABLES[name]
+            text += "\n" + _TABLES[name]
     return f"WITH RECURSIVE {', '.join(reversed(needed))} {sql}" if needed else sql
 
 

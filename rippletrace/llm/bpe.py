@@ -72,10 +72,12 @@ class SpeculativeBpe:
 
     ``spec`` is the text of a tokenizer file with a byte-level BPE model. Words
     seen before are looked up; the table of words and that of pairs are emptied
-    when they have ``most_words`` entries, so memory is bounded.
+    when they have ``most_words`` entries, and texts of ``most_letters``
+    together, or a single longer one, are cut into words at once, so memory is
+    bounded.
     """
 
-    def __init__(self, spec: str, most_words: int = 400_000) -> None:
+    def __init__(self, spec: str, most_words: int = 200_000, most_letters: int = 2_000_000) -> None:
         self.library = Tokenizer.from_str(spec).pre_tokenizer
         spec = json.loads(spec)
         check_settings(spec)
@@ -95,7 +97,7 @@ class SpeculativeBpe:
         self.cut_words = regex.compile(WORDS).findall
         self.recent = _recent()
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        self.most_words = most_words
+        self.most_words, self.most_letters = most_words, most_letters
         self.words: dict[str, bytes] = {}
         self.sound = np.zeros(0, "int64")  # pairs known to stay, sorted
         self.unsound = np.zeros(0, "int64")  # pairs known to change, sorted
@@ -191,8 +193,17 @@ class SpeculativeBpe:
         for word, data, guess, ok in zip(words, raw, guesses, good.tolist()):
             self.words[word] = np.array(guess if ok else self.merge(data), "<u4").tobytes()
 
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+    def encode_batch(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
+        out, first, letters = [], 0, 0
+        for i, text in enumerate(texts):
+            letters += len(text or "")
+            if letters > self.most_letters and i > first:
+                out += self._encode(texts[first:i])
+                first, letters = i, len(text or "")
+        return out + self._encode(texts[first:])
+
+    def _encode(self, texts: Sequence[str | None]) -> list[bytes]:
         parts = []
         for text in texts:
             pieces = self.cut(text or "") if self.cut else [text or ""]

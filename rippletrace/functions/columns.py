@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed values.
+#: HTTP's methods, weights of confidence, and spans where an end is missing.
 METHODS = ("GET", "POST", "PUT", "DELETE", "PATCH", "OPTIONS", "HEAD", "TRACE")
 CONFIDENCE = {"high": 1.0, "medium": 0.7, "low": 0.3}
 WINDOW_LINES = 3
@@ -86,6 +86,9 @@ def confidence_rank(confidence: Column) -> Column:
     return out
 
 
+# The texts of reasons, frames and tracebacks in what follows, which reports have to match.
+
+
 def direct_reason(path: Column) -> Column:
     return F.concat(F.lit("Handler function directly modified in "), path)
 

@@ -527,9 +527,8 @@ def call_stacks(spark, sf_dir):
 )
 def call_stack_for_file(spark, sf_dir):
     """The shortest stack with which each endpoint reaches each file."""
-    rows = _stacks(spark, sf_dir).join(derive(spark, sf_dir, "symbols")[0], "node")
-    best = rows.groupBy("endpoint", "file_path").agg(F.min(F.struct(F.size("stack").alias("n"), "node", "stack")).alias("b"))
-    return best.select("endpoint", "file_path", F.array_join(F.transform("b.stack", lambda x: x.cast("string")), ">").alias("stack"))
+    best = G.stacks_by_file(_stacks(spark, sf_dir), derive(spark, sf_dir, "symbols")[0])
+    return best.select("endpoint", "file_path", F.array_join(F.transform("stack", lambda x: x.cast("string")), ">").alias("stack"))
 
 
 # Impact

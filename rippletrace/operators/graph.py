@@ -152,6 +152,13 @@ def _of_endpoints(roots: DataFrame, walked: DataFrame) -> DataFrame:
     return of.join(walked.withColumnRenamed("endpoint", "root"), "root").drop("root")
 
 
+def stacks_by_file(stacks: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(endpoint, file_path, node, stack): for each file that an endpoint reaches the shortest stack, then that of the smallest node."""
+    best = F.min(F.struct(F.size("stack").alias("n"), "node", "stack")).alias("b")
+    rows = stacks.join(symbols.select("node", "file_path"), "node").groupBy("endpoint", "file_path").agg(best)
+    return rows.select("endpoint", "file_path", "b.node", "b.stack")
+
+
 def endpoint_lines(reached: DataFrame, symbols: DataFrame, calls: DataFrame) -> DataFrame:
     """Distinct (endpoint, file_path, start_line, end_line): spans of reached functions and lines of calls in them.
 

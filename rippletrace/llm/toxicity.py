@@ -136,12 +136,12 @@ def train(
     """
     draws, n = np.random.default_rng(seed), len(rows)
     share = min(max(float(labels.mean()), 1e-3), 1 - 1e-3) if n else 0.5
-    bias, theta = float(np.log(share / (1 - share))), np.zeros((BUCKETS, 1 + rank))
+    bias, theta = float(np.log(share / (1 - share))), np.zeros((BUCKETS, 1 + rank), "float32")
     if not 0 < labels.sum() < n:
         return FactorizationMachine(bias, theta.astype("float32"))
     sizes = input_sizes(rows, labels)
     theta[:, 1:] = draws.normal(0, 0.05, (BUCKETS, rank))
-    squares, bias_squares = np.full(theta.shape, 1e-8), 1e-8
+    squares, bias_squares = np.full(theta.shape, 1e-8, "float32"), 1e-8
     order, parts = draws.permutation(n), []
     for i in range(0, n, batch):
         part = [j for j in order[i : i + batch] if len(rows[j])]

@@ -39,8 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def save_step(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+def save_step(df: DataFrame, name: str, by: str = "") -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back; files hold one value each of the column ``by``, if named.
 
     This cuts the lineage: a lost executor costs the tasks of the current step
     and not the steps before it. Tables lie under a folder named after the
@@ -49,10 +49,10 @@ def save_step(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*[by] if by else []).parquet(path)
     if (written := _scope.get()) is not None:
         written.append(path)
-    saved = spark.read.schema(df.schema).parquet(path)
+    saved = spark.read.schema(df.schema).parquet(path).select(df.columns)
     saved.step_path = path
     return saved
 

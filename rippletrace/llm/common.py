@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from rippletrace.sources.tables import drop_steps, shared_dir
 from rippletrace.sources.tables import save_step as materialise
 
-__all__ = ["add_columns", "drop_steps", "fold", "free_name", "materialise", "shared_dir", "table"]
+__all__ = ["add_columns", "drop_steps", "fold", "free_name", "materialise", "new_path", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -21,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path that nothing uses yet, in the application's folder of step tables."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def free_name(name: str, taken: Sequence[str]) -> str:
     """``name``, with as many underscores at its end as it takes to differ from all of ``taken`` in any case of letters."""
     used = {t.lower() for t in taken}

@@ -137,3 +137,70 @@ counted AS (SELECT a, COUNT(*) AS n_links FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(c.n_links, 0) AS n_links, l.component_id, coalesce(e.vec_id = l.component_id, TRUE) AS kept
 FROM embeddings e LEFT JOIN least l ON e.vec_id = l.a LEFT JOIN counted c ON e.vec_id = c.a
 """
+
+
+_WHOLE = "[CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding]"
+_SOUND = "len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0"
+
+
+def clusters_sql(k: int = 40, rounds: int = 5, d: int = 64, seed: int = 2) -> str:
+    """vec_id, cluster, distance, cluster_inertia, inertia and centroid_sha256 of ``embeddings``; keys are taken to be unique."""
+    steps = ""
+    for i in range(rounds + 1):
+        steps += f"""
+a{i} AS MATERIALIZED (
+  SELECT vec_id, arg_min(n, (distance, n)) AS cluster, min(distance) AS distance FROM (
+    SELECT vec_id, n, list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(v, c)]) AS distance FROM kept, c{i}) GROUP BY vec_id
+),"""
+        if i < rounds:
+            steps += f"""
+m{i} AS (
+  SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY pos) AS c FROM (
+    SELECT cluster, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (
+      SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM kept JOIN a{i} USING (vec_id)) GROUP BY cluster, pos) GROUP BY cluster
+),
+c{i + 1} AS MATERIALIZED (SELECT n, coalesce(m.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} m ON m.cluster = n),"""
+    return f"""
+WITH kept AS MATERIALIZED (SELECT vec_id, {_WHOLE} AS v FROM embeddings WHERE len(embedding) = {d} AND {_SOUND}),
+c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INT) AS n, v AS c FROM (SELECT sha256('{seed}:' || CAST(vec_id AS VARCHAR)) AS h, v FROM kept ORDER BY h LIMIT {k})
+),{steps}
+facts AS (
+  SELECT cluster, CAST(sum(distance) AS BIGINT) AS cluster_inertia, sha256(any_value(array_to_string(c, ','))) AS centroid_sha256
+  FROM a{rounds} JOIN c{rounds} ON n = cluster GROUP BY cluster
+)
+SELECT vec_id, cluster, CAST(distance AS BIGINT) AS distance, cluster_inertia, CAST((SELECT sum(distance) FROM a{rounds}) AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN facts USING (cluster)
+"""
+
+
+def negatives_sql(positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90) -> str:
+    """Anchors, their positives and hard negatives of ``embeddings`` by comparing all anchors with all rows; keys are taken to be unique."""
+    return f"""
+WITH vectors AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_WHOLE} AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND {_SOUND}
+),
+scores AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(a.v, b.v)]) AS BIGINT) AS s
+  FROM vectors a JOIN vectors b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+),
+best AS (
+  SELECT anchor_id, vec_id AS positive_id, s AS positive_score FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, vec_id) <= {positives}
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s DESC, vec_id) AS INT) AS rank, vec_id AS negative_id, positive_score, s AS negative_score
+FROM best JOIN scores USING (anchor_id) WHERE NOT same AND {low} * positive_score <= 100 * s AND 100 * s <= {high} * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s DESC, vec_id) <= {negatives}
+"""
+
+
+def archive_sql(least_bytes: int = 1000) -> str:
+    """The records that ``pages`` become, as read back from the archives."""
+    return f"""
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+sizes AS (SELECT *, octet_length(encode(html)) AS payload_bytes, CASE WHEN octet_length(encode(html)) >= {least_bytes} THEN html END AS same FROM payloads),
+firsts AS (SELECT same, max(page_id) AS last FROM sizes WHERE same IS NOT NULL GROUP BY same)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN last IS NULL OR page_id IS NOT DISTINCT FROM last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM sizes LEFT JOIN firsts USING (same)
+"""

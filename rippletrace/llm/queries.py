@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rippletrace.llm import ann, bpe, hnsw, html, language, mixing, oracles, secrets, simhash, toxicity, url_filter
-from rippletrace.llm.common import fold, table
+from rippletrace.llm import ann, bpe, hnsw, html, language, lloyd, mixing, negatives, oracles, secrets, simhash, toxicity, url_filter, warc
+from rippletrace.llm.common import fold, new_path, table
 
 #: The rules of the URL query.
 URL_RULES = [
@@ -79,6 +79,22 @@ def op10_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_duplicate_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
+def op11_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.cluster_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label").withColumn("label", label)
+    return negatives.mine_hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_archives(warc.plan_records(table(spark, sf_dir, "pages", "page_id", "url", "html")), path)
+    return warc.read_archives(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_secrets": op2_secrets,
@@ -90,10 +106,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_ann": op9_ann,
     "op10_hnsw": op10_hnsw,
+    "op11_lloyd": op11_lloyd,
+    "op12_negatives": op12_negatives,
+    "op13_warc": op13_warc,
 }
 
 #: Learned models, fingerprints, token merges, parsed keys and random mixes have no SQL; tests hold them against plain versions.
 ORACLES: dict[str, str] = {
     "op5_url_filter": oracles.url_filter_sql(URL_RULES),
     "op10_hnsw": oracles.vector_links_sql(),
+    "op11_lloyd": oracles.clusters_sql(),
+    "op12_negatives": oracles.negatives_sql(),
+    "op13_warc": oracles.archive_sql(),
 }

@@ -136,7 +136,8 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = parts.groupBy("doc_id", "file_path", "module").agg(F.array_sort(F.collect_list(F.struct("def_order", "text", "imports", "routes"))).alias("p"))
     joined = lambda c: F.array_join(F.transform("p", lambda x: x[c]), "")
     imports = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform("p", lambda x: x["imports"])))), "\n")
-    return parts.select("file_path", "module", F.concat(joined("text"), imports, F.lit("\n"), joined("routes")).alias("content"))
+    made = F.lit("\nfrom fastapi import FastAPI\napp = FastAPI()\n")
+    return parts.select("file_path", "module", F.concat(joined("text"), imports, made, joined("routes")).alias("content"))
 
 
 def diff_texts(plan: DataFrame) -> DataFrame:

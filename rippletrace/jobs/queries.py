@@ -17,6 +17,7 @@ from rippletrace.operators import graph as G
 from rippletrace.operators import impact as I
 from rippletrace.operators import paths as P
 from rippletrace.operators import report as R
+from rippletrace.operators import routing as M
 from rippletrace.operators import source_index as S
 from rippletrace.sources import tables as T
 
@@ -192,12 +193,13 @@ def module_names(spark, sf_dir):
     UNION ALL SELECT file_path, 'route', COUNT(*) FROM endpoints GROUP BY 1""",
 )
 def source_index(spark, sf_dir):
-    return S.scan_sources(code_files(spark, sf_dir)).groupBy("file_path", "kind").agg(F.count(F.lit(1)).alias("n"))
+    rows = S.scan_sources(code_files(spark, sf_dir)).where("kind in ('symbol', 'call', 'use', 'route')")
+    return rows.groupBy("file_path", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("scan_symbols", "SELECT fullname, module, name, def_order, file_path, start_line, end_line FROM code_symbols")
 def scan_symbols(spark, sf_dir):
-    return S.symbols_of(S.scan_sources(code_files(spark, sf_dir))).drop("node")
+    return S.symbols_of(S.scan_sources(code_files(spark, sf_dir))).drop("repo", "node")
 
 
 @query(
@@ -214,7 +216,7 @@ def scan_calls(spark, sf_dir):
     "SELECT endpoint_id, s.name, s.module, s.file_path, s.start_line, s.end_line FROM named_endpoints JOIN code_symbols s USING (node)",
 )
 def endpoints_from_source(spark, sf_dir):
-    rows = S.routes_of(T.save_step(S.scan_sources(code_files(spark, sf_dir)), "scan"))
+    rows = M.mounted_routes(T.save_step(S.scan_sources(code_files(spark, sf_dir)), "scan"))
     return E.api_endpoints(rows).select("endpoint_id", "name", "module", "file_path", "start_line", "end_line")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,39 +30,44 @@ def callee_name(call_sites: DataFrame) -> DataFrame:
     )
 
 
-def resolve_module(names: DataFrame, modules: DataFrame) -> DataFrame:
-    """(fullname, module) for distinct names: the longest dotted prefix that is a module; others are dropped."""
+def prefixes_of(names: DataFrame, keys: list[str]) -> DataFrame:
+    """(``keys``, fullname, prefix, n): each distinct name with all its dotted prefixes, itself included."""
     parts = F.split("fullname", r"\.")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(i.alias("n"), F.array_join(F.slice(parts, 1, i), ".").alias("module")))
-    rows = names.select("fullname").where("fullname is not null").distinct().select("fullname", F.inline(prefixes))
-    return rows.join(modules.select("module").distinct(), "module").groupBy("fullname").agg(F.max_by("module", "n").alias("module"))
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(i.alias("n"), F.array_join(F.slice(parts, 1, i), ".").alias("prefix")))
+    return names.select(*keys, "fullname").where("fullname is not null").distinct().select(*keys, "fullname", F.inline(prefixes))
 
 
-def resolve_function(wanted: DataFrame, symbols: DataFrame) -> DataFrame:
-    """``wanted`` (module, name) with the first symbol of that name in the module, by order of definition.
+def resolve_module(names: DataFrame, modules: DataFrame, keys: list[str] = []) -> DataFrame:
+    """(``keys``, fullname, module) for distinct names: the longest dotted prefix that is a module; others are dropped."""
+    rows = prefixes_of(names, keys).withColumnRenamed("prefix", "module")
+    return rows.join(modules.select(*keys, "module").distinct(), [*keys, "module"]).groupBy(*keys, "fullname").agg(F.max_by("module", "n").alias("module"))
+
+
+def resolve_function(wanted: DataFrame, symbols: DataFrame, keys: list[str] = []) -> DataFrame:
+    """``wanted`` (``keys``, module, name) with the first symbol of that name in the module, by order of definition.
 
     A method is found by its bare name, in whatever class comes first.
     """
-    keyed = wanted.select("module", "name").distinct().join(symbols, ["module", "name"])
-    return keyed.groupBy("module", "name").agg(F.min_by(F.struct(*[F.col(c) for c in symbols.columns if c not in ("module", "name")]), "def_order").alias("s")).select(
-        "module", "name", "s.*"
-    )
+    by = [*keys, "module", "name"]
+    rest = F.struct(*[F.col(c) for c in symbols.columns if c not in by])
+    return wanted.select(*by).distinct().join(symbols, by).groupBy(*by).agg(F.min_by(rest, "def_order").alias("s")).select(*by, "s.*")
 
 
-def resolve_targets(names: DataFrame, modules: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(fullname, module, file_path, name, start_line, end_line, found) for distinct names inside the project.
+def resolve_targets(names: DataFrame, modules: DataFrame, symbols: DataFrame, keys: list[str] = []) -> DataFrame:
+    """(``keys``, fullname, module, file_path, name, start_line, end_line, found) for distinct names inside the project.
 
     The symbol is what follows the module in the name, of which the last part
     is looked up. A module without it is referenced by its first lines.
     """
-    owned = resolve_module(names, modules)
+    owned = resolve_module(names, modules, keys)
     rest = F.substr(F.col("fullname"), F.length("module") + 2)
     last = F.element_at(F.split(F.when(rest != "", rest).otherwise(F.col("fullname")), r"\."), -1)
     owned = owned.withColumn("name", last)
-    hit = resolve_function(owned, symbols).select("module", "name", "start_line", "end_line", F.lit(True).alias("found"))
-    out = owned.join(hit, ["module", "name"], "left").join(modules.select("module", "file_path"), "module")
+    hit = resolve_function(owned, symbols, keys).select(*keys, "module", "name", "start_line", "end_line", F.lit(True).alias("found"))
+    out = owned.join(hit, [*keys, "module", "name"], "left").join(modules.select(*keys, "module", "file_path"), [*keys, "module"])
     end = F.when(F.col("found"), C.symbol_end(F.col("start_line"), F.col("end_line"))).otherwise(MODULE_LINES[1])
     return out.select(
+        *keys,
         "fullname",
         "module",
         "file_path",
@@ -71,22 +78,22 @@ def resolve_targets(names: DataFrame, modules: DataFrame, symbols: DataFrame) ->
     )
 
 
-def handler_roots(endpoints: DataFrame, modules: DataFrame, symbols: DataFrame) -> DataFrame:
+def handler_roots(endpoints: DataFrame, modules: DataFrame, symbols: DataFrame, keys: list[str] = []) -> DataFrame:
     """Where tracing starts: the handler's function in its module, or just the handler's lines if there is none."""
-    of = endpoints.join(modules.select("file_path", F.col("module").alias("found_module")), "file_path", "left")
-    first = resolve_function(of.select(F.col("found_module").alias("module"), "name"), symbols)
-    first = first.select(F.col("module").alias("found_module"), "name", F.col("start_line").alias("s"), F.col("end_line").alias("e"), F.lit(True).alias("found"))
-    out = of.join(first, ["found_module", "name"], "left")
+    of = endpoints.join(modules.select(*keys, "file_path", F.col("module").alias("found_module")), [*keys, "file_path"], "left")
+    first = resolve_function(of.select(*keys, F.col("found_module").alias("module"), "name"), symbols, keys)
+    first = first.select(*keys, F.col("module").alias("found_module"), "name", F.col("start_line").alias("s"), F.col("end_line").alias("e"), F.lit(True).alias("found"))
+    out = of.join(first, [*keys, "found_module", "name"], "left")
     end = F.when(F.col("found"), C.symbol_end(F.col("s"), F.col("e"))).otherwise(C.impact_end(F.col("start_line"), F.col("end_line")))
     start = F.when(F.col("found"), F.col("s")).otherwise(F.col("start_line"))
-    return out.select("endpoint_id", "reg_order", "file_path", "name", start.alias("start_line"), end.alias("end_line"), F.coalesce("found", F.lit(False)).alias("is_traced"))
+    return out.select(*keys, "endpoint_id", "reg_order", "file_path", "name", start.alias("start_line"), end.alias("end_line"), F.coalesce("found", F.lit(False)).alias("is_traced"))
 
 
 #: After so many rounds the tables of the rounds are written together as one.
 COMPACT_EVERY = 8
 
 
-def _expand(start: DataFrame, step: Callable[[DataFrame, int], DataFrame], name: str) -> DataFrame:
+def expand(start: DataFrame, step: Callable[[DataFrame, int], DataFrame], name: str) -> DataFrame:
     """All rows (endpoint, node, …) that ``step`` makes from those of the round before, the first of each (endpoint, node).
 
     Each round writes its frontier to the shared folder, so a lost executor
@@ -124,7 +131,7 @@ def reachability(roots: DataFrame, edges: DataFrame) -> DataFrame:
         met = frontier.join(edges, F.col("node") == F.col("caller"))
         return met.select("endpoint", F.col("callee").alias("node")).distinct().withColumn("depth", F.lit(depth))
 
-    return _of_endpoints(roots, _expand(start, step, "frontier"))
+    return _of_endpoints(roots, expand(start, step, "frontier"))
 
 
 def call_stacks(roots: DataFrame, edges: DataFrame) -> DataFrame:
@@ -143,7 +150,67 @@ def call_stacks(roots: DataFrame, edges: DataFrame) -> DataFrame:
         met = met.select("endpoint", F.col("callee").alias("target"), F.concat("stack", F.array("node")).alias("stack"), "ord", "caller")
         return met.groupBy("endpoint", F.col("target").alias("node")).agg(F.min_by("stack", F.struct("ord", "caller")).alias("stack"))
 
-    return _of_endpoints(roots, _expand(start, step, "stacks"))
+    return _of_endpoints(roots, expand(start, step, "stacks"))
+
+
+def first_visits(reached: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
+    """(endpoint, node, place, parent, stack): in which order a walk from each root first comes to the nodes that it reaches.
+
+    The walk goes depth first along the calls of a function in their order
+    (``edges`` has caller, callee and ord) and enters no node twice, the root
+    included, which has place 0. ``parent`` is the node that it came from. Where
+    a node is the first of its file (``files`` has node and file) that the walk
+    comes to, not counting the root, ``stack`` has the callers that lead to it
+    from the root on; elsewhere it is null. ``reached`` is as ``reachability``
+    returns it, with the root as node at depth 0.
+
+    The calls among the nodes of one root are a group, walked in one task; roots
+    are spread over tasks. Endpoints with the same root share its walk.
+    """
+    kind = edges.schema["callee"].dataType.simpleString()
+    of = reached.where("depth = 0").select("endpoint", F.col("node").alias("root"))
+    # One endpoint of each root stands for all.
+    chosen = of.groupBy("root").agg(F.min("endpoint").alias("endpoint"))
+    calls = edges.groupBy("caller", "callee").agg(F.min("ord").alias("ord"))
+    inside = reached.join(chosen, "endpoint").select("root", F.col("node").alias("caller")).join(calls, "caller")
+    inside = inside.join(files.select(F.col("node").alias("callee"), "file").distinct(), "callee", "left").select("root", "caller", "callee", "ord", "file")
+
+    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["caller", "ord", "callee"], kind="stable")
+        root = key[0]
+        nodes, index = np.unique(np.concatenate([[root], pdf["caller"].to_numpy(), pdf["callee"].to_numpy()]), return_inverse=True)
+        n = len(pdf)
+        callee, first = index[1 + n :], np.searchsorted(index[1 : 1 + n], np.arange(len(nodes) + 1))
+        where = np.full(len(nodes), -1, "int64")
+        where[callee] = pd.factorize(pdf["file"])[0]
+        at, seen, files_seen = int(index[0]), np.zeros(len(nodes), bool), set()
+        seen[at] = True
+        out, path, cursor = [(root, 0, None, None)], [at], first[:-1].copy()
+        while path:
+            at = path[-1]
+            if cursor[at] == first[at + 1]:
+                path.pop()
+                continue
+            to = int(callee[cursor[at]])
+            cursor[at] += 1
+            if seen[to]:
+                continue
+            seen[to] = True
+            new = where[to] >= 0 and where[to] not in files_seen
+            files_seen.add(where[to])
+            out.append((nodes[to], len(out), nodes[at], nodes[path].tolist() if new else None))
+            path.append(to)
+        frame = pd.DataFrame(out, columns=["node", "place", "parent", "stack"])
+        frame["parent"] = frame["parent"].astype(object).where(frame["parent"].notna(), None)
+        return frame.assign(root=root)
+
+    form = f"root {kind}, node {kind}, place int, parent {kind}, stack array<{kind}>"
+    walked = inside.groupBy("root").applyInPandas(lambda key, pdf: walk(key, pdf)[["root", "node", "place", "parent", "stack"]], form)
+    out = of.join(walked, "root").select("endpoint", "node", "place", "parent", "stack")
+    # A root that calls nothing is all that there is to walk.
+    alone = of.join(inside.select("root").distinct(), "root", "left_anti")
+    nothing = [F.lit(0).alias("place"), F.lit(None).cast(kind).alias("parent"), F.lit(None).cast(f"array<{kind}>").alias("stack")]
+    return out.unionByName(alone.select("endpoint", F.col("root").alias("node"), *nothing))
 
 
 def _of_endpoints(roots: DataFrame, walked: DataFrame) -> DataFrame:
@@ -178,3 +245,10 @@ def endpoint_symbols(reached: DataFrame, symbols: DataFrame) -> DataFrame:
     ranks = ranks.select("endpoint", "sym_ord", F.col("o.node").alias("node"))
     end = C.symbol_end(F.col("start_line"), F.col("end_line"))
     return rows.join(ranks, ["endpoint", "node"]).select("endpoint", "sym_ord", "node", "file_path", F.col("fullname").alias("symbol_name"), "start_line", end.alias("end_line"))
+
+
+def visited_symbols(visits: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(endpoint, sym_ord, node, file_path, symbol_name, start_line, end_line) in order of the first visit."""
+    end = C.symbol_end(F.col("start_line"), F.col("end_line"))
+    fields = ["endpoint", F.col("place").alias("sym_ord"), "node", "file_path", F.col("fullname").alias("symbol_name"), "start_line", end.alias("end_line")]
+    return visits.join(symbols, "node").select(*fields)

@@ -63,6 +63,23 @@ DIFF_FILES = f"""SELECT 'app' AS repo, l_orderkey AS change_id, file_idx, d.file
           FROM lineitem) x
     JOIN (SELECT doc_id, {_FILE} AS file_path, {_BASE} AS base FROM documents) d ON d.doc_id = l_partkey % {{docs}}"""
 
+# Routers in blocks of 16 that include each other; the first of a block is an application, but in every fifth block a router that nothing includes.
+ROUTER_PLAN = """SELECT doc_id, CAST(FLOOR(doc_id / 16) AS BIGINT) AS block, doc_id % 16 AS i, CASE WHEN doc_id % 16 % 3 = 1 OR doc_id % 16 = 0 THEN '' ELSE '/r' || CAST(doc_id % 16 AS STRING) END AS own_prefix,
+    CASE WHEN doc_id % 16 > 0 AND doc_id % 2 = 0 THEN 't' || CAST(doc_id % 16 AS STRING) END AS own_tag,
+    '/srv/app/routes/r' || CAST(doc_id AS STRING) || '.py' AS file_path FROM documents"""
+INCLUDE_PLAN = """SELECT p.doc_id AS outer_id, c.doc_id AS inner_id, CASE WHEN c.i % 3 = 0 THEN '' ELSE '/v' || CAST(c.i AS STRING) || w.more END AS prefix, CASE WHEN c.i % 5 = 0 THEN 'v' || CAST(c.i AS STRING) END AS tag,
+    CAST(ROW_NUMBER() OVER (PARTITION BY p.doc_id ORDER BY c.i) AS INT) AS seq
+    FROM (SELECT i, CAST(CASE WHEN i % 4 = 0 THEN FLOOR(i / 2) ELSE i - 1 END AS BIGINT) AS outer_i, '' AS more, 0 AS least FROM (SELECT DISTINCT i FROM router_plan WHERE i > 0) x
+        UNION ALL SELECT 8, 2, '/again', 0 UNION ALL SELECT 4, 6, '/round', 1) w
+    JOIN router_plan c ON c.i = w.i AND (w.least = 0 OR c.block % 3 = 1) JOIN router_plan p ON p.i = w.outer_i AND p.block = c.block"""
+
+# Chains of names of 1 to 20 steps, half of them by way of a module with another name; every seventh is a circle.
+ALIAS_PLAN = """SELECT 'app' AS repo, 'p.b' || CAST(block AS STRING) || '.n' || CAST(i AS STRING) AS alias,
+    CASE WHEN i < block % 20 THEN CASE WHEN i % 2 = 1 THEN 'q.b' ELSE 'p.b' END || CAST(block AS STRING) || '.n' || CAST(i + 1 AS STRING) WHEN block % 7 = 6 THEN 'p.b' || CAST(block AS STRING) || '.n0'
+      ELSE 'p.b' || CAST(block AS STRING) || '.' || source END AS target
+    FROM (SELECT CAST(FLOOR(doc_id / 21) AS BIGINT) AS block, doc_id % 21 AS i, source FROM documents) x WHERE i <= block % 20
+    UNION ALL SELECT DISTINCT 'app', 'q.b' || CAST(CAST(FLOOR(doc_id / 21) AS BIGINT) AS STRING), 'p.b' || CAST(CAST(FLOOR(doc_id / 21) AS BIGINT) AS STRING) FROM documents"""
+
 #: In the order in which each needs those before.
 DERIVED = {
     "source_files": SOURCE_FILES,
@@ -70,6 +87,9 @@ DERIVED = {
     "call_edges": CALL_EDGES,
     "endpoints": ENDPOINTS,
     "diff_plan": DIFF_FILES,
+    "router_plan": ROUTER_PLAN,
+    "include_plan": INCLUDE_PLAN,
+    "alias_plan": ALIAS_PLAN,
 }
 
 
@@ -107,6 +127,9 @@ ORACLE_TABLES = {
     "endpoint_references": """SELECT repo, endpoint_id, file_path, start_line, end_line, sym_ord, symbol_name,
        MIN(ref_ord0) OVER (PARTITION BY endpoint_id, file_path) AS ref_ord FROM reference_rows""",
     "diff_plan": DIFF_FILES.format(docs=_DOCS),
+    "router_plan": ROUTER_PLAN,
+    "include_plan": INCLUDE_PLAN,
+    "alias_plan": ALIAS_PLAN,
     # The symbols as they stand in source code, where each one has an end.
     "code_symbols": "SELECT * REPLACE (CAST(4 + 12 * def_order + (doc_id + def_order) % 7 AS INT) AS end_line) FROM symbols",
 }
@@ -120,7 +143,11 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     symbols, edges, ends = derive(spark, sf_dir, "symbols", "call_edges", "endpoints")
     short = F.concat(F.lit("m"), F.col("doc_id").cast("string"), F.lit("_"), "name")
-    callee = symbols.select(F.col("node").alias("callee"), short.alias("short"), F.concat(F.lit("from "), "module", F.lit(" import "), "name", F.lit(" as "), short).alias("import"))
+    # Some modules are imported by way of others that import from them, by name, all at once or twice over.
+    doc, own = F.col("doc_id").cast("string"), F.col("module")
+    facade, deep = F.concat(F.lit("app.facade.m"), doc), F.concat(F.lit("app.facade.deep"), doc)
+    origin = F.when(F.col("doc_id") % 20 == 0, deep).when(F.col("doc_id") % 5 == 0, facade).otherwise(own)
+    callee = symbols.select(F.col("node").alias("callee"), short.alias("short"), F.concat(F.lit("from "), origin, F.lit(" import "), "name", F.lit(" as "), short).alias("import"))
     call = F.struct("line", "ord", F.concat("short", F.lit("()")).alias("text"), "import")
     calls = edges.join(callee, "callee").groupBy(F.col("caller").alias("node")).agg(F.array_sort(F.collect_list(call)).alias("calls"))
     quoted = F.array_join(F.transform("methods", lambda m: F.concat(F.lit("'"), m, F.lit("'"))), ", ")
@@ -136,8 +163,33 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = parts.groupBy("doc_id", "file_path", "module").agg(F.array_sort(F.collect_list(F.struct("def_order", "text", "imports", "routes"))).alias("p"))
     joined = lambda c: F.array_join(F.transform("p", lambda x: x[c]), "")
     imports = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform("p", lambda x: x["imports"])))), "\n")
+    some = symbols.where("def_order = 0 and doc_id % 5 = 0")
+    given = F.when(F.col("doc_id") % 10 == 0, F.lit("*")).otherwise(F.lit("f0, f1, f2, f3"))
+    file = lambda module: F.concat(F.lit("/srv/"), F.replace(module, F.lit("."), F.lit("/")), F.lit(".py")).alias("file_path")
+    first = some.select(file(facade), facade.alias("module"), F.concat(F.lit("from "), own, F.lit(" import "), given, F.lit("\n")).alias("content"))
+    second = some.where("doc_id % 20 = 0").select(file(deep), deep.alias("module"), F.concat(F.lit("from "), facade, F.lit(" import *\n")).alias("content"))
     made = F.lit("\nfrom fastapi import FastAPI\napp = FastAPI()\n")
-    return parts.select("file_path", "module", F.concat(joined("text"), imports, made, joined("routes")).alias("content"))
+    files = parts.select("file_path", "module", F.concat(joined("text"), imports, made, joined("routes")).alias("content"))
+    return files.unionByName(first).unionByName(second)
+
+
+def router_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_path, module, content): a file for each router of ``router_plan``, with two routes, the includes of ``include_plan`` between them and the document's text as a comment."""
+    routers, includes = derive(spark, sf_dir, "router_plan", "include_plan")
+    text = lambda c: F.col(c).cast("string")
+    quoted = lambda c: F.concat(F.lit("'"), c, F.lit("'"))
+    tags = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit(", tags=["), quoted(F.col(c)), F.lit("]"))).otherwise("")
+    load = F.concat(F.lit("from app.routes.r"), text("inner_id"), F.lit(" import router as c"), text("inner_id"), F.lit("\n"))
+    call = F.concat(F.lit("router.include_router(c"), text("inner_id"), F.lit(", prefix="), quoted(F.col("prefix")), tags("tag"), F.lit(")\n"))
+    lines = includes.groupBy(F.col("outer_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("seq", load.alias("load"), call.alias("call")))).alias("lines"))
+    joined = lambda c: F.array_join(F.transform(F.coalesce("lines", F.array().cast("array<struct<seq:int,load:string,call:string>>")), lambda x: x[c]), "")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x7e]+", "\n# ").alias("note"))
+    is_app = (F.col("i") == 0) & (F.col("block") % 5 != 4)
+    made = F.when(is_app, F.lit("router = FastAPI()\n")).otherwise(F.concat(F.lit("router = APIRouter(prefix="), quoted(F.col("own_prefix")), tags("own_tag"), F.lit(")\n")))
+    route = lambda verb, name: F.concat(F.lit(f"@router.{verb}('/{name}"), text("doc_id"), F.lit(f"')\ndef {name}"), text("doc_id"), F.lit("(): pass\n"))
+    rows = routers.join(lines, "doc_id", "left").join(docs, "doc_id")
+    content = F.concat(F.lit("from fastapi import APIRouter, FastAPI\n"), joined("load"), made, route("get", "own"), joined("call"), route("post", "late"), F.lit("# "), "note", F.lit("\n"))
+    return rows.select("file_path", F.concat(F.lit("app.routes.r"), text("doc_id")).alias("module"), content.alias("content"))
 
 
 def diff_texts(plan: DataFrame) -> DataFrame:

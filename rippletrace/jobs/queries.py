@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rippletrace.functions import columns as C
-from rippletrace.jobs.derive import ORACLE_TABLES, code_files, derive, diff_texts
-from rippletrace.jobs.trace import trace
+from rippletrace.jobs.derive import ORACLE_TABLES, code_files, derive, diff_texts, router_files
+from rippletrace.jobs.trace import routing_rows, trace
 from rippletrace.operators import diffs as D
 from rippletrace.operators import endpoints as E
 from rippletrace.operators import graph as G
 from rippletrace.operators import impact as I
+from rippletrace.operators import names as N
 from rippletrace.operators import paths as P
 from rippletrace.operators import report as R
 from rippletrace.operators import routing as M
@@ -208,7 +209,43 @@ def scan_symbols(spark, sf_dir):
     FROM call_edges JOIN symbols a ON a.node = caller JOIN symbols b ON b.node = callee""",
 )
 def scan_calls(spark, sf_dir):
-    return S.call_sites_of(S.scan_sources(code_files(spark, sf_dir))).select("caller", "callee_fullname", "ord", "line")
+    """Calls with what they call, through imports of imports."""
+    files = T.save_step(code_files(spark, sf_dir), "code")
+    scan, modules = T.save_step(S.scan_sources(files), "scan"), T.save_step(S.modules_of(files), "modules")
+    resolved = N.resolve_aliases(N.alias_table(scan, modules))
+    return N.settled(S.call_sites_of(scan), resolved, "callee_fullname").select("caller", "callee_fullname", "ord", "line")
+
+
+@query(
+    "resolve_aliases",
+    """, steps AS (SELECT alias, replace(target, 'q.b', 'p.b') AS target FROM alias_plan),
+    walk AS (SELECT alias, target, 0 AS n FROM steps UNION ALL SELECT w.alias, s.target, n + 1 FROM walk w JOIN steps s ON w.target = s.alias WHERE n < 30)
+    SELECT alias, target FROM walk WHERE target NOT IN (SELECT alias FROM steps)""",
+)
+def resolve_aliases(spark, sf_dir):
+    plan = derive(spark, sf_dir, "alias_plan")[0].withColumn("is_module", F.lit(False))
+    return N.resolve_aliases(plan).select("alias", "target")
+
+
+@query(
+    "mounted_routes",
+    """, ways AS (
+      SELECT doc_id AS app, doc_id AS router, '' AS prefix, CAST([] AS VARCHAR[]) AS tags, CAST([] AS STRUCT(f VARCHAR, s INT)[]) AS places, [doc_id] AS seen FROM router_plan WHERE i = 0 AND block % 5 <> 4
+      UNION ALL
+      SELECT w.app, c.inner_id, w.prefix || r.own_prefix || c.prefix, [x FOR x IN list_concat(w.tags, [r.own_tag, c.tag]) IF x IS NOT NULL], list_append(w.places, {'f': r.file_path, 's': c.seq}), list_append(w.seen, c.inner_id)
+      FROM ways w JOIN router_plan r ON r.doc_id = w.router JOIN include_plan c ON c.outer_id = w.router WHERE NOT list_contains(w.seen, c.inner_id)),
+    ends AS (SELECT outer_id, MAX(seq) AS n FROM include_plan GROUP BY 1),
+    declared AS (SELECT doc_id, 'GET' AS methods, 'own' || CAST(doc_id AS STRING) AS name, 0 AS seq FROM router_plan UNION ALL SELECT doc_id, 'POST', 'late' || CAST(doc_id AS STRING), COALESCE(n, 0) + 1 FROM router_plan LEFT JOIN ends ON outer_id = doc_id)
+    SELECT name, w.prefix || r.own_prefix || '/' || name AS path, methods, array_to_string([x FOR x IN list_append(w.tags, r.own_tag) IF x IS NOT NULL], ',') AS tags,
+    CAST(row_number() OVER (ORDER BY a.file_path, list_append(w.places, {'f': r.file_path, 's': d.seq})) - 1 AS INT) AS reg_order
+    FROM ways w JOIN router_plan r ON r.doc_id = w.router JOIN declared d ON d.doc_id = w.router JOIN router_plan a ON a.doc_id = w.app""",
+)
+def mounted_routes(spark, sf_dir):
+    """Routes of routers that include each other, once for each way from an application, in order of registration."""
+    files = T.save_step(router_files(spark, sf_dir), "code")
+    scan, modules = T.save_step(S.scan_sources(files), "scan"), T.save_step(S.modules_of(files), "modules")
+    rows = routing_rows(scan, modules, N.resolve_aliases(N.alias_table(scan, modules)))
+    return M.mounted_routes(rows).select("name", "path", F.array_join("methods", ",").alias("methods"), F.array_join("tags", ",").alias("tags"), "reg_order")
 
 
 @query(
@@ -497,6 +534,14 @@ def endpoint_symbols(spark, sf_dir):
     return rows.groupBy("endpoint").agg((F.max("sym_ord") + 1).cast("long").alias("n_symbols"), F.max("end_line").alias("last_line"), F.min("symbol_name").alias("first_name"))
 
 
+@query("first_visits")
+def first_visits(spark, sf_dir):
+    """In which order endpoints first come to their functions, and the calls that lead to each file; order and circles have no SQL."""
+    symbols, edges, ends = derive(spark, sf_dir, "symbols", "call_edges", "named_endpoints")
+    reached = T.save_step(G.reachability(ends.select(F.col("reg_order").alias("endpoint"), "node"), edges), "reached")
+    return G.first_visits(reached, edges, symbols.select("node", F.col("file_path").alias("file")))
+
+
 def _stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, ends = derive(spark, sf_dir, "call_edges", "endpoints")
     return G.call_stacks(ends.select(F.col("reg_order").alias("endpoint"), "node"), edges)

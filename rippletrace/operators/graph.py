@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rippletrace.functions import columns as C
-from rippletrace.sources.tables import drop_steps, save_step
+from rippletrace.sources.tables import Growing, save_step
 
 #: Fixed value: lines of a module that are referenced where no function is found in it.
 MODULE_LINES = (1, 20)
@@ -89,32 +88,21 @@ def handler_roots(endpoints: DataFrame, modules: DataFrame, symbols: DataFrame,
     return out.select(*keys, "endpoint_id", "reg_order", "file_path", "name", start.alias("start_line"), end.alias("end_line"), F.coalesce("found", F.lit(False)).alias("is_traced"))
 
 
-#: After so many rounds the tables of the rounds are written together as one.
-COMPACT_EVERY = 8
-
-
 def expand(start: DataFrame, step: Callable[[DataFrame, int], DataFrame], name: str) -> DataFrame:
     """All rows (endpoint, node, …) that ``step`` makes from those of the round before, the first of each (endpoint, node).
 
-    Each round writes its frontier to the shared folder, so a lost executor
-    costs one round. Rounds end when nothing new is found, however many that
-    takes: a cycle ends because nothing is reached twice.
+    What was reached lies in buckets by endpoint and node, so that a round
+    shuffles only its new rows to leave out those that were there before. Each
+    round writes its rows to the shared folder; a lost executor costs one round.
+    Rounds end when nothing new is found, however many that takes: a cycle ends
+    because nothing is reached twice.
     """
-    frontier = save_step(start, name)
-    reached, depth = [frontier], 0
-    while True:
-        depth += 1
-        seen = reduce(DataFrame.unionByName, reached)
-        new = step(frontier, depth).join(seen.select("endpoint", "node"), ["endpoint", "node"], "left_anti")
-        frontier = save_step(new, name)
-        if frontier.isEmpty():
-            return seen
-        reached.append(frontier)
-        if len(reached) > COMPACT_EVERY:
-            # The frontier stays a table of its own, as the next round joins it alone.
-            older = reached[:-1]
-            reached = [save_step(reduce(DataFrame.unionByName, older), name), frontier]
-            drop_steps(*older)
+    reached, keys = Growing(start, name, "endpoint", "node"), ["endpoint", "node"]
+    frontier = reached.rows().drop("_round")
+    while not frontier.isEmpty():
+        new = step(frontier, reached.rounds)
+        frontier = reached.add(new.join(reached.rows().select(*keys), keys, "left_anti"))
+    return reached.done()
 
 
 def reachability(roots: DataFrame, edges: DataFrame) -> DataFrame:
@@ -124,14 +112,17 @@ def reachability(roots: DataFrame, edges: DataFrame) -> DataFrame:
     depend on which of them asks.
     """
     roots = save_step(roots.select("endpoint", "node").distinct(), "roots")
-    edges = save_step(edges.select("caller", "callee").distinct(), "edges")
+    edges = Growing(edges.select("caller", "callee").distinct(), "edges", "caller")
+    calls = edges.rows().select("caller", "callee")
     start = roots.select(F.col("node").alias("endpoint"), "node").distinct().withColumn("depth", F.lit(0))
 
     def step(frontier: DataFrame, depth: int) -> DataFrame:
-        met = frontier.join(edges, F.col("node") == F.col("caller"))
+        met = frontier.join(calls, F.col("node") == F.col("caller"))
         return met.select("endpoint", F.col("callee").alias("node")).distinct().withColumn("depth", F.lit(depth))
 
-    return _of_endpoints(roots, expand(start, step, "frontier"))
+    found = _of_endpoints(roots, expand(start, step, "reached"))
+    edges.done()
+    return found
 
 
 def call_stacks(roots: DataFrame, edges: DataFrame) -> DataFrame:

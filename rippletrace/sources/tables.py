@@ -57,6 +57,40 @@ def save_step(df: DataFrame, name: str, by: str = "") -> DataFrame:
     return saved
 
 
+class Growing:
+    """A table in the shared folder to which rounds add rows, kept in buckets by ``keys``.
+
+    Joins on the keys read it without a shuffle, however many rounds there were.
+    It is known to the catalogue until ``done``; its files then stay as those of
+    a step table do.
+    """
+
+    def __init__(self, first: DataFrame, name: str, *keys: str) -> None:
+        self.spark, self.keys, self.rounds, self.columns = first.sparkSession, keys, 0, first.columns
+        self.path = f"{shared_dir(self.spark)}/{self.spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+        self.table = f"rippletrace_{uuid.uuid4().hex}"
+        if (written := _scope.get()) is not None:
+            written.append(self.path)
+        self.add(first)
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Add a round's rows; they are returned as they were written."""
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        out = rows.select(*self.columns, F.lit(self.rounds).alias("_round")).write.partitionBy("_round").bucketBy(buckets, *self.keys).mode("append")
+        out.option("path", self.path).saveAsTable(self.table)
+        self.rounds += 1
+        return self.rows().where(F.col("_round") == self.rounds - 1).drop("_round")
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.table)
+
+    def done(self) -> DataFrame:
+        """All rows; the table leaves the catalogue."""
+        schema = self.rows().select(*self.columns).schema
+        self.spark.sql(f"DROP TABLE {self.table}")
+        return self.spark.read.schema(schema).parquet(self.path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

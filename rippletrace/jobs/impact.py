@@ -50,17 +50,17 @@ class Reports:
 
 
 def reports(
-    impact: Impact, endpoints: DataFrame, symbols: DataFrame, stacks: DataFrame, texts: DataFrame, unreadable: DataFrame | None = None, app_path: str = "", **how: object
+    impact: Impact, endpoints: DataFrame, symbols: DataFrame, stacks: DataFrame, sources: DataFrame, unreadable: DataFrame | None = None, app_path: str = "", **how: object
 ) -> Reports:
     """The documents of an analysis.
 
-    ``symbols`` and ``stacks`` say what endpoints reach and how, ``texts`` are
-    the lines of source files (file_path, line_no, text), ``unreadable`` files
-    (repo, file_path, error) that couldn't be scanned.
+    ``symbols`` and ``stacks`` say what endpoints reach and how, ``sources`` are
+    source files (repo, file_path, content), ``unreadable`` files (repo,
+    file_path, error) that couldn't be scanned.
     """
     medium = impact.affected.where("confidence = 'medium'").select(*I.FILE, "path", "endpoint_id")
     groups = I.line_groups(impact.lines.join(medium, [*I.FILE, "path", "endpoint_id"]))
-    rows = I.with_call_stacks(impact.affected, stacks, I.frames(groups, symbols, texts))
+    rows = I.with_call_stacks(impact.affected, stacks, I.frames(groups, symbols, sources))
     first = endpoints.groupBy("repo", "endpoint_id").agg(F.min_by(F.struct(F.col("path").alias("endpoint_path"), "methods", "name", "module", "file_path", "start_line", "end_line", "tags", "dependencies"), "reg_order").alias("e"))
     rows = save_step(rows.drop("reg_order").join(first.select("repo", "endpoint_id", "e.*"), ["repo", "endpoint_id"]), "reported")
     warnings = None if unreadable is None else R.warnings_of(impact.files, unreadable)

@@ -638,8 +638,8 @@ def impact_frames(spark, sf_dir):
     changed, _ = _changed(spark, sf_dir)
     refs = _references(spark, sf_dir)
     groups = T.save_step(I.line_groups(I.display_lines(changed, refs)), "groups")
-    text = T.source_lines(derive(spark, sf_dir, "source_files")[0])
-    return I.frames(groups, refs.drop("ref_ord"), text).select("change_id", "file_idx", "endpoint_id", "first", "function_name", "code_context")
+    files = derive(spark, sf_dir, "source_files")[0].withColumn("repo", F.lit("app"))
+    return I.frames(groups, refs.drop("ref_ord"), files).select("change_id", "file_idx", "endpoint_id", "first", "function_name", "code_context")
 
 
 def _reasons(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -669,8 +669,8 @@ def impact_reason(spark, sf_dir):
 )
 def code_context(spark, sf_dir):
     symbols, files = derive(spark, sf_dir, "symbols", "source_files")
-    ranges = symbols.select("node", "file_path", F.col("start_line").alias("first"), (F.col("start_line") + 2).alias("last"))
-    return I.code_context(ranges, T.source_lines(files)).select("node", "line_no", "text", "is_highlight")
+    ranges = symbols.select(F.lit("app").alias("repo"), "node", "file_path", F.col("start_line").alias("first"), (F.col("start_line") + 2).alias("last"))
+    return I.code_context(ranges, files.withColumn("repo", F.lit("app"))).select("node", "line_no", "text", "is_highlight")
 
 
 # Reports

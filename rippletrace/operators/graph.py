@@ -88,6 +88,10 @@ def handler_roots(endpoints: DataFrame, modules: DataFrame, symbols: DataFrame,
     return out.select(*keys, "endpoint_id", "reg_order", "file_path", "name", start.alias("start_line"), end.alias("end_line"), F.coalesce("found", F.lit(False)).alias("is_traced"))
 
 
+#: After so many rounds the tables of the rounds are written together as one.
+COMPACT_EVERY = 16
+
+
 def expand(start: DataFrame, step: Callable[[DataFrame, int], DataFrame], name: str) -> DataFrame:
     """All rows (endpoint, node, …) that ``step`` makes from those of the round before, the first of each (endpoint, node).
 
@@ -98,10 +102,12 @@ def expand(start: DataFrame, step: Callable[[DataFrame, int], DataFrame], name:
     because nothing is reached twice.
     """
     reached, keys = Growing(start, name, "endpoint", "node"), ["endpoint", "node"]
-    frontier = reached.rows().drop("_round")
+    frontier, depth = reached.rows().drop("_round"), 0
     while not frontier.isEmpty():
-        new = step(frontier, reached.rounds)
-        frontier = reached.add(new.join(reached.rows().select(*keys), keys, "left_anti"))
+        depth += 1
+        frontier = reached.add(step(frontier, depth).join(reached.rows().select(*keys), keys, "left_anti"))
+        if reached.rounds > COMPACT_EVERY:
+            reached = reached.compacted()
     return reached.done()
 
 

@@ -7,33 +7,115 @@ file_path, start_line, end_line), ranges of lines that an endpoint depends on.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import heapq
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rippletrace.functions import columns as C
 from rippletrace.operators.endpoints import registry_files
-from rippletrace.operators.paths import first_reference, match_handler_file, match_paths
+from rippletrace.operators.paths import first_reference, keys_of_files, keys_of_paths, match_handler_file
 from rippletrace.sources.tables import FRAME
 
 CHANGE = ["repo", "change_id"]
 FILE = [*CHANGE, "file_idx"]
+#: Lines meet ranges in bins of 2 to this power of lines.
+BIN_BITS = 6
+
+
+def meet(lines: DataFrame, ranges: DataFrame, keys: list[str], low: Column, high: Column, line: str = "line_no") -> DataFrame:
+    """``lines`` joined with those of ``ranges`` of the same ``keys`` whose columns ``low`` to ``high`` hold the ``line``.
+
+    Both sides meet in bins of lines, so that a line is compared only with
+    ranges that come near it, however many its file has. A range is written once
+    for each bin that it touches, a line once.
+    """
+    spread = F.explode(F.sequence(F.shiftright(low.cast("long"), BIN_BITS), F.shiftright(high.cast("long"), BIN_BITS)))
+    ranges = ranges.withColumns({"_low": low, "_high": high}).where("_low <= _high").withColumn("_bin", spread)
+    met = lines.withColumn("_bin", F.shiftright(F.col(line).cast("long"), BIN_BITS)).join(ranges, [*keys, "_bin"])
+    return met.where(F.col(line).between(F.col("_low"), F.col("_high"))).drop("_bin", "_low", "_high")
+
+
+def disjoint_segments(symbols: DataFrame, keys: list[str]) -> DataFrame:
+    """(``keys``, start_line, end_line, sym_ord, symbol_name): of each line the symbol with the smallest sym_ord that holds it, as ranges that don't overlap.
+
+    One sweep over the symbols of a key in order of their lines; a task holds
+    those that are open at a line, not a whole key.
+    """
+    rows = symbols.select(*keys, F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.col("sym_ord").cast("long").alias("sym_ord"), "symbol_name")
+    rows = rows.where("start_line <= end_line and sym_ord is not null")
+    types = to_arrow_schema(rows.schema)
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for key, group in groupby(records(batches), lambda r: r[: len(keys)]):
+            for segment in sweep(r[len(keys) :] for r in group):
+                out.append((*key, *segment))
+                if len(out) == 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), types)], types.names)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), types)], types.names)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "start_line", "sym_ord").mapInArrow(work, rows.schema)
+
+
+def sweep(ranges: Iterator[tuple[int, int, int, str]]) -> Iterator[tuple[int, int, int, str]]:
+    """Disjoint (start, end, order, name) of ``ranges`` in order of their starts: where several overlap, that with the smallest order and name."""
+    held: list[tuple[int, str, int]] = []  # those that are open: order, name, end
+    at, last = None, None  # up to where the lines are done; the segment that may still grow
+    for start, end, order, name in ranges:
+        while held and at < start:
+            o, n, e = held[0]
+            if e < at:
+                heapq.heappop(held)
+                continue
+            stop = min(e, start - 1)
+            if last and last[1] == at - 1 and last[2:] == (o, n):
+                last = (last[0], stop, o, n)
+            else:
+                if last:
+                    yield last
+                last = (at, stop, o, n)
+            at = stop + 1
+        at = start
+        heapq.heappush(held, (order, name, end))
+    while held:
+        o, n, e = heapq.heappop(held)
+        if e >= at:
+            if last and last[1] == at - 1 and last[2:] == (o, n):
+                last = (last[0], e, o, n)
+            else:
+                if last:
+                    yield last
+                last = (at, e, o, n)
+            at = e + 1
+    if last:
+        yield last
 
 
 def direct_hits(changed: DataFrame, endpoints: DataFrame) -> DataFrame:
     """(…, file_idx, path, endpoint_id, reg_order): handlers that a changed line lies in; confidence high."""
     files = match_handler_file(changed, registry_files(endpoints, ["repo"]), ["repo"])
     handlers = endpoints.select("repo", "file_path", "endpoint_id", "reg_order", "start_line", C.impact_end(F.col("start_line"), F.col("end_line")).alias("stop"))
-    met = changed.join(files, ["repo", "path"]).join(handlers, ["repo", "file_path"])
-    met = met.where(F.col("line_no").between(F.col("start_line"), F.col("stop")))
+    met = meet(changed, files.join(handlers, ["repo", "file_path"]), ["repo", "path"], F.col("start_line"), F.col("stop"))
     return met.groupBy(*FILE, "path", "endpoint_id").agg(F.min("reg_order").alias("reg_order"))
 
 
 def _referenced(changed: DataFrame, references: DataFrame, around: int) -> DataFrame:
     chosen = first_reference(changed, references, ["repo"]).drop("ref_ord")
     ranges = references.select("repo", "endpoint_id", "file_path", "start_line", "end_line")
-    met = changed.join(chosen, ["repo", "path"]).join(ranges, ["repo", "endpoint_id", "file_path"])
-    low = F.greatest(F.lit(1), F.col("line_no") - around)
-    return met.where((low <= F.col("end_line")) & (F.col("line_no") + around >= F.col("start_line"))).withColumn("low", low)
+    ranges = chosen.join(ranges.where("end_line >= 1"), ["repo", "endpoint_id", "file_path"])
+    met = meet(changed, ranges, ["repo", "path"], F.col("start_line") - around, F.col("end_line") + around)
+    return met.withColumn("low", F.greatest(F.lit(1), F.col("line_no") - around))
 
 
 def dependency_hits(changed: DataFrame, references: DataFrame, around: int = C.WINDOW_LINES) -> DataFrame:
@@ -98,24 +180,38 @@ def line_groups(lines: DataFrame) -> DataFrame:
     return rows.withColumn("_island", island).groupBy(*keys, "_island").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last")).drop("_island")
 
 
-def frames(groups: DataFrame, symbols: DataFrame, source_lines: DataFrame) -> DataFrame:
+def texts_of(ranges: DataFrame, files: DataFrame) -> DataFrame:
+    """(repo, path, first, last, found): of each distinct range the lines that the file has of it, as an array of texts.
+
+    ``files`` has repo, file_path and content. Files without a range are left
+    out before their text is looked at; lines are cut out of the text by their
+    number, and no others become rows.
+    """
+    wanted = ranges.select("repo", "path", "first", "last").distinct().groupBy("repo", "path").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    text = files.where(F.col("content").isNotNull()).select("repo", F.col("file_path").alias("path"), F.split(F.regexp_replace("content", "\n$", ""), "\n").alias("lines"))
+    start = lambda r: F.greatest(F.lit(1), r["first"]).cast("int")
+    count = lambda r: F.greatest(F.lit(0), r["last"] - start(r) + 1).cast("int")
+    cut = F.transform("runs", lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), F.slice("lines", start(r), count(r)).alias("found")))
+    return text.join(wanted, ["repo", "path"]).select("repo", "path", F.inline(cut))
+
+
+def frames(groups: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
     """Adds function_name and code_context to runs of lines.
 
     The function is the first symbol (repo, endpoint_id, sym_ord, file_path,
     symbol_name, start_line, end_line) of the endpoint in exactly this file that
     holds the run's first line, or else ``module``. The context is the text of
-    the lines (file_path, line_no, text), with a heading if they are several,
-    and empty if the file doesn't have the first one.
+    the lines in ``files`` (repo, file_path, content), with a heading if they are
+    several, and empty if the file doesn't have the first one.
     """
     keys = [*FILE, "path", "endpoint_id", "first", "last"]
-    held = groups.join(symbols.withColumnRenamed("file_path", "path"), ["repo", "endpoint_id", "path"]).where(F.col("first").between(F.col("start_line"), F.col("end_line")))
-    owner = held.groupBy(*keys).agg(F.min_by("symbol_name", "sym_ord").alias("function_name"))
-    text = groups.join(source_lines.withColumnRenamed("file_path", "path"), "path").where(F.col("line_no").between(F.col("first"), F.col("last")))
-    text = text.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", F.rtrim("text").alias("text")))).alias("found"))
-    out = groups.join(owner, keys, "left").join(text, keys, "left")
-    body = F.array_join(F.transform("found", lambda x: x["text"]), "\n")
+    of = ["repo", "endpoint_id", "path"]
+    owned = disjoint_segments(symbols.withColumnRenamed("file_path", "path"), of)
+    owner = meet(groups, owned, of, F.col("start_line"), F.col("end_line"), "first").select(*keys, F.col("symbol_name").alias("function_name"))
+    out = groups.join(owner, keys, "left").join(texts_of(groups, files), ["repo", "path", "first", "last"], "left")
+    body = F.array_join(F.transform("found", lambda x: F.rtrim(x)), "\n")
     head = F.concat(F.lit("[lines "), F.col("first").cast("string"), F.lit("-"), F.col("last").cast("string"), F.lit("]\n"))
-    there = F.element_at("found", 1)["line_no"] == F.col("first")
+    there = (F.size("found") > 0) & (F.col("first") >= 1)
     context = F.when(F.coalesce(there, F.lit(False)), F.when(F.col("last") > F.col("first"), F.concat(head, body)).otherwise(body)).otherwise("")
     return out.select(*keys, F.coalesce("function_name", F.lit("module")).alias("function_name"), context.alias("code_context"))
 
@@ -141,16 +237,30 @@ def with_call_stacks(affected: DataFrame, stacks: DataFrame, frames: DataFrame)
     return affected.join(rows, [*CHANGE, "endpoint_id"], "left").withColumn("call_stack", F.coalesce("call_stack", F.array().cast(kind)))
 
 
-def code_context(ranges: DataFrame, source_lines: DataFrame, around: int = C.WINDOW_LINES) -> DataFrame:
-    """Lines (file_path, line_no, text) from ``around`` before ``first`` to ``around`` after ``last``; is_highlight inside."""
-    met = ranges.join(source_lines, "file_path")
-    met = met.where(F.col("line_no").between(F.greatest(F.lit(1), F.col("first") - around), F.col("last") + around))
-    return met.withColumn("is_highlight", F.col("line_no").between(F.col("first"), F.col("last")))
+def code_context(ranges: DataFrame, files: DataFrame, around: int = C.WINDOW_LINES) -> DataFrame:
+    """``ranges`` (repo, file_path, first, last) with a row for each line of ``files`` (repo, file_path, content) from ``around`` before ``first`` to ``around`` after ``last``.
+
+    Adds line_no, text and is_highlight, which is true inside of the range.
+    """
+    wide = ranges.withColumns({"_from": F.greatest(F.lit(1), F.col("first") - around), "_to": F.col("last") + around})
+    texts = texts_of(wide.select("repo", F.col("file_path").alias("path"), F.col("_from").alias("first"), F.col("_to").alias("last")), files)
+    texts = texts.select("repo", F.col("path").alias("file_path"), F.col("first").alias("_from"), F.col("last").alias("_to"), "found")
+    met = wide.join(texts, ["repo", "file_path", "_from", "_to"]).select(*ranges.columns, "_from", F.posexplode("found").alias("_at", "text"))
+    met = met.withColumn("line_no", (F.col("_from") + F.col("_at")).cast("int"))
+    return met.drop("_from", "_at").withColumn("is_highlight", F.col("line_no").between(F.col("first"), F.col("last")))
 
 
 def symbol_at_line(wanted: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(repo, endpoint_id, path, line_no, symbol_name): the first symbol of the endpoint in a matching file that holds the line."""
-    pairs = match_paths(wanted, symbols, ["repo"])
-    met = wanted.join(pairs, ["repo", "path"]).join(symbols, ["repo", "file_path"])
-    met = met.where(F.col("line_no").between(F.col("start_line"), F.col("end_line")))
-    return met.groupBy("repo", "endpoint_id", "path", "line_no").agg(F.min_by("symbol_name", "sym_ord").alias("symbol_name"))
+    """(repo, endpoint_id, path, line_no, symbol_name): the first symbol of the endpoint in a matching file that holds the line.
+
+    Whether a file matches a path is a matter of their base names (see
+    ``operators.paths``), so the symbols of an endpoint in all files of one name
+    are flattened together: a line then meets one range per endpoint and name,
+    however many files have that name.
+    """
+    keyed = keys_of_files(symbols, ["repo"], "sym_ord", "symbol_name", "endpoint_id", "start_line", "end_line")
+    owned = disjoint_segments(keyed, ["repo", "endpoint_id", "key"])
+    lines = wanted.select("repo", "path", "line_no").distinct()
+    asked = lines.join(keys_of_paths(lines, keyed, ["repo"]), ["repo", "path"])
+    met = meet(asked, owned, ["repo", "key"], F.col("start_line"), F.col("end_line"))
+    return met.groupBy("repo", "endpoint_id", "path", "line_no").agg(F.min_by("symbol_name", F.struct("sym_ord", "symbol_name")).alias("symbol_name"))

@@ -21,19 +21,36 @@ def _endings(name: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda i: F.substr(name, i))
 
 
+def keys_of_files(known: DataFrame, keys: list[str], *columns: str) -> DataFrame:
+    """(``keys``, key, ``columns``): rows with a file_path by the texts that a path is matched by.
+
+    ``n:`` and the base name for each row; ``f:`` and the name for files without
+    a slash, which match paths that end with it.
+    """
+    file = F.col("file_path")
+    texts = F.array_compact(F.array(F.concat(F.lit("n:"), C.basename(file)), F.when(~file.contains("/"), F.concat(F.lit("f:"), file))))
+    return known.select(*keys, F.explode(texts).alias("key"), *columns)
+
+
+def keys_of_paths(changed: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """(``keys``, path, key): for each path the keys of ``known`` (``keys_of_files``) that match it.
+
+    Equal base names, a path without a slash that a base name ends with, and a
+    file without a slash that the path ends with.
+    """
+    a = changed.select(*keys, "path").distinct()
+    name, there = C.basename(F.col("path")), known.select(*keys, "key").distinct()
+    own = a.select(*keys, "path", F.explode(F.array_append(F.transform(_endings(name), lambda e: F.concat(F.lit("f:"), e)), F.concat(F.lit("n:"), name))).alias("key"))
+    own = own.join(there, [*keys, "key"]).select(*keys, "path", "key")
+    bare = a.where(~F.col("path").contains("/")).select(*keys, "path", F.col("path").alias("ending"))
+    longer = there.where(F.col("key").startswith("n:")).select(*keys, "key", F.explode(_endings(F.expr("substring(key, 3)"))).alias("ending"))
+    return own.unionByName(bare.join(longer, [*keys, "ending"]).select(*keys, "path", "key")).distinct()
+
+
 def match_paths(changed: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct (``keys``, path, file_path) that match; inputs have ``keys`` and path, or ``keys`` and file_path."""
-    a = changed.select(*keys, "path").distinct().withColumn("name", C.basename(F.col("path")))
-    b = known.select(*keys, "file_path").distinct().withColumn("name", C.basename(F.col("file_path")))
-    by_name = a.join(b, [*keys, "name"]).select(*keys, "path", "file_path")
-    # A path without a slash is its own base name: an ending of it is an ending of the name.
-    bare_a = a.where(~F.col("path").contains("/")).select(*keys, "path", F.col("path").alias("ending"))
-    b_endings = b.select(*keys, "file_path", F.explode(_endings(F.col("name"))).alias("ending"))
-    up = bare_a.join(b_endings, [*keys, "ending"]).select(*keys, "path", "file_path")
-    bare_b = b.where(~F.col("file_path").contains("/")).select(*keys, "file_path", F.col("file_path").alias("ending"))
-    a_endings = a.select(*keys, "path", F.explode(_endings(F.col("name"))).alias("ending"))
-    down = bare_b.join(a_endings, [*keys, "ending"]).select(*keys, "path", "file_path")
-    return by_name.union(up).union(down).distinct()
+    files = keys_of_files(known.select(*keys, "file_path").distinct(), keys, "file_path")
+    return keys_of_paths(changed, files, keys).join(files, [*keys, "key"]).select(*keys, "path", "file_path").distinct()
 
 
 def _last_two(path: Column) -> Column:

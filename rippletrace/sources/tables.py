@@ -66,7 +66,8 @@ class Growing:
     """
 
     def __init__(self, first: DataFrame, name: str, *keys: str) -> None:
-        self.spark, self.keys, self.rounds, self.columns = first.sparkSession, keys, 0, first.columns
+        self.spark, self.name, self.keys, self.columns = first.sparkSession, name, keys, first.columns
+        self.rounds, self.older = 0, []
         self.path = f"{shared_dir(self.spark)}/{self.spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
         self.table = f"rippletrace_{uuid.uuid4().hex}"
         if (written := _scope.get()) is not None:
@@ -84,10 +85,19 @@ class Growing:
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def compacted(self) -> Growing:
+        """The same rows written together, as one file a bucket; what was returned before can still be read until ``done``."""
+        new = Growing(self.rows().select(*self.columns), self.name, *self.keys)
+        new.older = [*self.older, self]
+        return new
+
     def done(self) -> DataFrame:
-        """All rows; the table leaves the catalogue."""
+        """All rows; the table leaves the catalogue, and what it was compacted from is removed."""
         schema = self.rows().select(*self.columns).schema
-        self.spark.sql(f"DROP TABLE {self.table}")
+        for t in (self, *self.older):
+            self.spark.sql(f"DROP TABLE {t.table}")
+        for t in self.older:
+            _remove(self.spark, t.path)
         return self.spark.read.schema(schema).parquet(self.path)
 
 
@@ -142,11 +152,10 @@ def read_diffs(spark: SparkSession, path: str, repo: str = "") -> DataFrame:
 
 
 def source_lines(files: DataFrame) -> DataFrame:
-    """(file_path, line_no, text) of ``files`` (file_path, content), lines counted from 1; no content, no lines."""
-    text = F.regexp_replace("content", "\n$", "")
-    return files.where(F.col("content").isNotNull()).select("file_path", F.posexplode(F.split(text, "\n")).alias("n", "text")).select(
-        "file_path", (F.col("n") + 1).alias("line_no"), "text"
-    )
+    """(repo, file_path, line_no, text) of ``files`` (file_path, content, and repo if it is there), lines counted from 1; no content, no lines."""
+    keys, text = [c for c in ("repo", "file_path") if c in files.columns], F.regexp_replace("content", "\n$", "")
+    rows = files.where(F.col("content").isNotNull()).select(*keys, F.posexplode(F.split(text, "\n")).alias("n", "text"))
+    return rows.select(*keys, (F.col("n") + 1).alias("line_no"), "text")
 
 
 def read_sources(spark: SparkSession, root: str) -> DataFrame:

@@ -192,6 +192,31 @@ def router_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("file_path", F.concat(F.lit("app.routes.r"), text("doc_id")).alias("module"), content.alias("content"))
 
 
+def service_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_path, module, content): for each document a class whose objects have the next document's as ``next``, declared in one of four ways.
+
+    A method calls that of the object which is 1 to 5 steps on. Every third file
+    is imported by way of a package.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x7e]+", "\n# ").alias("note"))
+    text = lambda c: c.cast("string")
+    doc, then = text(F.col("doc_id")), text(F.col("doc_id") + 1)
+    origin = F.when((F.col("doc_id") + 1) % 3 == 0, F.lit("app.svc")).otherwise(F.concat(F.lit("app.svc.m"), then))
+    head = F.concat(F.lit("from "), origin, F.lit(" import S"), then, F.lit(", make"), then, F.lit("\n\n\nclass S"), doc, F.lit(":\n"))
+    held = (
+        F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("    next: S"), then, F.lit("\n")))
+        .when(F.col("doc_id") % 4 == 1, F.concat(F.lit("    def __init__(self, other: 'S"), then, F.lit(" | None' = None):\n        self.next = other\n")))
+        .when(F.col("doc_id") % 4 == 2, F.concat(F.lit("    def __init__(self):\n        self.next = make"), then, F.lit("()\n")))
+        .otherwise(F.concat(F.lit("    async def start(self):\n        made = S"), then, F.lit("()\n        self.next = made\n")))
+    )
+    on = F.repeat(F.lit(".next"), (1 + F.col("doc_id") % 5).cast("int"))
+    run = F.concat(F.lit("    def run(self):\n        far = self"), on, F.lit("\n        far.run()\n\n\ndef make"), doc, F.lit("() -> S"), doc, F.lit(":\n    return S"), doc, F.lit("()\n# "), "note", F.lit("\n"))
+    files = docs.select(F.concat(F.lit("/srv/app/svc/m"), doc, F.lit(".py")).alias("file_path"), F.concat(F.lit("app.svc.m"), doc).alias("module"), F.concat(head, held, run).alias("content"))
+    line = F.concat(F.lit("from app.svc.m"), doc, F.lit(" import S"), doc, F.lit(", make"), doc)
+    package = docs.where("doc_id % 3 = 0").groupBy().agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("content"))
+    return files.unionByName(package.select(F.lit("/srv/app/svc/__init__.py").alias("file_path"), F.lit("app.svc").alias("module"), "content"))
+
+
 def diff_texts(plan: DataFrame) -> DataFrame:
     """(repo, change_id, diff_text): the planned files of each change as one unified diff.
 

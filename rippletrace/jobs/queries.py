@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rippletrace.functions import columns as C
-from rippletrace.jobs.derive import ORACLE_TABLES, code_files, derive, diff_texts, router_files
+from rippletrace.jobs.derive import ORACLE_TABLES, code_files, derive, diff_texts, router_files, service_files
 from rippletrace.jobs.trace import routing_rows, trace
 from rippletrace.operators import diffs as D
 from rippletrace.operators import endpoints as E
@@ -227,6 +227,21 @@ def resolve_aliases(spark, sf_dir):
     return N.resolve_aliases(plan).select("alias", "target")
 
 
+@query(
+    "receiver_types",
+    """SELECT a.fullname AS caller, b.fullname AS callee FROM (SELECT doc_id, 'app.svc.m' || CAST(doc_id AS STRING) || '.S' || CAST(doc_id AS STRING) || '.run' AS fullname FROM documents) a
+    JOIN (SELECT doc_id, 'app.svc.m' || CAST(doc_id AS STRING) || '.S' || CAST(doc_id AS STRING) || '.run' AS fullname FROM documents) b ON b.doc_id = a.doc_id + 1 + a.doc_id % 5
+    JOIN (SELECT doc_id AS k, LEAD(doc_id, 1) OVER (ORDER BY doc_id) = doc_id + 1 AS has_next FROM documents) c ON c.k = a.doc_id WHERE has_next""",
+)
+def receiver_types(spark, sf_dir):
+    """Which methods are called on attributes of attributes, their classes being told by annotations, parameters, constructors and functions of other files."""
+    files = T.save_step(service_files(spark, sf_dir), "code")
+    scan, modules = T.save_step(S.scan_sources(files), "scan"), T.save_step(S.modules_of(files), "modules")
+    sites = G.callee_name(S.call_sites_of(scan)).where("member = 'run'")
+    names = N.called_names(sites, scan, modules, N.resolve_aliases(N.alias_table(scan, modules)))
+    return sites.join(names, ["repo", "fullname"]).select("caller", F.col("target").alias("callee"))
+
+
 @query(
     "mounted_routes",
     """, ways AS (

@@ -264,3 +264,113 @@ def test_rounds_of_the_closure_shuffle_only_new_rows(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     rounds = [p for p in plans if "LeftAnti" in p]
     assert found == 7 and len(rounds) >= 6 and all(p.count("Exchange hashpartitioning") == 2 for p in rounds)
+
+
+PATTERNS = {
+    "deps.py": """
+        from contextlib import contextmanager
+        from .db import Session, open_session
+        from .cache import Cache
+        from typing import Annotated, Optional
+
+        class Base:
+            cache: Cache
+            def __init__(self, session: Session):
+                self.session = session
+                self.other = open_session()
+                self.log: "Optional[Log]" = None
+
+        class Log:
+            def note(self): pass
+            @staticmethod
+            def plain(x): x.note()
+            @classmethod
+            def make(cls) -> "Log": return cls()
+
+        class lower:
+            def act(self): pass
+
+        def get_base() -> Base: return Base(open_session())
+        async def get_later() -> Annotated[Base, "x"]: return get_base()
+        def untyped(): return get_base()
+        def nothing(x): return x.y
+        base = get_base()
+        """,
+    "db.py": """
+        class Query:
+            def first(self): return self
+            def where(self) -> "Query": return self
+        class Session:
+            def __enter__(self) -> "Session": return self
+            def query(self) -> Query: return Query()
+            def close(self): self.query().where().first()
+        def open_session() -> Session: return Session()
+        """,
+    "cache.py": "class Cache:\n    def get(self): pass\n",
+    "main.py": """
+        from fastapi import FastAPI, Depends
+        from app import deps
+        from app.deps import Base, Log, base, get_base, get_later, untyped, nothing, lower
+        app = FastAPI()
+
+        @app.get("/fields")
+        def fields(b: Base = Depends(get_base)):
+            b.cache.get()
+            b.session.close()
+
+        @app.get("/returned")
+        async def returned():
+            x = get_base()
+            x.other.query().first()
+            (await get_later()).log.note()
+
+        @app.get("/untyped")
+        def from_untyped():
+            untyped().cache.get()
+            nothing(1).close()
+
+        @app.get("/module")
+        def of_module():
+            deps.base.session.close()
+            base.log.note()
+
+        @app.get("/with")
+        def within():
+            with deps.open_session() as s:
+                s.close()
+
+        @app.get("/class")
+        def of_class(small: lower):
+            Log.make().note()
+            small.act()
+            for small in ():
+                small.act()
+
+        @app.get("/unknown")
+        def unknown(request, b: Base):
+            request.close()
+            b.missing.close()
+            b = request
+            b.session.close()
+        """,
+}
+
+
+def test_what_objects_are_across_files(spark):
+    traced = K.trace(files_of(spark, ("r", PATTERNS)))
+    found = {}
+    for r in traced.symbols.where("sym_ord > 0").orderBy("endpoint_id", "sym_ord").collect():
+        found.setdefault(r["endpoint_id"], []).append(r["symbol_name"].removeprefix("app."))
+    order = lambda names: [n for n in names if not n.endswith(("Base", "Query", "Session"))]
+    assert order(found["GET /returned"])[:2] == ["deps.get_base", "db.open_session"]
+    # Classes themselves stand for the first lines of their files.
+    reach = {k: set(order(v)) for k, v in found.items()}
+    of_close = {"db.Session.close", "db.Session.query", "db.Query.first", "db.Query.where"}
+    assert reach == {
+        "GET /fields": {"cache.Cache.get"} | of_close,
+        "GET /returned": {"deps.get_base", "db.open_session", "db.Session.query", "db.Query.first", "deps.get_later", "deps.Log.note"},
+        "GET /untyped": {"deps.untyped", "deps.get_base", "db.open_session", "cache.Cache.get", "deps.nothing"},
+        "GET /module": of_close | {"deps.Log.note"},
+        "GET /with": {"db.open_session"} | of_close,
+        "GET /class": {"deps.Log.make", "deps.Log.note", "deps.lower.act"},
+    }

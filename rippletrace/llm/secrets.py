@@ -49,7 +49,7 @@ _LINE = re.compile(r"((?:\\+r)?\\+n|\s)+|[A-Za-z0-9+/]+")
 _HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 
 
-def _der(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
+def _der(data: bytes | Decoded, at: int, end: int) -> tuple[int, int, int] | None:
     """Tag, start and end of the DER value at ``at``, if its length fits into ``end``."""
     if at + 2 > end:
         return None
@@ -68,21 +68,40 @@ def _der(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
 PASSWORD_BASED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
 
-def der_tree(data: bytes, at: int, end: int, most: int = 100_000) -> list[tuple] | None:
+class Decoded:
+    """The bytes of base64 letters without padding; only those that are asked for are decoded."""
+
+    def __init__(self, letters: str, start: int, stop: int) -> None:
+        self.letters, self.start, self.stop = letters, start, stop
+
+    def __len__(self) -> int:
+        return (self.stop - self.start) * 3 // 4
+
+    def __getitem__(self, at: int | slice) -> int | bytes:
+        first, last, _ = (at if isinstance(at, slice) else slice(at, at + 1)).indices(len(self))
+        group = first // 3
+        part = self.letters[self.start + 4 * group : min(self.stop, self.start + 4 * (-(-last // 3)))]
+        found = base64.b64decode(part + "=" * (-len(part) % 4))[first - 3 * group : last - 3 * group]
+        return found if isinstance(at, slice) else found[0]
+
+    def startswith(self, what: bytes) -> bool:
+        return self[: len(what)] == what
+
+
+def der_tree(data: bytes | Decoded, at: int, end: int) -> list[tuple] | None:
     """The DER values that fill data[at:end], as (tag, start, end, children).
 
     Constructed values are followed to their leaves, and each must be filled by
     its children; object identifiers and integers must have a body. None if a
-    length doesn't fit anywhere, or beyond ``most`` values.
+    length doesn't fit anywhere; nothing after that is looked at.
     """
     top: list[tuple] = []
-    todo, seen = [(at, end, top)], 0
+    todo = [(at, end, top)]
     while todo:
         at, end, into = todo.pop()
         while at < end:
             value = _der(data, at, end)
-            seen += 1
-            if not value or seen > most:
+            if not value:
                 return None
             tag, start, at = value
             if tag == 0x02 and start == at or tag == 0x06 and (start == at or data[at - 1] & 0x80):
@@ -94,7 +113,7 @@ def der_tree(data: bytes, at: int, end: int, most: int = 100_000) -> list[tuple]
     return top
 
 
-def is_der_key(data: bytes) -> bool:
+def is_der_key(data: bytes | Decoded) -> bool:
     """A private key: a SEQUENCE that fills ``data``, whole down to its leaves, of one of four shapes.
 
     These are a version and integers (RSA, DSA), a version and an OCTET STRING
@@ -119,7 +138,7 @@ def is_der_key(data: bytes) -> bool:
     return bool(algorithm(children[0]) and tags[1:] == [0x04] and data[inner[0][1] : inner[0][2]].startswith(PASSWORD_BASED))
 
 
-def _openssh_end(data: bytes) -> int | None:
+def _openssh_end(data: bytes | Decoded) -> int | None:
     """Where the container of private SSH keys ends: its magic, then four length-prefixed fields."""
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
@@ -140,7 +159,7 @@ def _openssh_end(data: bytes) -> int | None:
     return at
 
 
-def is_openssh_key(data: bytes) -> bool:
+def is_openssh_key(data: bytes | Decoded) -> bool:
     return _openssh_end(data) is not None
 
 
@@ -154,7 +173,7 @@ def is_signed_token(header: str, payload: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
 
 
-def _confirmed(data: bytes) -> str | None:
+def _confirmed(data: bytes | Decoded) -> str | None:
     return "der" if is_der_key(data) else "openssh" if is_openssh_key(data) else None
 
 
@@ -175,18 +194,17 @@ def _wrapped_keys(text: str, start: int, end: int) -> list[tuple[int, int, str]]
             top = _der(base64.b64decode(letters[at : at + 8]), 0, 1 << 40) if at + 8 <= len(letters) else None
             size = top[2] if top and top[0] == 0x30 else None
         elif letters.startswith("b3BlbnNzaC1rZXktdjEA", at):
-            whole = letters[at : len(letters) - (len(letters) - at) % 4]
-            rest = letters[at + len(whole) :]
-            size = _openssh_end(base64.b64decode(whole) + (base64.b64decode(rest + "=" * (4 - len(rest))) if len(rest) > 1 else b""))
+            # A last letter alone holds no byte.
+            size = _openssh_end(Decoded(letters, at, len(letters) - ((len(letters) - at) % 4 == 1)))
         else:
             continue
         if size is None or -(-size * 4 // 3) > len(letters) - at:
             continue
         last = bisect.bisect_left(ends, at - (-size * 4 // 3))
-        raw = letters[at : ends[last]]
-        if len(raw) % 4 == 1:
+        if (ends[last] - at) % 4 == 1:
             continue
-        kind = _confirmed(base64.b64decode(raw + "=" * (-len(raw) % 4)))
+        # Most lines that look like the start of a key aren't one, which shows in their first bytes.
+        kind = _confirmed(Decoded(letters, at, ends[last]))
         if kind:
             stop = lines[last][1]
             while stop < len(text) and text[stop] == "=" and stop < lines[last][1] + 2:

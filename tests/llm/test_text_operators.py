@@ -486,3 +486,38 @@ def test_long_texts_are_counted_whole():
     assert language.gram_counts(text).sum() == sum(len(text) + 2 - n + 1 for n in language.GRAMS)
 
 
+
+
+def test_bytes_are_decoded_as_they_are_asked_for():
+    draw = random.Random(8)
+    for n in range(1, 40):
+        data = bytes(draw.randrange(256) for _ in range(n))
+        letters = base64.b64encode(data).decode().rstrip("=")
+        lazy = secrets.Decoded("xyz" + letters + "AAAA", 3, 3 + len(letters))
+        assert len(lazy) == n and lazy[:] == data and [lazy[i] for i in range(n)] == list(data)
+        for _ in range(20):
+            a, b = draw.randrange(n + 3), draw.randrange(n + 3)
+            assert lazy[a:b] == data[a:b]
+
+
+def test_many_lines_that_look_like_keys_take_linear_time():
+    """Each line claims a value that takes up most of the rest."""
+    draw = random.Random(6)
+    took = []
+    for n in (2_000, 20_000):
+        lines = [base64.b64encode(b"\x30\x82\x7f\xff" + bytes(draw.randrange(256) for _ in range(44))).decode() for _ in range(n)]
+        text = "\n".join(lines)
+        began = time.time()
+        assert not any(k in ("der", "openssh") for _, _, k in secrets.structural_spans(text))
+        took.append(time.time() - began)
+    assert took[1] < 40 * took[0] + 1 and took[1] < 10
+
+
+def test_a_key_of_any_number_of_values():
+    """More values than any limit would allow, in the algorithm's parameters."""
+    value = lambda tag, body: bytes([tag]) + (bytes([len(body)]) if len(body) < 128 else bytes([0x84]) + len(body).to_bytes(4, "big")) + body
+    algorithm = value(0x30, value(0x06, b"\x2a\x86\x48") + value(0x30, value(0x02, b"\x01") * 150_000))
+    key = value(0x30, value(0x02, b"\x00") + algorithm + value(0x04, value(0x30, value(0x02, b"\x01") * 9)))
+    assert secrets.is_der_key(key) and not secrets.is_der_key(key[:-1])
+    text = base64.b64encode(key).decode()
+    assert [k for _, _, k in secrets.structural_spans("\n".join(text[i : i + 64] for i in range(0, len(text), 64)))] == ["der"]

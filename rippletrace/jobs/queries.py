@@ -608,6 +608,22 @@ def impact_dependency(spark, sf_dir):
     return I.dependency_hits(changed, _references(spark, sf_dir)).drop("repo")
 
 
+@query(
+    "impact_from_cache",
+    f""", by_name AS (SELECT endpoint_id, path, MIN(file_path) AS file_path FROM paths, files
+      WHERE ends_with(file_path, path) OR ends_with(path, file_path) OR {_NAME('path')} = {_NAME('file_path')} GROUP BY 1, 2)
+    SELECT DISTINCT change_id, file_idx, py.path, endpoint_id FROM py JOIN by_name m USING (path)
+    JOIN endpoint_references r USING (endpoint_id, file_path) WHERE greatest(1, line_no - 3) <= r.end_line AND line_no + 3 >= r.start_line""",
+)
+def impact_from_cache(spark, sf_dir):
+    """Dependency hits with references that were written as cache documents and read back, files in the order of their names."""
+    changed, _ = _changed(spark, sf_dir)
+    rows = _references(spark, sf_dir).withColumn("doc", F.col("endpoint_id"))
+    back = T.parse_dependencies(T.save_step(T.dependency_json(rows, rows, "doc"), "cache"), "doc")
+    references, _, _ = T.cached_references(back, "app")
+    return I.dependency_hits(changed, T.save_step(references, "references")).drop("repo")
+
+
 @query("impact_display_lines", "SELECT change_id, file_idx, endpoint_id, array_to_string(lines, ',') AS lines FROM shown")
 def impact_display_lines(spark, sf_dir):
     changed, _ = _changed(spark, sf_dir)
@@ -746,6 +762,21 @@ said AS (SELECT change_id, row_number() OVER (PARTITION BY change_id ORDER BY h.
     FROM hits h LEFT JOIN shown USING (change_id, file_idx, path, endpoint_id) JOIN first_of e USING (endpoint_id))"""
 
 
+@query(
+    "report_warnings",
+    f""", bad AS (SELECT file_path, MIN(CASE WHEN doc_id % 2 = 0 THEN 'SyntaxError' ELSE 'ValueError' END) AS error FROM source_files WHERE doc_id % 3 = 0 GROUP BY 1),
+    bad_match AS (SELECT path, arg_min(file_path, (level, file_path)) AS file_path FROM (
+      SELECT path, file_path, CASE WHEN path = file_path THEN 1 WHEN ends_with(file_path, path) OR ends_with(file_path, ltrim(path, './'))
+        OR ({_NAME('path')} = {_NAME('file_path')} AND contains(file_path, path)) THEN 2 END AS level FROM (SELECT DISTINCT name AS path FROM good WHERE is_python), bad) WHERE level IS NOT NULL GROUP BY path)
+    SELECT change_id, 'Error analyzing ' || name || ': ' || error AS warning FROM good g JOIN bad_match m ON m.path = g.name JOIN bad b ON b.file_path = m.file_path WHERE is_python""",
+)
+def report_warnings(spark, sf_dir):
+    """Changed files that stand for one that couldn't be read."""
+    files = derive(spark, sf_dir, "source_files")[0].where("doc_id % 3 = 0")
+    bad = files.select(F.lit("app").alias("repo"), "file_path", F.when(F.col("doc_id") % 2 == 0, "SyntaxError").otherwise("ValueError").alias("error"))
+    return R.warnings_of(D.diff_files(_parsed(spark, sf_dir)), bad).select("change_id", "warning")
+
+
 @query(
     "report_json",
     f"""{_SAID}, sums AS ({_SUMMARY.replace(", per_hit", "WITH per_hit", 1)})

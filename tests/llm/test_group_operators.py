@@ -419,3 +419,22 @@ def test_pipeline_on_repeated_rows(spark, sf_dir):
     mixed = Counter(r["source"] for r in pipeline.mix(spark, same, sf_dir).collect())
     # 600 of 400 documents' words; src0 weighs 5, src1 weighs 2 and stops at twice its size.
     assert mixed == {"src0": pytest.approx(428.6, abs=1), "src1": pytest.approx(171.4, abs=1)}
+
+
+def test_planted_groups_of_one_label_are_all_linked(spark):
+    """Groups of near vectors among others of one label, with the query's own shards: every link, count and component."""
+    draw = np.random.default_rng(12)
+    centres = draw.normal(size=(40, 24))
+    planted = np.concatenate([c + draw.normal(size=(int(n), 24)) * 0.18 for c, n in zip(centres, draw.integers(2, 40, 40))])
+    x = np.concatenate([planted, draw.normal(size=(1200, 24)), planted[:30]]).astype("float32")
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    found = {r["vec_id"]: r for r in hnsw.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    v = x.astype("float64")
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    near = v @ v.T >= 0.93
+    np.fill_diagonal(near, False)
+    pairs = np.argwhere(near)
+    component = roots(range(len(x)), [tuple(map(int, p)) for p in pairs])
+    assert len(pairs) > 5000
+    for i in range(len(x)):
+        assert (found[i]["n_links"], found[i]["component_id"], found[i]["kept"]) == (int(near[i].sum()), component[i], component[i] == i)

@@ -2,23 +2,28 @@
 
 Two 64-bit fingerprints that differ in two bits or fewer share at least six of
 their eight bytes, position by position. The index posts a fingerprint under
-combinations of positional bytes, and is refined from coarse to fine:
+combinations of positional bytes:
 
 1. Of the bytes taken as four pairs, two pairs are always shared in full. A
    fingerprint that is alone under all six combinations has no partner.
-2. What is left of each posting is posted again with two of its other bytes, so
-   that all of its entries share six bytes.
-3. Each of these is split by further positions: one more byte, or, for pairs
-   that differ by a bit in both of the other bytes, the half of each of the two
-   that is equal. Such a posting holds at most 256 fingerprints, whatever the
-   number of documents.
-
-The postings in which a pair meets tell which bytes it shares. Their tally must
-reach the six that are guaranteed; then the pair is verified.
+2. The others are posted under all 70 combinations of four bytes. Pairs that
+   meet in a posting are counted there.
+3. The entries of a posting with more than ``CROWD`` fingerprints don't meet in
+   it, but in finer ones: they are posted again with each further byte, up to six
+   shared bytes, and at last by one more byte or, for pairs that differ by a bit
+   in both of the other bytes, by the half of each of the two that is equal. Such
+   a posting holds at most 256 fingerprints, whatever the number of documents.
+
+The postings in which a pair meets tell which bytes it shares. Where the tally
+of these doesn't reach the six that are guaranteed, the pair is dropped; the
+pairs that are left are verified. A near pair shares all combinations of its six
+bytes, and both of its entries go on from a crowded posting, so that it meets
+under each of the six bytes however its postings are refined.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Sequence
 
@@ -32,6 +37,10 @@ from pyspark.sql import types as T
 from rippletrace.llm.common import add_columns, materialise
 from rippletrace.llm.components import connected_components
 
+#: Pairs meet in postings of up to so many fingerprints; larger ones are refined.
+CROWD = 32
+
+
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     """SimHash of a text's word shingles, as an unsigned 64-bit number; 0 without words."""
     found = text.encode().lower().split() if text else []  # bytes: only A-Z and ASCII white space count
@@ -63,16 +72,35 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _posted(fps: DataFrame, open_: Sequence[tuple[int, ...]]) -> DataFrame:
-    """A posting (at, shared) of each fingerprint for each combination ``at`` of open positions; the others are shared."""
-    masks = [sum(0xFF << 8 * p for p in o) for o in open_]
-    posts = [F.struct(F.array(*map(F.lit, o)).alias("at"), F.col("fp").bitwiseAND(F.lit(_signed(~m & (1 << 64) - 1))).alias("shared")) for o, m in zip(open_, masks)]
+def _kept(positions: Sequence[int]) -> int:
+    """The mask of the bytes at ``positions``, as a signed number."""
+    return _signed(sum(0xFF << 8 * p for p in positions))
+
+
+def _posted(fps: DataFrame, combinations: Sequence[tuple[int, ...]]) -> DataFrame:
+    """A posting (positions, key) of each fingerprint for each combination of bytes; ``positions`` has a bit for each of them."""
+    posts = [F.struct(F.lit(sum(1 << p for p in c)).cast("long").alias("positions"), F.col("fp").bitwiseAND(F.lit(_kept(c))).alias("key")) for c in combinations]
     return fps.select("fp", F.inline(F.array(*posts)))
 
 
+def _refined(postings: DataFrame) -> DataFrame:
+    """Each entry posted again with each byte that its posting leaves open, once however many postings it comes from."""
+    finer = [
+        F.when(
+            F.col("positions").bitwiseAND(F.lit(1 << p)) == 0,
+            F.struct(
+                F.col("positions").bitwiseOR(F.lit(1 << p)).alias("positions"),
+                F.col("key").bitwiseOR(F.col("fp").bitwiseAND(F.lit(_kept([p])))).alias("key"),
+            ),
+        )
+        for p in range(8)
+    ]
+    return postings.select("fp", F.inline(F.array_compact(F.array(*finer)))).distinct()
+
+
 def _not_alone(postings: DataFrame, *keys: str) -> DataFrame:
-    """The entries of postings that hold several fingerprints."""
-    several = postings.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
+    """The entries of postings that hold several fingerprints, with their number ``n``."""
+    several = postings.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     return postings.join(several.hint("shuffle_hash"), list(keys))
 
 
@@ -96,14 +124,23 @@ def tallied_pairs(distinct: DataFrame) -> DataFrame:
     All pairs of ``distinct`` (fp) within two bits are among them, each once.
     """
     two_of_four = [tuple(p for q in two for p in (2 * q, 2 * q + 1)) for two in itertools.combinations(range(4), 2)]
-    coarse = materialise(_not_alone(_posted(distinct, two_of_four), "at", "shared").select("fp").distinct(), "simhash-coarse")
-    six = materialise(_not_alone(_posted(coarse, list(itertools.combinations(range(8), 2))), "at", "shared"), "simhash-six")
+    coarse = materialise(_not_alone(_posted(distinct, two_of_four), "positions", "key").select("fp").distinct(), "simhash-coarse")
+    postings, meeting = _posted(coarse, list(itertools.combinations(range(8), 4))), []
+    for size in (4, 5, 6):
+        level = materialise(_not_alone(postings, "positions", "key"), f"simhash-{size}")
+        mask = F.lit(0).cast("long").alias("mask")
+        meeting.append(level.where(F.col("n") <= CROWD).select("positions", mask, "key", "fp"))
+        crowded = level.where(F.col("n") > CROWD)
+        postings = _refined(crowded)
     # A posting with seven shared bytes comes from each of the two bytes beside its own.
-    fine = six.select("fp", F.inline(_split(F.col("fp"), F.get("at", F.lit(0)), F.get("at", F.lit(1))))).distinct()
-    fine = materialise(_not_alone(fine, "mask", "key"), "simhash-fine")
-    other = fine.select("mask", "key", F.col("fp").alias("b"))
-    met = fine.withColumnRenamed("fp", "a").join(other, ["mask", "key"]).where(F.col("a") < F.col("b"))
-    return met.groupBy("a", "b").agg(F.bit_or("positions").alias("shared"))
+    open_ = F.filter(F.array(*map(F.lit, range(8))), lambda p: F.get(F.array(*[F.col("positions").bitwiseAND(F.lit(1 << q)) for q in range(8)]), p) == 0)
+    fine = crowded.select("fp", open_.alias("open"))
+    fine = fine.select("fp", F.inline(_split(F.col("fp"), F.get("open", F.lit(0)), F.get("open", F.lit(1))))).distinct()
+    meeting.append(_not_alone(fine, "positions", "mask", "key").select("positions", "mask", "key", "fp"))
+    met = materialise(functools.reduce(DataFrame.unionByName, meeting), "simhash-postings")
+    other, where = met.withColumnRenamed("fp", "b"), ["positions", "mask", "key"]
+    pairs = met.withColumnRenamed("fp", "a").join(other, where).where(F.col("a") < F.col("b"))
+    return pairs.groupBy("a", "b").agg(F.bit_or("positions").alias("shared"))
 
 
 def fingerprint_links(distinct: DataFrame, bits: int = 2) -> DataFrame:

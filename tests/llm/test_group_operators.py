@@ -208,6 +208,41 @@ def test_postings_of_a_dense_group_are_split(spark):
     assert simhash.fingerprint_links(prints).count() == (np.triu(apart <= 2, 1)).sum()
 
 
+def test_tally_drops_pairs_before_they_are_verified(spark):
+    """Fingerprints that share four to seven bytes: the tally is right for all pairs that meet, and drops those with too few."""
+    draws = random.Random(8)
+    prints = set()
+    for _ in range(300):
+        x = draws.getrandbits(64)
+        prints.add(x)
+        for _ in range(4):
+            y = x
+            for p in draws.sample(range(8), draws.randrange(1, 5)):
+                y ^= (1 << draws.randrange(8)) << 8 * p
+            prints.add(y)
+    prints = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
+    equal = lambda a, b: sum(1 << p for p in range(8) if not (a ^ b) >> 8 * p & 0xFF)
+    table = spark.createDataFrame([(p,) for p in prints], "fp long")
+    found = {(r["a"], r["b"]): r["shared"] for r in simhash.tallied_pairs(table).collect()}
+    assert all(shared == equal(*pair) for pair, shared in found.items())
+    near = {(a, b) for i, a in enumerate(prints) for b in prints[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
+    reached = {pair for pair, shared in found.items() if shared.bit_count() >= 6}
+    assert near <= reached and len(reached) < 0.7 * len(found)
+    assert {tuple(r) for r in simhash.fingerprint_links(table).collect()} == near
+
+
+@pytest.mark.parametrize("crowd", [1, 2, 5])
+def test_refined_postings_lose_no_pair(spark, monkeypatch, crowd):
+    """Small limits refine nearly every posting, at all levels."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    draws = random.Random(crowd)
+    x = draws.getrandbits(63)
+    prints = sorted({x} | {x ^ 1 << i ^ 1 << j for i in range(0, 63, 3) for j in range(1, 63, 9) if i != j} | {x ^ draws.getrandbits(24) for _ in range(60)})
+    near = {(a, b) for i, a in enumerate(prints) for b in prints[i + 1 :] if (a ^ b).bit_count() <= 2}
+    found = simhash.fingerprint_links(spark.createDataFrame([(p,) for p in prints], "fp long")).collect()
+    assert len(found) == len(near) and {tuple(r) for r in found} == near
+
+
 def test_simhash_of_a_very_long_text():
     draws = random.Random(4)
     text = " ".join(draws.choice(["Words", "and", "more", "of", "THEM"]) for _ in range(100_000))

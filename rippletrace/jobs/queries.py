@@ -272,17 +272,30 @@ def endpoints_from_source(spark, sf_dir):
     return E.api_endpoints(rows).select("endpoint_id", "name", "module", "file_path", "start_line", "end_line")
 
 
-@query(
-    "references_from_source",
-    """, reach AS (SELECT endpoint_id, node FROM named_endpoints UNION SELECT r.endpoint_id, c.callee FROM reach r JOIN call_edges c ON c.caller = r.node)
+FROM_SOURCE = """, reach AS (SELECT endpoint_id, node FROM named_endpoints UNION SELECT r.endpoint_id, c.callee FROM reach r JOIN call_edges c ON c.caller = r.node)
     SELECT endpoint_id, file_path, start_line, end_line FROM reach JOIN code_symbols USING (node)
-    UNION SELECT endpoint_id, file_path, line, line FROM reach JOIN symbols USING (node) JOIN call_edges ON caller = node""",
-)
+    UNION SELECT endpoint_id, file_path, line, line FROM reach JOIN symbols USING (node) JOIN call_edges ON caller = node"""
+
+
+@query("references_from_source", FROM_SOURCE)
 def references_from_source(spark, sf_dir):
     """From source code to the lines that each endpoint depends on: scan, names, edges, closure."""
     return trace(T.save_step(code_files(spark, sf_dir), "code"), "app").references.select("endpoint_id", "file_path", "start_line", "end_line")
 
 
+@query("references_after_edits", FROM_SOURCE)
+def references_after_edits(spark, sf_dir):
+    """The same lines, traced from what a trace of an earlier state left: since then files came, went, and got calls and functions."""
+    files = T.save_step(code_files(spark, sf_dir), "code")
+    draw = F.crc32(F.col("file_path").cast("binary")) % 8
+    fewer_calls = F.regexp_replace("content", r"pass; m[0-9]+_f0\(\)", "pass")
+    older = F.when(draw == 1, fewer_calls).when(draw == 2, F.regexp_replace("content", "def f3", "def g3")).otherwise(F.col("content"))
+    gone = files.where(draw == 4).select(F.concat(F.lit("/srv/old"), "file_path").alias("file_path"), F.concat(F.lit("old."), "module").alias("module"), "content")
+    earlier = files.where(draw != 3).select("file_path", "module", older.alias("content")).unionByName(gone)
+    before = trace(earlier, "app", remember=True).known
+    return trace(files, "app", before=before).references.select("endpoint_id", "file_path", "start_line", "end_line")
+
+
 # Catalogue
 
 

@@ -2,11 +2,12 @@
 
 Every text node hangs on a path of tags from the root. For each path the length
 of text and the punctuation of its nodes are summed, relative to the number of
-nodes; both ratios are smoothed over paths that are near in the tree, fused with
-what tags and classes say about the path, and held against a threshold. The
-nodes of paths above it are the seeds of the content. The article is the
-smallest element that holds all of them; other paths in it are kept or dropped
-by a second, weaker threshold on their own ratio.
+nodes; both ratios are smoothed over paths that are near in the tree, fused, and
+held against a threshold. Classes, names and a title nearby only shift a path's
+score; elements that never hold an article (menus, forms, hidden ones) score 0. The nodes of paths
+above the threshold are the seeds of the content. The article is the smallest
+element that holds all of them; other paths in it are kept or dropped by a
+second, weaker threshold on their own ratio.
 
 All steps are linear in the page: elements and paths are numbers, and no step
 walks up the tree again for each node.
@@ -47,6 +48,9 @@ _OTHER = re.compile(
     r"|tags|toolbar|topbar|trackbacks?|widgets?|contentinfo|complementary|alert)(?![a-z])"
 )
 _ARTICLE = re.compile(r"(?<![a-z])(article|articlebody|post|entry|story|main)(?![a-z])")
+# What a path's score is multiplied by if it is marked as of another purpose, as an
+# article, or lies in the element that holds the title.
+OTHER_WEIGHT, ARTICLE_WEIGHT, TITLED_WEIGHT = 0.001, 2.0, 4.0
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PUNCTUATION = re.compile(r"[,.;:!?…、。，！？¿¡]")
@@ -71,40 +75,45 @@ class Page:
 
     def __init__(self) -> None:
         self.parent, self.path, self.tag = [-1], [0], ["#"]  # of elements
-        self.above, self.depth, self.away, self.article = [-1], [0], [False], [False]  # of paths
+        self.above, self.depth, self.away, self.other, self.article = [-1], [0], [False], [False], [False]  # of paths
         self.blocks: list[Block] = []
         self._known: dict[tuple, int] = {}
 
-    def add(self, parent: int, tag: str, label: str, away: bool, article: bool) -> int:
+    def add(self, parent: int, tag: str, label: str, away: bool, other: bool, article: bool) -> int:
         above = self.path[parent]
-        away, article = away or self.away[above], article or self.article[above]
-        path = self._known.setdefault((above, label, away, article), len(self.above))
+        away, other, article = away or self.away[above], other or self.other[above], article or self.article[above]
+        path = self._known.setdefault((above, label, away, other, article), len(self.above))
         if path == len(self.above):
             self.above.append(above)
             self.depth.append(self.depth[above] + 1)
             self.away.append(away)
+            self.other.append(other)
             self.article.append(article)
         self.parent.append(parent)
         self.path.append(path)
         self.tag.append(tag)
         return len(self.parent) - 1
 
+    def weight(self, path: int) -> float:
+        """What marks shift the score of a path by."""
+        return OTHER_WEIGHT if self.other[path] else ARTICLE_WEIGHT if self.article[path] else 1.0
 
-def _attributes(raw: str) -> tuple[bool, bool, str]:
-    """Whether they name another purpose, whether they name an article, and the class for the path."""
-    away = article = False
+
+def _attributes(raw: str) -> tuple[bool, bool, bool, str]:
+    """Whether they hide it, name another purpose, name an article, and the class for the path."""
+    hidden = other = article = False
     label = ""
     for name, value in _ATTR.findall(raw):
         name, value = name.lower(), html.unescape(value.strip("\"'")).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            away = True
+            hidden = True
         elif name in ("class", "id", "role", "itemprop"):
             split = re.sub(r"[-_]", " ", value)
-            away |= bool(_OTHER.search(split))
+            other |= bool(_OTHER.search(split))
             article |= bool(_ARTICLE.search(split))
             if name == "class":
                 label = "." + ".".join(sorted(value.split()))
-    return away, article and not away, label
+    return hidden, other, article and not other, label
 
 
 class _Open:
@@ -191,10 +200,11 @@ def parse(source: str) -> Page:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
             at = end.start() if end else n
             continue
-        away, article, label = _attributes(attributes) if attributes else (False, False, "")
+        away, other, article, label = _attributes(attributes) if attributes else (False, False, False, "")
         # A page's header isn't the article's; an article's own header holds its title.
         away |= tag in AWAY or (tag == "header" and not page.article[page.path[here]])
-        open_.push(page.add(here, tag, tag + label, away and tag not in ("html", "body"), article or tag in ("article", "main")), tag)
+        inner = tag not in ("html", "body")
+        open_.push(page.add(here, tag, tag + label, away and inner, other and inner, article or tag in ("article", "main")), tag)
     add(source[at:])
     for b in page.blocks:
         b.text = " ".join("".join(b.parts).split())
@@ -202,14 +212,23 @@ def parse(source: str) -> Page:
     return page
 
 
+def titled_paths(page: Page) -> list[bool]:
+    """Whether each path lies below one that holds a first-level heading; text right in that one may be of another element."""
+    tops = {page.above[b.path] for b in page.blocks if page.tag[b.owner] == "h1" and not page.away[b.path] and not page.other[b.path]}
+    titled = [False] * len(page.above)
+    for p in range(1, len(titled)):
+        titled[p] = page.above[p] in tops or titled[page.above[p]]
+    return titled
+
+
 def path_scores(page: Page, spread: float = 1.0) -> dict[int, float]:
     """The fused ratio of each tag path that has text.
 
     Per path: characters outside links per node, and punctuation per node. Each
     is smoothed over paths with weights that fall with the number of steps
     between two paths in the tree. A path's own ratios and the smoothed ones are
-    multiplied, the geometric mean of the two products is the score, and that
-    is 0 where tags or classes say that the path serves another purpose.
+    multiplied, and the geometric mean of the two products is the score. Marks
+    multiply it by their weight; it is 0 in elements that hold no article.
     """
     sums: dict[int, list[float]] = {}
     for b in page.blocks:
@@ -237,17 +256,24 @@ def path_scores(page: Page, spread: float = 1.0) -> dict[int, float]:
     summed = np.einsum("t,ptc->pc", kernel, near[ends])
     smooth = summed[:, :2] / summed[:, 2:]
     fused = np.sqrt(smooth.prod(axis=1) * ratio.prod(axis=1))
-    return {p: 0.0 if page.away[p] else s for p, s in zip(sums, fused.tolist())}
+    titled = titled_paths(page)
+    return {p: 0.0 if page.away[p] else s * page.weight(p) * (TITLED_WEIGHT if titled[p] else 1.0) for p, s in zip(sums, fused.tolist())}
 
 
 def prose_paths(page: Page, least: float = 0.5) -> set[int]:
-    """Paths with the share ``least`` of their characters outside links; any path in a marked article, as links are part of it."""
+    """Paths with the share ``least`` of their characters outside links.
+
+    Marks multiply the share by their weight; and to that of a path in a marked
+    article the share of all of the article is added, as links in prose are part of it.
+    """
     sums: dict[int, list[int]] = {}
     for b in page.blocks:
         s = sums.setdefault(b.path, [0, 0])
         s[0] += max(len(b.text) - b.linked, 0)
         s[1] += len(b.text)
-    return {p for p, (free, all_) in sums.items() if not page.away[p] and (page.article[p] or free > least * all_)}
+    marked = [s for p, s in sums.items() if page.article[p] and not page.away[p] and not page.other[p]]
+    whole = sum(s[0] for s in marked) / max(sum(s[1] for s in marked), 1)
+    return {p for p, (free, all_) in sums.items() if not page.away[p] and (free / all_ + page.article[p] * whole) * page.weight(p) > least}
 
 
 def main_text(source: str | None, threshold: float = 0.3, beside: float = 0.1) -> str:
@@ -260,7 +286,7 @@ def main_text(source: str | None, threshold: float = 0.3, beside: float = 0.1) -
     if not page or not page.blocks:
         return ""
     scores = path_scores(page)
-    best = max(scores.values())
+    best = max((s for p, s in scores.items() if not page.other[p]), default=0.0)
     if best <= 0:
         return ""
     seed = {p for p, s in scores.items() if s >= threshold * best}

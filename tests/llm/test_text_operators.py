@@ -121,20 +121,35 @@ def unmarked(source):
     return re.sub("(</?)article>", r"\1div>", re.sub(' (class|id|role)="[^"]*"', "", source))
 
 
-def test_path_ratios_decide_on_unmarked_pages(spark, sf_dir, monkeypatch):
-    """With other scores other texts come out, on pages with and without marks; with the right ones nearly all are right without marks."""
+def test_path_ratios_decide_with_and_without_marks(spark, sf_dir, monkeypatch):
+    """Where other scores replace those that aren't 0, other texts come out, on pages with and without marks."""
     sources = [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect()]
     marked = [html.main_text(s) for s in sources]
     plain = [html.main_text(unmarked(s)) for s in sources]
     assert sum(a == b for a, b in zip(marked, plain)) >= 0.9 * len(sources)
-    draws = random.Random(1)
-    for change in (lambda: 1.0, draws.random):
-        monkeypatch.setattr(html, "path_scores", lambda page: {b.path: change() for b in page.blocks})
-        assert sum(a != html.main_text(s) for a, s in zip(marked, sources)) > 0.9 * len(sources)
-        assert sum(a != html.main_text(unmarked(s)) for a, s in zip(plain, sources)) > 0.9 * len(sources)
+    draws, right = random.Random(1), html.path_scores
+    for change, least in ((lambda: 1.0, 0.95), (draws.random, 0.6)):
+        monkeypatch.setattr(html, "path_scores", lambda page: {p: change() if s else 0.0 for p, s in right(page).items()})
+        assert sum(a != html.main_text(s) for a, s in zip(marked, sources)) > least * len(sources)
+        assert sum(a != html.main_text(unmarked(s)) for a, s in zip(plain, sources)) > least * len(sources)
         monkeypatch.undo()
 
 
+@pytest.mark.parametrize(
+    ("source", "expected"),
+    [
+        ("<div class=ad>Buy this, now, or never.</div><article></article>", ""),
+        (f"<div class=with-sidebar><p>Short, one.</p></div><div><p>{LEAD}</p></div>", LEAD.strip()),
+        (f"<article><h1>T</h1><p>Brief, text.</p><div class=comments>{BODY}</div></article>", "T\nBrief, text."),
+        ("<article><h1>T</h1><p>Prose, with words, and so on.</p><ul><li><a href=/>One source</a></li></ul></article>", "T\nProse, with words, and so on.\nOne source"),
+        (f"<article><div class=share><p>{LEAD}</p></div><p>Some words, here.</p></article>", "Some words, here."),
+        (f"<div aria-hidden=true><p>{LEAD}</p></div><div><p>Some words, here.</p></div>", "Some words, here."),
+    ],
+)
+def test_marks_shift_scores(source, expected):
+    assert html.main_text(f"<body>{source}</body>") == expected
+
+
 @pytest.mark.parametrize(
     ("source", "last"),
     [

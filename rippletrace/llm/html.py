@@ -50,7 +50,7 @@ _OTHER = re.compile(
 _ARTICLE = re.compile(r"(?<![a-z])(article|articlebody|post|entry|story|main)(?![a-z])")
 # What a path's score is multiplied by if it is marked as of another purpose, as an
 # article, or lies in the element that holds the title.
-OTHER_WEIGHT, ARTICLE_WEIGHT, TITLED_WEIGHT = 0.001, 2.0, 4.0
+OTHER_WEIGHT, ARTICLE_WEIGHT, TITLED_WEIGHT = 1e-6, 2.0, 4.0
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PUNCTUATION = re.compile(r"[,.;:!?…、。，！？¿¡]")

@@ -54,33 +54,50 @@ def _shape(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, "[0-9a-fA-F]*[0-9][0-9a-fA-F]{7,}|[0-9a-fA-F]{7,}[0-9][0-9a-fA-F]*", "#"), "[0-9]+", "#")
 
 
-def path_templates(shapes: DataFrame, depth: int = 16, max_children: int = 16, least_share: float = 0.05) -> DataFrame:
-    """The path of templates from the host to each (host, shape), as an array ``nodes``.
+def path_templates(shapes: DataFrame, depth: int | None = None, max_children: int = 16, least_share: float = 0.05) -> DataFrame:
+    """The path of templates from the host to each (host, shape), as arrays ``nodes``.
 
     ``shapes`` has host, shape, n, labelled and bad, one row per (host, shape);
     all come back. nodes[0] is the empty template of the host, nodes[d] the
     first d segments. From the root down, a node with more than
     ``max_children`` different next segments turns those into ``*`` that hold
     less than ``least_share`` of its URLs, so that no node has more than
-    max(max_children, 1 / least_share) + 1 children. What follows the segment
-    number ``depth`` is one variable tail, ``**``.
+    max(max_children, 1 / least_share) + 1 children. Segments are followed to
+    their end; with ``depth``, what follows that many is one variable tail, ``**``.
+
+    Where a single shape goes on below a node, nothing can branch any more: the
+    rest of it is one last node that stands for ``steps`` levels (else 1). So
+    there are as many rounds as the longest common beginning of two shapes has
+    segments, however long paths are, and a round reads only shapes that go on.
     """
     segments = F.slice(F.split(F.col("shape"), "/"), 2, 1 << 30)  # what precedes the first slash is always empty
-    tail = F.when(F.size(segments) > depth, F.concat(F.slice(segments, 1, depth), F.array(F.lit("**")))).otherwise(segments)
-    rows = materialise(shapes.withColumns({"seg": tail, "nodes": F.array(F.lit(""))}), "url-shapes")
-    deepest = rows.agg(F.max(F.size("seg"))).first()[0] or 0
-    for d in range(deepest):
+    if depth is not None:
+        segments = F.when(F.size(segments) > depth, F.concat(F.slice(segments, 1, depth), F.array(F.lit("**")))).otherwise(segments)
+    rows = materialise(shapes.withColumns({"seg": segments, "nodes": F.array(F.lit("")), "steps": F.lit(1)}), "url-shapes")
+    done, d = rows.where(F.size("seg") == 0), 0
+    rows = rows.where(F.size("seg") > 0)
+    while not rows.isEmpty():
         here = rows.withColumns({"prefix": F.element_at("nodes", -1), "next": F.get("seg", F.lit(d))})
-        children = here.where(F.col("next").isNotNull()).groupBy("host", "prefix", "next").agg(F.sum("n").alias("n_child"))
-        nodes = children.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("children"), F.sum("n_child").alias("n_node"))
-        wide = nodes.where(F.col("children") > max_children)
-        rare = children.join(wide, ["host", "prefix"]).where(F.col("n_child") < least_share * F.col("n_node"))
-        rare = rare.select("host", "prefix", "next", F.lit("*").alias("star"))
-        step = F.concat("prefix", F.lit("/"), F.coalesce("star", "next"))
-        grown = F.when(F.col("next").isNull(), F.col("nodes")).otherwise(F.concat("nodes", F.array(step)))
+        children = here.groupBy("host", "prefix", "next").agg(F.sum("n").alias("n_child"), F.count(F.lit(1)).alias("shapes"))
+        nodes = children.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("children"), F.sum("n_child").alias("n_node"), F.sum("shapes").alias("below"))
+        rare = (F.col("children") > max_children) & (F.col("n_child") < least_share * F.col("n_node"))
+        alone = F.col("below") == 1
+        marks = children.join(nodes, ["host", "prefix"]).where(rare | alone)
+        marks = marks.select("host", "prefix", "next", F.when(rare, F.lit("*")).alias("star"), alone.alias("alone"))
+        rest = F.slice("seg", d + 1, 1 << 30)
+        ends = F.coalesce("alone", F.lit(False))
+        step = F.when(ends, F.array_join(rest, "/")).otherwise(F.coalesce("star", "next"))
         # Each level reads the rows several times, so its result is written.
-        rows = materialise(here.join(rare, ["host", "prefix", "next"], "left").select(*shapes.columns, "seg", grown.alias("nodes")), "url-level")
-    return rows.drop("seg")
+        level = here.join(marks, ["host", "prefix", "next"], "left").select(
+            *shapes.columns, "seg", F.concat("nodes", F.array(F.concat("prefix", F.lit("/"), step))).alias("nodes"),
+            F.when(ends, F.size(rest)).otherwise(F.lit(1)).alias("steps"), (ends | (F.size("seg") == d + 1)).alias("at_end"),
+        )
+        level = materialise(level, "url-level")
+        done = done.unionByName(level.where("at_end").drop("at_end"))
+        rows, d = level.where("NOT at_end").drop("at_end"), d + 1
+        if d % 16 == 0:  # a plan of few parts, however many rounds there are
+            done = materialise(done, "url-ended")
+    return done.drop("seg")
 
 
 def template_purity(rows: DataFrame, similar_z: float = 1.0, prior: float = 0.2, strength: float = 4.0) -> DataFrame:
@@ -91,14 +108,20 @@ def template_purity(rows: DataFrame, similar_z: float = 1.0, prior: float = 0.2,
     tells their shares apart by less than ``similar_z`` standard errors. A
     merged branch has the purity (bad + strength * parent) / (labelled +
     strength), where parent is that of the branch above, and ``prior`` above a
-    host. A branch without any label so inherits its parent's.
+    host. A branch without any label so inherits its parent's. A last node that
+    stands for several levels has the purity that they give one after another.
     """
     at = F.posexplode("nodes").alias("level", "template")
-    nodes = rows.select("host", "labelled", "bad", "nodes", at).groupBy("host", "level", "template")
+    nodes = rows.select("host", "labelled", "bad", "nodes", "steps", at).groupBy("host", "level", "template")
     above = F.when(F.col("level") > 0, F.get("nodes", F.col("level") - 1))
-    nodes = materialise(nodes.agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.min(above).alias("parent")), "url-nodes")
+    steps = F.max(F.when(F.col("level") == F.size("nodes") - 1, F.col("steps")).otherwise(F.lit(1))).alias("steps")
+    nodes = materialise(nodes.agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.min(above).alias("parent"), steps), "url-nodes")
     deepest = nodes.agg(F.max("level")).first()[0] or 0
     smooth = (F.col("bad") + strength * F.col("of_parent")) / (F.col("labelled") + strength)
+    # The same smoothing, once per step.
+    share = F.coalesce(F.try_divide("bad", "labelled"), F.col("of_parent"))
+    chained = share + (F.col("of_parent") - share) * F.pow(strength / (F.col("labelled") + strength), F.col("steps"))
+    chained = F.when(F.col("steps") > 1, chained).otherwise(smooth)
     level = nodes.where("level = 0").withColumn("of_parent", F.lit(float(prior))).select("host", "template", smooth.alias("purity"))
     done = level = materialise(level, "url-purity")
     for d in range(1, deepest + 1):
@@ -112,10 +135,10 @@ def template_purity(rows: DataFrame, similar_z: float = 1.0, prior: float = 0.2,
         here = nodes.where(F.col("level") == d).withColumn("apart", apart)
         here = here.withColumn("branch", F.sum("apart").over(siblings))
         branches = here.groupBy("host", "parent", F.col("labelled") > 0, "branch").agg(
-            F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.collect_list("template").alias("templates")
+            F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.collect_list("template").alias("templates"), F.max("steps").alias("steps")
         )
         known = level.select("host", F.col("template").alias("parent"), F.col("purity").alias("of_parent"))
-        level = branches.join(known, ["host", "parent"]).select("host", F.explode("templates").alias("template"), smooth.alias("purity"))
+        level = branches.join(known, ["host", "parent"]).select("host", F.explode("templates").alias("template"), chained.alias("purity"))
         level = materialise(level, "url-purity")
         done = done.unionByName(level)
     return done

@@ -42,6 +42,23 @@ def test_url_templates_equal_sql(spark, tmp_path):
         assert any("'allow'" in r and "None" in r for r in expected) and any("'block'" in r for r in expected)
 
 
+def test_deep_urls_branch_to_their_end(spark, tmp_path):
+    """Branches below the sixteenth segment, beginnings of each other, and single paths that go on alone; none is cut."""
+    trunk = "/".join(f"s{chr(97 + i)}" for i in range(18))
+    urls = [f"http://h.org/{trunk}/{a}/{b}/end" for a in ("good", "bad") for b in "pqrst"] + [f"http://h.org/{trunk}/{a}/new" for a in ("good", "bad")]
+    urls += ["http://h.org/" + "/".join("uvwxuvwxuvwxuvwxuvwx"[:n]) for n in range(1, 21)] + ["http://i.org/" + "y/" * 20 + "bad", "http://j.org/" + "z/" * 20]
+    pages = spark.createDataFrame([(i, u, None if u.endswith("new") else int("bad" in u)) for i, u in enumerate(urls)], "page_id long, url string, bad int")
+    found = url_filter.judge_urls(pages, [], labels="bad", reject_at=0.5).collect()
+    verdicts = {r["url"]: r["verdict"] for r in found}
+    assert [verdicts[f"http://h.org/{trunk}/{a}/new"] for a in ("good", "bad")] == ["allow", "block"]
+    assert verdicts["http://i.org/" + "y/" * 20 + "bad"] == "block" and len(found) == len(urls)
+    # The same in SQL, with labels from rules.
+    pages = pages.withColumn("url", F.when(F.col("bad") == 1, F.regexp_replace("url", "org/s", "org/es/s")).otherwise(F.regexp_replace("url", "org/s", "org/t")))
+    pages.drop("bad").write.parquet(f"{tmp_path}/pages")
+    got = url_filter.judge_urls(spark.read.parquet(f"{tmp_path}/pages"), queries.URL_RULES, reject_at=0.3).select("page_id", "host", "path", "rule", "verdict")
+    assert in_spark(got) == in_sql(oracles.url_filter_sql(queries.URL_RULES, depth=24, reject_at=0.3), pages=f"{tmp_path}/pages/*.parquet")
+
+
 def test_url_tree_blocks_on_purity(spark, sf_dir):
     """In the query, URLs that no rule covers are blocked where their host or branch is, and only there."""
     rows = queries.QUERIES["op5_url_filter"](spark, "/root/testdata/sf0.01" if sf_dir.endswith("sf0.001") else sf_dir).collect()

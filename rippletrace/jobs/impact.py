@@ -33,7 +33,7 @@ def analyse(diffs: DataFrame, endpoints: DataFrame, references: DataFrame, thres
     """
     parsed = save_step(D.parse_diffs(diffs), "parsed-diffs")
     files = D.diff_files(parsed, compat)
-    changed = save_step(D.changed_in_python(parsed, compat), "changed")
+    changed = save_step(I.touched(D.touched_in_python(parsed, compat)), "changed")
     hits = I.above_threshold(I.all_hits(changed, endpoints, references), threshold)
     lines = save_step(I.display_lines(changed, references), "display-lines")
     affected = save_step(I.with_reasons(hits, lines, endpoints), "affected")

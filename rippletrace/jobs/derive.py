@@ -63,6 +63,17 @@ DIFF_FILES = f"""SELECT 'app' AS repo, l_orderkey AS change_id, file_idx, d.file
           FROM lineitem) x
     JOIN (SELECT doc_id, {_FILE} AS file_path, {_BASE} AS base FROM documents) d ON d.doc_id = l_partkey % {{docs}}"""
 
+# The rows of DIFF_FILES in another order of work: lines get their document's source, and no paths, before they are numbered. So they are
+# shuffled as they are, and by order last, which gathering a change's files needs as well; paths are made when nothing is shuffled any more.
+_NUMBERED = "FROM (SELECT *, CAST(ROW_NUMBER"
+DIFF_FILES_LATE = (
+    DIFF_FILES.split(_NUMBERED)[0]
+    + f"""FROM (SELECT *, {_FILE} AS file_path, {_BASE} AS base
+      {_NUMBERED}{DIFF_FILES.split(_NUMBERED)[1].split("FROM lineitem")[0]}
+        FROM (SELECT lineitem.*, documents.doc_id, documents.source FROM lineitem LEFT JOIN documents ON documents.doc_id = l_partkey % {{docs}}) y) x
+      WHERE doc_id IS NOT NULL) d"""
+)
+
 # Routers in blocks of 16 that include each other; the first of a block is an application, but in every fifth block a router that nothing includes.
 ROUTER_PLAN = """SELECT doc_id, CAST(FLOOR(doc_id / 16) AS BIGINT) AS block, doc_id % 16 AS i, CASE WHEN doc_id % 16 % 3 = 1 OR doc_id % 16 = 0 THEN '' ELSE '/r' || CAST(doc_id % 16 AS STRING) END AS own_prefix,
     CASE WHEN doc_id % 16 > 0 AND doc_id % 2 = 0 THEN 't' || CAST(doc_id % 16 AS STRING) END AS own_tag,
@@ -104,7 +115,7 @@ def derive(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     for t in ("documents", "pages", "lineitem"):
         session.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
     docs = session.table("documents").count()
-    for name, sql in DERIVED.items():
+    for name, sql in (DERIVED | {"diff_plan": DIFF_FILES_LATE}).items():
         session.sql(sql.format(array="array", docs=docs)).createOrReplaceTempView(name)
         if name == "endpoints":
             named = session.table("endpoints").withColumn("endpoint_id", C.endpoint_id(F.col("methods"), F.col("path")))

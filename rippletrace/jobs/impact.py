@@ -31,7 +31,7 @@ def analyse(diffs: DataFrame, endpoints: DataFrame, references: DataFrame, thres
     of steps matters: first hits win, then the threshold applies. A change whose
     diff can't be parsed has no files and one error, and still a summary.
     """
-    parsed = save_step(D.parse_diffs(diffs), "parsed-diffs")
+    parsed = save_step(D.parse_diffs(diffs, "error", "files", "touched"), "parsed-diffs")
     files = D.diff_files(parsed, compat)
     changed = save_step(I.touched(D.touched_in_python(parsed, compat)), "changed")
     hits = I.above_threshold(I.all_hits(changed, endpoints, references), threshold)

@@ -113,17 +113,51 @@ def parse_diff(text: str | None) -> tuple[str | None, list, list, list]:
     return None, [tuple(r) for r in files.rows], hunks, lines
 
 
-def parse_diffs(diffs: DataFrame) -> DataFrame:
-    """(repo, change_id, error, files, hunks, lines): each of ``diffs`` (repo, change_id, diff_text) parsed, in one row."""
-    schema = StructType([diffs.schema[k] for k in KEYS] + StructType.fromDDL(PARSED).fields)
+def text_of_lines(diff_text: str | None, lines: list) -> list[list]:
+    """[file_idx, side, texts] for each file and side that has ``lines``, in their order: their texts."""
+    text, found = (diff_text or "").split("\n"), {}
+    for n, file, _, side, _ in lines:
+        found.setdefault((file, side), []).append(text[n])
+    return [(*k, v) for k, v in found.items()]
+
+
+def touched_of(files: list, lines: list) -> list[tuple]:
+    """(file_idx, source_name, target_name, lines) for each file that has lines: their distinct numbers in order."""
+    found: dict[int, set] = {}
+    for _, file, _, _, line_no in lines:
+        if file >= 0:
+            found.setdefault(file, set()).add(line_no)
+    return [(*files[f][:3], sorted(x)) for f, x in found.items()]
+
+
+#: What else can be made of a parsed diff, from its text and (error, files, hunks, lines).
+_MORE = {
+    "touched": ("array<struct<file_idx:int,source_name:string,target_name:string,lines:array<int>>>", lambda text, p: touched_of(p[1], p[3])),
+    "texts": ("array<struct<file_idx:int,side:string,texts:array<string>>>", lambda text, p: text_of_lines(text, p[3])),
+}
+
+
+def parse_diffs(diffs: DataFrame, *columns: str) -> DataFrame:
+    """(repo, change_id, error, files, hunks, lines): each of ``diffs`` (repo, change_id, diff_text) parsed, in one row.
+
+    Of ``columns``, if some are named, only these are made. Two more can be:
+    touched, the distinct lines of each file, and texts, the changed lines of
+    each file and side as texts.
+    """
+    plain = StructType.fromDDL(PARSED)
+    columns = columns or tuple(plain.names)
+    made = [plain[c] if c in plain.names else StructType.fromDDL(f"{c} {_MORE[c][0]}")[c] for c in columns]
+    take = [(lambda i: lambda text, p: p[i])(plain.names.index(c)) if c in plain.names else _MORE[c][1] for c in columns]
+    schema = StructType([diffs.schema[k] for k in KEYS] + made)
     types = to_arrow_schema(schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                parsed = zip(*map(parse_diff, part.column("diff_text").to_pylist()))
-                arrays = [part.column(k) for k in KEYS] + [pa.array(v, types.field(i).type) for i, v in enumerate(parsed, len(KEYS))]
+                texts = part.column("diff_text").to_pylist()
+                parsed = list(map(parse_diff, texts))
+                arrays = [part.column(k) for k in KEYS] + [pa.array(list(map(f, texts, parsed)), types.field(i).type) for i, f in enumerate(take, len(KEYS))]
                 yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
     return diffs.select(*KEYS, "diff_text").mapInArrow(work, schema)
@@ -181,20 +215,33 @@ def changed_in_python(parsed: DataFrame, compat: bool = False) -> DataFrame:
 def touched_in_python(parsed: DataFrame, compat: bool = False) -> DataFrame:
     """(repo, change_id, file_idx, path, lines): the sorted distinct changed lines of each Python file that has any, without a shuffle.
 
-    The lines of a file lie side by side in its diff and are cut out in one pass.
+    ``parsed`` has the column touched.
     """
-    at = lambda i: F.get("lines", i)["file_idx"]
-    n = F.size("lines")
-    places = F.sequence(F.lit(0), n - 1)
-    starts = F.filter(places, lambda i: (i == 0) | (at(i) != at(F.greatest(i - 1, F.lit(0)))))
-    ends = F.filter(places, lambda i: (i == n - 1) | (at(i) != at(F.least(i + 1, n - 1))))
-    own = lambda z: F.transform(F.slice("lines", z["s"] + 1, z["e"] - z["s"] + 1), lambda x: x["line_no"])
-    parts = F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda z: F.struct(F.get("files", at(z["s"])).alias("file"), own(z).alias("lines")))
-    rows = parsed.where(n > 0).select(*KEYS, F.inline(parts)).where("file is not null")
-    source, target = (C.strip_prefix(F.col(f"file.{x}_name"), f"{p}/", compat) for x, p in (("source", "a"), ("target", "b")))
-    path = F.when((F.col("file.source_name") != NOWHERE) & (F.col("file.target_name") == NOWHERE), source).otherwise(target)
-    rows = rows.select(*KEYS, "file.file_idx", path.alias("path"), "lines").where(C.is_python(F.col("path")))
-    return rows.withColumn("lines", F.array_sort(F.array_distinct("lines")))
+    rows = parsed.select(*KEYS, F.inline("touched"))
+    source, target = (C.strip_prefix(F.col(f"{x}_name"), f"{p}/", compat) for x, p in (("source", "a"), ("target", "b")))
+    path = F.when((F.col("source_name") != NOWHERE) & (F.col("target_name") == NOWHERE), source).otherwise(target)
+    return rows.select(*KEYS, "file_idx", path.alias("path"), "lines").where(C.is_python(F.col("path")))
+
+
+def text_lines(parsed: DataFrame) -> DataFrame:
+    """(repo, change_id, file_idx, side, texts): the added and the removed lines of each file as they stand in the diff; ``parsed`` has the column texts."""
+    return parsed.select(*KEYS, F.inline("texts"))
+
+
+def context_in_diffs(parsed: DataFrame, around: int = C.WINDOW_LINES) -> DataFrame:
+    """``context_lines`` of the changed lines of ``parsed``, within the row of each diff."""
+    near = lambda x: F.when(
+        x["line_no"] + around >= 1,
+        F.transform(F.sequence(F.greatest(F.lit(1), x["line_no"] - around), x["line_no"] + around), lambda n: F.shiftleft(x["file_idx"].cast("long"), 32) + n),
+    ).otherwise(F.array().cast("array<bigint>"))
+    rows = parsed.select(*KEYS, F.explode(F.array_distinct(F.flatten(F.transform("lines", near)))).alias("_at"))
+    return rows.select(*KEYS, F.shiftright("_at", 32).cast("int").alias("file_idx"), F.col("_at").bitwiseAND((1 << 32) - 1).cast("int").alias("line_no"))
+
+
+def runs_in_diffs(parsed: DataFrame) -> DataFrame:
+    """(repo, change_id, file_idx, first, last): ``line_runs`` of each file's changed lines, within the row of each diff; ``parsed`` has the column touched."""
+    files = parsed.select(*KEYS, F.inline("touched"))
+    return files.select(*KEYS, "file_idx", F.inline(C.runs(F.col("lines"))))
 
 
 def affected_ranges(parsed: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from rippletrace.jobs import derive
 from rippletrace.operators import diffs as D
 from rippletrace.operators import impact as I
 from rippletrace.operators import paths as P
@@ -81,8 +82,42 @@ def test_high_hits_and_counts_equal_the_listed_hits(tables):
 
 def test_lines_of_each_file_in_one_pass(spark):
     text = "--- a/x.py\n+++ b/x.py\n@@ -1,2 +1,2 @@\n-a\n+b\n c\n@@ -200,1 +200,2 @@\n a\n+n\n--- a/y.txt\n+++ b/y.txt\n@@ -1 +1 @@\n-a\n+b\n--- a/z.py\n+++ /dev/null\n@@ -4,1 +0,0 @@\n-a\n"
-    parsed = D.parse_diffs(spark.createDataFrame([("r", "c", text)], "repo string, change_id string, diff_text string"))
+    diffs = spark.createDataFrame([("r", "c", text)], "repo string, change_id string, diff_text string")
+    parsed = D.parse_diffs(diffs, "error", "lines", "touched", "texts")
+    assert parsed.columns == ["repo", "change_id", "error", "lines", "touched", "texts"]
     files = D.touched_in_python(parsed)
     assert [(r["file_idx"], r["path"], r["lines"]) for r in files.orderBy("file_idx").collect()] == [(0, "x.py", [1, 201]), (2, "z.py", [4])]
     bins = I.in_bins(files.where("file_idx = 0"))
     assert sorted((r["_bin"], r["part"]) for r in bins.collect()) == [(0, [1]), (3, [201])]
+    texts = {(r["file_idx"], r["side"]): r["texts"] for r in D.text_lines(parsed).collect()}
+    assert texts == {(0, "removed"): ["-a"], (0, "added"): ["+b", "+n"], (1, "removed"): ["-a"], (1, "added"): ["+b"], (2, "removed"): ["-a"]}
+    lines, shape = D.changed_lines(parsed), lambda t, *c: sorted(tuple(r) for r in t.select("file_idx", *c).collect())
+    assert shape(D.context_in_diffs(parsed), "line_no") == shape(D.context_lines(lines), "line_no")
+    assert shape(D.runs_in_diffs(parsed), "first", "last") == shape(D.line_runs(lines, ["change_id", "file_idx"]), "first", "last")
+    for made in (D.text_lines(parsed), D.context_in_diffs(parsed), D.runs_in_diffs(parsed)):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_planned_files_are_the_sql_s(spark, sf_dir):
+    """Also where documents are missing: a line without one still counts in its order."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 3 > 0")
+    docs.createOrReplaceTempView("documents")
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
+    plain, late = (spark.sql(sql.format(docs=200)) for sql in (derive.DIFF_FILES, derive.DIFF_FILES_LATE))
+    assert plain.columns == late.columns and plain.count() == late.count() > 0
+    assert plain.exceptAll(late).isEmpty() and late.exceptAll(plain).isEmpty()
+
+
+def test_paths_are_not_shuffled_with_planned_files(spark, sf_dir):
+    """Where documents aren't broadcast, lines are shuffled twice, and without paths."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for t in ("documents", "lineitem"):
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        plan = derive.diff_texts(spark.sql(derive.DIFF_FILES_LATE.format(docs=200)))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("Exchange hashpartitioning") == 3

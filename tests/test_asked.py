@@ -121,3 +121,14 @@ def test_paths_are_not_shuffled_with_planned_files(spark, sf_dir):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert plan.count("Exchange hashpartitioning") == 3
+
+
+def test_symbols_of_a_line_are_looked_up_once_for_paths_of_a_name(spark):
+    """What is repeated for the paths isn't aggregated or shuffled any more."""
+    wanted = spark.range(300).select(F.lit("r").alias("repo"), F.concat(F.lit("p"), "id", F.lit("/main.py")).alias("path"), F.lit(3).alias("line_no"))
+    rows = [("r", f"e{i}", "/srv/main.py", i, f"s{i}", 1, 9) for i in range(20)]
+    symbols = spark.createDataFrame(rows, "repo string, endpoint_id string, file_path string, sym_ord int, symbol_name string, start_line int, end_line int")
+    found = I.symbol_at_line(wanted, symbols)
+    assert found.count() == 6_000 and {(r["endpoint_id"], r["symbol_name"]) for r in found.distinct().collect()} == {(f"e{i}", f"s{i}") for i in range(20)}
+    top = found._jdf.queryExecution().optimizedPlan().toString().splitlines()[:2]
+    assert not any("Aggregate" in line for line in top)

@@ -9,6 +9,7 @@ from rippletrace.jobs import derive
 from rippletrace.operators import diffs as D
 from rippletrace.operators import impact as I
 from rippletrace.operators import paths as P
+from rippletrace.sources import tables as T
 
 CHANGED = "repo string, change_id string, file_idx int, path string, line_no int"
 ENDS = "repo string, endpoint_id string, reg_order int, file_path string, start_line int, end_line int"
@@ -132,3 +133,20 @@ def test_symbols_of_a_line_are_looked_up_once_for_paths_of_a_name(spark):
     assert found.count() == 6_000 and {(r["endpoint_id"], r["symbol_name"]) for r in found.distinct().collect()} == {(f"e{i}", f"s{i}") for i in range(20)}
     top = found._jdf.queryExecution().optimizedPlan().toString().splitlines()[:2]
     assert not any("Aggregate" in line for line in top)
+
+
+def test_places_in_a_repository_come_from_many_tasks(spark):
+    rows = spark.range(5_000).select(F.when(F.col("id") % 10 > 0, F.lit("r")).alias("repo"), F.array(F.struct((F.col("id") * 7919 % 5_000).alias("x"))).alias("at"), "id")
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = T.numbered(rows, ["repo"], ["at"], "place", "in-order")
+        assert found.schema["place"].dataType.simpleString() == "int"
+        got = found.collect()
+        tasks = found.where("repo = 'r'").select(F.spark_partition_id()).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    for repo in ("r", None):
+        mine = sorted((r["at"][0]["x"], r["place"]) for r in got if r["repo"] == repo)
+        assert [p for _, p in mine] == list(range(len(mine))) and len(mine) in (4_500, 500)
+    assert tasks > 1

@@ -150,3 +150,11 @@ def test_places_in_a_repository_come_from_many_tasks(spark):
         mine = sorted((r["at"][0]["x"], r["place"]) for r in got if r["repo"] == repo)
         assert [p for _, p in mine] == list(range(len(mine))) and len(mine) in (4_500, 500)
     assert tasks > 1
+
+
+def test_counts_keep_repositories_apart(spark):
+    """An endpoint that only another repository has isn't counted."""
+    changed = spark.createDataFrame([("a", "c", 0, "x/main.py", 3), ("b", "c", 0, "x/main.py", 3)], CHANGED)
+    refs = spark.createDataFrame([(r, "e", 0, "/srv/main.py", 1, 5) for r in "ab"], REFS)
+    ends = spark.createDataFrame([("b", "e", 0, "/srv/other.py", 1, 5)], ENDS)
+    assert [(r["repo"], r["hits"], r["high"]) for r in I.hit_counts(changed, ends, refs).collect()] == [("b", 1, 0)]

@@ -158,3 +158,57 @@ def test_counts_keep_repositories_apart(spark):
     refs = spark.createDataFrame([(r, "e", 0, "/srv/main.py", 1, 5) for r in "ab"], REFS)
     ends = spark.createDataFrame([("b", "e", 0, "/srv/other.py", 1, 5)], ENDS)
     assert [(r["repo"], r["hits"], r["high"]) for r in I.hit_counts(changed, ends, refs).collect()] == [("b", 1, 0)]
+
+
+def plain_hits(changed, ends, refs):
+    """The hits by a join of all with all and a rank over a change's rows."""
+    high = I.direct_hits(changed, ends).withColumn("confidence_rank", F.lit(0))
+    ids = ends.groupBy("repo", "endpoint_id").agg(F.min("reg_order").alias("reg_order"))
+    medium = I.dependency_hits(changed, refs).join(ids, ["repo", "endpoint_id"]).withColumn("confidence_rank", F.lit(1))
+    best = {}
+    for r in high.unionByName(medium).collect():
+        key = r["repo"], r["change_id"], r["endpoint_id"]
+        best[key] = min(best.get(key, (9,)), (r["file_idx"], r["confidence_rank"], r["reg_order"], r["path"]))
+    out, order = {}, sorted((k[:2], v[:3], k[2], v) for k, v in best.items())
+    for change, _, e, v in order:
+        mine = out.setdefault(change, [])
+        mine.append((e, *v, len(mine) + 1))
+    return {c: sorted(rows) for c, rows in out.items()}
+
+
+def test_hits_in_pieces_equal_plain_ones(spark, monkeypatch):
+    """Also with pieces of three endpoints, files dealt two by two, equal asks in a change, and endpoints that aren't registered."""
+    monkeypatch.setattr(I, "DEALT", 2)
+    draw = random.Random(3)
+    files = ["a/main.py", "b/main.py", "main.py", "x/other.py", "y/other.py", "py"]
+    path = {}
+    lines = [(f"r{c % 2}", f"c{c}", i, path.setdefault((c, i), draw.choice(files)), draw.choice([3, 5, 40, 90, 130])) for c in range(25) for i in range(4) for _ in range(2)]
+    ends = [(r, f"e{i}", draw.randrange(9), "/srv/" + draw.choice(files[:5]), s, s + draw.randrange(60)) for r in ("r0", "r1") for i in range(20) for s in [draw.randrange(1, 130)]]
+    refs = [(r, f"e{i}", o, "/srv/" + draw.choice(files), s, s + draw.randrange(-6, 60)) for r in ("r0", "r1") for i in range(23) for o in range(2) for s in [draw.randrange(1, 140)]]
+    changed, ends, refs = spark.createDataFrame(lines, CHANGED), spark.createDataFrame(ends, ENDS), spark.createDataFrame(refs, REFS)
+    made = I.ranked_hits(changed, ends, refs)
+    assert made.largest.where("size(gone) > 0").count() and made.kept.where("not is_before").count() and made.kept.where("confidence = 'medium'").count()
+    for size in (3, 1 << 20):
+        pieces = made.pieces(size)
+        monkeypatch.setattr(made, "pieces", lambda: pieces)
+        found = {}
+        for r in made.rows().collect():
+            found.setdefault((r["repo"], r["change_id"]), []).append((r["endpoint_id"], r["file_idx"], r["confidence_rank"], r["reg_order"], r["path"], r["rank"]))
+        assert {c: sorted(rows) for c, rows in found.items()} == plain_hits(changed, ends, refs)
+        monkeypatch.undo()
+    named = ends.withColumn("module", F.concat(F.lit("m."), "endpoint_id"))
+    rows = I.with_reasons(I.all_hits(changed, named, refs), I.display_lines(changed, refs), named)
+    both = [sorted(map(str, t.select(rows.columns).collect())) for t in (rows, I.hits_with_reasons(changed, named, refs))]
+    assert both[0] == both[1] and any("Type analysis" in r for r in both[0])
+
+
+def test_hits_of_a_common_file_are_not_shuffled(spark):
+    """What a change's largest file hits is made by a generator over shared lists, with nothing shuffled after that."""
+    rows = [("r", f"c{i}", 0, f"p{i}/main.py", 3) for i in range(300)]
+    changed = spark.createDataFrame(rows, CHANGED)
+    refs = spark.createDataFrame([("r", f"e{i}", 0, "/srv/main.py", 1, 5) for i in range(40)], REFS)
+    ends = spark.createDataFrame([("r", f"e{i}", i, "/srv/other.py", 1, 5) for i in range(40)], ENDS)
+    made = I.ranked_hits(changed, ends, refs)
+    assert made.rows().count() == 12_000 and made.kept.count() == 0 and made.listed.count() == 40
+    top = made.pieces()._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert top[0].startswith("Project") and top[1].startswith("+- Join")

@@ -8,7 +8,7 @@ array, ``{docs}`` for the number of documents. The work of each query so grows w
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rippletrace.functions import columns as C
@@ -65,12 +65,14 @@ DIFF_FILES = f"""SELECT 'app' AS repo, l_orderkey AS change_id, file_idx, d.file
 
 # The rows of DIFF_FILES in another order of work: lines get their document's source, and no paths, before they are numbered. So they are
 # shuffled as they are, and by order last, which gathering a change's files needs as well; paths are made when nothing is shuffled any more.
+# The number of parts is given, for what is done with a part (diffs are written and parsed) is far more work than its bytes tell: joined to one
+# part a core, the last few would take as long as all the others.
 _NUMBERED = "FROM (SELECT *, CAST(ROW_NUMBER"
 DIFF_FILES_LATE = (
     DIFF_FILES.split(_NUMBERED)[0]
     + f"""FROM (SELECT *, {_FILE} AS file_path, {_BASE} AS base
       {_NUMBERED}{DIFF_FILES.split(_NUMBERED)[1].split("FROM lineitem")[0]}
-        FROM (SELECT lineitem.*, documents.doc_id, documents.source FROM lineitem LEFT JOIN documents ON documents.doc_id = l_partkey % {{docs}}) y) x
+        FROM (SELECT /*+ REPARTITION({{parts}}, l_orderkey) */ lineitem.*, documents.doc_id, documents.source FROM lineitem LEFT JOIN documents ON documents.doc_id = l_partkey % {{docs}}) y) x
       WHERE doc_id IS NOT NULL) d"""
 )
 
@@ -114,9 +116,9 @@ def derive(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     for t in ("documents", "pages", "lineitem"):
         session.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    docs = session.table("documents").count()
+    docs, parts = session.table("documents").count(), spark.conf.get("spark.sql.shuffle.partitions")
     for name, sql in (DERIVED | {"diff_plan": DIFF_FILES_LATE}).items():
-        session.sql(sql.format(array="array", docs=docs)).createOrReplaceTempView(name)
+        session.sql(sql.format(array="array", docs=docs, parts=parts)).createOrReplaceTempView(name)
         if name == "endpoints":
             named = session.table("endpoints").withColumn("endpoint_id", C.endpoint_id(F.col("methods"), F.col("path")))
             named.createOrReplaceTempView("named_endpoints")
@@ -235,8 +237,14 @@ def diff_texts(plan: DataFrame) -> DataFrame:
     """
     path, kind = F.col("name"), F.col("change_type")
     n = lambda c: c.cast("string")
-    new = F.array_join(F.transform(F.sequence(F.lit(1), F.col("plus")), lambda i: F.concat(F.lit("+new "), n(i), F.lit("\n"))), "")
-    old = lambda count: F.when(count > 0, F.array_join(F.transform(F.sequence(F.lit(1), count), lambda i: F.concat(F.lit("-old "), n(i), F.lit("\n"))), "")).otherwise("")
+
+    def numbered_lines(word: str, count: Column) -> Column:
+        """Lines ``word`` 1, 2, ...; few ones, as they are planned, are the start of a fixed text."""
+        few = "".join(f"{word} {i}\n" for i in range(1, 10))
+        many = F.array_join(F.transform(F.sequence(F.lit(1), count), lambda i: F.concat(F.lit(f"{word} "), n(i), F.lit("\n"))), "")
+        return F.when(count < 1, "").when(count < 10, F.substring(F.lit(few), F.lit(1), count * (len(word) + 3))).otherwise(many)
+
+    new, old = numbered_lines("+new", F.col("plus")), lambda count: numbered_lines("-old", count)
     header = lambda a, b: F.concat(F.lit("--- "), a, F.lit("\n+++ "), b, F.lit("\n"))
     hunk = lambda a, b, c, d: F.concat(F.lit("@@ -"), n(a), F.lit(","), n(b), F.lit(" +"), n(c), F.lit(","), n(d), F.lit(" @@\n"))
     a, b = F.concat(F.lit("a/"), path), F.concat(F.lit("b/"), path)

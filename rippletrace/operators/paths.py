@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rippletrace.functions import columns as C
+from rippletrace.sources.tables import save_step
 
 
 def _endings(name: Column) -> Column:
@@ -72,7 +73,8 @@ def match_handler_file(changed: DataFrame, registered: DataFrame, keys: list[str
     path and not at its end has its base name in the file's folder.
     """
     path, file, order = F.col("path"), F.col("file_path"), F.struct("file_order", "file_path")
-    paths = changed.select(*keys, "path").distinct()
+    # Both are looked at several times, and may take long to make.
+    paths, registered = save_step(changed.select(*keys, "path").distinct(), "paths"), save_step(registered.select(*keys, "file_path", "file_order"), "registered")
     equal = paths.join(registered.select(*keys, F.col("file_path").alias("path")).distinct(), [*keys, "path"])
     rest = paths.join(equal, [*keys, "path"], "left_anti")
     wanted = rest.select(*keys, "path", F.explode(F.array_distinct(F.array(path, F.ltrim(path, F.lit("./"))))).alias("end"))

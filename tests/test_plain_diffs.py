@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 
 from rippletrace.operators import diffs as D
+from rippletrace.operators import report as R
 
 HEAD = "--- a/x.py\n+++ b/x.py\n"
 
@@ -65,3 +66,18 @@ def test_parts_of_changes_are_as_many_as_asked(spark, sf_dir):
         assert plan.rdd.getNumPartitions() == 13
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_warnings_read_files_once(spark):
+    rows = spark.createDataFrame([("r", 1, "a/x.py")], "repo string, change_id long, path string")
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    files = rows.mapInArrow(count, rows.schema).selectExpr("*", "true AS is_python")
+    bad = spark.createDataFrame([("r", "/srv/a/x.py", "SyntaxError")], "repo string, file_path string, error string")
+    assert [r["warning"] for r in R.warnings_of(files, bad).collect()] == ["Error analyzing a/x.py: SyntaxError"]
+    assert reads.value == 1

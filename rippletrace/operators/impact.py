@@ -430,11 +430,48 @@ def frames(groups: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame
     owned = disjoint_segments(symbols.withColumnRenamed("file_path", "path"), of)
     owner = meet(groups, owned, of, F.col("start_line"), F.col("end_line"), "first").select(*keys, F.col("symbol_name").alias("function_name"))
     out = groups.join(owner, keys, "left").join(texts_of(groups, files), ["repo", "path", "first", "last"], "left")
+    return out.select(*keys, F.coalesce("function_name", F.lit("module")).alias("function_name"), context_of_run().alias("code_context"))
+
+
+def context_of_run() -> Column:
+    """The text of a run of lines, from the columns first, last and found, as ``texts_of`` has it."""
     body = F.array_join(F.transform("found", lambda x: F.rtrim(x)), "\n")
     head = F.concat(F.lit("[lines "), F.col("first").cast("string"), F.lit("-"), F.col("last").cast("string"), F.lit("]\n"))
     there = (F.size("found") > 0) & (F.col("first") >= 1)
-    context = F.when(F.coalesce(there, F.lit(False)), F.when(F.col("last") > F.col("first"), F.concat(head, body)).otherwise(body)).otherwise("")
-    return out.select(*keys, F.coalesce("function_name", F.lit("module")).alias("function_name"), context.alias("code_context"))
+    return F.when(F.coalesce(there, F.lit(False)), F.when(F.col("last") > F.col("first"), F.concat(head, body)).otherwise(body)).otherwise("")
+
+
+#: Up to so many endpoints with a symbol in a run are kept beside it; if there are more, all endpoints of the run are joined with them.
+OWNERS = 64
+
+
+def display_frames(changed: DataFrame, references: DataFrame, symbols: DataFrame, files: DataFrame, around: int = C.WINDOW_LINES) -> DataFrame:
+    """``frames`` of ``display_groups``, found before they are repeated for each diff file.
+
+    A text is that of a path and a run of lines, whatever the endpoint is. Only
+    endpoints with a symbol in exactly this file have another function than
+    ``module``; these are few, and looked up for each path, ask and run.
+    Endpoints are repeated for the diff files last, and not shuffled after that.
+    """
+    rows = touched(changed)
+    run = ["ask", "first", "last"]
+    place = ["repo", "path", *run]
+    groups = save_step(asked_lines(rows, references, around).select("ask", "endpoint_id", F.inline(C.runs(F.col("lines")))), "asked-groups")
+    wanted = save_step(rows.select(*FILE, "path", "ask").join(groups.select(*run).distinct(), "ask"), "wanted-runs")
+    places = save_step(wanted.select(*place).distinct(), "places")
+    owned = disjoint_segments(symbols.withColumnRenamed("file_path", "path"), ["repo", "endpoint_id", "path"])
+    owners = meet(places, owned, ["repo", "path"], F.col("start_line"), F.col("end_line"), "first").join(groups, [*run, "endpoint_id"])
+    owners = save_step(owners.select(*place, "endpoint_id", F.col("symbol_name").alias("function_name")), "owners")
+    counts = owners.groupBy(*place).agg((F.count(F.lit(1)) > OWNERS).alias("is_many"))
+    few = owners.join(counts.where("not is_many").drop("is_many"), place).groupBy(*place).agg(F.map_from_entries(F.collect_list(F.struct("endpoint_id", "function_name"))).alias("owned"))
+    many = counts.where("is_many")
+    texts = texts_of(places, files).withColumn("code_context", context_of_run()).drop("found")
+    told = wanted.join(texts, ["repo", "path", "first", "last"], "left").join(few, place, "left").join(many, place, "left")
+    told = save_step(told.select(*FILE, "path", *run, F.coalesce("code_context", F.lit("")).alias("code_context"), "owned", "is_many"), "told-runs")
+    out = lambda rows, name: rows.select(*FILE, "path", "endpoint_id", "first", "last", F.coalesce(name, F.lit("module")).alias("function_name"), "code_context")
+    named = groups.join(many.drop("is_many"), run).join(owners, [*place, "endpoint_id"], "left")
+    plain = told.where("is_many is null").drop("is_many").join(groups, run)
+    return out(plain, F.col("owned")[F.col("endpoint_id")]).unionByName(out(told.where("is_many").drop("is_many", "owned").join(named, place), F.col("function_name")))
 
 
 def with_call_stacks(affected: DataFrame, stacks: DataFrame, frames: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from typing import Any
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from rippletrace.functions import columns as C
 from rippletrace.sources.tables import Growing, save_step
@@ -161,53 +164,54 @@ def first_visits(reached: DataFrame, edges: DataFrame, files: DataFrame) -> Data
     from the root on; elsewhere it is null. ``reached`` is as ``reachability``
     returns it, with the root as node at depth 0.
 
-    The calls among the nodes of one root are a group, walked in one task; roots
-    are spread over tasks. Endpoints with the same root share its walk.
+    The calls of a function are put in order once, whatever roots reach it.
+    Rows of a root come one after the other, and a task holds those of one root
+    at a time; roots are spread over tasks. Endpoints with the same root share
+    its walk.
     """
     kind = edges.schema["callee"].dataType.simpleString()
     of = reached.where("depth = 0").select("endpoint", F.col("node").alias("root"))
     # One endpoint of each root stands for all.
     chosen = of.groupBy("root").agg(F.min("endpoint").alias("endpoint"))
-    calls = edges.groupBy("caller", "callee").agg(F.min("ord").alias("ord"))
-    inside = reached.join(chosen, "endpoint").select("root", F.col("node").alias("caller")).join(calls, "caller")
-    inside = inside.join(files.select(F.col("node").alias("callee"), "file").distinct(), "callee", "left").select("root", "caller", "callee", "ord", "file")
-
-    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["caller", "ord", "callee"], kind="stable")
-        root = key[0]
-        nodes, index = np.unique(np.concatenate([[root], pdf["caller"].to_numpy(), pdf["callee"].to_numpy()]), return_inverse=True)
-        n = len(pdf)
-        callee, first = index[1 + n :], np.searchsorted(index[1 : 1 + n], np.arange(len(nodes) + 1))
-        where = np.full(len(nodes), -1, "int64")
-        where[callee] = pd.factorize(pdf["file"])[0]
-        at, seen, files_seen = int(index[0]), np.zeros(len(nodes), bool), set()
-        seen[at] = True
-        out, path, cursor = [(root, 0, None, None)], [at], first[:-1].copy()
-        while path:
-            at = path[-1]
-            if cursor[at] == first[at + 1]:
-                path.pop()
-                continue
-            to = int(callee[cursor[at]])
-            cursor[at] += 1
-            if seen[to]:
-                continue
-            seen[to] = True
-            new = where[to] >= 0 and where[to] not in files_seen
-            files_seen.add(where[to])
-            out.append((nodes[to], len(out), nodes[at], nodes[path].tolist() if new else None))
+    calls = edges.where("callee is not null").join(files.select(F.col("node").alias("callee"), "file").distinct(), "callee", "left")
+    calls = calls.groupBy("caller").agg(F.array_sort(F.collect_list(F.struct("ord", "callee", "file"))).alias("c")).select("caller", "c.callee", "c.file")
+    inside = reached.join(chosen, "endpoint").select("root", F.col("node").alias("caller")).join(calls, "caller", "left").select("root", "caller", "callee", "file")
+    form = StructType.fromDDL(f"root {kind}, node {kind}, place int, parent {kind}, stack array<{kind}>")
+    types = to_arrow_schema(form)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+        out: list[tuple] = []
+        for root, group in groupby(rows, lambda r: r[0]):
+            for row in walk(root, {caller: list(zip(callees or (), at or ())) for _, caller, callees, at in group}):
+                out.append((root, *row))
+                if len(out) == 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), types)], types.names)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), types)], types.names)
+
+    walked = inside.repartition("root").sortWithinPartitions("root").mapInArrow(work, form)
+    return of.join(walked, "root").select("endpoint", "node", "place", "parent", "stack")
+
+
+def walk(root: Any, calls: dict[Any, list[tuple]]) -> Iterator[tuple]:
+    """(node, place, parent, stack) of ``first_visits`` from one root; ``calls`` has the callees of each function in order, with their files."""
+    yield root, 0, None, None
+    seen, files_seen, path, cursors, place = {root}, set(), [root], [iter(calls.get(root, ()))], 0
+    while path:
+        to, file = next(cursors[-1], (None, None))
+        if to is None:
+            path.pop()
+            cursors.pop()
+        elif to not in seen:
+            seen.add(to)
+            place += 1
+            new = file is not None and file not in files_seen
+            files_seen.add(file)
+            yield to, place, path[-1], list(path) if new else None
             path.append(to)
-        frame = pd.DataFrame(out, columns=["node", "place", "parent", "stack"])
-        frame["parent"] = frame["parent"].astype(object).where(frame["parent"].notna(), None)
-        return frame.assign(root=root)
-
-    form = f"root {kind}, node {kind}, place int, parent {kind}, stack array<{kind}>"
-    walked = inside.groupBy("root").applyInPandas(lambda key, pdf: walk(key, pdf)[["root", "node", "place", "parent", "stack"]], form)
-    out = of.join(walked, "root").select("endpoint", "node", "place", "parent", "stack")
-    # A root that calls nothing is all that there is to walk.
-    alone = of.join(inside.select("root").distinct(), "root", "left_anti")
-    nothing = [F.lit(0).alias("place"), F.lit(None).cast(kind).alias("parent"), F.lit(None).cast(f"array<{kind}>").alias("stack")]
-    return out.unionByName(alone.select("endpoint", F.col("root").alias("node"), *nothing))
+            cursors.append(iter(calls.get(to, ())))
 
 
 def _of_endpoints(roots: DataFrame, walked: DataFrame) -> DataFrame:

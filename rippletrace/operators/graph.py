@@ -7,7 +7,7 @@ from itertools import groupby
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -240,12 +240,9 @@ def endpoint_lines(reached: DataFrame, symbols: DataFrame, calls: DataFrame) ->
 
 def endpoint_symbols(reached: DataFrame, symbols: DataFrame) -> DataFrame:
     """(endpoint, sym_ord, node, file_path, symbol_name, start_line, end_line), breadth first, then by node."""
-    rows = reached.join(symbols, "node")
-    order = F.struct("depth", "node")
-    ranks = rows.groupBy("endpoint").agg(F.array_sort(F.collect_list(order)).alias("all")).select("endpoint", F.posexplode("all").alias("sym_ord", "o"))
-    ranks = ranks.select("endpoint", "sym_ord", F.col("o.node").alias("node"))
-    end = C.symbol_end(F.col("start_line"), F.col("end_line"))
-    return rows.join(ranks, ["endpoint", "node"]).select("endpoint", "sym_ord", "node", "file_path", F.col("fullname").alias("symbol_name"), "start_line", end.alias("end_line"))
+    place = F.row_number().over(Window.partitionBy("endpoint").orderBy("depth", "node")) - 1
+    fields = ["endpoint", place.alias("sym_ord"), "node", "file_path", F.col("fullname").alias("symbol_name"), "start_line"]
+    return reached.join(symbols, "node").select(*fields, C.symbol_end(F.col("start_line"), F.col("end_line")).alias("end_line"))
 
 
 def visited_symbols(visits: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -20,3 +20,13 @@ def test_a_walk_keeps_no_recursion_and_no_place_of_unknown_files():
     n = 20_000
     rows = list(G.walk(0, {i: [(i + 1, None), (0, "f")] for i in range(n)}))
     assert [(r[0], r[1]) for r in rows] == [(i, i) for i in range(n + 1)] and all(r[3] is None for r in rows)
+
+
+def test_symbols_are_ordered_in_one_pass(spark):
+    """What is reached meets the symbols once, and isn't joined with its own order again."""
+    reached = spark.createDataFrame([("a", 5, 0), ("a", 9, 1), ("a", 2, 1), ("b", 2, 0)], "endpoint string, node long, depth int")
+    symbols = spark.createDataFrame([(n, "f", f"m.{n}", n, None) for n in (2, 5, 9)], "node long, file_path string, fullname string, start_line int, end_line int")
+    found = G.endpoint_symbols(reached, symbols)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    rows = sorted(tuple(r) for r in found.collect())
+    assert rows == [("a", 0, 5, "f", "m.5", 5, 55), ("a", 1, 2, "f", "m.2", 2, 52), ("a", 2, 9, "f", "m.9", 9, 59), ("b", 0, 2, "f", "m.2", 2, 52)]

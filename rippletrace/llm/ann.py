@@ -89,13 +89,26 @@ def unit_rows(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return x, (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("float32")
 
 
+def smallest_hashes(vectors: DataFrame, n: int) -> DataFrame:
+    """(id, v, h, g): the ``n`` rows with the smallest hashes of their ids (h), and of their vectors (g) where an id has several.
+
+    Hashes alone are ordered, and the last of them picks the rows. Ordering
+    whole rows would send ``n`` vectors of each task to where they are merged.
+    """
+    rows = vectors.select("id", "v", F.xxhash64("id").alias("h"), F.xxhash64("v").alias("g"))
+    last = rows.select("h", "g").orderBy("h", "g").limit(n).agg(F.max(F.struct("h", "g")).alias("last")).first()["last"]
+    if last is None:
+        return rows.limit(0)
+    return rows.where((F.col("h") < last["h"]) | ((F.col("h") == last["h"]) & (F.col("g") <= last["g"])))
+
+
 def fit_index(vectors: DataFrame, n: int, d: int, sample_rows: int = 16_000, seed: int = 11) -> IvfPq:
     """Fit centroids and code words on a sample of at most ``sample_rows`` vectors.
 
     ``vectors`` has id and v. The sample holds those with the smallest hash of
     their id. There is about one cell for each 2 * sqrt(n) rows.
     """
-    sample = vectors.orderBy(F.xxhash64("id"), "id", "v").limit(sample_rows).toPandas()
+    sample = smallest_hashes(vectors, sample_rows).toPandas().sort_values(["h", "id", "g"], ignore_index=True)[:sample_rows]
     _, x = unit_rows(sample["v"])
     draws = np.random.default_rng(seed)
     coarse = kmeans(x, int(np.clip(np.sqrt(n) / 2, 1, 4096)), 12, draws)
@@ -300,7 +313,8 @@ def _search(rows: DataFrame, asked: DataFrame, n_asked: int, d: int, k: int, dep
                 best = [best_of_block(q[i], q_ids[i], near[i], off, x, norm, ids, owner, k, depth) for i in range(len(q))]
                 yield pd.DataFrame({"query_id": np.repeat(q_ids, [len(w) for w, _ in best]), "found": np.concatenate([w for w, _ in best]), "score": np.concatenate([c for _, c in best])})
 
-    met = index.join(asks, ["cell", "salt"])
+    # Blocks of queries are repeated for each cell: by what they come from they look small enough to be sent to all tasks by way of the driver.
+    met = index.join(asks.hint("merge"), ["cell", "salt"])
     met = met.mapInPandas(scan, "query_id long, found long, score double").groupBy("query_id", "found").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "found"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "found", "score")

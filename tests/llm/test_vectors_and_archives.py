@@ -9,7 +9,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from rippletrace.llm import lloyd, negatives, warc
+from rippletrace.llm import ann, lloyd, negatives, warc
 from rippletrace.llm.common import new_path
 
 NAN, INF = float("nan"), float("inf")
@@ -202,3 +202,24 @@ def test_a_dictionary_helps():
     records = [warc.make_record("response", i, f"http://x.org/{i}", b"<html><head><title>shop</title></head><body>%d</body></html>" % i * 3, 9, "00" * 20, None, "1970-01-01T00:00:00Z") for i in range(2000)]
     alone = sum(len(zstandard.ZstdCompressor(level=3).compress(r)) for r in records)
     assert len(warc.make_archive(records)) < alone / 2
+
+
+# Nearest neighbours
+
+
+def test_what_the_search_sends_to_the_driver_is_small(spark):
+    """Neither queries nor whole vectors of each task go by way of the driver, and the sample is that of the smallest hashes."""
+    draws = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in draws.normal(size=8)]) for i in range(400)] + [(7, [float(i)] * 8) for i in range(1, 40)]
+    vectors = spark.createDataFrame(rows, "id long, v array<double>").repartition(6)
+    taken = ann.smallest_hashes(vectors, 50)
+    plan = taken._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and plan.count("Exchange") == 1  # that of the given rows
+    hashed = vectors.select("id", "v", F.xxhash64("id").alias("h"), F.xxhash64("v").alias("g")).collect()
+    wanted = sorted((r["h"], r["g"], r["id"]) for r in hashed)[:50]
+    assert sorted((r["h"], r["g"], r["id"]) for r in taken.collect()) == wanted
+    assert ann.smallest_hashes(vectors.limit(0), 50).count() == 0
+    found = ann.search_neighbours(vectors.withColumnsRenamed({"id": "vec_id", "v": "embedding"}), F.col("vec_id") % 10 == 0)
+    found.collect()
+    blocks = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [cell" in line and "salt" in line.split("Join")[1].split("]")[0]]
+    assert blocks and not any("Broadcast" in line for line in blocks)

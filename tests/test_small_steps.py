@@ -48,3 +48,23 @@ def test_written_steps_leave_no_shuffle_files(spark):
     saved = T.save_step(rows, "shuffled")
     assert not set(folder()) - before and saved.count() == 10_000
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_hits_of_other_files_are_shuffled_as_numbers(spark, monkeypatch):
+    """A change with two files of common names: neither texts nor lines of what the second hits are there before the last join."""
+    ends = spark.range(40).select(
+        F.lit("r").alias("repo"), F.concat(F.lit("e"), "id").alias("endpoint_id"), (50 - F.col("id")).alias("reg_order"), F.lit("/srv/h.py").alias("file_path"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line")
+    )
+    spread = ends.select("repo", "endpoint_id", F.explode(F.array(*[F.struct(F.lit(i).alias("ref_ord"), F.lit(f).alias("file_path")) for i, f in enumerate(("/srv/a/main.py", "/srv/a/__init__.py"))])).alias("f"))
+    references = spread.select("repo", "endpoint_id", "f.*", F.lit(1).alias("start_line"), F.lit(9).alias("end_line"))
+    references = references.where("ref_ord = 1 or endpoint_id < 'e3'")
+    rows = [("r", 1, 0, "x/main.py", [3]), ("r", 1, 1, "h.py", [2]), ("r", 1, 2, "y/__init__.py", [4])]
+    changed = spark.createDataFrame(rows, "repo string, change_id long, file_idx int, path string, lines array<int>")
+    steps, write = {}, I.save_step
+    monkeypatch.setattr(I, "save_step", lambda df, name, by="": steps.setdefault(name, write(df, name, by)))
+    found = {r["rank"]: (r["endpoint_id"], r["file_idx"], r["path"], r["confidence"], r["lines"]) for r in I.ranked_hits(changed, ends, references).rows().collect()}
+    assert {f.name for f in steps["kept"].schema if f.dataType.simpleString() not in ("int", "bigint", "boolean")} == {"repo"}
+    order = sorted((f"e{i}" for i in range(40)), key=lambda e: -int(e[1:]))
+    first, late = [e for e in order if e < "e3"], [e for e in order if e >= "e3"]
+    expected = [(e, 0, "x/main.py", "medium", [3]) for e in first] + [(e, 1, "h.py", "high", None) for e in late]
+    assert found == dict(enumerate(expected, 1))
